@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import chat, mixing, ngram_join, quality, sharding
+from lodestrata.llm import chat, mixing, ngram_join, quality, sharding, sstable
 
 SHARDS = 8
 
@@ -20,6 +21,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_components(_docs(spark, sf_dir), n=4, num=85, den=100)
 
 
+def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.token_shards(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_docs(spark, sf_dir))
 
