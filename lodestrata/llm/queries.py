@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import chat, mixing, ngram_join, quality, sharding, sstable
+from lodestrata.llm import chat, decontamination, language, mixing, ngram_join, quality, sharding, sstable
 
 SHARDS = 8
 
@@ -21,6 +21,19 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_components(_docs(spark, sf_dir), n=4, num=85, den=100)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["length"])), F.lit(0)).alias("longest_match"),
+    )
+
+
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_shards(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -40,6 +53,13 @@ def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).withColumn("held_out", language.fold() == 1)
+    model = language.train(docs.where("not held_out"))
+    found = language.identify(docs, model, "doc_id", "held_out")
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.to_json("langs").alias("langs"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
