@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import chat, decontamination, language, mixing, ngram_join, quality, sharding, sstable
+from lodestrata.llm import chat, decontamination, html_text, language, mixing, ngram_join, quality, secrets, sharding, sstable
 
 SHARDS = 8
 
@@ -34,6 +34,18 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.linked_spans(_docs(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *map(number, secrets.BASE),
+        F.sha2(secrets.digest(base), 256).alias("base_sha256"),
+        secrets.digest("spans").alias("spans"),
+    )
+
+
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_shards(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -76,6 +88,10 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 OP9_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
