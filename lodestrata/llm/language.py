@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, MapType, StringType, StructType
 
 from lodestrata.llm import shared
 
@@ -148,11 +149,11 @@ def mixtures(log_p: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> tuple[n
     return out, words
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *keep: str) -> DataFrame:
-    """`keep` columns, lang_pred, score, langs (map language -> share in the chosen set) for docs (text, *keep)."""
-    spark = docs.sparkSession
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *keep: str, keep_text: bool = False) -> DataFrame:
+    """`keep` columns (and text), lang_pred, score, langs (language -> share, for the chosen set) for docs (text, *keep)."""
     languages, log_p = model
-    sent = spark.sparkContext.broadcast(log_p)
+    sent = docs.sparkSession.sparkContext.broadcast(log_p)
+    first = 0 if keep_text else 1
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _, _ in shared.chunks(batches, 0):
@@ -163,11 +164,14 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *keep: str) -
             pred = [languages[b] if s else "und" for b, s in zip(best, sure, strict=True)]
             score = np.where(sure, np.clip(theta.max(1, initial=0), 0, 1), 0.0)
             langs = [[(languages[j], float(row[j])) for j in np.flatnonzero(row)] if s else [] for row, s in zip(theta, sure, strict=True)]
-            columns = [batch.column(i) for i in range(1, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(pred), pa.array(score, pa.float64()), pa.array(langs, pa.map_(pa.string(), pa.float64()))], [*keep, "lang_pred", "score", "langs"])
-
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select("text", *keep).mapInArrow(of, f"{fields}, lang_pred string, score double, langs map<string,double>")
+            found = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(langs, pa.map_(pa.string(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays(batch.columns[first:] + found, batch.schema.names[first:] + ["lang_pred", "score", "langs"])
+
+    rows = docs.select("text", *keep)
+    schema = StructType(rows.schema.fields[first:])
+    for name, kind in (("lang_pred", StringType()), ("score", DoubleType()), ("langs", MapType(StringType(), DoubleType()))):
+        schema = schema.add(name, kind)
+    return rows.mapInArrow(of, schema)
 
 
 def fold(doc_id: str = "doc_id", folds: int = 3) -> Column:
