@@ -9,10 +9,10 @@ segments, those with most bits set first: under one order for all, two lists tha
 among their first d + 1, and segments with many bits rarely agree by chance. Segments that agree make buckets.
 
 Pairs. A bucket never yields all its pairs. First each member is compared with the bucket's smallest member; what proves
-linked is joined into components. Only buckets that still hold several components are looked at again: in each, every
-component's members are compared with the members of other components that were not compared before, so no link
-between components is lost, and a bucket of thousands of near copies costs thousands of rows. Candidates pass the
-Hamming bound of folded sketches before their sets are read and compared exactly.
+linked is joined into components. Only buckets that still hold several components are looked at again: there the sketches
+of members of different components are compared inside the join's condition, so no link between components is lost and
+only pairs within the Hamming bound become rows. Candidates pass that bound of folded sketches before their sets are
+read and compared exactly.
 
 Scale. Texts are read in the scan's partitions and never exchanged (unless more classes than a broadcast bound are
 repeated); what moves is about 0.2 (key, id) rows a shingle. Bucket minima are aggregated before the exchange, and joins
@@ -98,8 +98,8 @@ def offered(sets: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def folded_sketch(sets: np.ndarray) -> np.ndarray:
-    """A parity sketch of 64-bit words, 2 to 4 bits a member; halving it by XOR gives that of the band below."""
-    bits = max(64, 2 ** (len(sets).bit_length() + 1))
+    """A parity sketch of 64-bit words, 4 to 8 bits a member; halving it by XOR gives that of the band below."""
+    bits = max(64, 2 ** (len(sets).bit_length() + 2))
     at = sets & np.uint64(bits - 1)
     on = np.bincount(at.astype(np.int64), minlength=bits) & 1
     return np.packbits(on.astype(np.uint8), bitorder="little").view(np.uint64)
@@ -168,16 +168,23 @@ def _fold(s: Column) -> Column:
     return F.zip_with(F.slice(s, F.lit(1), half), F.slice(s, half + 1, half), lambda p, q: p.bitwiseXOR(q))
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Those of pairs (a, b) that are linked, by the Hamming bound and then by their sets."""
-    side = lambda x: sketches.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    p = pairs.join(side("a"), "a").join(side("b"), "b")
-    p = p.where((F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num))
+def _close(num: int, den: int) -> Column:
+    """Whether sizes n_a, n_b and the Hamming distance of sketches s_a, s_b allow the similarity."""
     size_a, size_b = F.size("s_a"), F.size("s_b")
     x = F.when(size_a > size_b, _fold(F.col("s_a"))).otherwise(F.col("s_a"))
     y = F.when(size_b > size_a, _fold(F.col("s_b"))).otherwise(F.col("s_b"))
     most = F.floor((F.col("n_a") + F.col("n_b")) * (den - num) / (den + num))
-    close = stored(p.where(_hamming(x, y) <= most).select("a", "b"), "close")
+    return (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (_hamming(x, y) <= most)
+
+
+def _side(rows: DataFrame, x: str, *more: str) -> DataFrame:
+    return rows.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in more])
+
+
+def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Those of pairs (a, b) that are linked, by the Hamming bound and then by their sets."""
+    p = pairs.join(_side(sketches, "a"), "a").join(_side(sketches, "b"), "b")
+    close = stored(p.where(_close(num, den)).select("a", "b"), "close")
     needed = shared.small(close.select(F.col("a").alias("id")).union(close.select("b")).distinct())
     sets = stored(texts.join(needed, "id", "left_semi").mapInArrow(_sets(n), "id long, members binary"), "sets")
     side = lambda x: sets.select(F.col("id").alias(x), F.col("members").alias(f"members_{x}"))
@@ -201,12 +208,15 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: in
     links = _verified(stars, sketches, firsts, n, num, den)
     labels = components(links)
 
-    # Buckets in which several components are left: members of different components that were not compared yet.
+    # Buckets in which several components are left: members of different components that were not compared yet. The
+    # Hamming bound is part of the join's condition, so a bucket of many unlike members makes no rows for them.
     labelled = buckets.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     open_keys = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).where("x < y and c > 2")
-    left = stored(labelled.join(open_keys.select("key"), "key", "left_semi").select("key", "id", "comp"), "open")
-    other = left.select("key", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
-    more = left.withColumnRenamed("id", "a").join(other, "key").where("a < b and comp <> comp_b").select("a", "b").distinct()
+    left = labelled.join(open_keys.select("key"), "key", "left_semi").select("key", "id", "comp")
+    left = stored(left.join(sketches.select("id", "n", "sketch"), "id"), "open")
+    a, b = _side(left, "a", "key", "comp"), _side(left, "b", "key", "comp")
+    apart = (F.col("key_a") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b"))
+    more = a.join(b, apart & _close(num, den)).select("a", "b").distinct()
     more = stored(more.join(stars, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
         links = links.unionByName(_verified(more, sketches, firsts, n, num, den))
