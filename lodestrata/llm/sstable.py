@@ -23,11 +23,13 @@ bounded cache keeps the ids of segments.
 from __future__ import annotations
 
 import bisect
+import codecs
 import os
 import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm.shared import mix, shared_dir, stored
 
 BLOCK_BYTES = 1 << 18
-CACHE_SEGMENTS = 400_000
+CACHE_SEGMENTS = 1_000_000
 MAGIC = b"LDSST001"
 FOOTER = struct.Struct("<QQQQQQI8s")  # index at, length, filter at, length, documents, ids, width, magic
 ENTRY = struct.Struct("<13sQIQ")  # first key, block at, length, ids before
@@ -48,10 +50,21 @@ MANIFEST = "path string, first_id long, last_id long, first_key binary, docs lon
 
 #: A single space between two characters that are no white space: the pre-tokenizer starts a new piece there.
 _CUT = re.compile("(?<=[^\\s᠎]) (?=[^\\s᠎])")
+#: Segments whose pre-tokens are known: a word, its punctuation, and another word after a line end.
+_LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", "[.,;:!?]+"
+_PLAIN = re.compile(f"({_LETTERS})(?:({_MARKS})(?:\\n({_LETTERS})({_MARKS})?)?)?")
+#: How byte-level models show bytes: printable ones of Latin-1 as they are, the others from U+0100 on, in order.
+_AS_IS = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_OTHER = [b for b in range(0x100) if b not in _AS_IS]
+_SHOWN = "".join(chr(b if b in _AS_IS else 0x100 + _OTHER.index(b)) for b in range(0x100))
 
 
 class Encoder:
-    """Texts to ids as bytes, through a cache of segments that is emptied when it is full."""
+    """Texts to ids as bytes, through a cache of segments that is emptied when it is full.
+
+    A segment that is not in the cache and is made of plain words, punctuation and a line end is put together from
+    its pre-tokens, each encoded by the library's model; any other segment goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core already
@@ -59,16 +72,39 @@ class Encoder:
 
         self.tokenizer, self.kind, self.cache = Tokenizer.from_file(path), f"<u{width}", {}
         self.tokenizer.encode_special_tokens = True
+        self.model, self.code = self.tokenizer.model, {2: "H", 4: "I"}[width]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _piece(self, key: str, pre_token: str) -> bytes:
+        if (ids := self.cache.get(key)) is None:
+            shown = codecs.charmap_decode(pre_token.encode(), "strict", _SHOWN)[0]
+            ids = self.cache[key] = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return ids
+
+    def _learn(self, segments: set[str]) -> None:
+        rest = []
+        for s in segments:
+            if m := _PLAIN.fullmatch(s):
+                word, mark, after, end = m.groups()
+                ids = self._piece(word, " " + word)
+                if mark:
+                    ids += self._piece("\n" + mark, mark)
+                if after:
+                    ids += self._piece("\n\n", "\n") + self._piece("\n" + after, after)
+                if end:
+                    ids += self._piece("\n" + end, end)
+                self.cache[s] = ids
+            else:
+                rest.append(s)
+        self.cache.update(zip(rest, self._ids([" " + s for s in rest]), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [_CUT.split(t) for t in texts]
         if len(self.cache) > CACHE_SEGMENTS:
             self.cache.clear()
-        new = list(set().union(*(p[1:] for p in split)) - self.cache.keys())
-        self.cache.update(zip(new, self._ids([" " + x for x in new]), strict=True))
+        self._learn(set().union(*(p[1:] for p in split)) - self.cache.keys())
         get = self.cache.__getitem__
         return [first + b"".join(map(get, p[1:])) for first, p in zip(self._ids([p[0] for p in split]), split, strict=True)]
 
