@@ -2,7 +2,8 @@ r"""Quality rules as weak supervision (DataFrame functions only).
 
 Each rule votes good (1), bad (0) or abstains (-1). The rows are counted by vote pattern - at most 3 ** len(RULES)
 patterns, whatever the corpus - and expectation-maximisation over these counts estimates how each rule votes on good and
-on bad documents. A document's posterior of being good follows from its votes alone and replaces "all rules must pass".
+on several kinds of bad documents. The posterior of being good follows from a document's votes alone, is joined to it
+by its pattern, and replaces "all rules must pass".
 
 Defined results: null text has no words and counts 0 everywhere; empty text too; repeated rows are scored alike; an empty
 table gives no rows; columns other than doc_id and text are dropped. Windows of words are compared by 64-bit hashes.
@@ -10,8 +11,7 @@ table gives no rows; columns other than doc_id and text are dropped. Windows of
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,20 +21,20 @@ SEPARATORS = r"[\x20\x09-\x0D]+"
 SEPARATOR_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
-#: name: (feature, side that is bad, bad from here on, good on this side of here); the votes abstain in between. Every
-#: kind of junk is seen by two rules or more, as EM learns a rule's accuracy from its agreement with others.
-RULES: dict[str, tuple[str, str, float, float]] = {
+#: name: (feature, side that is bad, bad from here on, good on this side of here or never); a rule abstains otherwise.
+#: Every kind of junk is seen by two rules or more, as EM learns a rule's accuracy from its agreement with others.
+RULES: dict[str, tuple[str, str, float, float | None]] = {
     "length": ("n_words", "low", 50, 80),
-    "repetition": ("repeat_share", "high", 0.5, 0.3),
-    "lines": ("dup_line_share", "high", 0.3, 0.1),
-    "symbols": ("symbol_share", "high", 0.2, 0.05),
-    "symbol_density": ("symbol_density", "high", 0.04, 0.01),
-    "pipes": ("pipe_share", "high", 0.1, 0.02),
+    "repetition": ("repeat_share", "high", 0.5, None),
+    "lines": ("dup_line_share", "high", 0.3, None),
+    "symbols": ("symbol_share", "high", 0.2, None),
+    "symbol_density": ("symbol_density", "high", 0.04, None),
+    "pipes": ("pipe_share", "high", 0.1, None),
     "word_length_low": ("mean_word", "low", 2.0, 3.0),
     "word_length_high": ("mean_word", "high", 14.0, 11.0),
-    "capitals": ("upper_share", "high", 0.5, 0.2),
-    "shouting": ("shout_share", "high", 0.3, 0.05),
-    "digits": ("digit_share", "high", 0.3, 0.1),
+    "capitals": ("upper_share", "high", 0.5, None),
+    "shouting": ("shout_share", "high", 0.3, None),
+    "digits": ("digit_share", "high", 0.3, None),
 }
 
 
@@ -92,50 +92,53 @@ def votes() -> Column:
     out = []
     for feature, side, bad, good in RULES.values():
         x = _measure(feature)
-        is_bad, is_good = (x >= bad, x < good) if side == "high" else (x < bad, x >= good)
-        out.append(F.when(is_bad, 0).when(is_good, 1).otherwise(-1).cast("int"))
+        is_bad = x >= bad if side == "high" else x < bad
+        vote = F.when(is_bad, 0)
+        if good is not None:
+            vote = vote.when(x < good if side == "high" else x >= good, 1)
+        out.append(vote.otherwise(-1).cast("int"))
     return F.array(*out)
 
 
-def learn(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[float, list[dict[int, tuple[float, float]]]]:
-    """EM over counted vote patterns: the prior of good, and for each rule P(vote | good), P(vote | bad).
+def learn(patterns: list[tuple[int, ...]], counts: list[int], rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """EM over counted vote patterns: each pattern's posterior of being good, and each rule's accuracy.
 
-    Starts from a prior of 0.8 and rules that call few good documents bad and miss most bad ones (each sees one kind
-    of junk only); every vote has a pseudo-count of 1 in each class, so that an empty or one-sided corpus keeps
-    finite odds.
+    Documents are good, or bad in one of as many ways as there are rules: the classes start with good documents that few
+    rules call bad, and for each rule a rare class that it finds and others often miss. EM then learns from co-occurring
+    votes how each rule votes on each class. A rule's accuracy is the share of its bad votes that fall on bad classes.
+    All probabilities have small pseudo-counts, so an empty or one-sided corpus keeps finite odds.
     """
-    k, total = len(RULES), sum(n for _, n in patterns)
-    prior = 0.8
-    table = [{1: (0.88, 0.6), 0: (0.02, 0.3), -1: (0.1, 0.1)} for _ in range(k)]
-    for _ in range(rounds if total else 0):
-        good = {}
-        for v, n in patterns:
-            odds = math.log(prior / (1 - prior)) + sum(math.log(table[i][x][0] / table[i][x][1]) for i, x in enumerate(v))
-            good[v] = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
-        mass = sum(good[v] * n for v, n in patterns)
-        prior = (mass + 4) / (total + 5)
-        for i in range(k):
-            sums = {x: [1.0, 1.0] for x in (1, 0, -1)}
-            for v, n in patterns:
-                sums[v[i]][0] += good[v] * n
-                sums[v[i]][1] += (1 - good[v]) * n
-            table[i] = {x: (a / (mass + 3), b / (total - mass + 3)) for x, (a, b) in sums.items()}
-    return prior, table
+    k = len(RULES)
+    votes = np.array(patterns, int).reshape(-1, k)
+    n = np.array(counts, float)
+    seen = np.stack([votes == 1, votes == 0, votes == -1], 2).astype(float)  # pattern, rule, vote
+    table = np.tile(np.array([0.6, 0.15, 0.25]), (k + 1, k, 1))  # class, rule, vote
+    table[0] = [0.8, 0.02, 0.18]
+    table[np.arange(1, k + 1), np.arange(k)] = [0.1, 0.8, 0.1]
+    prior = np.r_[0.8, np.full(k, 0.2 / k)]
+    belongs = np.zeros((len(n), k + 1))
+    for _ in range(rounds):
+        odds = np.log(prior) + np.einsum("prv,crv->pc", seen, np.log(table))
+        belongs = np.exp(odds - odds.max(1, keepdims=True, initial=-1e9))
+        belongs /= belongs.sum(1, keepdims=True)
+        mass = belongs * n[:, None]
+        size = mass.sum(0)
+        prior = (size + 0.1) / (size.sum() + 0.1 * (k + 1))
+        table = (np.einsum("pc,prv->crv", mass, seen) + 0.1 * np.array([0.6, 0.15, 0.25])) / (size + 0.1)[:, None, None]
+    fired = seen[:, :, 1] * n[:, None]
+    accuracy = (fired * (1 - belongs[:, :1])).sum(0) / np.maximum(fired.sum(0), 1)
+    return belongs[:, 0], accuracy
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, p_good, kept."""
     measured = stored(features(docs).withColumn("votes", votes()), "quality")
-    patterns = [(tuple(r["votes"]), r["count"]) for r in measured.groupBy("votes").count().collect()]  # bounded, see above
-    prior, table = learn(patterns)
-    odds = F.lit(math.log(prior / (1 - prior)))
-    for i, by in enumerate(table):
-        vote = F.get("votes", F.lit(i))
-        term = {x: math.log(a / b) for x, (a, b) in by.items()}
-        odds = odds + F.when(vote == 1, term[1]).when(vote == 0, term[0]).otherwise(term[-1])
-    p = 1 / (1 + F.exp(-odds))
+    found = measured.groupBy("votes").count().collect()  # bounded, see above
+    p_good, _ = learn([tuple(r["votes"]) for r in found], [r["count"] for r in found])
+    rows = [(list(r["votes"]), float(p)) for r, p in zip(found, p_good, strict=True)]
+    judged = measured.join(F.broadcast(docs.sparkSession.createDataFrame(rows, "votes array<int>, p_good double")), "votes", "left")
     longs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return measured.select("doc_id", *[F.col(c).cast("long").alias(c) for c in longs], failed.alias("base_failed"), p.alias("p_good")).withColumn(
+    return judged.select("doc_id", *[F.col(c).cast("long").alias(c) for c in longs], failed.alias("base_failed"), "p_good").withColumn(
         "kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5)
     )
