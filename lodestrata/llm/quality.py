@@ -26,7 +26,7 @@ SYMBOLS = "#*$%&|<>"
 RULES: dict[str, tuple[str, str, float, float | None]] = {
     "length": ("n_words", "low", 50, 80),
     "repetition": ("repeat_share", "high", 0.5, None),
-    "lines": ("dup_line_share", "high", 0.3, None),
+    "lines": ("dup_line_share", "high", 0.5, None),
     "symbols": ("symbol_share", "high", 0.2, None),
     "symbol_density": ("symbol_density", "high", 0.04, None),
     "pipes": ("pipe_share", "high", 0.1, None),
