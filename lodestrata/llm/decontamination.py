@@ -30,6 +30,8 @@ from lodestrata.llm.shared import NOT_ALNUM
 #: Text of the benchmark that is sent to the executors at a time.
 BLOCK_BYTES = 16_000_000
 DEPTH = 16
+#: Text of a shard of documents, about; larger shards cost fewer searches and more memory.
+SHARD_BYTES = 3_000_000
 
 SPANS = "doc_id long, row long, n_words long, spans array<struct<start:long,length:long,item:string,item_start:long>>"
 
@@ -138,7 +140,7 @@ def _maximal(at: np.ndarray, suffix: np.ndarray, doc: np.ndarray, item: np.ndarr
 def _spans(shared_benchmark):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = shared_benchmark.value
-        for batch, raw, offsets in shared.chunks(batches):
+        for batch, raw, offsets in shared.chunks(batches, most=SHARD_BYTES):
             low = shared.LOWER[raw]
             starts, ends, first = shared.words(low, offsets, NOT_ALNUM)
             h, size = shared.hashed(low, starts, ends), np.diff(first)

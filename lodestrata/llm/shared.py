@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy helpers work on at a time; one longer text is worked on whole.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_000_000
 #: Rows of identifiers (8 bytes each) up to which a side is broadcast; beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
 
@@ -78,8 +78,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(batch, bytes, offsets) with at most CHUNK_BYTES bytes of text or else one row; null is empty."""
+def chunks(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(batch, bytes, offsets) with at most `most` bytes of text or else one row; null is empty."""
     for batch in batches:
         col = batch.column(text)
         if pa.types.is_large_string(col.type):
@@ -93,7 +93,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[tuple[p
         raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
         i = 0
         while i < len(col):
-            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK_BYTES, "right")) - 1)
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
             yield batch.slice(i, j - i), raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             i = j
 

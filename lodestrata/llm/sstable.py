@@ -42,7 +42,8 @@ from pyspark.sql import functions as F
 from lodestrata.llm.shared import mix, shared_dir, stored
 
 BLOCK_BYTES = 1 << 18
-CACHE_SEGMENTS = 1_000_000
+#: Segments of a cache generation; two generations are kept, and what is used again moves to the younger.
+CACHE_SEGMENTS = 250_000
 MAGIC = b"LDSST001"
 FOOTER = struct.Struct("<QQQQQQI8s")  # index at, length, filter at, length, documents, ids, width, magic
 ENTRY = struct.Struct("<13sQIQ")  # first key, block at, length, ids before
@@ -60,7 +61,7 @@ _SHOWN = "".join(chr(b if b in _AS_IS else 0x100 + _OTHER.index(b)) for b in ran
 
 
 class Encoder:
-    """Texts to ids as bytes, through a cache of segments that is emptied when it is full.
+    """Texts to ids as bytes, through a bounded cache of segments in two generations.
 
     A segment that is not in the cache and is made of plain words, punctuation and a line end is put together from
     its pre-tokens, each encoded by the library's model; any other segment goes through the whole tokenizer.
@@ -70,7 +71,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core already
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind, self.cache = Tokenizer.from_file(path), f"<u{width}", {}
+        self.tokenizer, self.kind, self.cache, self.old = Tokenizer.from_file(path), f"<u{width}", {}, {}
         self.tokenizer.encode_special_tokens = True
         self.model, self.code = self.tokenizer.model, {2: "H", 4: "I"}[width]
 
@@ -78,7 +79,9 @@ class Encoder:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _piece(self, key: str, pre_token: str) -> bytes:
-        if (ids := self.cache.get(key)) is None:
+        if (ids := self.cache.get(key)) is None and (ids := self.old.get(key)) is not None:
+            self.cache[key] = ids
+        if ids is None:
             shown = codecs.charmap_decode(pre_token.encode(), "strict", _SHOWN)[0]
             ids = self.cache[key] = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
         return ids
@@ -86,7 +89,9 @@ class Encoder:
     def _learn(self, segments: set[str]) -> None:
         rest = []
         for s in segments:
-            if m := _PLAIN.fullmatch(s):
+            if (ids := self.old.get(s)) is not None:
+                self.cache[s] = ids
+            elif m := _PLAIN.fullmatch(s):
                 word, mark, after, end = m.groups()
                 ids = self._piece(word, " " + word)
                 if mark:
@@ -103,7 +108,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [_CUT.split(t) for t in texts]
         if len(self.cache) > CACHE_SEGMENTS:
-            self.cache.clear()
+            self.old, self.cache = self.cache, {}
         self._learn(set().union(*(p[1:] for p in split)) - self.cache.keys())
         get = self.cache.__getitem__
         return [first + b"".join(map(get, p[1:])) for first, p in zip(self._ids([p[0] for p in split]), split, strict=True)]
