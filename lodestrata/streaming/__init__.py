@@ -1,0 +1 @@
+"""Streams of telemetry and commit events."""
