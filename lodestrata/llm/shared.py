@@ -96,6 +96,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = CHUNK_B
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
             yield batch.slice(i, j - i), raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             i = j
+        pa.default_memory_pool().release_unused()  # workers are reused; what a batch needed goes back
 
 
 def words(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
