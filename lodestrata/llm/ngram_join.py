@@ -197,7 +197,8 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: in
     classes = stored(texts.mapInArrow(_classes(n), "doc_id long, n long, set_key binary"), "classes")
     reps = classes.where("n > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     member = stored(classes.join(reps, "set_key", "left").select("doc_id", "n", "rep"), "members")
-    repeated = shared.small(member.where("doc_id <> rep or n = 0").select("doc_id").distinct())
+    stands = F.coalesce(F.col("doc_id") == F.col("rep"), F.lit(False))
+    repeated = shared.small(member.groupBy("doc_id").agg(F.bool_or(stands).alias("stands")).where("not stands").select("doc_id"))
     firsts = texts.where("doc_id is not null").join(repeated, "doc_id", "left_anti").withColumnRenamed("doc_id", "id")
     sketches = stored(firsts.mapInArrow(_sketches(n, num, den), "id long, n long, keys array<long>, sketch array<long>"), "sketches")
 

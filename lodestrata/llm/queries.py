@@ -113,10 +113,45 @@ FROM e GROUP BY conv_id
 """
 
 
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1
+), p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 85 * (a.n + b.n - i)
+), r(node, label) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.y, r.label FROM r JOIN l ON l.x = r.node)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM (SELECT node AS doc_id, min(label) AS component_id FROM r GROUP BY 1) LEFT JOIN n USING (doc_id)
+"""
+
+OP2_SQL = r"""
+WITH words AS (
+  SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), b AS (
+  SELECT id AS item_id, least(13, len(w)) AS n, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS j FROM words WHERE kind = 'b' AND len(w) > 0
+), bw AS (SELECT item_id, n, j, array_to_string(w[j:j+n-1], ' ') AS g FROM b
+), d AS (SELECT id AS doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM words, (SELECT DISTINCT n FROM b) WHERE kind = 'd'
+), hit AS (SELECT doc_id, i, j, d.n, item_id FROM d JOIN bw ON bw.n = d.n AND bw.g = array_to_string(w[i:i+d.n-1], ' ')
+), cover AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hit) GROUP BY 1
+), items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY 1
+), runs AS (SELECT doc_id, item_id, n, i - j AS diagonal, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS run FROM hit
+), longest AS (SELECT doc_id, max(len) AS longest_match FROM (SELECT doc_id, max(n) + count(*) - 1 AS len FROM runs GROUP BY doc_id, item_id, diagonal, run) GROUP BY 1)
+SELECT id AS doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(longest_match, 0) AS longest_match
+FROM words LEFT JOIN cover ON cover.doc_id = id LEFT JOIN items ON items.doc_id = id LEFT JOIN longest ON longest.doc_id = id WHERE kind = 'd'
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [f for name, f in globals().items() if name.startswith("op") and callable(f)]
     return {f.__name__: f for f in sorted(named, key=lambda f: int(f.__name__[2:].split("_")[0]))}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_format": OP9_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op2_decontaminate": OP2_SQL, "op9_chat_format": OP9_SQL}
