@@ -48,6 +48,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mixing.mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("mixed_id"), F.ceil(F.col("taken") / F.col("size")).alias("times"))
+    taken = taken.groupBy("mixed_id").agg(F.max("times").alias("times"))  # repeated rows of one id share their copies
     copies = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("mixed_id")))
     return copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)
 
