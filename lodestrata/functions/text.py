@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,3 +104,10 @@ def hit_ratio(wanted: Column, given: Column, prefix: int = 4) -> Column:
         return F.exists(given, lambda g: (g == t) | near(g))
 
     return F.when(F.size(wanted) == 0, F.lit(0.0)).otherwise(F.size(F.filter(wanted, meets)) / F.size(wanted))
+
+
+def matcher_regex(pattern: str) -> str:
+    """A path matcher as a regular expression: /:x one segment, /:x? none or one, /:x+ some, /:x* any number."""
+    parts = re.split(r"(/:[A-Za-z_]\w*[*+?]?)", pattern)
+    end = {"*": "(?:/[^/]+)*", "+": "(?:/[^/]+)+", "?": "(?:/[^/]+)?"}
+    return "^" + "".join(end.get(p[-1], "/[^/]+") if p.startswith("/:") else re.escape(p) for p in parts) + "/?$"

@@ -76,9 +76,11 @@ def flows(edges: DataFrame, seeds: DataFrame, max_steps: int = 40, max_depth: in
     schema = "repository string, seed string, step int, depth int, type string, src string, dst string"
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        repository, seed = pdf["repository"].iloc[0], pdf["seed"].iloc[0]
-        pdf = pdf.assign(rank=pdf["type"].map(EDGE_RANK).fillna(9)).sort_values(["line", "rank", "dst"], kind="stable")
-        outgoing = {k: list(zip(g["type"], g["dst"], strict=True)) for k, g in pdf.groupby("src", sort=False)}
+        repository, seed = pdf["repository"].iat[0], pdf["seed"].iat[0]
+        outgoing: dict[str, list[tuple[str, str]]] = {}
+        rows = zip(pdf["line"], pdf["type"], pdf["dst"], pdf["src"], strict=True)
+        for _, _, dst, src, kind in sorted((line, EDGE_RANK.get(kind, 9), dst, src, kind) for line, kind, dst, src in rows):
+            outgoing.setdefault(src, []).append((kind, dst))
         steps, entered = [], {seed}
         stack: list[tuple[str, int, Iterator]] = [(seed, 1, iter(outgoing.get(seed, ())))]
         while stack and len(steps) < max_steps:

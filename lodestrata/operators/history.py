@@ -54,3 +54,28 @@ def append_snapshot(df: DataFrame, path: str, sha: str) -> bool:
         return False
     df.write.mode("overwrite").parquet(f"{path}/sha={sha}")
     return True
+
+
+def upsert(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Keyed merge: a new row's non-null values win, other columns and rows stay."""
+    attributes = [c for c in old.columns if c not in key]
+    n = new.select(*key, *[F.col(c).alias(f"new_{c}") for c in attributes if c in new.columns])
+    merged = [F.coalesce(f"new_{c}", c).alias(c) if c in new.columns else F.col(c) for c in attributes]
+    return old.join(n, list(key), "full").select(*key, *merged)
+
+
+def supersede(decisions: DataFrame, key: Sequence[str], order: str) -> DataFrame:
+    """Of each key's accepted rows the newest stays accepted, older ones become superseded; other states stay."""
+    accepted = decisions.where("status = 'accepted'").groupBy(*key).agg(F.max(order).alias("_newest"))
+    late = (F.col("status") == "accepted") & (F.col(order) < F.col("_newest"))
+    return decisions.join(accepted, list(key), "left").withColumn("status", F.when(late, "superseded").otherwise(F.col("status"))).drop("_newest")
+
+
+def purge(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """Children whose parent is still there: what a cascading delete leaves."""
+    return children.join(parents.select(key).distinct(), key, "left_semi")
+
+
+def with_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
+    """Adds columns that older rows lack and fills their nulls: an additive migration."""
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in df.columns else F.lit(v) for c, v in defaults.items()})

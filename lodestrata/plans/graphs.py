@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.functions.text import terms
+from lodestrata.functions.text import matcher_regex, terms, url_path
 from lodestrata.operators import graph, health, relational
 from lodestrata.plans import query
 from lodestrata.sources.tables import Tables
@@ -119,14 +119,20 @@ def interval_join_smallest_span(t: Tables) -> DataFrame:
   p AS (SELECT page_id, CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) END AS path FROM pages)
   SELECT page_id, area FROM p JOIN r ON regexp_matches(path, pattern)""")
 def theta_regex_join(t: Tables) -> DataFrame:
-    from lodestrata.functions.text import url_path
-
     rules = [("^/(en|de)(/|$)", "content"), ("^/fr", "french"), ("/[0-9]+/?$", "numbered")]  # a fixed list, so no join is needed
     path = url_path(F.col("url"))
     hit = F.array(*[F.when(path.rlike(p), F.lit(a)) for p, a in rules])
     return t.pages.select("page_id", F.explode(F.array_compact(hit)).alias("area"))
 
 
+@query(r"""WITH p AS (SELECT page_id, CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) END AS path FROM pages)
+  SELECT page_id, regexp_matches(path, '^/en(?:/[^/]+)*/?$') AS english, regexp_matches(path, '^/[^/]+/[^/]+/?$') AS two_parts FROM p""")
+def middleware_matchers(t: Tables) -> DataFrame:
+    path = url_path(F.col("url"))
+    hit = lambda pattern: path.rlike(matcher_regex(pattern))
+    return t.pages.select("page_id", hit("/en/:rest*").alias("english"), hit("/:lang/:id").alias("two_parts"))
+
+
 @query("""WITH b AS (SELECT item_id, array_to_string(regexp_extract_all(lower(text), '[a-z]+')[1:6], ' ') AS phrase FROM benchmark),
   d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z]+'), ' ') || ' ' AS t FROM documents)
   SELECT item_id, count(doc_id) AS n_docs FROM b LEFT JOIN d ON contains(t, ' ' || phrase || ' ') GROUP BY 1""")

@@ -94,9 +94,9 @@ def anti_registry_membership(t: Tables) -> DataFrame:
     return t.customer.select(F.col("c_custkey").alias("key")).join(used, "key", "full").select("key", F.coalesce("state", F.lit("unused")).alias("state"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+@query("SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 46)")
 def anti_unvalidated_targets(t: Tables) -> DataFrame:
-    seen = t.lineitem.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    seen = t.lineitem.where("l_returnflag = 'R' and l_quantity > 46").select(F.col("l_partkey").alias("p_partkey"))
     return t.part.select("p_partkey", "p_name").join(seen, "p_partkey", "left_anti")
 
 
@@ -299,6 +299,35 @@ def snapshot_diff_routes(t: Tables) -> DataFrame:
     return _diff(t, "o_custkey")
 
 
+@query(_DIFF.format(k="o_orderpriority"))
+def snapshot_diff_targets(t: Tables) -> DataFrame:
+    return _diff(t, "o_orderpriority")
+
+
+@query("""WITH n AS (SELECT o_custkey AS c_custkey, CASE WHEN count(*) > 12 THEN 'LARGE' END AS segment, max(o_totalprice) AS bal FROM orders GROUP BY 1)
+  SELECT coalesce(c.c_custkey, n.c_custkey) AS c_custkey, c_name, coalesce(segment, c_mktsegment) AS c_mktsegment, coalesce(bal, c_acctbal) AS c_acctbal
+  FROM customer c FULL JOIN n ON c.c_custkey = n.c_custkey""")
+def upsert_merge(t: Tables) -> DataFrame:
+    new = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.when(F.count("*") > 12, "LARGE").alias("c_mktsegment"), F.max("o_totalprice").alias("c_acctbal")
+    )
+    return history.upsert(t.customer.select("c_custkey", "c_name", "c_mktsegment", "c_acctbal"), new, ["c_custkey"])
+
+
+@query("""WITH d AS (SELECT o_orderkey, o_custkey, CASE o_orderstatus WHEN 'F' THEN 'accepted' ELSE 'proposed' END AS status FROM orders),
+  m AS (SELECT o_custkey, max(o_orderkey) AS newest FROM d WHERE status = 'accepted' GROUP BY 1)
+  SELECT o_orderkey, CASE WHEN status = 'accepted' AND o_orderkey < newest THEN 'superseded' ELSE status END AS status FROM d LEFT JOIN m USING (o_custkey)""")
+def supersede_decisions(t: Tables) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", "accepted").otherwise("proposed")
+    return history.supersede(t.orders.select("o_orderkey", "o_custkey", status.alias("status")), ["o_custkey"], "o_orderkey").select("o_orderkey", "status")
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE source <> 'src0')")
+def purge_children(t: Tables) -> DataFrame:
+    kept = t.documents.where("source <> 'src0'").select(F.col("doc_id").alias("vec_id"))
+    return history.purge(t.embeddings.select("vec_id", "label"), kept, "vec_id")
+
+
 @query(_DIFF.format(k="o_orderstatus"))
 def snapshot_diff_facts(t: Tables) -> DataFrame:
     return _diff(t, "o_orderstatus")
