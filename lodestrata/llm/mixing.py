@@ -7,8 +7,8 @@ takes the r-th block of its stream, until the source's target is used up (the la
 sequence hands to a source beyond its target stay unused, and the few blocks that it leaves open follow at the end.
 
 Scale: nothing is ranked or summed within a whole source. Streams are summed by (source, bin of the shuffle hash) and
-slots are ranked by (source, chunk of slots); only the totals of bins and chunks are cumulated. So one source may hold
-any share of the rows. Points meet intervals in an equi-join on a grid of [0, 1), not in a range or cross join.
+slots are ranked by (source, chunk of slots); only the totals of bins and chunks are cumulated. There are as many bins
+as a bin has rows, about, so both steps stay at the square root of the table and one source may hold any share of it. Points meet intervals in an equi-join on a grid of [0, 1), not in a range or cross join.
 
 Defined results: null text has size 0; documents of size 0 are never taken; sources order by code point with null last
 (null is a source of its own); repeated rows are separate documents; an empty table gives no rows; a doc_id may be null.
@@ -17,14 +17,16 @@ All is a function of the rows, so reruns agree.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm.shared import stored
 
 PHI = 0.6180339887498949
-#: Words of a block. Rows of a shuffle bin and slots of a chunk, about. Cells of the grid over [0, 1).
-BLOCK, BIN_ROWS, CHUNK_SLOTS, GRID = 4096, 50_000, 1 << 16, 4096
+#: Words of a block. Cells of the grid over [0, 1).
+BLOCK, GRID = 4096, 4096
 
 
 def n_words(text: str = "text") -> Column:
@@ -85,7 +87,7 @@ def schedule(goals: DataFrame, slots: int) -> DataFrame:
     ).select("src", "low", "high", "cell")
     spark = goals.sparkSession
     points = spark.range(slots).select(F.col("id").alias("slot"), ((F.col("id") + 1) * PHI % 1).alias("u"))
-    points = points.withColumn("cell", F.floor(F.col("u") * GRID)).withColumn("chunk", F.floor(F.col("slot") / CHUNK_SLOTS))
+    points = points.withColumn("cell", F.floor(F.col("u") * GRID)).withColumn("chunk", F.floor(F.col("slot") / (math.isqrt(slots) + 1)))
     drawn = points.join(cells, "cell").where("u >= low and u < high").select("src", "chunk", "slot")
     per_chunk = drawn.groupBy("src", "chunk").count()
     ahead = Window.partitionBy("src").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -109,7 +111,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: floa
     streams = _streams(
         sized.join(F.broadcast(goals) if goals.count() <= 100_000 else goals, sized["source"].eqNullSafe(goals["source"]))
         .select("doc_id", "size", "src", "source_size", "target"),
-        max(1, facts["n"] // BIN_ROWS),
+        math.isqrt(facts["n"]) + 1,
     )
     streams = stored(streams.withColumn("row", F.monotonically_increasing_id()), "streams")
     # A pass of the stream puts the document at pass * source_size + offset; passes reach up to the target.
