@@ -196,6 +196,7 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: in
     texts = docs.select("doc_id", "text")
     classes = stored(texts.mapInArrow(_classes(n), "doc_id long, n long, set_key binary"), "classes")
     reps = classes.where("n > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    reps = stored(reps, "reps")  # so that the join reads two plain exchanges, and AQE can split the one with many copies
     member = stored(classes.join(reps, "set_key", "left").select("doc_id", "n", "rep"), "members")
     stands = F.coalesce(F.col("doc_id") == F.col("rep"), F.lit(False))
     repeated = shared.small(member.groupBy("doc_id").agg(F.bool_or(stands).alias("stands")).where("not stands").select("doc_id"))
