@@ -31,7 +31,7 @@ from lodestrata.llm.shared import NOT_ALNUM
 BLOCK_BYTES = 16_000_000
 DEPTH = 16
 #: Text of a shard of documents, about; larger shards cost fewer searches and more memory.
-SHARD_BYTES = 1_500_000
+SHARD_BYTES = 1_000_000
 
 SPANS = "doc_id long, row long, n_words long, spans array<struct<start:long,length:long,item:string,item_start:long>>"
 

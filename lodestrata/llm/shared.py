@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy helpers work on at a time; one longer text is worked on whole.
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 400_000
 #: Rows of identifiers (8 bytes each) up to which a side is broadcast; beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
 
