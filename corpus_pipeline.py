@@ -3,8 +3,8 @@
 STAGES: (name, function(spark, docs, sf_dir) -> DataFrame). All but the last return the columns of documents; each result
 is written as Parquet and read again before the next stage.
 
-1. language ID: a model is trained on the labelled documents themselves (text and non-null lang); documents whose language
-   is `und`, or whose leading language holds less than half of the text, go; lang becomes the predicted language.
+1. language ID: a model is trained on the labelled documents themselves (text and non-null lang); documents in which no
+   language is found (`und`) go, mixed ones stay; lang becomes the language with the largest share.
 2. n-gram Jaccard join (five words, 0.8): of each group of near duplicates the document with the smallest id stays.
 3. decontamination: documents of which a twentieth or more lies in verbatim benchmark passages of 13 words go.
 4. mixing: a document appears as often as the mix takes it (a part taken counts as a whole), so not at all if its source
@@ -25,13 +25,11 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import decontamination, language, mixing, ngram_join, shared, sstable
 
-MIN_SHARE = 0.5
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.train(docs)
     found = language.identify(docs, model, *(c for c in docs.columns if c != "text"), keep_text=True)
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SHARE))
+    kept = found.where("lang_pred <> 'und'")
     return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
