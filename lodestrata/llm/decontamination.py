@@ -214,5 +214,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is contaminated; the contaminated ids are few beside the documents."""
     bad = contamination(docs, benchmark).where("contaminated").select("doc_id").distinct()
-    bad = shared.small(shared.stored(bad, "contaminated"))
-    return docs.join(bad.withColumnRenamed("doc_id", "bad_id"), F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    bad = shared.small(shared.stored(bad.withColumnRenamed("doc_id", "bad_id"), "contaminated"))
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")

@@ -20,9 +20,10 @@ def test_stages_chain(spark, sf_dir):
 
 
 def test_empty_and_odd_tables(spark, sf_dir, odd):
-    for docs in (odd.limit(0), odd.withColumn("row", F.lit(1)).withColumn("size", F.lit("a"))):
+    for docs in (odd.limit(0), odd.withColumns({c: F.lit("a") for c in ("row", "size", "score", "lang_pred", "gone", "bad_id", "mixed_id", "times", "copy", "c0")})):
         for name, stage in cp.STAGES[:-1]:
-            docs = stored(stage(spark, docs, sf_dir), f"odd-{name}")
+            columns, docs = docs.columns, stored(stage(spark, docs, sf_dir), f"odd-{name}")
+            assert docs.columns == columns
         assert cp.STAGES[-1][1](spark, docs, sf_dir).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
 
 
