@@ -28,16 +28,18 @@ from lodestrata.llm import decontamination, language, mixing, ngram_join, shared
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.train(docs)
-    found = language.identify(docs, model, *(c for c in docs.columns if c != "text"), keep_text=True)
-    kept = found.where("lang_pred <> 'und'")
-    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    # Columns travel under other names, so none clashes with what identify adds.
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    found = language.identify(docs.select("text", *[F.col(c).alias(n) for c, n in names.items()]), model, *names.values(), keep_text=True)
+    back = {c: F.col(names[c]).alias(c) if c in names else F.col("text") for c in docs.columns} | {"lang": F.col("lang_pred").alias("lang")}
+    return found.where("lang_pred <> 'und'").select(*[back[c] for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = ngram_join.ngram_jaccard_components(docs, n=5, num=80, den=100)
     later = shared.stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    kept = docs.join(shared.small(later), docs["doc_id"] == F.col("gone"), "left_anti")
-    return kept.select(*docs.columns)
+    later = shared.small(later)
+    return docs.join(later, docs["doc_id"] == later["gone"], "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +49,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mixing.mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("mixed_id"), F.ceil(F.col("taken") / F.col("size")).alias("times"))
     taken = taken.groupBy("mixed_id").agg(F.max("times").alias("times"))  # repeated rows of one id share their copies
-    copies = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("mixed_id")))
-    return copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)
+    copies = docs.join(taken, docs["doc_id"].eqNullSafe(taken["mixed_id"]))
+    each = F.explode(F.sequence(F.lit(1), taken["times"].cast("int"))).alias("__copy")
+    return copies.select(*[docs[c] for c in docs.columns], each).drop("__copy")
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
