@@ -43,7 +43,7 @@ from lodestrata.llm.shared import mix, shared_dir, stored
 
 BLOCK_BYTES = 1 << 18
 #: Segments of a cache generation; two generations are kept, and what is used again moves to the younger.
-CACHE_SEGMENTS = 60_000
+CACHE_SEGMENTS = 200_000
 MAGIC = b"LDSST001"
 FOOTER = struct.Struct("<QQQQQQI8s")  # index at, length, filter at, length, documents, ids, width, magic
 ENTRY = struct.Struct("<13sQIQ")  # first key, block at, length, ids before
@@ -267,8 +267,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
         last, first_id, n = None, None, 0
         for batch in batches:
             ids, column = batch.column("doc_id").to_pylist(), batch.column("text")
-            for i in range(0, len(ids), 128):
-                for doc_id, value in zip(ids[i : i + 128], encode(column.slice(i, 128).to_pylist()), strict=True):
+            for i in range(0, len(ids), 256):
+                for doc_id, value in zip(ids[i : i + 256], encode(column.slice(i, 256).to_pylist()), strict=True):
                     if out is None:
                         out, first_id = Writer(store.open_output_stream(f"{base}/{name}"), width), doc_id
                         n = -1
