@@ -2,8 +2,10 @@
 
 A page becomes a small tree. Parts that never hold the article (scripts, navigation, forms, advertisements, comments, ...)
 are cut. Each paragraph has points for its commas and its length, which it passes to its ancestors, less with each
-level; an ancestor's points are discounted by the share of its text that lies in links. The best container is kept,
-and with it those siblings that score like it or read like paragraphs. Its text is given in blocks, in page order.
+level; an ancestor's points are discounted by the share of its text that lies in links. If the best container lies in an
+article or main, that is kept whole but for cut parts, and with it siblings that score like it or read like paragraphs;
+else the best container and all of its siblings, loose text too, that aren't mostly links. The text is given in
+blocks, in page order.
 
 Pages are independent rows, read in the scan's partitions and not exchanged.
 
@@ -31,6 +33,7 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 PARAGRAPH = frozenset("p pre td blockquote li dd dt h1 h2 h3 h4 h5 h6 figcaption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - frozenset("td th tr tbody thead tfoot caption body html".split())
 #: An element that starts ends an open one of these names, up to the given border.
 IMPLIED = {
@@ -200,13 +203,66 @@ def _blocks(node: Node, out: list[list[str]]) -> None:
         elif x.name == "br":
             out[-1].append(" ")
         else:
-            block = x.name in BLOCK or x is node
+            block = x.name in BLOCK
             if block:
                 out.append([])
                 stack.append(None)
             stack += reversed(x.children)
 
 
+def _density(node: Node) -> float:
+    return node.link_chars / node.chars if node.chars else 1.0
+
+
+def _frame(best: Node) -> Node | None:
+    """The outermost article around best, or the main around it if that holds no other article; None without either.
+
+    One with mostly links is no frame.
+    """
+    frames, node = {}, best
+    while node is not None:
+        if node.name in ("article", "main") and _density(node) < 0.5:
+            frames[node.name] = node
+        node = node.parent
+    article, main = frames.get("article"), frames.get("main")
+    if main is None or article is None:
+        return main or article
+    number = lambda top: sum(n.name == "article" for n in _ordered(top))
+    return main if number(main) == number(article) else article
+
+
+def _beside_frame(frame: Node, points: float) -> list[Node | str]:
+    """The frame whole; of its siblings paragraphs, what scores like the article, and headings if the frame has none."""
+    headings = not any(n.name == "h1" and n.chars for n in _ordered(frame))
+    kept: list[Node | str] = []
+    for x in frame.parent.children:
+        if x is frame:
+            kept.append(x)
+        elif isinstance(x, Node) and x.name in BLOCK and x.chars:
+            density = _density(x)
+            reads = x.name == "p" and (density < 0.25 if x.chars > 80 else density == 0)
+            if reads or (x.points >= 0.2 * points and density < 0.5) or (headings and x.name in HEADINGS and density < 0.5):
+                kept.append(x)
+    return kept
+
+
+def _beside(best: Node) -> list[Node | str]:
+    """best, and of its siblings every block and every run of loose text and inline elements that isn't mostly links."""
+    kept: list[Node | str] = []
+    loose: list[Node | str] = []
+    for x in [*best.parent.children, best]:  # the last one only ends a run
+        if isinstance(x, str) or x.name not in BLOCK:
+            loose.append(x)
+            continue
+        chars = sum(len("".join(y.split())) if isinstance(y, str) else y.chars for y in loose)
+        if chars and sum(y.link_chars for y in loose if isinstance(y, Node)) < 0.5 * chars:
+            kept += loose
+        loose = []
+        if x is best or (x.chars and _density(x) < 0.5):
+            kept.append(x)
+    return kept[:-1]
+
+
 def main_text(page: str) -> str:
     """The article's blocks, white space made single, joined by newlines; empty if there is none."""
     nodes = _score(parse(page))
@@ -214,20 +270,19 @@ def main_text(page: str) -> str:
     if not holders:
         return ""
     best = max(holders, key=lambda n: n.points)
-    kept = [best]
-    if best.parent is not None and best.name != "body":
-        level = max(10.0, best.points * 0.2)
-        kept = []
-        for x in best.parent.children:
-            if not isinstance(x, Node):
-                continue
-            density = x.link_chars / x.chars if x.chars else 1.0
-            reads = x.name == "p" and ((x.chars > 80 and density < 0.25) or (0 < x.chars <= 80 and density == 0))
-            if x is best or (x.name in BLOCK and x.points >= level and density < 0.5) or reads:
-                kept.append(x)
+    frame = _frame(best)
+    if best.parent is None or best.name == "body":
+        kept: list[Node | str] = [best]
+    elif frame is not None:
+        kept = _beside_frame(frame, best.points)
+    else:
+        kept = _beside(best)
     out: list[list[str]] = [[]]
     for x in kept:
-        _blocks(x, out)
+        if isinstance(x, str):
+            out[-1].append(x)
+        else:
+            _blocks(x, out)
     lines = (" ".join("".join(b).split()) for b in out)
     return "\n".join(x for x in lines if x)
 

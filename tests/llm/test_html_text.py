@@ -24,6 +24,27 @@ def test_article_is_found(body, text):
     assert html_text.main_text(PAGE.format(body)) == text
 
 
+PROSE = "".join(f"<p>Part {i}, of a story, told in several words, with commas, and more, and more of it to come.</p>" for i in range(5))
+STORY = "\n".join(f"Part {i}, of a story, told in several words, with commas, and more, and more of it to come." for i in range(5))
+TABLE = "<table><tr><td>cell</td></tr></table><ul><li>item</li></ul>"
+ASIDE = '<aside>not this</aside><ul><li><a href="/r">related</a></li></ul>'
+
+
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        (f"<article><h1>T</h1><div class=body>{PROSE}</div>{TABLE}loose <b>text</b><section>short end</section></article>", f"T\n{STORY}\ncell\nitem\nloose text\nshort end"),
+        (f"<article><section><h2>T</h2><div>{PROSE}</div></section><section>short end</section></article>", f"T\n{STORY}\nshort end"),
+        (f"<main><div><h1>T</h1></div><article><div>{PROSE}</div></article><p>End.</p></main>", f"T\n{STORY}\nEnd."),
+        (f"<main><h1>T</h1><article><div>{PROSE}</div></article><article><a href=x>Other</a> one</article></main>", f"T\n{STORY}"),
+        (f"<div><h1>T</h1>loose <b>text</b><div>{PROSE}</div>{TABLE}<figure>a figure</figure><pre>a = 1</pre><section>short end</section>{ASIDE}</div>",
+         f"T\nloose text\n{STORY}\ncell\nitem\na figure\na = 1\nshort end"),
+    ],
+)
+def test_nested_articles_are_whole(body, text):
+    assert html_text.main_text(PAGE.format(body)) == text
+
+
 def test_broken_pages():
     page = "<html><body><article><p>Text that &amp goes on, here, <a href='x"
     assert html_text.main_text(page) == "Text that & goes on, here,"
