@@ -4,8 +4,10 @@ Training counts hashed byte 4-grams of words, per language, over all training ro
 in one exchange to at most BUCKETS * languages cells, which is also the size of the model that is sent to executors.
 A document's words are drawn from a mixture of languages; a word's likelihood in a language is the product of its n-grams'
 probabilities, and expectation-maximisation estimates the document's proportions. The set of languages is chosen by
-penalised likelihood (BIC): from the languages in order of their share, one is added as long as the refitted mixture
-gains more than half the log of the number of words. The prediction is the language with the largest share.
+penalised likelihood (BIC): of the sets that the languages form in order of their share, up to all of the model's, the one
+whose refitted mixture is best after half the log of the number of words is taken off for each further language; sizes that
+can't be better, as even all languages together gain too little, are not fitted. Each fit runs until it has converged.
+The prediction is the language with the largest share.
 
 Defined results: null text, or text without any letter, gives `und` with score 0, as does a model without training rows;
 words without letters carry no evidence; training rows with null lang or null text are left out; repeated rows are
@@ -27,9 +29,8 @@ from lodestrata.llm import shared
 GRAM, BUCKETS = 4, 1 << 16
 #: Languages that a model may have; more raise an error, so the model's size stays bounded.
 MAX_LANGUAGES = 200
-#: Languages that a document's set may have.
-MAX_SET = 3
-ROUNDS = 12
+#: EM ends when no mixture of the allowed languages can have a log likelihood that is larger by more than this.
+TOLERANCE = 0.01
 
 #: Bytes between words: ASCII other than letters. Letters beyond ASCII are parts of words, as are other such characters.
 NOT_LETTER = np.zeros(256, bool)
@@ -95,19 +96,33 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     return languages, np.log((counts + weight * mean[:, None] * BUCKETS / 64) / (counts.sum(0) + weight * BUCKETS / 64)).astype(np.float32)
 
 
-def _fit(p: np.ndarray, scale: np.ndarray, text: np.ndarray, first: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """EM for the proportions of each text over its allowed languages, and the log likelihood.
+def _fit(logs: np.ndarray, first: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """EM for the proportions of each text over its allowed languages, and the log likelihood, both to convergence.
 
-    p: words' likelihoods scaled by exp(-scale); first: the first word of each text (texts without words are left out).
+    logs: words' log likelihoods; first: the first word of each text (texts without words are left out). The likelihood
+    is concave, so its slopes bound what is left to gain: texts go on until that is at most TOLERANCE.
     """
+    size = np.diff(np.r_[first, len(logs)])
+    text = np.repeat(np.arange(len(first)), size)
+    p = np.where(allowed[text], logs, -np.inf)
+    scale = p.max(1)
+    p = np.exp(p - scale[:, None])
     theta = allowed / allowed.sum(1, keepdims=True)
-    size = np.diff(np.r_[first, len(p)])[:, None]
-    for _ in range(ROUNDS):
-        joint = p * theta[text]
-        joint /= np.maximum(joint.sum(1, keepdims=True), 1e-300)
-        theta = np.add.reduceat(joint, first) / size
-    mixed = np.log(np.maximum((p * theta[text]).sum(1), 1e-300)) + scale
-    return theta, np.add.reduceat(mixed, first)
+    out, likelihood = theta.copy(), np.zeros(len(first))
+    base = np.add.reduceat(scale, first)
+    left = np.arange(len(first))  # texts that are not done
+    while len(left):
+        mixed = (p * theta[text]).sum(1)
+        slope = np.add.reduceat(p / mixed[:, None], first)
+        done = slope.max(1) - size <= TOLERANCE
+        if done.any():
+            out[left[done]] = theta[done]
+            likelihood[left[done]] = np.add.reduceat(np.log(mixed), first)[done] + base[left[done]]
+            rest = ~done[text]
+            p, left, theta, slope, size = p[rest], left[~done], theta[~done], slope[~done], size[~done]
+            text, first = np.repeat(np.arange(len(left)), size), np.r_[0, np.cumsum(size)[:-1]].astype(np.int64)
+        theta = theta * slope / size[:, None]
+    return out, likelihood
 
 
 def mixtures(log_p: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,8 +135,6 @@ def mixtures(log_p: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> tuple[n
     if not len(has) or not k:
         return out, words
     per_word = np.add.reduceat(log_p[code], first[:-1]).astype(np.float64)
-    scale = per_word.max(1)
-    p = np.exp(per_word - scale[:, None])
     start = per_text[has]
     text = np.repeat(np.arange(len(has)), words[has])
     single = np.add.reduceat(per_word, start)
@@ -129,22 +142,27 @@ def mixtures(log_p: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> tuple[n
     theta = np.zeros((len(has), k))
     theta[np.arange(len(has)), best] = 1
     # The likelihood is concave: no mixture gains more than the steepest slope at the best single language promises.
-    ratio = p / np.maximum(p[np.arange(len(p)), best[text]], 1e-300)[:, None]
+    with np.errstate(over="ignore"):
+        ratio = np.exp(per_word - per_word[np.arange(len(per_word)), best[text]][:, None])
     slope = (np.add.reduceat(ratio, start) - words[has][:, None]).max(1)
     todo = np.flatnonzero(slope > np.log(words[has]) / 2)
     if k > 1 and len(todo):
-        pick = np.flatnonzero(np.isin(text, todo))
-        p, scale = p[pick], scale[pick]
-        n = words[has][todo]
-        text, start = np.repeat(np.arange(len(todo)), n), np.r_[0, np.cumsum(n)[:-1]]
-        whole, _ = _fit(p, scale, text, start, np.ones((len(todo), k)))
+        logs, n = per_word[np.isin(text, todo)], words[has][todo]
+        whole, most = _fit(logs, np.r_[0, np.cumsum(n)[:-1]], np.ones((len(todo), k), bool))
         rank = np.argsort(np.argsort(-whole, 1, kind="stable"), 1, kind="stable")
-        chosen, level = theta[todo], single[todo, best[todo]]
-        for size in range(2, min(MAX_SET, k) + 1):
-            fitted, likelihood = _fit(p, scale, text, start, (rank < size).astype(float))
-            better = likelihood - (size - 1) * np.log(n) / 2 > level
-            chosen[better], level[better] = fitted[better], (likelihood - (size - 1) * np.log(n) / 2)[better]
-        theta[todo] = chosen
+        level = single[todo, best[todo]]
+        for size in range(2, k + 1):
+            # No set is likelier than all languages together, so texts that can't gain at this size can't at a larger one.
+            cost = (size - 1) * np.log(n) / 2
+            can = most + TOLERANCE - cost > level
+            if not can.all():
+                logs = logs[np.repeat(can, n)]
+                todo, n, rank, level, most, cost = todo[can], n[can], rank[can], level[can], most[can], cost[can]
+            if not len(todo):
+                break
+            fitted, likelihood = _fit(logs, np.r_[0, np.cumsum(n)[:-1]], rank < size)
+            better = likelihood - cost > level
+            theta[todo[better]], level[better] = fitted[better], (likelihood - cost)[better]
     out[has] = theta
     return out, words
 

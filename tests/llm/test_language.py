@@ -32,6 +32,30 @@ def test_single_language_needs_no_second(spark):
     assert words.tolist() == [0, 3, 0] and theta[0].sum() == 0 and abs(theta[1].sum() - 1) < 1e-9
 
 
+def test_a_set_may_have_every_language():
+    rng = np.random.default_rng(1)
+    k, size = 6, 400
+    log_p = np.log(rng.dirichlet(np.ones(lang.BUCKETS) * 0.05, k).T + 1e-9).astype(np.float32)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(4000)]
+    raw = np.frombuffer(" ".join(vocabulary).encode(), np.uint8)
+    code, first, _ = lang._grams(raw, np.array([0, len(raw)]))
+    of = np.add.reduceat(log_p[code], first[:-1]).argmax(1)
+    text = " ".join(w for j, n in enumerate([size] * 3 + [size // 2, size // 4]) for w in [w for w, x in zip(vocabulary, of, strict=True) if x == j][:n]).encode()
+    theta, words = lang.mixtures(log_p, np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert np.flatnonzero(theta[0]).tolist() == [0, 1, 2, 3, 4]
+    assert np.allclose(theta[0][:5] * words[0], [size] * 3 + [size // 2, size // 4], atol=10)
+
+
+def test_fit_has_converged():
+    rng = np.random.default_rng(2)
+    # Two languages that are much alike: the small share is found slowly.
+    p = np.c_[np.ones(3000), np.where(rng.random(3000) < 0.5, 1.25, 0.8)]
+    theta, likelihood = lang._fit(np.log(p), np.array([0]), np.ones((1, 2), bool))
+    best = max(np.log(p @ [1 - x, x]).sum() for x in np.linspace(0, 1, 10001))
+    assert best - lang.TOLERANCE <= likelihood[0] <= best + 0.001
+    assert abs(theta[0].sum() - 1) < 1e-9
+
+
 def test_odd_rows(odd, documents):
     docs = odd.withColumn("score", odd.lang)
     rows = lang.identify(docs, lang.train(docs), "doc_id", keep_text=True).collect()
