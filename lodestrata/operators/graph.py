@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,15 +15,15 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None) -> DataFrame:
     """node, depth: all nodes that follow from seeds (node) along edges (src, dst), with their smallest depth.
 
-    Breadth first: each hop joins the frontier with the edges and drops visited nodes by an anti join, so a hop costs
+    Without a max_depth hops go on until no new node is found, which a finite graph makes sure of. Breadth first: each hop joins the frontier with the edges and drops visited nodes by an anti join, so a hop costs
     its frontier's edges and a cycle ends by itself.
     """
     frontier = _kept(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     visited = frontier
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         frontier = _kept(step.join(visited, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
@@ -31,9 +32,9 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     return visited
 
 
-def closure(edges: DataFrame, seeds: DataFrame, most: int = 64) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """All nodes reachable from seeds at any depth."""
-    return reach(edges, seeds, most).select("node")
+    return reach(edges, seeds, None).select("node")
 
 
 def two_hop(edges: DataFrame) -> DataFrame:

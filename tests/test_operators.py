@@ -29,6 +29,11 @@ def test_cycles_end(spark):
     assert graph.closure(loop, spark.createDataFrame([(0,)], "node long")).count() == 5
 
 
+def test_closure_of_a_long_chain(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(66)], "src long, dst long").coalesce(1).persist()
+    assert graph.closure(chain, spark.createDataFrame([(0,)], "node long")).count() == 67
+
+
 def test_flow_order_and_revisits(spark):
     rows = [
         ("r", "page", "log", "calls", 1),
