@@ -137,26 +137,41 @@ def middleware_matchers(t: Tables) -> DataFrame:
   d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z]+'), ' ') || ' ' AS t FROM documents)
   SELECT item_id, count(doc_id) AS n_docs FROM b LEFT JOIN d ON contains(t, ' ' || phrase || ' ') GROUP BY 1""")
 def theta_phrase_contains(t: Tables) -> DataFrame:
-    # Six-word phrases meet the documents' six-word windows in an equi-join, not by trying all pairs.
+    # Phrases meet the documents' windows of as many words in an equi-join, not by trying all pairs. An item of fewer than
+    # six words is a shorter phrase; one without words is found, as in SQL, in documents without words.
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    six = lambda w, i: F.array_join(F.slice(w, i, 6), " ")
-    items = t.benchmark.select("item_id", six(words, F.lit(1)).alias("phrase"))
-    listed = t.documents.select("doc_id", words.alias("w")).where(F.size("w") >= 6)
-    windows = listed.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: six(F.col("w"), i)))).alias("phrase"))
-    found = windows.join(items, "phrase").groupBy("item_id").agg(F.count("*").alias("n"))
-    return items.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_docs"))
+    part = lambda w, i, n: F.array_join(F.slice(w, i, n), " ")
+    listed = t.benchmark.select("item_id", words.alias("w"))
+    lengths = [r[0] for r in listed.where("w is not null").select(F.least(F.size("w"), F.lit(6))).distinct().collect()]  # 0 to 6
+    items = listed.select("item_id", part(F.col("w"), F.lit(1), F.lit(6)).alias("phrase"))
+    docs = t.documents.select("doc_id", words.alias("w"))
+    windows = None
+    for n in lengths:
+        starts, size = F.sequence(F.lit(1), F.size("w") - (n - 1)), F.lit(n)
+        phrases = F.array_distinct(F.transform(starts, lambda i: part(F.col("w"), i, size))) if n else F.array(F.lit(""))  # noqa: B023
+        these = docs.where(F.size("w") >= n if n else F.size("w") == 0).select("doc_id", F.explode(phrases).alias("phrase"))
+        windows = these if windows is None else windows.unionByName(these)
+    if windows is None:
+        return items.groupBy("item_id").agg(F.lit(0).cast("long").alias("n_docs"))
+    found = windows.join(items.select("phrase").distinct(), "phrase").groupBy("phrase").agg(F.count("doc_id").alias("n"))
+    return items.join(found, "phrase", "left").groupBy("item_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_docs"))
 
 
 @query("""WITH s AS (SELECT DISTINCT regexp_extract(text, '(?:password|token|secret)\\s*=\\s*"?([A-Za-z0-9]{16,})', 1) AS value FROM documents WHERE regexp_matches(text, '(?:password|token|secret)\\s*=\\s*"?[A-Za-z0-9]{16,}'))
   SELECT doc_id, value, length(text) - length(replace(text, value, '')) >= 2 * length(value) AS again FROM documents JOIN s ON contains(text, value)""")
 def leak_substring_scan(t: Tables) -> DataFrame:
-    # Candidate values are cut out of the texts as tokens, so known secrets meet them in an equi-join.
+    # Known secrets are alphanumeric, so they lie in alphanumeric runs: their first 16 characters meet the windows of 16 of all
+    # runs in an equi-join. Every secret of a text is known, also beyond its first, which alone the SQL takes.
     secret = r'(?:password|token|secret)\s*=\s*"?([A-Za-z0-9]{16,})'
-    known = t.documents.select(F.regexp_extract("text", secret, 1).alias("value")).where("value <> ''").distinct()
-    runs = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]{16,}"), F.lit(0)))
-    rows = t.documents.select("doc_id", "text", F.explode(runs).alias("value")).join(known, "value")
+    known = t.documents.select(F.explode(F.regexp_extract_all("text", F.lit(secret), F.lit(1))).alias("value")).distinct()
+    runs = F.regexp_extract_all("text", F.lit("[A-Za-z0-9]{16,}"), F.lit(0))
+    windows = lambda run: F.transform(F.sequence(F.lit(1), F.length(run) - 15), lambda i: run.substr(i, F.lit(16)))
+    rows = t.documents.select("doc_id", "text", F.xxhash64("text").alias("row"))
+    starts = rows.select("doc_id", "row", F.explode(F.array_distinct(F.flatten(F.transform(runs, windows)))).alias("start"))
+    hits = starts.join(known.withColumn("start", F.substring("value", 1, 16)), "start").select(F.col("doc_id").alias("id"), F.col("row").alias("at"), "value").distinct()
+    found = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("at"))).where(F.contains("text", F.col("value")))
     again = F.length("text") - F.length(F.replace("text", F.col("value"), F.lit(""))) >= 2 * F.length("value")
-    return rows.select("doc_id", "value", again.alias("again"))
+    return found.select("doc_id", "value", again.alias("again"))
 
 
 @query("""WITH e AS (SELECT doc_id, regexp_extract(text, '^(\\S+)', 1) AS quote, len(string_split(text, chr(10))) AS n_lines, text FROM documents)

@@ -40,3 +40,34 @@ def test_skip_packer_against_loop(spark, sf_dir):
             if d.source == r.source and used + d.n_chars <= 8000:
                 used, picked = used + d.n_chars, [*picked, d.doc_id]
         assert (r.used, r.picked) == (used, picked)
+
+
+@pytest.fixture
+def tables(spark, tmp_path):
+    """Writes tables of (id, text) rows and gives their folder."""
+
+    def write(**rows):
+        for name, (key, r) in rows.items():
+            spark.createDataFrame(r, f"{key} long, text string").coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        return str(tmp_path)
+
+    return write
+
+
+def test_short_items_meet_windows_of_their_length(spark, tables):
+    docs = [(1, "One two, three four five six seven"), (2, "two three"), (3, "123"), (4, None), (5, "two three two three"), (None, "two three")]
+    items = [(1, "two three"), (2, "three four five six seven"), (3, "..."), (4, None), (5, "one two three four five six and more"), (6, "hree"), (1, "two")]
+    d = tables(documents=("doc_id", docs), benchmark=("item_id", items))
+    connection = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        connection.sql(f"create view {t} as select * from '{d}/{t}.parquet/*.parquet'")
+    got = {r.item_id: r.n_docs for r in plans.QUERIES["theta_phrase_contains"](spark, d).collect()}
+    assert got == dict(connection.sql(plans.SQL["theta_phrase_contains"]).fetchall())
+    assert got[2] == got[3] == got[5] == 1 and got[1] == 6 and got[4] == got[6] == 0
+
+
+def test_all_secrets_are_searched_inside_runs(spark, tables):
+    a, b = "Aa1" * 6, "Bb2" * 7
+    docs = [(1, f"password={a} then token = {b}"), (2, f"see x{b}y"), (3, f"{a}{a}"), (4, b[:-1]), (5, None), (2, f"see x{b}y")]
+    got = plans.QUERIES["leak_substring_scan"](spark, tables(documents=("doc_id", docs))).collect()
+    assert sorted(map(tuple, got)) == sorted([(1, a, False), (1, b, False), (2, b, False), (2, b, False), (3, a, True)])
