@@ -5,14 +5,15 @@ is written as Parquet and read again before the next stage.
 
 1. language ID: a model is trained on the labelled documents themselves (text and non-null lang); documents in which no
    language is found (`und`) go, mixed ones stay; lang becomes the language with the largest share.
-2. n-gram Jaccard join (five words, 0.8): of each group of near duplicates the document with the smallest id stays.
+2. n-gram Jaccard join (five words, 0.8): of each group of near duplicates one row stays, that with the smallest id
+   (one without an id only if the whole group has none; of rows with equal id and text any one).
 3. decontamination: documents of which a twentieth or more lies in verbatim benchmark passages of 13 words go.
 4. mixing: a document appears as often as the mix takes it (a part taken counts as a whole), so not at all if its source
    is full; documents without words go.
 5. token-ID output: sorted-string-table shards, read back as doc_id, start, n_tokens, ids_crc32.
 
 Defined results: an empty table passes through all stages as an empty table; extra columns of documents are kept up to the
-last stage; rows with a null doc_id can't be compared by id and are kept by stages 2 and 3.
+last stage; stages 2 and 3 judge rows by their own text, also where doc_id is null or repeated; rows without words stay.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import decontamination, language, mixing, ngram_join, shared, sstable
@@ -36,10 +37,31 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngram_join.ngram_jaccard_components(docs, n=5, num=80, den=100)
-    later = shared.stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    later = shared.small(later)
-    return docs.join(later, docs["doc_id"] == later["gone"], "left_anti")
+    # Rows are told by id and text. First one row of each text stays, so that texts have keys of their own without regard to
+    # ids; then near copies are joined under these keys. Rows without words are no copies of each other.
+    key = F.xxhash64("text")
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.where(has_words).groupBy(F.col("doc_id").alias("id"), key.alias("key")).agg(F.count("*").alias("n"))
+    rows = shared.stored(rows, "rows")
+    first = shared.stored(rows.groupBy("key").agg(F.min(F.struct(F.col("id").isNull(), "id")).getField("id").alias("first")), "first")
+    copies = rows.join(first, "key").where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "key")
+    left = docs.join(*_these(docs, copies, "copies"), "left_anti")
+    twice = rows.where("n > 1").select("id", "key")  # repeated with their id and text
+    if not twice.isEmpty():
+        these = _these(left, twice, "twice")
+        left = left.join(*these, "left_anti").unionByName(left.join(*these, "left_semi").dropDuplicates(["doc_id", "text"]))
+    found = ngram_join.ngram_jaccard_components(left.where(has_words).select(key.alias("doc_id"), "text"), n=5, num=80, den=100)
+    members = found.select(F.col("doc_id").alias("key"), F.col("component_id").alias("group"))
+    members = shared.stored(members.join(first.withColumnRenamed("first", "id"), "key"), "members")
+    groups = members.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("least"), F.count("*").alias("of")).where("of > 1")
+    gone = members.join(groups, "group").where(F.col("key") != F.col("least.key")).select("id", "key")
+    return left.join(*_these(left, gone, "gone"), "left_anti")
+
+
+def _these(docs: DataFrame, rows: DataFrame, name: str) -> tuple[DataFrame, Column]:
+    """rows (id, key), written, and the condition that joins them with docs; columns of docs may have any names."""
+    rows = shared.small(shared.stored(rows, name))
+    return rows, docs["doc_id"].eqNullSafe(rows["id"]) & (F.xxhash64(docs["text"]) == rows["key"])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

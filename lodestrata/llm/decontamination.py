@@ -167,14 +167,12 @@ def _spans(shared_benchmark):
 
 
 def verbatim_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, spans of every row of docs: the longest verbatim matches (word start, length, item, its word)."""
+    """doc_id, row, n_words, spans of every row of docs (row is xxhash64 of its text): the longest verbatim matches (word start, length, item, its word)."""
     spark = docs.sparkSession
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
-    texts = docs.select("doc_id", "text", F.lit(0).cast("long").alias("row"))
-    if blocks > 1:  # rows are told apart by their content where their spans come from several passes
-        texts = texts.withColumn("row", F.xxhash64("text"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))  # rows are told apart by their content
     passes = []
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id").collect()
@@ -184,16 +182,21 @@ def verbatim_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, bl
         sent = spark.sparkContext.broadcast(Benchmark([r["item_id"] for r in rows], [r["text"] for r in rows], window))
         passes.append(texts.mapInArrow(_spans(sent), SPANS))
     if blocks == 1:
-        return passes[0].drop("row")
+        return passes[0]
     union = passes[0]
     for p in passes[1:]:
         union = union.unionByName(p)
     # As many rows a document as there are blocks; repeated rows of one document become one.
-    return union.groupBy("doc_id", "row").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")).drop("row")
+    return union.groupBy("doc_id", "row").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted), contaminated, spans: n_hit words lie in matches; share * n_hit >= n_words contaminates."""
+    """As judged, without row."""
+    return judged(docs, benchmark, window, share).drop("row")
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
+    """doc_id, row, n_words, n_hit, items (sorted), contaminated, spans: n_hit words lie in matches; share * n_hit >= n_words contaminates."""
     found = verbatim_matches(docs, benchmark, window)
     # Spans sorted by start: a word counts once, from the farthest end so far.
     step = lambda s, x: F.struct(
@@ -204,6 +207,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     covered = F.aggregate(F.sort_array("spans"), F.struct(zero.alias("n"), zero.alias("end")), step, lambda s: s["n"])
     return found.select(
         "doc_id",
+        "row",
         "n_words",
         covered.alias("n_hit"),
         F.sort_array(F.array_distinct(F.transform("spans", lambda s: s["item"]))).alias("items"),
@@ -212,7 +216,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is contaminated; the contaminated ids are few beside the documents."""
-    bad = contamination(docs, benchmark).where("contaminated").select("doc_id").distinct()
-    bad = shared.small(shared.stored(bad.withColumnRenamed("doc_id", "bad_id"), "contaminated"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    """docs without the contaminated rows, which are few; rows are told by id and text, so others of the same or no id stay."""
+    bad = judged(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("row").alias("bad_row")).distinct()
+    bad = shared.small(shared.stored(bad, "contaminated"))
+    same = docs["doc_id"].eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs["text"]) == bad["bad_row"])
+    return docs.join(bad, same, "left_anti")

@@ -33,6 +33,20 @@ def test_near_duplicates_leave_one(spark, sf_dir, documents):
     assert sorted(r.doc_id for r in cp.near_duplicates(spark, documents(rows), sf_dir).collect()) == [1, 3]
 
 
+def test_rows_of_null_and_repeated_ids_are_judged_alone(spark, tmp_path, documents):
+    bad, good = " ".join(f"b{i}" for i in range(30)), [f"g{i}" for i in range(120)]
+    spark.createDataFrame([(1, bad)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, bad), (None, "clean one"), (7, bad), (7, "clean two"), (None, None)]
+    left = cp.decontaminate(spark, documents(rows), str(tmp_path))
+    assert sorted((str(r.doc_id), r.text) for r in left.where("text is not null").collect()) == [("7", "clean two"), ("None", "clean one")]
+    assert left.count() == 3
+    first, near = " ".join(good), " ".join([*good[:-2], "x", "y"])
+    only, twin = "a text of its own that is like no other", "another text here, written down twice"
+    rows = [(3, first), (5, near), (5, only), (None, near), (8, twin), (8, twin), (None, "none " + twin), (None, "none " + twin), (None, None), (None, None)]
+    left = [(str(r.doc_id), r.text) for r in cp.near_duplicates(spark, documents(rows), str(tmp_path)).collect()]
+    assert sorted(left, key=str) == sorted([("3", first), ("5", only), ("8", twin), ("None", "none " + twin), ("None", None), ("None", None)], key=str)
+
+
 def test_every_operator_is_registered():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
