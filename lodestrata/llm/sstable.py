@@ -16,20 +16,20 @@ by Spark's committer, so files of lost or repeated attempts are never listed.
 
 Defined results: null and empty text give the end id alone; rows of one doc_id are kept in text order as occurrences;
 an empty table gives no file and no rows; a text of any length is one value, read and written whole; other columns are
-dropped. Texts are encoded by segments between single spaces, which the byte-level pre-tokenizer always cuts; a
-bounded cache keeps the ids of segments.
+dropped. The string of an added token inside a text is that token, as the tokenizers library has it by default.
 """
 
 from __future__ import annotations
 
 import bisect
 import codecs
+import itertools
+import json
 import os
 import re
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,79 +39,213 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.shared import mix, shared_dir, stored
+from lodestrata.llm.shared import chunks, mix, shared_dir, stored
 
 BLOCK_BYTES = 1 << 18
-#: Segments of a cache generation; two generations are kept, and what is used again moves to the younger.
-CACHE_SEGMENTS = 200_000
+#: Texts are encoded in pieces of about this size.
+PIECE_BYTES = 1_000_000
+#: Slots of the table of short pre-tokens, and the bytes and the ids that a slot has room for.
+SLOT_BITS, SHORT, ROOM = 20, 16, 8
+#: Entries of the cache of other pre-tokens, and the longest that it keeps.
+LONG_CACHE, LONG = 50_000, 200
 MAGIC = b"LDSST001"
 FOOTER = struct.Struct("<QQQQQQI8s")  # index at, length, filter at, length, documents, ids, width, magic
 ENTRY = struct.Struct("<13sQIQ")  # first key, block at, length, ids before
 MANIFEST = "path string, first_id long, last_id long, first_key binary, docs long, ids long"
 
-#: A single space between two characters that are no white space: the pre-tokenizer starts a new piece there.
-_CUT = re.compile("(?<=[^\\s᠎]) (?=[^\\s᠎])")
-#: Segments whose pre-tokens are known: a word, its punctuation, and another word after a line end.
-_LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", "[.,;:!?]+"
-_PLAIN = re.compile(f"({_LETTERS})(?:({_MARKS})(?:\\n({_LETTERS})({_MARKS})?)?)?")
+#: Kinds of bytes: white space, letters, digits, other printable ones, and those that only the whole tokenizer judges. The
+#: letters beyond ASCII are U+00C0 to U+00FF, whose first byte in UTF-8 is C3 (but for the signs C3 97 and C3 B7).
+_BLANK, _LETTER, _DIGIT, _MARK, _UNKNOWN = range(5)
+_KIND = np.full(256, _UNKNOWN, np.uint8)
+_KIND[0x21:0x7F] = _MARK
+_KIND[[0x20, *range(0x09, 0x0E)]] = _BLANK
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), 0xC3]] = _LETTER
+_KIND[0x30:0x3A] = _DIGIT
+#: What may follow an apostrophe as an ending of its own.
+_ENDINGS = (b"s", b"t", b"m", b"d", b"re", b"ve", b"ll")
+#: A single space between printable ASCII: a place where a long text may be cut, as a pre-token starts there.
+_CUT = re.compile(rb"(?<=[!-~]) (?=[!-~])")
 #: How byte-level models show bytes: printable ones of Latin-1 as they are, the others from U+0100 on, in order.
 _AS_IS = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _OTHER = [b for b in range(0x100) if b not in _AS_IS]
 _SHOWN = "".join(chr(b if b in _AS_IS else 0x100 + _OTHER.index(b)) for b in range(0x100))
+#: The first n bytes of a little-endian 64-bit number.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def pre_tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where pre-tokens start, and which of them are unjudged: whole stretches for the tokenizer itself.
+
+    raw: texts end to end, cut at offsets. As in byte-level models, a run of letters, of digits or of other marks is one
+    pre-token, with one space before it; the rest of a run of white space is another; an apostrophe and an ending such
+    as `'s` are one. Bytes of other kinds are judged by the tokenizer together with all up to the next sure starts.
+    """
+    n = len(raw)
+    kind = _KIND[raw]
+    sign = (raw[1:] == 0x97) | (raw[1:] == 0xB7)
+    signs = np.flatnonzero((raw[:-1] == 0xC3) & sign)
+    kind[signs] = kind[signs + 1] = _UNKNOWN
+    first = np.zeros(n + 1, bool)
+    first[offsets] = True
+    first, last = first[:-1], first[1:]
+    blank, before = kind == _BLANK, np.r_[np.uint8(_BLANK), kind[:-1]]
+    after_blank = (before == _BLANK) & ~first
+    after_space = np.r_[False, raw[:-1] == 0x20] & ~first
+    full_next = ~np.r_[blank[1:], True] & ~last  # a byte that is no white space follows in the same text
+    start = first | np.where(blank, ~after_blank | full_next, np.where(after_blank, ~after_space, kind != before))
+    sure = first | ((raw == 0x20) & full_next & ~after_blank & (before != _UNKNOWN) & (np.r_[kind[1:], np.uint8(_UNKNOWN)] != _UNKNOWN))
+    for p in np.flatnonzero((raw == 0x27) & start & full_next):
+        text_end = int(offsets[np.searchsorted(offsets, p, "right")])
+        for ending in _ENDINGS:
+            end = p + 1 + len(ending)
+            if end <= text_end and raw[p + 1 : end].tobytes() == ending:
+                start[p + 1 : end] = False
+                if end < text_end and kind[end] == _LETTER:
+                    start[end] = True
+                break
+    unjudged = np.zeros(0, np.int64)
+    unknown = np.flatnonzero(kind == _UNKNOWN)
+    if len(unknown):
+        places = np.r_[np.flatnonzero(sure), n]
+        group = np.unique(np.searchsorted(places, unknown, "right") - 1)
+        unjudged = places[group]
+        inside = np.zeros(n + 1, np.int8)
+        inside[unjudged] += 1
+        inside[places[group + 1]] -= 1
+        inside = np.cumsum(inside[:-1], dtype=np.int8) > 0
+        start[inside] = False
+        start[unjudged] = True
+    return np.flatnonzero(start), unjudged
 
 
 class Encoder:
-    """Texts to ids as bytes, through a bounded cache of segments in two generations.
+    """Texts to ids with the library's model, each different pre-token once as long as the caches keep it.
 
-    A segment that is not in the cache and is made of plain words, punctuation and a line end is put together from
-    its pre-tokens, each encoded by the library's model; any other segment goes through the whole tokenizer.
+    Pre-tokens of byte-level models are found in bulk, and those of up to SHORT bytes with up to ROOM ids are kept in a table
+    of 2 ** SLOT_BITS slots, in which a newer one takes its slot from an older one: memory is fixed. Texts with an added
+    token, and all texts of other kinds of tokenizers, go through the whole tokenizer.
     """
 
     def __init__(self, path: str, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core already
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind, self.cache, self.old = Tokenizer.from_file(path), f"<u{width}", {}, {}
-        self.tokenizer.encode_special_tokens = True
-        self.model, self.code = self.tokenizer.model, {2: "H", 4: "I"}[width]
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _piece(self, key: str, pre_token: str) -> bytes:
-        if (ids := self.cache.get(key)) is None and (ids := self.old.get(key)) is not None:
-            self.cache[key] = ids
-        if ids is None:
-            shown = codecs.charmap_decode(pre_token.encode(), "strict", _SHOWN)[0]
-            ids = self.cache[key] = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
-        return ids
-
-    def _learn(self, segments: set[str]) -> None:
-        rest = []
-        for s in segments:
-            if (ids := self.old.get(s)) is not None:
-                self.cache[s] = ids
-            elif m := _PLAIN.fullmatch(s):
-                word, mark, after, end = m.groups()
-                ids = self._piece(word, " " + word)
-                if mark:
-                    ids += self._piece("\n" + mark, mark)
-                if after:
-                    ids += self._piece("\n\n", "\n") + self._piece("\n" + after, after)
-                if end:
-                    ids += self._piece("\n" + end, end)
-                self.cache[s] = ids
-            else:
-                rest.append(s)
-        self.cache.update(zip(rest, self._ids([" " + s for s in rest]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_CUT.split(t) for t in texts]
-        if len(self.cache) > CACHE_SEGMENTS:
-            self.old, self.cache = self.cache, {}
-        self._learn(set().union(*(p[1:] for p in split)) - self.cache.keys())
-        get = self.cache.__getitem__
-        return [first + b"".join(map(get, p[1:])) for first, p in zip(self._ids([p[0] for p in split]), split, strict=True)]
+        self.tokenizer, self.kind = Tokenizer.from_file(path), np.dtype(f"<u{width}")
+        self.model, self.long = self.tokenizer.model, {}
+        with open(path, encoding="utf-8") as file:
+            made = json.load(file)
+        pre = made.get("pre_tokenizer") or {}
+        plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        self.byte_level = not made.get("normalizer") and plain == {k: pre.get(k, True) for k in plain} and (made["model"].get("type") == "BPE")
+        self.added = [t["content"].encode() for t in made.get("added_tokens", [])]
+        slots = 1 << SLOT_BITS
+        self.low, self.high = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)  # a pre-token's bytes; never all 0
+        self.size, self.ids = np.zeros(slots, np.uint8), np.zeros((slots, ROOM), self.kind)
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
+        """The ids of each of the texts that lie in raw (UTF-8 bytes) from offset to offset, as little-endian bytes."""
+        data = raw.tobytes()
+        plain = lambda text: self.byte_level and not any(t in text for t in self.added)
+        if not plain(data):
+            for a, b in itertools.pairwise(offsets.tolist()):
+                if plain(data[a:b]):
+                    yield from self.encode(raw[a:b], np.array([0, b - a]))
+                else:
+                    yield np.array(self.tokenizer.encode(data[a:b].decode(), add_special_tokens=False).ids, self.kind).tobytes()
+        elif len(offsets) == 2 and len(raw) > PIECE_BYTES:  # a long text is cut where pre-tokens start
+            cuts = [0]
+            while m := _CUT.search(data, cuts[-1] + PIECE_BYTES):
+                cuts.append(m.start())
+            pieces = (raw[a:b] for a, b in itertools.pairwise([*cuts, len(raw)]))
+            yield b"".join(ids for x in pieces for ids in self._in_bulk(x, np.array([0, len(x)])))
+        else:
+            yield from self._in_bulk(raw, offsets)
+
+    def _in_bulk(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
+        if not len(raw):
+            yield from [b""] * (len(offsets) - 1)
+            return
+        starts, unjudged = pre_tokens(raw, offsets)
+        length = np.diff(np.r_[starts, len(raw)])
+        padded = np.r_[raw, np.zeros(SHORT, np.uint8)]
+        words = np.ndarray((len(raw) + 8,), "<u8", padded, strides=(1,))  # eight bytes from each place on
+        low = words[starts] & _FIRST[np.minimum(length, 8)]
+        high = words[np.minimum(starts + 8, len(raw))] & _FIRST[np.clip(length - 8, 0, 8)]
+        short = length <= SHORT
+        short[np.searchsorted(starts, unjudged)] = False
+        code = mix(low + mix(high))
+        slot = (code >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        known = (self.low[slot] == low) & (self.high[slot] == high) & short
+
+        # Pre-tokens that are not in the table: the short ones by their first occurrence, others one by one. `number` is the
+        # place of each in the lists of new ids.
+        new = np.flatnonzero(~known)
+        fits = short[new]
+        _, once, number_of = np.unique(code[new[fits]], return_index=True, return_inverse=True)
+        one = new[fits][once]
+        equal = (low[one][number_of] == low[new[fits]]) & (high[one][number_of] == high[new[fits]])
+        number = np.full(len(new), -1)
+        number[fits] = np.where(equal, number_of, -1)
+        rest = number < 0
+        flat, sizes = self._encoded(raw, starts, length, one)
+        number[rest] = self._others(raw, starts, length, new[rest], set(unjudged.tolist()), flat, sizes)
+        ids, sizes = np.array(flat, self.kind), np.array(sizes, np.int64)
+        first = np.cumsum(sizes) - sizes
+
+        count = self.size[slot].astype(np.int64)
+        count[new] = sizes[number]
+        place = np.r_[0, np.cumsum(count)]
+        out = np.empty(place[-1], self.kind)
+        hit = np.flatnonzero(known)
+        at, of, left = place[hit], slot[hit], count[hit]
+        for k in range(ROOM):
+            at, of, left = (at, of, left) if not k else (x[left > k] for x in (at, of, left))
+            out[at + k] = self.ids[of, k]
+        many = count[new]
+        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        out[np.repeat(place[new], many) + step] = ids[np.repeat(first[number], many) + step]
+
+        # The new short ones take their slots, the last one of those with the same slot.
+        keep = np.flatnonzero(sizes[: len(one)] <= ROOM)
+        to = slot[one[keep]]
+        self.low[to], self.high[to], self.size[to] = low[one[keep]], high[one[keep]], sizes[keep]
+        for k in range(ROOM):
+            more = sizes[keep] > k
+            self.ids[to[more], k] = ids[first[keep][more] + k]
+
+        bounds = place[np.searchsorted(starts, offsets)] * self.kind.itemsize
+        data = out.tobytes()
+        yield from (data[a:b] for a, b in itertools.pairwise(bounds.tolist()))
+
+    def _encoded(self, raw: np.ndarray, starts: np.ndarray, length: np.ndarray, which: np.ndarray) -> tuple[list[int], list[int]]:
+        """The ids of the pre-tokens `which`, end to end, and the number of each."""
+        shown, flat, sizes, tokenize = codecs.charmap_decode(raw.tobytes(), "strict", _SHOWN)[0], [], [], self.model.tokenize
+        for a, n in zip(starts[which].tolist(), length[which].tolist(), strict=True):
+            ids = [t.id for t in tokenize(shown[a : a + n])]
+            flat += ids
+            sizes.append(len(ids))
+        return flat, sizes
+
+    def _others(self, raw, starts, length, which, unjudged, flat, sizes) -> list[int]:
+        """Adds the ids of long or unjudged pre-tokens to flat and sizes, each different one once; gives their places."""
+        data, seen, number = raw.tobytes(), {}, []
+        for a, n in zip(starts[which].tolist(), length[which].tolist(), strict=True):
+            piece = data[a : a + n]
+            if (i := seen.get(piece)) is None:
+                i = seen[piece] = len(sizes)
+                if (ids := self.long.get(piece)) is None:
+                    if a in unjudged:
+                        ids = self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids
+                    else:
+                        ids = [t.id for t in self.model.tokenize(codecs.charmap_decode(piece, "strict", _SHOWN)[0])]
+                    if len(self.long) >= LONG_CACHE:
+                        self.long = {}
+                    if n <= LONG:
+                        self.long[piece] = ids
+                flat += ids
+                sizes.append(len(ids))
+            number.append(i)
+        return number
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
@@ -265,18 +399,15 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
         store.create_dir(base, recursive=True)
         name, out = f"{uuid.uuid4().hex}.sst", None
         last, first_id, n = None, None, 0
-        for batch in batches:
-            ids, column = batch.column("doc_id").to_pylist(), batch.column("text")
-            for i in range(0, len(ids), 256):
-                for doc_id, value in zip(ids[i : i + 256], encode(column.slice(i, 256).to_pylist()), strict=True):
-                    if out is None:
-                        out, first_id = Writer(store.open_output_stream(f"{base}/{name}"), width), doc_id
-                        n = -1
-                        last = doc_id
-                    n = n + 1 if doc_id == last else 0
+        for batch, raw, offsets in chunks(batches, most=PIECE_BYTES):
+            for doc_id, value in zip(batch.column("doc_id").to_pylist(), encode(raw, offsets), strict=True):
+                if out is None:
+                    out, first_id = Writer(store.open_output_stream(f"{base}/{name}"), width), doc_id
+                    n = -1
                     last = doc_id
-                    out.add(key_of(doc_id, n), value + end)
-            pa.default_memory_pool().release_unused()
+                n = n + 1 if doc_id == last else 0
+                last = doc_id
+                out.add(key_of(doc_id, n), value + end)
         if out is not None:
             out.close()
             row = [[f"{folder}/{name}"], [first_id], [last], [key_of(first_id)], [out.docs], [out.ids]]

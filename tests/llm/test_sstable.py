@@ -1,7 +1,9 @@
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from lodestrata.llm import sstable
@@ -12,7 +14,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def expected(rows):
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
     out, start = [], 0
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = tok.encode(text or "", add_special_tokens=False).ids + [0]
@@ -33,6 +34,40 @@ def test_spaces_and_special_strings(documents):
     assert sorted(got, key=lambda r: r[1]) == expected(rows)
 
 
+def encoded(encoder, texts):
+    data = [t.encode() for t in texts]
+    raw, offsets = np.frombuffer(b"".join(data), np.uint8), np.r_[0, np.cumsum([len(x) for x in data])].astype(np.int64)
+    return [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(raw, offsets)]
+
+
+#: What pre-tokenizers treat differently: white space of all kinds, endings, signs among letters, an added token, other scripts.
+PARTS = ["a", "b", "é", "Ö", "1", "2", ".", ",", "'", "'s", "'re", "'ll", "'d", "'t", "'S", "''", " ", "  ", "\n", "\t", "\r\n", "\x0b"]
+PARTS += ["\x1c", "\x00", "\xa0", "\x85", "×", "÷", "漢", "🙂", "ł", "\u180e", "\u200b", "²", "ª", "<|endoftext|>", "x's y", "_", "internationalization "]
+
+
+@pytest.mark.parametrize("piece_bytes", [sstable.PIECE_BYTES, 150])
+def test_ids_equal_those_of_the_unmodified_tokenizer(monkeypatch, piece_bytes):
+    monkeypatch.setattr(sstable, "PIECE_BYTES", piece_bytes)
+    monkeypatch.setattr(sstable, "SLOT_BITS", 6)  # slots are taken from each other all the time
+    monkeypatch.setattr(sstable, "LONG_CACHE", 5)
+    tok, encoder, rng = Tokenizer.from_file(PATH), sstable.Encoder(PATH, 2), random.Random(1)
+    for i in range(400):
+        parts = PARTS if i % 2 else [p for p in PARTS if p != "<|endoftext|>"]
+        texts = ["".join(rng.choice(parts) for _ in range(rng.choice((0, 3, 12, 200)))) for _ in range(rng.randint(1, 6))]
+        assert encoded(encoder, texts) == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_added_tokens_are_themselves(documents):
+    got = sstable.token_shards(documents([(1, "a <|endoftext|> b")]), PATH).first()
+    assert got.n_tokens == 5 and encoded(sstable.Encoder(PATH, 2), ["<|endoftext|>"]) == [[50256]]
+
+
+def test_other_kinds_of_tokenizers_are_used_whole():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["A word, and  another", "", "été"]
+    assert encoded(sstable.Encoder(path, 2), texts) == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_lookup(spark, documents):
     rows = [(i * 3 - 500, f"text number {i} " * (i % 7)) for i in range(800)]
     folder = shared_dir(spark, "lookup")
