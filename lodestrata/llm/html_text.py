@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,10 +46,15 @@ IMPLIED = {
     "tr": (("tr",), ("table",)),
     "option": (("option",), ("select",)),
 }
+#: Elements that may be ended so, and by a border's name those that it hides; a paragraph is hidden by any other block.
+ENDED = frozenset({"p"}.union(*(ends for ends, _ in IMPLIED.values())))
+BORDERS = {x: frozenset({"p"} if x in BLOCK and x != "p" else ()) | {e for ends, to in IMPLIED.values() if x in to for e in ends} for x in BLOCK | {"select"}}
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus discussion footer header masthead menu modal nav navbar navigation newsletter notice notices outbrain overlay pager pagination popup promo promos promotion related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription taboola toolbar widget".split()
 )
 ARTICLE_WORDS = frozenset("article main content post story entry body text".split())
+HEAD_WORDS = frozenset("header headers heading masthead banner".split())
+NEGATIONS = frozenset("no not without with has have hide is".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.DOTALL)
@@ -57,17 +63,38 @@ _WORD = re.compile(r"[a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "points", "chars", "link_chars", "commas", "cut")
+    """An element; `within`: it is or lies in an article or main; `ends`: by name the open elements that an implied end may close."""
+
+    __slots__ = ("name", "parent", "children", "points", "chars", "link_chars", "commas", "cut", "within", "ends")
 
     def __init__(self, name: str, parent: Node | None, cut: bool = False):
         self.name, self.parent, self.cut = name, parent, cut
+        self.within = name in ("article", "main") or (parent is not None and parent.within)
+        ends = parent.ends if parent is not None else {}
+        if name in BORDERS and (gone := BORDERS[name] & ends.keys()):
+            ends = {k: v for k, v in ends.items() if k not in gone}
+        self.ends = {**ends, name: self} if name in ENDED else ends
         self.children: list[Node | str] = []
         self.points = 0.0
         self.chars = self.link_chars = self.commas = 0
 
 
-def _is_aside(name: str, attributes: str, within_article: bool) -> bool:
-    """Whether an element is none of the article by its name, role, words in class and id, or because it is hidden."""
+def _names_aside(name: str, strict: bool) -> bool:
+    """Whether one class or id names a part beside the article: by any of its words, whatever the others say if strict.
+
+    A header of the article (`post-header`) is none, nor is what a negation or `with`, `has` speaks of (`no-sidebar`).
+    """
+    words = _WORD.findall(name)
+    if not strict and ARTICLE_WORDS.intersection(words):
+        return False
+    for i, word in enumerate(words):
+        if word in ASIDE_WORDS and not (word in HEAD_WORDS and ARTICLE_WORDS.intersection(words[:i])):
+            return not NEGATIONS.intersection(words[:i])
+    return False
+
+
+def _is_aside(name: str, attributes: str, within_article: bool, strict: bool) -> bool:
+    """Whether an element is none of the article by its name, role, class or id, or because it is hidden."""
     if name in CUT:
         return True
     if name == "header" and not within_article:
@@ -79,13 +106,13 @@ def _is_aside(name: str, attributes: str, within_article: bool) -> bool:
         return True
     if given.get("role") in ASIDE_ROLES:
         return True
-    words = set(_WORD.findall(given.get("class", "") + " " + given.get("id", "")))
-    return bool(words & ASIDE_WORDS) and not words & ARTICLE_WORDS
+    return any(_names_aside(x, strict) for x in [*given.get("class", "").split(), given.get("id", "")])
 
 
-def parse(page: str) -> Node:
+def parse(page: str, strict: bool = True) -> Node:
     """The tree of a page; text in cut parts is left out."""
     root = here = Node("#root", None)
+    opened: Counter[str] = Counter()  # names of the elements from the root to here
     at = 0
     find = _TOKEN.search
     while at < len(page):
@@ -101,17 +128,15 @@ def parse(page: str) -> Node:
             continue  # a comment or declaration; or a tag that the end of the page cuts off
         name = name.lower()
         if closing:
-            here = _closed(here, name)
+            if opened[name]:
+                here = _up(here, _closed(here, name), opened)
             continue
-        here = _implied(here, name)
+        here = _up(here, _implied(here, name), opened)
         if name in VOID:
             if not here.cut:
                 here.children.append(Node(name, here))
             continue
-        within = here
-        while within is not None and within.name not in ("article", "main"):
-            within = within.parent
-        node = Node(name, here, here.cut or _is_aside(name, attributes, within is not None))
+        node = Node(name, here, here.cut or _is_aside(name, attributes, here.within, strict))
         if not node.cut:
             here.children.append(node)
         if name in RAW:
@@ -120,9 +145,18 @@ def parse(page: str) -> Node:
                 break
             at = stop.start()
         here = node
+        opened[name] += 1
     return root
 
 
+def _up(here: Node, to: Node, opened: Counter[str]) -> Node:
+    """Ends the elements from here up to `to`."""
+    while here is not to:
+        opened[here.name] -= 1
+        here = here.parent
+    return to
+
+
 def _closed(here: Node, name: str) -> Node:
     node = here
     while node.parent is not None:
@@ -131,25 +165,20 @@ def _closed(here: Node, name: str) -> Node:
         if name not in BLOCK and node.name in BLOCK:
             return here  # an inline end tag doesn't end blocks
         node = node.parent
-    return here  # nothing of that name is open
+    return here
 
 
 def _implied(here: Node, name: str) -> Node:
     """Where an element of this name goes, after the ends that its start implies."""
-    if name in CLOSES_P:
-        node = here
-        while node.parent is not None and (node.name == "p" or node.name not in BLOCK):
-            if node.name == "p":
-                return node.parent
-            node = node.parent
-    if name in IMPLIED:
-        ends, border = IMPLIED[name]
-        node = here
-        while node.parent is not None and node.name not in border:
-            if node.name in ends:
-                return node.parent
-            node = node.parent
-    return here
+    if name in CLOSES_P and "p" in here.ends:
+        here = here.ends["p"].parent
+    open_ = [here.ends[x] for x in IMPLIED[name][0] if x in here.ends] if name in IMPLIED else []
+    if not open_:
+        return here
+    node = here  # the innermost of them
+    while node not in open_:
+        node = node.parent
+    return node.parent
 
 
 def _ordered(root: Node) -> list[Node]:
@@ -265,9 +294,12 @@ def _beside(best: Node) -> list[Node | str]:
 
 def main_text(page: str) -> str:
     """The article's blocks, white space made single, joined by newlines; empty if there is none."""
-    nodes = _score(parse(page))
-    holders = [n for n in nodes if n.name not in PARAGRAPH and n.name in BLOCK and n.name not in ("html",) and n.points > 0]
-    if not holders:
+    for strict in (True, False):  # where nothing is left, words of articles count against those of other parts
+        nodes = _score(parse(page, strict))
+        holders = [n for n in nodes if n.name not in PARAGRAPH and n.name in BLOCK and n.name not in ("html",) and n.points > 0]
+        if holders:
+            break
+    else:
         return ""
     best = max(holders, key=lambda n: n.points)
     frame = _frame(best)

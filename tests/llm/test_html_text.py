@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from lodestrata.llm import html_text
@@ -45,6 +48,86 @@ def test_nested_articles_are_whole(body, text):
     assert html_text.main_text(PAGE.format(body)) == text
 
 
+@pytest.mark.parametrize("name", "comment-body sidebar-content promo-text post-comments related-content main-navigation article-ad story-share".split())
+def test_parts_beside_the_article_go_whatever_else_their_name_says(name):
+    body = f'<article><div class="{name}"><p>Not this, or that, or anything else that is said here.</p></div>{PROSE}</article>'
+    assert html_text.main_text(PAGE.format(body)) == STORY
+    assert html_text.main_text(PAGE.format(body.replace("class=", "id="))) == STORY
+
+
+@pytest.mark.parametrize("name", ["post-header", "entry-content", "content no-sidebar", "main with-sidebar", "article-body"])
+def test_parts_of_the_article_stay(name):
+    assert html_text.main_text(PAGE.format(f'<div class="{name}"><h2>Head</h2>{PROSE}</div>')) == f"Head\n{STORY}"
+
+
+def test_an_article_in_a_part_with_a_misleading_name():
+    assert html_text.main_text(f'<body><div class="widget-text">{PROSE}</div></body>') == STORY
+
+
+def test_deep_and_wide_pages_take_linear_time():
+    n = 100_000
+    began = time.perf_counter()
+    assert html_text.main_text("<div>" * n + "<p>deep text, in here") == "deep text, in here"
+    assert html_text.main_text("<main>" + "<div></section>" * n + "<p>deep text, in here") == "deep text, in here"
+    assert html_text.main_text("<main>" + "<span>" * n + "<div>a</div>" * 1000 + "</main>") == "\n".join("a" * 1000)
+    assert html_text.main_text("<article>" + "<p>so, it, goes" * n) == "\n".join(["so, it, goes"] * n)
+    assert time.perf_counter() - began < 40
+
+
+def page_with_article(rng):
+    """A random page and the text of its article, made side by side."""
+    word = lambda: rng.choice(["river", "stone", "light,", "garden", "été", "walk.", "slow", "bread,", "north", "glass"])
+    marks = {"&": "&amp;", "<": "&lt;", ">": "&#62;", "é": rng.choice(["é", "&eacute;", "&#xe9;"])}
+    page, blocks = [], []
+
+    def words(n):
+        return [rng.choice([word(), word(), word(), "a&b", "<x>"]) for _ in range(n)]
+
+    def inline(ws):
+        out, text = [], " ".join(ws)
+        for w in ws:
+            w = "".join(marks.get(c, c) for c in w)
+            out.append(rng.choice([w, w, w, f"<b>{w}</b>", f'<span class="x">{w}</span>', f"<a href='/y'>{w}</a>" if rng.random() < 0.1 else w, f"<!-- no -->{w}"]))
+        blocks.append(text)
+        return rng.choice([" ", "\n  ", "\t"]).join(out)
+
+    def aside():
+        said = " ".join(words(rng.randint(3, 30))).replace("&", "&amp;").replace("<", "&lt;")
+        kind = rng.choice(["nav", "aside", "footer", "form", "script", "style", "ad", "comments", "sidebar", "cookie-notice", "related-posts", "share"])
+        if kind in ("script", "style"):
+            return f"<{kind}>var x = '<p>';</{kind}>"
+        return f"<{kind}><p>{said}</p></{kind}>" if kind in ("nav", "aside", "footer", "form") else f'<div class="{kind}"><p>{said}</p></div>'
+
+    def part():
+        kind = rng.choice("p p p p h2 ul quote table div section".split())
+        if kind == "ul":
+            return "<ul>" + "".join(f"<li>{inline(words(rng.randint(2, 8)))}{rng.choice(['</li>', ''])}" for _ in range(rng.randint(1, 4))) + "</ul>"
+        if kind == "quote":
+            return f"<blockquote><p>{inline(words(12))}</p></blockquote>"
+        if kind == "table":
+            return "<table>" + "".join(f"<tr><td>{inline(words(2))}<td>{inline(words(2))}" for _ in range(2)) + "</table>"
+        if kind in ("div", "section"):
+            return f"<{kind}>{part()}{part()}</{kind}>"
+        return f"<{kind}>{inline(words(rng.randint(3, 50)))}" + (f"</{kind}>" if kind == "h2" else rng.choice(["</p>", ""]))
+
+    page.append("<html><head><title>no</title></head><body><header><p>Site, name</p></header>" + aside() + aside())
+    page.append(rng.choice(["<main>", "<main><div>", ""]) + "<article>")
+    page.append(f"<h1>{inline(words(5))}</h1>")
+    for _ in range(rng.randint(3, 12)):
+        page.append(part())
+        if rng.random() < 0.25:
+            page.append(aside())
+    page.append("</article></main>" + aside() + aside() + "<footer>&copy; us</footer></body></html>")
+    return "".join(page), "\n".join(blocks)
+
+
+def test_articles_of_random_pages_are_read_back_exactly():
+    rng = random.Random(11)
+    for _ in range(400):
+        page, text = page_with_article(rng)
+        assert html_text.main_text(page) == text, page
+
+
 def test_broken_pages():
     page = "<html><body><article><p>Text that &amp goes on, here, <a href='x"
     assert html_text.main_text(page) == "Text that & goes on, here,"
