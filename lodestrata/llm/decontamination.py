@@ -1,18 +1,20 @@
 r"""Benchmark decontamination with suffix arrays over the training documents.
 
 Each scan partition is cut into shards of whole documents, and each shard gets a suffix array over its words: suffixes are
-ordered by their first DEPTH words through prefix doubling of word hashes (suffixes that agree beyond stay together).
+ordered by as many words as the longest window has, through prefix doubling of word hashes (suffixes that agree beyond
+stay together).
 Every suffix of every benchmark item is looked up by binary search, all at once; where its first words occur, the
 range of the array lists every place, and each place is extended word by word to its longest verbatim match. An item's
 window is 13 consecutive words (a shorter item is one window), so a place counts if it matches a whole window.
 
 Scale. Documents are never exchanged: a document lies in one shard, so its hits are complete there. The benchmark is
-sent to the executors in blocks of at most BLOCK_BYTES of text, which is checked; a larger benchmark takes more passes
-over the documents, whose spans are then merged per document.
+sent to the executors in blocks of about BLOCK_BYTES of text; a larger benchmark takes more passes over the documents,
+whose spans are then merged per document. There, long items are cut into pieces that overlap by all but one word of a window,
+so every window lies in one piece, and matches that go on from piece to piece are put together again.
 
 Defined results: null or empty texts, or texts without words, have no words and no hits; benchmark items without words
-match nothing; a null item_id is ignored; repeated rows of documents are judged alike; a very long text is one
-shard of its own; empty tables give no rows or no hits; other columns are ignored. Words are compared by 64-bit hashes.
+match nothing; a null item_id is ignored; repeated rows of documents are judged alike and each keeps a row; a very long text
+is one shard of its own; empty tables give no rows or no hits; other columns are ignored. Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,19 +29,23 @@ from pyspark.sql import functions as F
 from lodestrata.llm import shared
 from lodestrata.llm.shared import NOT_ALNUM
 
-#: Text of the benchmark that is sent to the executors at a time.
+#: Text of the benchmark that is sent to the executors at a time, about; of a larger benchmark, a piece of an item has a 16th.
 BLOCK_BYTES = 16_000_000
-DEPTH = 16
 #: Text of a shard of documents, about; larger shards cost fewer searches and more memory.
 SHARD_BYTES = 1_000_000
 
-SPANS = "doc_id long, row long, n_words long, spans array<struct<start:long,length:long,item:string,item_start:long>>"
+SPANS = "doc_id long, row long, n_words long, spans array<struct<start:long,length:long,item:string,item_start:long,item_row:long>>"
+PIECES = "item_id string, item_row long, skipped long, text string"
 
 
 class Benchmark:
-    """The words of a block of items, end to end, and each item's first word."""
+    """The words of a block of items or pieces, end to end, and the first word of each.
 
-    def __init__(self, ids: list[str], texts: list[str], window: int):
+    rows: the hash of an item's whole text, which tells apart items of one id; skipped: its words before the piece.
+    """
+
+    def __init__(self, ids: list[str], texts: list[str], window: int, rows: list[int] | None = None, skipped: list[int] | None = None):
+        self.rows, self.skipped = (np.array(x if x is not None else [0] * len(ids), np.int64) for x in (rows, skipped))
         data = [(t or "").encode() for t in texts]
         raw = shared.LOWER[np.frombuffer(b"".join(data), np.uint8)]
         offsets = np.r_[0, np.cumsum([len(x) for x in data])].astype(np.int64)
@@ -53,16 +59,16 @@ class Benchmark:
         self.left = size[self.item] - at  # words of the suffix
 
 
-def suffix_array(h: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes of word hashes h in order of their first DEPTH words, none beyond its document; and the word ranks.
+def suffix_array(h: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of word hashes h in order of their first `depth` words or more, none beyond its document; and the word ranks.
 
     left: words of each suffix. Each step sorts pairs of ranks and so doubles the number of words that count.
     """
     values, rank = np.unique(h, return_inverse=True)
     rank = rank.astype(np.uint64) + np.uint64(1)  # 0: past the document's end
     order, n = np.argsort(rank, kind="stable"), len(h)
-    step = 1
-    while step < DEPTH and n:
+    step = 1  # words that count so far
+    while step < depth and n:
         second = np.zeros(n, np.uint64)
         second[: n - step] = rank[step:]
         second[left <= step] = 0
@@ -96,7 +102,7 @@ def _compare(h, left, order, at, bench, q, need) -> np.ndarray:
 
 def matches(h: np.ndarray, left: np.ndarray, bench: Benchmark) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, benchmark suffix, length): every place where a benchmark suffix matches a window or more, extended."""
-    order, values = suffix_array(h, left)
+    order, values = suffix_array(h, left, int(bench.need.max(initial=1)))
     q = bench.queries
     known = values[np.minimum(np.searchsorted(values, bench.hashes[q]), len(values) - 1)] == bench.hashes[q] if len(values) else np.zeros(len(q), bool)
     q = q[known]
@@ -156,9 +162,10 @@ def _spans(shared_benchmark):
                     pa.array(at - first[doc[at]] if len(at) else at, pa.int64()),
                     pa.array(length, pa.int64()),
                     pa.array([bench.ids[i] for i in bench.item[suffix]], pa.string()),
-                    pa.array(suffix - bench.first[bench.item[suffix]] if len(at) else suffix, pa.int64()),
+                    pa.array((suffix - bench.first[bench.item[suffix]] + bench.skipped[bench.item[suffix]]) if len(at) else suffix, pa.int64()),
+                    pa.array(bench.rows[bench.item[suffix]] if len(at) else suffix, pa.int64()),
                 ],
-                ["start", "length", "item", "item_start"],
+                ["start", "length", "item", "item_start", "item_row"],
             )
             lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(counts)].astype(np.int32), spans)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size, pa.int64()), lists], ["doc_id", "row", "n_words", "spans"])
@@ -166,28 +173,79 @@ def _spans(shared_benchmark):
     return of
 
 
+def _cut(window: int, size: int):
+    """Cuts texts longer than `size` bytes into pieces that overlap by window - 1 words."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for item_id, item_row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = (text or "").encode()
+                if len(data) <= size:
+                    rows.append((item_id, item_row, 0, text))
+                    continue
+                raw = shared.LOWER[np.frombuffer(data, np.uint8)]
+                starts, ends, _ = shared.words(raw, np.array([0, len(raw)]), NOT_ALNUM)
+                at = 0
+                while True:
+                    upto = max(int(np.searchsorted(ends, starts[at] + size, "right")), at + 1) if len(starts) else 0
+                    last = min(upto + window - 1, len(starts))  # windows that start before `upto` end here
+                    if last:
+                        rows.append((item_id, item_row, at, data[starts[at] : ends[last - 1]].decode()))
+                    if last >= len(starts):
+                        break
+                    at = upto
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string()]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["item_id", "item_row", "skipped", "text"])
+
+    return of
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Puts together a document's spans that run on in the same text of an item."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("item", pa.string()), ("item_start", pa.int64()), ("item_row", pa.int64())]))
+    for batch in batches:
+        out = []
+        for spans in batch.column("spans").to_pylist():
+            kept: list[dict] = []
+            for s in sorted(spans, key=lambda s: (s["item"], s["item_row"], s["start"] - s["item_start"], s["start"])):
+                last = kept[-1] if kept else None
+                same = last and all(s[k] == last[k] for k in ("item", "item_row")) and s["start"] - s["item_start"] == last["start"] - last["item_start"]
+                if same and s["start"] <= last["start"] + last["length"]:
+                    last["length"] = max(last["length"], s["start"] + s["length"] - last["start"])
+                else:
+                    kept.append(s)
+            out.append(kept)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row", "n_words")), pa.array(out, kind)], ["doc_id", "row", "n_words", "spans"])
+
+
 def verbatim_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, row, n_words, spans of every row of docs (row is xxhash64 of its text): the longest verbatim matches (word start, length, item, its word)."""
+    """doc_id, row, n_words, spans of every row of docs (row is xxhash64 of its text): the longest verbatim matches (word start, length, item, its word, hash of its text)."""
     spark = docs.sparkSession
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), F.xxhash64("text").alias("item_row"), "text")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
+    if blocks == 1:
+        items = items.withColumn("skipped", F.lit(0))
+    else:
+        items = shared.stored(items.mapInArrow(_cut(window, max(1, block_bytes // 16)), PIECES), "items")
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))  # rows are told apart by their content
     passes = []
     for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id").collect()
-        held = sum(len(r["text"] or "") for r in rows)
-        if held > 4 * block_bytes:
-            raise ValueError(f"a benchmark item of more than {block_bytes} bytes needs a larger block_bytes")
-        sent = spark.sparkContext.broadcast(Benchmark([r["item_id"] for r in rows], [r["text"] for r in rows], window))
-        passes.append(texts.mapInArrow(_spans(sent), SPANS))
+        rows = items.where(F.pmod(F.xxhash64("item_id", "item_row", "skipped"), F.lit(blocks)) == k).orderBy("item_id", "item_row", "skipped").collect()
+        block = Benchmark([r["item_id"] for r in rows], [r["text"] for r in rows], window, [r["item_row"] for r in rows], [r["skipped"] for r in rows])
+        passes.append(texts.mapInArrow(_spans(spark.sparkContext.broadcast(block)), SPANS))
     if blocks == 1:
         return passes[0]
-    union = passes[0]
-    for p in passes[1:]:
-        union = union.unionByName(p)
-    # As many rows a document as there are blocks; repeated rows of one document become one.
-    return union.groupBy("doc_id", "row").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    union = passes[0].withColumn("pass", F.lit(0))
+    for k, p in enumerate(passes[1:], 1):
+        union = union.unionByName(p.withColumn("pass", F.lit(k)))
+    # Equal rows have equal spans in a pass: they count as one with a number of times, and are that many rows at the end.
+    once = union.groupBy("doc_id", "row", "n_words", "pass").agg(F.first("spans").alias("spans"), F.count("*").alias("times"))
+    merged = once.groupBy("doc_id", "row", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.min("times").alias("times"))
+    each = merged.select("doc_id", "row", "n_words", "spans", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("time")).drop("time")
+    return each.mapInArrow(_joined, SPANS)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:

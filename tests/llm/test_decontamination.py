@@ -41,22 +41,40 @@ def planted(seed):
     return docs, items
 
 
-@pytest.mark.parametrize("block_bytes", [dc.BLOCK_BYTES, 200])
+@pytest.mark.parametrize("block_bytes", [dc.BLOCK_BYTES, 500])
 def test_hits_equal_brute_force(spark, documents, monkeypatch, block_bytes):
     docs, items = planted(5)
     bench = spark.createDataFrame(items, "item_id long, text string")
     full = dc.verbatim_matches
     monkeypatch.setattr(dc, "verbatim_matches", lambda d, b, w: full(d, b, w, block_bytes))
-    got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in dc.contamination(documents(docs), bench).collect()}
+    rows = dc.contamination(documents(docs + docs[:7]), bench).collect()
+    got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in rows}
     known = [x for x in items if x[0] is not None]
     assert got == {i: brute(t, known) for i, t in docs}
+    assert sorted(r.doc_id for r in rows) == sorted(i for i, _ in docs + docs[:7])  # repeated rows each keep a row
 
 
-def test_suffix_array_is_sorted():
+@pytest.mark.parametrize("window", [13, 30])
+def test_long_windows_and_long_items(spark, documents, window):
+    rng = random.Random(window)
+    item = [f"i{k}" for k in range(500)]
+    starts = [rng.randrange(500 - 2 * window) for _ in range(50)]
+    docs = [(k, " ".join([f"a{k}", *item[a : a + window + k], f"b{k}"])) for k, a in enumerate(starts)] + [(99, " ".join(item[: window - 1]))]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "other words")], "item_id long, text string")
+    spans = []
+    for block_bytes in (dc.BLOCK_BYTES, 1600):  # the second one cuts the item into pieces of a hundred bytes
+        found = {r.doc_id: [(s.start, s.length, s.item, s.item_start) for s in r.spans] for r in dc.verbatim_matches(documents(docs), bench, window, block_bytes).collect()}
+        assert all(found[k] == [(1, min(window + k, 500 - a), "1", a)] for k, a in enumerate(starts)) and found[99] == []
+        spans.append(found)
+    assert spans[0] == spans[1]
+
+
+@pytest.mark.parametrize("depth", [13, 30])
+def test_suffix_array_is_sorted(depth):
     h = np.random.default_rng(1).integers(0, 4, 300).astype(np.uint64)
     left = 300 - np.arange(300)
-    order, _ = dc.suffix_array(h, left)
-    suffixes = [tuple(h[i : i + dc.DEPTH]) for i in order]
+    order, _ = dc.suffix_array(h, left, depth)
+    suffixes = [tuple(h[i : i + depth]) for i in order]
     assert suffixes == sorted(suffixes)
 
 
