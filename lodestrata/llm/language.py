@@ -1,7 +1,8 @@
 """Language identification by mixture inference.
 
 Training counts hashed byte 4-grams of words, per language, over all training rows: partial counts per partition, summed
-in one exchange to at most BUCKETS * languages cells, which is also the size of the model that is sent to executors.
+in one exchange to buckets * languages cells, which is also the size of the model that is sent to executors. There are
+BUCKETS buckets, or with hundreds of languages as many fewer as keep the model at CELLS cells.
 A document's words are drawn from a mixture of languages; a word's likelihood in a language is the product of its n-grams'
 probabilities, and expectation-maximisation estimates the document's proportions. The set of languages is chosen by
 penalised likelihood (BIC): of the sets that the languages form in order of their share, up to all of the model's, the one
@@ -27,8 +28,8 @@ from pyspark.sql.types import DoubleType, MapType, StringType, StructType
 from lodestrata.llm import shared
 
 GRAM, BUCKETS = 4, 1 << 16
-#: Languages that a model may have; more raise an error, so the model's size stays bounded.
-MAX_LANGUAGES = 200
+#: Cells that a model may have, of four bytes each.
+CELLS = 1 << 24
 #: EM ends when no mixture of the allowed languages can have a log likelihood that is larger by more than this.
 TOLERANCE = 0.01
 
@@ -37,8 +38,8 @@ NOT_LETTER = np.zeros(256, bool)
 NOT_LETTER[[*range(0x00, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 
 
-def _grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of all n-grams of words (with a mark before and after each word), the first of each word, words before each text."""
+def _grams(raw: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets (a power of two) of all n-grams of words (with a mark before and after each word), the first of each word, words before each text."""
     starts, ends, per_text = shared.words(raw, offsets, NOT_LETTER)
     size = ends - starts
     count = np.maximum(size + 2 - GRAM + 1, 1)  # words of one letter have one n-gram, ended early
@@ -51,7 +52,7 @@ def _grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         byte = np.where((p >= begin) & (p < end), raw[np.clip(p, 0, max(len(raw) - 1, 0))], 0).astype(np.uint32) if len(raw) else code
         code = code << np.uint32(8) | byte
     code = (code * np.uint32(2654435761)) >> np.uint32(16)
-    return code.astype(np.int64) % BUCKETS, first, per_text
+    return code.astype(np.int64) & (buckets - 1), first, per_text
 
 
 def _lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bool]]:
@@ -62,38 +63,36 @@ def _lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bool]]:
     return np.frombuffer(b"".join(data), np.uint8), np.r_[0, np.cumsum([len(x) for x in data])].astype(np.int64), letters
 
 
-def _counts(languages: list[str]):
+def _counts(languages: list[str], buckets: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), BUCKETS), np.int64)
+        total = np.zeros((len(languages), buckets), np.int64)
         number = {x: i for i, x in enumerate(languages)}
         for batch, _, _ in shared.chunks(batches, 0):
             raw, offsets, _ = _lowered(batch.column(0))
-            code, first, per_text = _grams(raw, offsets)
+            code, first, per_text = _grams(raw, offsets, buckets)
             grams = np.diff(first[per_text])
             lang = np.repeat([number[x] for x in batch.column(1).to_pylist()], grams)
-            total += np.bincount(lang * BUCKETS + code, minlength=total.size).reshape(total.shape)
+            total += np.bincount(lang * buckets + code, minlength=total.size).reshape(total.shape)
         cell = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cell // BUCKETS, pa.int32()), pa.array(cell % BUCKETS, pa.int32()), pa.array(total.ravel()[cell], pa.int64())], ["lang", "bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(cell // buckets, pa.int32()), pa.array(cell % buckets, pa.int32()), pa.array(total.ravel()[cell], pa.int64())], ["lang", "bucket", "n"])
 
     return of
 
 
 def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and log probabilities (BUCKETS, languages) from all rows of labelled (text, lang)."""
+    """Languages and log probabilities (buckets, languages) from all rows of labelled (text, lang)."""
     rows = labelled.where("lang is not null and text is not null").select("text", "lang")
-    languages = sorted(r["lang"] for r in rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     if not languages:
         return [], np.zeros((BUCKETS, 0), np.float32)
-    summed = rows.mapInArrow(_counts(languages), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    counts = np.zeros((BUCKETS, len(languages)))
-    for r in summed.toLocalIterator():  # at most BUCKETS * MAX_LANGUAGES cells
-        counts[r["bucket"], r["lang"]] = r["n"]
+    buckets = min(BUCKETS, 1 << max(1, (CELLS // len(languages)).bit_length() - 1))
+    summed = rows.mapInArrow(_counts(languages, buckets), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((buckets, len(languages)))
+    counts[summed["bucket"].to_numpy(), summed["lang"].to_numpy()] = summed["n"].to_numpy()
     # A language's bucket is smoothed towards the mean of all, so that rare n-grams favour none.
-    mean = (counts.sum(1) + 1) / (counts.sum() + BUCKETS)
+    mean = (counts.sum(1) + 1) / (counts.sum() + buckets)
     weight = 50.0
-    return languages, np.log((counts + weight * mean[:, None] * BUCKETS / 64) / (counts.sum(0) + weight * BUCKETS / 64)).astype(np.float32)
+    return languages, np.log((counts + weight * mean[:, None] * buckets / 64) / (counts.sum(0) + weight * buckets / 64)).astype(np.float32)
 
 
 def _fit(logs: np.ndarray, first: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,8 +126,8 @@ def _fit(logs: np.ndarray, first: np.ndarray, allowed: np.ndarray) -> tuple[np.n
 
 def mixtures(log_p: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each text the proportions (0 outside the chosen set) and the number of its words with evidence."""
-    k = log_p.shape[1]
-    code, first, per_text = _grams(raw, offsets)
+    buckets, k = log_p.shape
+    code, first, per_text = _grams(raw, offsets, buckets)
     words = np.diff(per_text)
     out = np.zeros((len(words), k))
     has = np.flatnonzero(words)

@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -24,6 +25,67 @@ def test_mixture_of_two_languages(spark, sf_dir):
     assert row.lang_pred == "en" and set(row.langs) == {"en", "fr"} and 0.5 < row.score < 0.85
 
 
+def test_hundreds_of_languages_share_the_cells(spark, monkeypatch):
+    monkeypatch.setattr(lang, "CELLS", 300 * 4096)
+    rng = np.random.default_rng(3)
+    words = {f"l{i:03}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(20)] for i in range(300)}
+    rows = spark.createDataFrame([(i, " ".join(w), name) for i, (name, w) in enumerate(words.items())], "doc_id long, text string, lang string")
+    languages, log_p = lang.train(rows)
+    assert languages == sorted(words) and log_p.shape == (4096, 300)
+    found = lang.identify(rows, (languages, log_p), "lang").collect()
+    assert sum(r.lang == r.lang_pred for r in found) >= 297
+
+
+def grams(text, buckets):
+    """Per word with a letter: the buckets of its byte 4-grams, by plain loops."""
+    out = []
+    for word in re.findall(rb"[A-Za-z\x80-\xff]+", text.lower().encode()):
+        marked = b"\0" + word + b"\0"
+        parts = [marked[i : i + 4] for i in range(max(1, len(marked) - 3))]
+        out.append([(int.from_bytes(g.ljust(4, b"\0"), "big") * 2654435761 % 2**32 >> 16) % buckets for g in parts])
+    return out
+
+
+def plain_em(words, allowed):
+    """Shares of the allowed columns and the log likelihood, by many plain rounds."""
+    p = words[:, allowed]
+    top = p.max(1, keepdims=True)
+    p, theta = np.exp(p - top), np.full(len(allowed), 1 / len(allowed))
+    for _ in range(3000):
+        theta = (p * theta / (p @ theta)[:, None]).mean(0)
+    return theta, float((np.log(p @ theta) + top[:, 0]).sum())
+
+
+def test_model_and_mixtures_equal_plain_loops(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    languages, log_p = lang.train(docs)
+    rows = docs.select("doc_id", "text", "lang").collect()
+    counts, buckets = np.zeros((lang.BUCKETS, len(languages))), lang.BUCKETS
+    for r in rows:
+        if r.lang is not None and r.text is not None:
+            for b in grams(r.text, buckets):
+                np.add.at(counts[:, languages.index(r.lang)], b, 1)
+    mean = (counts.sum(1) + 1) / (counts.sum() + buckets)
+    assert np.allclose(log_p, np.log((counts + 50 * mean[:, None] * buckets / 64) / (counts.sum(0) + 50 * buckets / 64)), atol=1e-5)
+    long = [" ".join(r.text for r in rows if r.lang == x and r.text)[2000:3000] for x in languages]
+    texts = [r.text for r in rows if r.text and len(r.text) < 1500][:40] + [long[0] + long[1], long[0][:600] + long[2][:300] + long[3], " ".join(long)]
+    found = lang.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), (languages, log_p), "doc_id").collect()
+    for r in found:
+        words = np.array([log_p[b].astype(float).sum(0) for b in grams(texts[r.doc_id], buckets)]).reshape(-1, len(languages))
+        if not len(words):
+            assert r.lang_pred == "und"
+            continue
+        order = np.argsort(-plain_em(words, list(range(len(languages))))[0], kind="stable")
+        single = int(words.sum(0).argmax())
+        best = (float(words[:, single].sum()), {single: 1.0})
+        for size in range(2, len(languages) + 1):
+            theta, likelihood = plain_em(words, list(order[:size]))
+            if likelihood - (size - 1) * np.log(len(words)) / 2 > best[0] + 0.02:
+                best = (likelihood - (size - 1) * np.log(len(words)) / 2, dict(zip(order[:size].tolist(), theta, strict=True)))
+        assert r.lang_pred == languages[max(best[1], key=best[1].get)]
+        assert all(abs(r.langs.get(languages[i], 0) - best[1].get(i, 0)) < 0.03 for i in range(len(languages)))
+
+
 def test_single_language_needs_no_second(spark):
     rng = np.random.default_rng(0)
     log_p = np.log(rng.dirichlet(np.ones(lang.BUCKETS) * 0.05, 2).T + 1e-9).astype(np.float32)
@@ -38,7 +100,7 @@ def test_a_set_may_have_every_language():
     log_p = np.log(rng.dirichlet(np.ones(lang.BUCKETS) * 0.05, k).T + 1e-9).astype(np.float32)
     vocabulary = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(4000)]
     raw = np.frombuffer(" ".join(vocabulary).encode(), np.uint8)
-    code, first, _ = lang._grams(raw, np.array([0, len(raw)]))
+    code, first, _ = lang._grams(raw, np.array([0, len(raw)]), lang.BUCKETS)
     of = np.add.reduceat(log_p[code], first[:-1]).argmax(1)
     text = " ".join(w for j, n in enumerate([size] * 3 + [size // 2, size // 4]) for w in [w for w, x in zip(vocabulary, of, strict=True) if x == j][:n]).encode()
     theta, words = lang.mixtures(log_p, np.frombuffer(text, np.uint8), np.array([0, len(text)]))
