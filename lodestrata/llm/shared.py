@@ -20,10 +20,12 @@ BROADCAST_IDS = 2_000_000
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the setting is absent (tests on one machine) a temporary folder takes its place.
+    Without the setting, a temporary folder takes its place on one machine; a cluster must name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/lodestrata/{tag}-{uuid.uuid4().hex[:12]}"
