@@ -1,8 +1,10 @@
 """Chat formatting with Spark expressions only: sorted turn structs, merged same-role turns, reversible escapes.
 
-A block is `<|role:R|>` text `<|next|>` text ... `<|end|>`: adjacent turns of one role share a block. Inside roles and
-texts `&`, `<`, `>` become `&amp;`, `&lt;`, `&gt;`, so no text can hold a mark, and every mark and every turn can be read
-back. `loss_spans` are the code points [start, end) of the assistant's texts in the formatted string.
+A conversation's turns are collected as structs and sorted. Runs of one role in the sorted array are merged into blocks,
+`<|role:R|>` text `<|next|>` text ... `<|end|>`, which are concatenated. Inside roles and texts `&`, `<`, `>` become
+`&amp;`, `&lt;`, `&gt;`, so no text can hold a mark, and every mark and every turn can be read back. An aggregation over the
+blocks sums their lengths to `loss_spans`: where the assistant's texts lie in the formatted string, in code points
+[start, end) and in bytes of UTF-8 [byte_start, byte_end), by which a text is cut out without a walk from the start.
 
 Defined results: null text and null role are empty; turns order by (turn, role, text) with null first, so ties and
 repeated rows have a fixed place; a null conv_id is a conversation of its own; an empty table gives no rows; other
@@ -11,7 +13,7 @@ columns are dropped.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NEXT, END = "<|next|>", "<|end|>"
@@ -26,37 +28,49 @@ def unescaped(c: Column) -> Column:
 
 
 def format_chat(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """conv_id, formatted, loss_spans array<struct<start,end>> of turns (conv_id, turn, role, text).
-
-    One exchange by conv_id serves both the running lengths and the final collection.
-    """
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    head = F.concat(F.lit("<|role:"), escaped(F.col("role")), F.lit("|>"))
-    opens = ~F.lag("role").over(order).eqNullSafe(F.col("role"))
-    closes = ~F.lead("role").over(order).eqNullSafe(F.col("role"))
-    rows = rows.select(
-        "conv_id",
-        F.row_number().over(order).alias("at"),
-        "role",
-        F.when(opens, head).otherwise(F.lit(NEXT)).alias("before"),
-        escaped(F.col("text")).alias("body"),
-        F.when(closes, F.lit(END)).otherwise(F.lit("")).alias("after"),
-    )
-    size = F.length("before") + F.length("body") + F.length("after")
-    to_here = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("end", F.sum(size).over(to_here) - F.length("after"))
-    turn = F.struct(
-        "at",
-        F.concat("before", "body", "after").alias("piece"),
-        (F.col("role") == loss_role).alias("loss"),
-        (F.col("end") - F.length("body")).alias("start"),
-        "end",
-    )
-    collected = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    spans = F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
-    return collected.select(
-        "conv_id", F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("formatted"), spans.alias("loss_spans")
+    """conv_id, formatted, loss_spans array<struct<start,end,byte_start,byte_end>> of turns (conv_id, turn, role, text)."""
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    collected = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    opens = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: ~_role(i).eqNullSafe(_role(i - 1)))  # where a run of one role begins
+    blocks = F.transform("opens", lambda at, k: _block(at, F.coalesce(F.get("opens", k + 1), F.size("turns")) - at))
+    blocks = collected.withColumn("opens", opens).select("conv_id", blocks.alias("blocks"))
+    spans = F.aggregate("blocks", _nothing(F.lit(0), F.lit(0)), lambda a, b: _past(a, b, loss_role), lambda a: a["spans"])
+    return blocks.select("conv_id", F.array_join(F.transform("blocks", _written), "").alias("formatted"), spans.alias("loss_spans"))
+
+
+def _role(i: Column) -> Column:
+    return F.when(i >= 0, F.get("turns", i)["role"])
+
+
+def _block(at: Column, n: Column) -> Column:
+    """The n turns from `at` on, all of one role, as that role and their texts, escaped."""
+    texts = F.transform(F.slice("turns", at + 1, n), lambda t: escaped(t["text"]))
+    return F.struct(F.concat(F.lit("<|role:"), escaped(_role(at)), F.lit("|>")).alias("head"), _role(at).alias("role"), texts.alias("texts"))
+
+
+def _written(b: Column) -> Column:
+    return F.concat(b["head"], F.array_join(b["texts"], NEXT), F.lit(END))
+
+
+def _nothing(at: Column, byte: Column) -> Column:
+    none = F.array().cast("array<struct<start:int,end:int,byte_start:int,byte_end:int>>")
+    return F.struct(at.cast("int").alias("at"), byte.cast("int").alias("byte"), none.alias("spans"))
+
+
+def _past(a: Column, b: Column, loss_role: str) -> Column:
+    """The state after a block: its end, and the spans so far with those of its texts if they count."""
+    first = _nothing(a["at"] + F.length(b["head"]), a["byte"] + F.octet_length(b["head"]))
+
+    def text(c: Column, x: Column) -> Column:
+        end, byte_end = c["at"] + F.length(x), c["byte"] + F.octet_length(x)
+        span = F.struct(c["at"].alias("start"), end.alias("end"), c["byte"].alias("byte_start"), byte_end.alias("byte_end"))
+        more = F.when(b["role"] == loss_role, F.concat(c["spans"], F.array(span))).otherwise(c["spans"])
+        return F.struct((end + len(NEXT)).alias("at"), (byte_end + len(NEXT)).alias("byte"), more.alias("spans"))
+
+    inner = F.aggregate(b["texts"], first, text)
+    add = len(END) - len(NEXT)  # the last text is followed by an end
+    return F.aggregate(
+        F.array(inner), a, lambda c, x: F.struct((x["at"] + add).alias("at"), (x["byte"] + add).alias("byte"), F.concat(c["spans"], x["spans"]).alias("spans"))
     )
 
 
@@ -65,10 +79,8 @@ def parse_chat(formatted: DataFrame) -> DataFrame:
     blocks = F.filter(F.split("formatted", r"<\|end\|>"), lambda b: b != "")
     role = lambda b: unescaped(F.regexp_extract(b, r"^<\|role:([^<>]*)\|>", 1))
     texts = lambda b: F.split(F.regexp_replace(b, r"^<\|role:[^<>]*\|>", ""), r"<\|next\|>")
-    turns = F.flatten(
-        F.transform(blocks, lambda b: F.transform(texts(b), lambda t: F.struct(role(b).alias("role"), unescaped(t).alias("text"))))
-    )
-    loss = F.transform(
-        "loss_spans", lambda s: unescaped(F.substring("formatted", (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
-    )
-    return formatted.withColumn("turns", turns).withColumn("loss_text", F.array_join(loss, ""))
+    read = formatted.withColumn("blocks", F.transform(blocks, lambda b: F.struct(role(b).alias("role"), texts(b).alias("texts"))))
+    turns = F.flatten(F.transform("blocks", lambda b: F.transform(b["texts"], lambda t: F.struct(b["role"].alias("role"), unescaped(t).alias("text")))))
+    data = F.col("formatted").cast("binary")
+    loss = F.transform("loss_spans", lambda s: unescaped(F.substring(data, s["byte_start"] + 1, s["byte_end"] - s["byte_start"]).cast("string")))
+    return read.withColumn("turns", turns).withColumn("loss_text", F.array_join(loss, "")).drop("blocks")
