@@ -39,6 +39,19 @@ def test_long_and_empty(spark):
     assert read_back(spark, []) == {}
 
 
+def test_running_sums(spark):
+    for n in (1, 127, 128, 129, 1000):
+        sizes = spark.createDataFrame([([i % 7 for i in range(n)],)], "s array<int>")
+        assert sizes.select(chat.starts(sizes.s).alias("x")).first().x == [sum(j % 7 for j in range(i)) for i in range(n)]
+
+
+def test_spans_are_code_points_of_the_formatted_string(spark):
+    rows = [(i % 3, i, ("user", "assistant", "assistant")[i % 5 % 3], "é<🙂" * (i % 4)) for i in range(60)]
+    for r in chat.format_chat(spark.createDataFrame(rows, SCHEMA)).collect():
+        said = [t for c, _, role, t in rows if c == r.conv_id and role == "assistant"]
+        assert [r.formatted[s.start : s.end].replace("&lt;", "<") for s in r.loss_spans] == said
+
+
 def test_extra_columns(spark):
     df = spark.createDataFrame([(1, 0, "user", "x", "y")], SCHEMA + ", formatted string")
     assert chat.format_chat(df).columns == ["conv_id", "formatted", "loss_spans"]
