@@ -13,11 +13,11 @@ columns are dropped.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm.shared import bound
+
 NEXT, END = "<|next|>", "<|end|>"
 #: Code points of a chunk when a formatted string is read back.
 CHUNK = 4096
@@ -25,11 +25,6 @@ CHUNK = 4096
 GROUP = 128
 
 
-def bound(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value) with value computed once, also where it is used for each element of an array."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def escaped(c: Column) -> Column:
     return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 

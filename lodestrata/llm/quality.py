@@ -15,11 +15,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.shared import stored
+from lodestrata.llm.shared import bound, stored
 
 SEPARATORS = r"[\x20\x09-\x0D]+"
-SEPARATOR_CHARS = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 
 #: name: (feature, side that is bad, bad from here on, good on this side of here or never); a rule abstains otherwise.
 #: Every kind of junk is seen by two rules or more, as EM learns a rule's accuracy from its agreement with others.
@@ -38,37 +37,49 @@ RULES: dict[str, tuple[str, str, float, float | None]] = {
 }
 
 
-def _count(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
-
-
 def features(docs: DataFrame) -> DataFrame:
     """doc_id and the measures of every whole text."""
     text = F.coalesce("text", F.lit(""))
     t = docs.select("doc_id", text.alias("t")).withColumn("w", F.array_remove(F.split("t", SEPARATORS), ""))
     n = F.size("w")
-    with_word = F.filter(F.split("t", "\n"), lambda x: F.length(F.translate(x, SEPARATOR_CHARS, "")) > 0)
+    with_word = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    count = lambda pattern: F.regexp_count("t", F.lit(pattern))
     t = t.withColumn("lines", with_word).select(
         "doc_id",
         "w",
         n.alias("n_words"),
-        F.length(F.translate("t", SEPARATOR_CHARS, "")).alias("word_chars"),
-        _count(F.col("t"), SYMBOLS).alias("n_symbols"),
+        F.length(F.array_join("w", "")).alias("word_chars"),
+        count(SYMBOLS).alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
         F.size("lines").alias("n_lines"),
-        (F.length("t") - F.length(F.regexp_replace("t", r"\p{Lu}", ""))).alias("n_upper"),
-        _count(F.col("t"), "!").alias("n_shouts"),
-        _count(F.col("t"), "|").alias("n_pipes"),
-        _count(F.col("t"), "0123456789").alias("n_digits"),
+        count(r"\p{Lu}").alias("n_upper"),
+        count("!").alias("n_shouts"),
+        count(r"\|").alias("n_pipes"),
+        count("[0-9]").alias("n_digits"),
     )
-    window = lambda i: F.struct(F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)).alias("h"), i.alias("p"))
-    none = F.array().cast("array<struct<h:bigint,p:int>>")
-    # Sorted by hash, equal windows are neighbours; their positions in text order then tell which words they cover.
-    t = t.withColumn("s", F.when(F.col("n_words") >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.col("n_words") - 3), window))).otherwise(none))
-    twice = lambda x, i: x["h"].eqNullSafe(F.get("s", i - 1)["h"]) | x["h"].eqNullSafe(F.get("s", i + 1)["h"])
-    t = t.withColumn("p", F.sort_array(F.transform(F.filter("s", twice), lambda x: x["p"])))
-    covered = F.transform("p", lambda x, i: F.least(F.lit(3), F.coalesce(F.get("p", i + 1) - x, F.lit(3))))
-    return t.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0), lambda a, x: a + x)).drop("w", "s", "p")
+    window = lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))
+    windows = F.when(F.col("n_words") >= 3, F.transform(F.sequence(F.lit(0), F.col("n_words") - 3), window)).otherwise(F.array().cast("array<bigint>"))
+    t = t.withColumn("h", windows)
+    # Most texts repeat no window; only where there are fewer different ones is it looked up which.
+    repeated = F.when(F.size(F.array_distinct("h")) < F.size("h"), _covered(F.col("h"))).otherwise(0)
+    return t.withColumn("n_repeat_words", repeated).drop("w", "h")
+
+
+def _covered(hashes: Column) -> Column:
+    """Words in windows whose hash occurs twice or more.
+
+    Sorted by hash, equal windows are neighbours; their positions in text order then tell which words they cover.
+    """
+
+    def positions(s: Column) -> Column:
+        twice = lambda x, i: x["h"].eqNullSafe(F.get(s, i - 1)["h"]) | x["h"].eqNullSafe(F.get(s, i + 1)["h"])
+        return F.sort_array(F.transform(F.filter(s, twice), lambda x: x["p"]))
+
+    def words(p: Column) -> Column:
+        return F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
+
+    placed = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("p")))
+    return bound(F.sort_array(placed), lambda s: bound(positions(s), words))
 
 
 def _measure(name: str) -> Column:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy helpers work on at a time; one longer text is worked on whole.
@@ -44,6 +44,11 @@ def small(ids: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.limit(bound + 1).count() <= bound else ids
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value computed once, also where it is used for each element of an array."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 # --- numpy over Arrow strings -------------------------------------------------------------------------------------
 
 SPACE = np.zeros(256, bool)
