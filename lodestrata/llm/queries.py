@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import chat, decontamination, html_text, language, mixing, ngram_join, quality, secrets, sharding, sstable
+from lodestrata.llm import chat, decontamination, html_text, language, mixing, ngram_join, quality, secrets, sharding, sql, sstable
 
 SHARDS = 8
 
@@ -154,4 +154,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": OP1_SQL, "op2_decontaminate": OP2_SQL, "op9_chat_format": OP9_SQL}
+    return {
+        "op1_ngram_jaccard": OP1_SQL,
+        "op2_decontaminate": OP2_SQL,
+        "op3_linked_secrets": sql.OP3,
+        "op7_byte_shards": sql.OP7,
+        "op9_chat_format": OP9_SQL,
+    }

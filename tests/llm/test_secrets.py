@@ -1,6 +1,9 @@
+import random
 import re
 
-from lodestrata.llm import secrets
+import duckdb
+
+from lodestrata.llm import secrets, sql
 
 
 def test_base_findings_by_plain_regex():
@@ -21,14 +24,48 @@ def test_weak_parts_need_a_complement(documents):
         (3, "see https://db.example.org/x only"),
         (4, "mail me at user@example.org, password=abcdefghijklmnop"),
         (5, f"https://db.example.org/x {'far ' * 200} {token}"),
+        (6, f"https://db.example.org/x\n \n{token}"),  # another block
+        (7, "card 4111111111111111 of user@example.org"),  # a number completes nothing
+        (8, f"version 999.1.1.1 or 1.2.3.4.5 {token}"),
+        (9, f"https://db.example.org/{token}"),  # a piece of the endpoint
+        (10, f"client_id={token}"),
+        (11, f"host 10.0.255.1. {token}"),
+        (12, "user@example.org 0123456789abcdef"),
     ]
     got = {r.doc_id: [s["kind"] for s in r.spans] for r in secrets.linked_spans(documents(rows)).collect()}
-    assert got == {1: [], 2: ["endpoint", "token"], 3: [], 4: ["id", "assign"], 5: []}
+    expected = {1: [], 2: ["endpoint", "token"], 3: [], 4: ["id", "assign"], 5: [], 6: [], 7: ["hex"], 8: [], 9: [], 10: [], 11: ["endpoint", "token"], 12: ["id", "hex"]}
+    assert got == expected
+
+
+def test_linking_equals_a_look_at_all_pairs_on_planted_documents(spark, documents, tmp_path):
+    """Random texts full of parts: the SQL compares every pair of them."""
+    rng = random.Random(4)
+    token = lambda: "".join(rng.choice("abcXYZ789-_/") for _ in range(rng.choice((8, 19, 20, 30)))) + rng.choice(("", "=", "==", "==="))
+    makers = [
+        token,
+        lambda: rng.choice(("password", "API_KEY", "Secret", "token")) + rng.choice(("=", ": ", '" : "')) + token(),
+        lambda: "AKIA" + "".join(rng.choice("AKI0Z") for _ in range(rng.choice((5, 13, 14, 20)))),
+        lambda: "".join(rng.choice("0123456789abcdef"[: rng.choice((10, 16))]) for _ in range(rng.choice((15, 16, 40)))),
+        lambda: f"{rng.choice(('client_id', 'UserName', 'key-id'))}={token()}",
+        lambda: "joe.x@mail.example.org",
+        lambda: f"https://h.example/{token()}",
+        lambda: ".".join(str(rng.choice((0, 7, 255, 256, 300))) for _ in range(rng.choice((3, 4, 4, 5)))),
+        lambda: "é word " * rng.choice((1, 5, 30)),
+    ]
+    rows = [(i, "".join(rng.choice(makers)() + rng.choice((" ", " ", "\n", "\n\n", "\n \n", "")) for _ in range(rng.randint(0, 40)))) for i in range(300)]
+    rows += rows[:5] + [(None, None), (None, rows[7][1])]
+    docs = documents(rows)
+    docs.select("doc_id", "text").coalesce(1).write.parquet(f"{tmp_path}/d.parquet")
+    connection = duckdb.connect()
+    connection.sql(f"create view documents as select * from '{tmp_path}/d.parquet/*.parquet'")
+    expected = sorted((str(r[0]), r[5]) for r in connection.sql(sql.OP3).fetchall())
+    got = sorted((str(r.doc_id), r.s) for r in secrets.linked_spans(docs).select("doc_id", secrets.digest("spans").alias("s")).collect())
+    assert got == expected and sum("token" in s for _, s in got) > 20
 
 
 def test_odd_rows(odd, documents):
     got = secrets.linked_spans(odd.withColumn("row", odd.doc_id).withColumn("kind", odd.lang)).collect()
-    assert len(got) == 10  # the repeated row is one document
+    assert len(got) == 11
     assert all(r.spans == [] for r in got)
     assert secrets.linked_spans(documents([])).collect() == []
 
