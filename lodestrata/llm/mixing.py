@@ -8,7 +8,9 @@ sequence hands to a source beyond its target stay unused, and the few blocks tha
 
 Scale: nothing is ranked or summed within a whole source. Streams are summed by (source, bin of the shuffle hash) and
 slots are ranked by (source, chunk of slots); only the totals of bins and chunks are cumulated. There are as many bins
-as a bin has rows, about, so both steps stay at the square root of the table and one source may hold any share of it. Points meet intervals in an equi-join on a grid of [0, 1), not in a range or cross join.
+as a bin has rows, about, so both steps stay at the square root of the table and one source may hold any share of it; the
+hash takes in the text, so rows with a null or repeated id spread like others. Points meet intervals in an equi-join on a
+grid of [0, 1), not in a range or cross join.
 
 Defined results: null text has size 0; documents of size 0 are never taken; sources order by code point with null last
 (null is a source of its own); repeated rows are separate documents; an empty table gives no rows; a doc_id may be null.
@@ -63,14 +65,14 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float
 
 def _streams(sized: DataFrame, bins: int) -> DataFrame:
     """Adds `offset`: words of the source's stream before the document."""
-    keyed = sized.withColumn("mixed", F.xxhash64(F.lit(17), "doc_id")).withColumn(
+    keyed = sized.withColumn("mixed", F.xxhash64(F.lit(17), "doc_id", "row")).withColumn(
         "bin", F.shiftrightunsigned("mixed", 34).cast("long") * bins / (1 << 30)
     )
     keyed = keyed.withColumn("bin", F.floor("bin"))
     per_bin = keyed.groupBy("src", "bin").agg(F.sum("size").alias("bin_size"))
     ahead = Window.partitionBy("src").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     per_bin = per_bin.select("src", "bin", F.coalesce(F.sum("bin_size").over(ahead), F.lit(0)).alias("bin_offset"))
-    within = Window.partitionBy("src", "bin").orderBy("mixed", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("src", "bin").orderBy("mixed", "doc_id", "row", "size").rowsBetween(Window.unboundedPreceding, -1)
     return keyed.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0))).join(per_bin, ["src", "bin"]).withColumn(
         "offset", F.col("inner") + F.col("bin_offset")
     )
@@ -103,17 +105,17 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: floa
 
     taken: words of the document in the mix, repeats counted; first_slot: the slot in which it first appears.
     """
-    sized = stored(docs.select("doc_id", "source", n_words().alias("size")), "sized")
+    sized = stored(docs.select("doc_id", "source", n_words().alias("size"), F.xxhash64("text").alias("row")), "sized")
     goals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
     order = Window.orderBy(F.col("source").isNull(), "source")
     goals = stored(goals.withColumn("src", F.row_number().over(order)).coalesce(1), "goals")
     facts = sized.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("total")).first()
     streams = _streams(
         sized.join(F.broadcast(goals) if goals.count() <= 100_000 else goals, sized["source"].eqNullSafe(goals["source"]))
-        .select("doc_id", "size", "src", "source_size", "target"),
+        .select("doc_id", "row", "size", "src", "source_size", "target"),
         math.isqrt(facts["n"]) + 1,
     )
-    streams = stored(streams.withColumn("row", F.monotonically_increasing_id()), "streams")
+    streams = stored(streams.drop("row").withColumn("row", F.monotonically_increasing_id()), "streams")
     # A pass of the stream puts the document at pass * source_size + offset; passes reach up to the target.
     goal = F.floor(F.col("target")).cast("long")
     begin = F.col("pass") * F.col("source_size") + F.col("offset")
