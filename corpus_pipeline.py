@@ -12,8 +12,12 @@ is written as Parquet and read again before the next stage.
    is full; documents without words go.
 5. token-ID output: sorted-string-table shards, read back as doc_id, start, n_tokens, ids_crc32.
 
-Defined results: an empty table passes through all stages as an empty table; extra columns of documents are kept up to the
-last stage; stages 2 and 3 judge rows by their own text, also where doc_id is null or repeated; rows without words stay.
+Defined results: an empty table passes through all stages as an empty table. Null and empty texts, and texts without a
+letter, have no language and go in stage 1; given to a later stage, they stay in 2 and 3, go in 4, and are the end id alone in
+5. Texts of any length are read whole. Ties go to the smaller id, rows of equal id and text count as copies of each other (one
+stays in stage 2; where stage 4 gets such rows, each appears as often as the most taken one), and a null id is an id like
+others. Stages 2 and 3 judge rows by their own text, also where doc_id is null or repeated. Extra columns of documents, of
+any name, are kept up to the last stage.
 """
 
 from __future__ import annotations
@@ -72,8 +76,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mixing.mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("mixed_id"), F.ceil(F.col("taken") / F.col("size")).alias("times"))
     taken = taken.groupBy("mixed_id").agg(F.max("times").alias("times"))  # repeated rows of one id share their copies
     copies = docs.join(taken, docs["doc_id"].eqNullSafe(taken["mixed_id"]))
-    each = F.explode(F.sequence(F.lit(1), taken["times"].cast("int"))).alias("__copy")
-    return copies.select(*[docs[c] for c in docs.columns], each).drop("__copy")
+    number = "copy_" + "_".join(docs.columns)  # a name that no column has
+    each = F.explode(F.sequence(F.lit(1), taken["times"].cast("int"))).alias(number)
+    return copies.select(*[docs[c] for c in docs.columns], each).drop(number)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -88,7 +93,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("token_output", token_output),
 ]
 
-#: Language mixtures, hash-ordered streams and token files are no SQL; tests compare with a brute-force version.
+#: Language mixtures, hash-ordered streams and token files are no SQL; tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 
