@@ -50,17 +50,17 @@ def xxhash64(*values):
     h = 42
     for v in values:
         if v is not None:
-            data = v.encode() if isinstance(v, str) else struct.pack("<i" if v == 17 else "<q", v)
+            data = v if isinstance(v, bytes) else v.encode() if isinstance(v, str) else struct.pack("<q", v)
             h = xxhash.xxh64_intdigest(data, h)
     return h - 2**64 if h >= 2**63 else h
 
 
-def plain_mix(rows, block, weights=(5, 2, 1), cap=3.0):
-    """(doc_id, size, taken, first_slot) by plain loops over (doc_id, text, source)."""
+def plain_mix(rows, block, goal=None):
+    """(doc_id, size, taken, first_slot) by plain loops over (doc_id, text, source); goal: the sources' targets, if given."""
     size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, (_, t, _) in enumerate(rows)}
     sources = sorted({r[2] for r in rows}, key=lambda s: (s is None, s or ""))
     own = {s: [i for i, r in enumerate(rows) if r[2] == s] for s in sources}
-    goal = water_fill({s: sum(size[i] for i in own[s]) for s in sources}, weights, cap)
+    goal = goal or water_fill({s: sum(size[i] for i in own[s]) for s in sources})
     total, slots = sum(size.values()), -(-sum(size.values()) // block)
     high, at = {}, 0.0
     for s in (s for s in sources if goal[s] > 0):
@@ -78,7 +78,7 @@ def plain_mix(rows, block, weights=(5, 2, 1), cap=3.0):
         key = {}
         for i in own[s]:
             text_hash = xxhash64(rows[i][1])
-            mixed = xxhash64(17, rows[i][0], text_hash)
+            mixed = xxhash64(struct.pack("<i", 17), rows[i][0], text_hash)
             key[i] = (((mixed % 2**64) >> 34) * bins // (1 << 30), mixed, rows[i][0] is not None, rows[i][0] or 0, text_hash, size[i])
         offset = 0
         for i in sorted(own[s], key=key.get):
