@@ -3,20 +3,43 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Turkish and Latin letters that fold to ASCII, and words that carry no search meaning.
-_FOLD_FROM = "çğıöşüâîûáàäãåéèêëíìïóòôõúùñÇĞİÖŞÜÂÎÛI"
-_FOLD_TO = "cgiosuaiuaaaaaeeeeiiioooouuncgiosuaiui"
-STOP_WORDS = ("and", "are", "for", "from", "has", "have", "how", "that", "the", "this", "was", "what", "when", "where", "which", "who", "why", "with", "you")
-CONFIG_STOP = ("API", "CSS", "GET", "HTML", "HTTP", "HTTPS", "ISR", "JSON", "POST", "SEO", "SQL", "SSG", "SSR", "TODO", "URL", "XML")
+# Words that carry no search meaning (Turkish and English), and capitals that name no configuration key.
+STOP_WORDS = tuple(
+    (
+        "hangi hangisi nedir nerede nereden nasil neden ne kim kac mi mu mus ve veya ile icin gibi daha bir bu su o da de ki ise ya "
+        "var yok olan oluyor yapiyor gelir gelen kullanilir kullaniyor calisir "
+        "the a an and or of in on for to is are does do what which where how why"
+    ).split()
+)
+CONFIG_STOP = ("API", "CDN", "CI", "CSR", "DFS", "HTML", "HTTP", "ISR", "JS", "JSON", "RCE", "RSC", "SHA", "SQL", "SSR", "TS", "TSX", "UI", "URL")
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Letters that are another letter with marks, and that letter; and the dotless i. A letter's marks are no letters."""
+    marked, plain = "ı", "i"
+    for c in map(chr, range(0xC0, 0x250)):
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if len(base) == 1 and base != c:
+            marked, plain = marked + c, plain + base
+    return marked, plain
+
+
+_FOLD_FROM, _FOLD_TO = _plain_letters()
 
 
 def fold(c: Column) -> Column:
-    """Lower case without accents; dotted and dotless i are one letter."""
-    return F.regexp_replace(F.lower(F.translate(c, _FOLD_FROM, _FOLD_TO)), "̇", "")
+    """Lower case without accents and other marks; dotted and dotless i are one letter."""
+    return F.lower(F.regexp_replace(F.translate(c, _FOLD_FROM, _FOLD_TO), r"[\x{300}-\x{36F}]", ""))
+
+
+def ascii_words(pattern: str) -> str:
+    r"""pattern with \b as a border of ASCII words, as \w has it; by itself it would also count letters beyond."""
+    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
 
 
 def camel_split(c: Column) -> Column:
@@ -29,14 +52,26 @@ def terms(c: Column, least: int = 3, stop: tuple[str, ...] = STOP_WORDS) -> Colu
     return F.array_except(F.array_distinct(found), F.array(*map(F.lit, stop)))
 
 
+def qualified_anchors(c: Column) -> tuple[Column, Column]:
+    """Files that a question names by a path, and symbols that it names by file#symbol."""
+    file = r"(?i)(?:[\w@.()\[\]-]+/)+[\w@.()\[\]-]+\.(?:[cm]?[jt]sx?|json|html|css|scss|md)"
+    symbol = r"[\w@.()\[\]/-]+\.[cm]?[jt]sx?#[A-Za-z_$][\w$]*"
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(file), F.lit(0))), F.array_distinct(F.regexp_extract_all(c, F.lit(symbol), F.lit(0)))
+
+
+#: A token: letters and digits of any script, after folding.
+TOKEN = r"[\p{L}\p{N}]+"
+
+
 def tokens(c: Column) -> Column:
-    """All runs of ASCII letters and digits, lower-cased, in order."""
-    return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
+    """All runs of letters and digits, folded, in order."""
+    return F.regexp_extract_all(fold(c), F.lit(TOKEN), F.lit(0))
 
 
 def route_key(c: Column) -> Column:
-    """What equal routes share: decoded, folded, without slashes at the end."""
-    decoded = F.coalesce(F.try_url_decode(c), c)
+    """What equal routes share: without blanks around, percent-decoded (a plus stays), folded, without slashes at the end."""
+    trimmed = F.trim(c)
+    decoded = F.coalesce(F.try_url_decode(F.replace(trimmed, F.lit("+"), F.lit("%2B"))), trimmed)
     cut = F.regexp_replace(fold(decoded), "/+$", "")
     return F.when(cut == "", "/").otherwise(cut)
 
@@ -77,7 +112,7 @@ def normal_remote(c: Column) -> Column:
 
 def config_anchors(c: Column) -> Column:
     """Configuration keys named in a question: capitals with digits and underscores, without common abbreviations."""
-    found = F.regexp_extract_all(c, F.lit(r"\b[A-Z][A-Z0-9_]{2,}\b"), F.lit(0))
+    found = F.regexp_extract_all(c, F.lit(ascii_words(r"\b[A-Z][A-Z0-9_]{2,}\b")), F.lit(0))
     return F.array_except(F.array_distinct(found), F.array(*map(F.lit, CONFIG_STOP)))
 
 
@@ -89,7 +124,7 @@ def route_anchor(c: Column) -> Column:
 
 def question_hash(c: Column) -> Column:
     """A short stable name for a question that doesn't reveal it."""
-    return F.substring(F.sha2(F.lower(F.trim(c)), 256), 1, 16)
+    return F.substring(F.sha2(F.lower(F.trim(c)), 256), 1, 32)
 
 
 def token_estimate(chars: Column, per_token: float = 3.5) -> Column:

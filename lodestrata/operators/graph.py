@@ -9,26 +9,26 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    """Cuts lineage at a hop; the reliable checkpoint lies in the folder all executors share."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+from lodestrata.sources.storage import stored
 
 
 def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None) -> DataFrame:
     """node, depth: all nodes that follow from seeds (node) along edges (src, dst), with their smallest depth.
 
-    Without a max_depth hops go on until no new node is found, which a finite graph makes sure of. Breadth first: each hop joins the frontier with the edges and drops visited nodes by an anti join, so a hop costs
-    its frontier's edges and a cycle ends by itself.
+    Without a max_depth hops go on until no new node is found, which a finite graph makes sure of. Breadth first: the edges
+    are written once, each hop joins its frontier with them and drops the nodes of all frontiers so far by an anti join,
+    so a hop costs its frontier's edges, and a cycle ends by itself.
     """
-    frontier = _kept(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
+    edges = stored(edges.select("src", "dst"), "edges")
+    frontier = stored(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "hop")
     visited = frontier
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = _kept(step.join(visited, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = stored(step.join(visited, "node", "left_anti").withColumn("depth", F.lit(depth)), "hop")
         if frontier.isEmpty():
             break
-        visited = _kept(visited.unionByName(frontier))
+        # Each hop is a table of its own; now and then they become one, so that plans stay short.
+        visited = visited.unionByName(frontier) if depth % 16 else stored(visited.unionByName(frontier), "visited")
     return visited
 
 

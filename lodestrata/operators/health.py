@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.sources.storage import small
+
 
 def level(value: Column, target: float, breach: float) -> Column:
     """met up to target, breach from breach on, warn between; unknown for null."""
@@ -29,15 +31,6 @@ def freshness_state(indexed: Column, known: Column, diverged: Column, behind: Co
     )
 
 
-def miss_class(results: Column, gaps: Column, stale: Column) -> Column:
-    """Why an answer fell short; null if it did not."""
-    return F.when(results == 0, "no-results").when(stale, "stale").when(gaps > 0, "partial")
-
-
-def length_bucket(chars: Column) -> Column:
-    return F.when(chars < 40, "xs").when(chars < 120, "s").when(chars < 400, "m").otherwise("l")
-
-
 def gate(checks: DataFrame) -> DataFrame:
     """name rows (name, value, threshold, at_least) -> decision: open, blocked or insufficient-evidence, with the failed checks."""
     passed = F.when(F.col("at_least"), F.col("value") >= F.col("threshold")).otherwise(F.col("value") <= F.col("threshold"))
@@ -56,6 +49,16 @@ def recall(expected: DataFrame, payloads: DataFrame, text: str) -> DataFrame:
     return out.withColumn("recall", F.round(F.col("n_found") / F.col("n_expected"), 4))
 
 
+def token_recall(expected: DataFrame, payloads: DataFrame, case: str, tokens: str) -> DataFrame:
+    """case, n_expected, n_found, recall: which of the expected tokens (needle) the payloads of each case hold together."""
+    needles = expected.select("needle").distinct()
+    said = payloads.select(case, F.explode(F.array_distinct(tokens)).alias("needle")).join(small(needles), "needle").distinct()
+    found = said.groupBy(F.col(case).alias("_case")).agg(F.count("*").alias("n_found"))
+    cases = payloads.select(case).distinct().join(needles.agg(F.count("*").alias("n_expected")))
+    out = cases.join(found, F.col(case).eqNullSafe(F.col("_case")), "left").select(case, "n_expected", F.coalesce("n_found", F.lit(0)).alias("n_found"))
+    return out.withColumn("recall", F.when(F.col("n_expected") == 0, 1.0).otherwise(F.round(F.col("n_found") / F.col("n_expected"), 4)))
+
+
 def ledger(cases: DataFrame) -> DataFrame:
     """Adds nominal and effective saving to cases (baseline, engine, clean): a case that is not clean costs the engine's share on top."""
     nominal = F.col("baseline") - F.col("engine")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.sources.storage import small, stored
+
 
 def exact_else_any(left: DataFrame, right: DataFrame, key: Sequence[str], also: Sequence[str], value: str) -> DataFrame:
     """Adds `match`: right's smallest value with key and also equal, else its smallest value with key equal, else null."""
@@ -33,6 +35,29 @@ def first_per(df: DataFrame, key: Sequence[str], *order: str | Column) -> DataFr
     return ranked.where("_rn = 1").drop("_rn")
 
 
+def best_per(df: DataFrame, key: Sequence[str], score: str, id: str) -> DataFrame:
+    """key, id, score of each key's row with the largest score, of equal ones the smallest id; partial maxima before the exchange."""
+    best = df.groupBy(*key).agg(F.max(F.struct(F.col(score).alias("s"), (-F.col(id)).alias("neg"))).alias("b"))
+    return best.select(*key, (-F.col("b.neg")).alias(id), F.col("b.s").alias(score))
+
+
+def numbered(df: DataFrame, key: Sequence[str], *order: str | Column) -> DataFrame:
+    """Adds `at`, the place (from 1) of each row of a key in the given order of columns, without a key in one task.
+
+    Rows are dealt by ranges of (key, order) and numbered in their partition; the partitions' counts add up to what
+    lies before.
+    """
+    parts = stored(df.repartitionByRange(*key, *order).withColumn("_part", F.spark_partition_id()), "numbered")
+    sizes = parts.groupBy(*key, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    sizes = sizes.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = F.col("_part") == F.col("_p")
+    for k in key:
+        same = same & parts[k].eqNullSafe(F.col(f"_{k}"))
+    own = F.row_number().over(Window.partitionBy(*key, "_part").orderBy(*order))
+    return parts.withColumn("_own", own).join(sizes, same).select(*df.columns, (F.col("_own") + F.col("_before")).alias("at"))
+
+
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> DataFrame:
     """Adds to each left row right's latest value at or before it: one sort of both sides by key and time, no pairs."""
     both = left.withColumn("_v", F.lit(None).cast(right.schema[value].dataType)).withColumn("_side", F.lit(1)).unionByName(
@@ -42,10 +67,10 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> D
     return both.withColumn("as_of", F.last("_v", ignorenulls=True).over(before)).where("_side = 1").drop("_v", "_side")
 
 
-def multiset_match(stored: DataFrame, fresh: DataFrame, key: str, stored_id: str, fresh_id: str) -> DataFrame:
+def multiset_match(old: DataFrame, fresh: DataFrame, key: str, stored_id: str, fresh_id: str) -> DataFrame:
     """Pairs rows of equal key one to one, in id order: (key, stored_id, fresh_id), null where no partner is left."""
-    number = lambda df, i: df.select(key, i, F.row_number().over(Window.partitionBy(key).orderBy(i)).alias("_n"))
-    return number(stored, stored_id).join(number(fresh, fresh_id), [key, "_n"], "full").drop("_n")
+    number = lambda df, i: numbered(df.select(key, i), [key], i).withColumnRenamed("at", "_n")
+    return number(old, stored_id).join(number(fresh, fresh_id), [key, "_n"], "full").drop("_n")
 
 
 def nearest_rank(values: Column, share: float) -> Column:
@@ -55,15 +80,16 @@ def nearest_rank(values: Column, share: float) -> Column:
 
 
 def nearest_rank_by(df: DataFrame, key: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Nearest-rank percentiles per key, exact and without collecting a key's values in one array.
-
-    Equal values are counted first, so a key's window holds its distinct values only.
-    """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count("*").alias("_c"))
-    upto = Window.partitionBy(*key).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.withColumn("_upto", F.sum("_c").over(upto)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*key)))
-    place = lambda s: F.least(F.col("_n"), F.floor(F.col("_n") * F.lit(s)) + 1)
-    return ranked.groupBy(*key).agg(*[F.min(F.when(F.col("_upto") >= place(s), F.col(value))).alias(name) for name, s in shares.items()])
+    """Nearest-rank percentiles per key, exact, with neither a key's values in one array nor in one task."""
+    ranked = numbered(df.where(F.col(value).isNotNull()).select(*key, value), key, value)
+    sizes = ranked.groupBy(*key).agg(F.max("at").alias("_size"))
+    places = [F.struct(F.lit(name).alias("name"), F.least(F.col("_size"), F.floor(F.col("_size") * F.lit(s)) + 1).alias("at")) for name, s in shares.items()]
+    wanted = sizes.select(*[F.col(k).alias(f"_{k}") for k in key], F.explode(F.array(*places)).alias("_w"))
+    same = ranked["at"] == F.col("_w.at")
+    for k in key:
+        same = same & ranked[k].eqNullSafe(F.col(f"_{k}"))
+    found = ranked.join(small(wanted), same)
+    return found.groupBy(*key).agg(*[F.min(F.when(F.col("_w.name") == name, F.col(value))).alias(name) for name in shares])
 
 
 def ratio(part: Column, whole: Column, digits: int = 4) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions.text import matcher_regex, terms, url_path
 from lodestrata.operators import graph, health, relational
 from lodestrata.plans import query
+from lodestrata.sources.storage import small
 from lodestrata.sources.tables import Tables
 
 _EDGES = """edges AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer
@@ -45,11 +46,12 @@ def graph_two_hop_reach(t: Tables) -> DataFrame:
     return graph.two_hop(_edges(t))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 500 AS src, l_suppkey % 500 AS dst FROM lineitem WHERE l_quantity > 49),
-  walk(node) AS (SELECT 1 UNION SELECT dst FROM walk JOIN e ON src = node) SELECT CAST(node AS BIGINT) AS node FROM walk""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem),
+  walk(node) AS (SELECT min(p_partkey) FROM part UNION SELECT dst FROM walk JOIN e ON src = node) SELECT CAST(node AS BIGINT) AS node FROM walk""")
 def graph_transitive_closure(t: Tables) -> DataFrame:
-    edges = t.lineitem.where("l_quantity > 49").select((F.col("l_partkey") % 500).alias("src"), (F.col("l_suppkey") % 500).alias("dst")).distinct()
-    return graph.closure(edges, t.part.where("p_partkey = 1").select(F.col("p_partkey").alias("node")))
+    # Every line leads from its part to its supplier's number, which is a part's number again.
+    edges = t.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+    return graph.closure(edges, t.part.agg(F.min("p_partkey").alias("node")))
 
 
 _ALIAS = "a AS (SELECT o_orderkey AS name, o_orderkey // 3 AS target FROM orders WHERE o_orderkey % 2 = 0)"
@@ -89,7 +91,7 @@ def graph_flow_dfs(t: Tables) -> DataFrame:
 
 @query("""WITH n AS (SELECT DISTINCT p_partkey AS node, unnest(regexp_extract_all(lower(p_name), '[a-z0-9]{3,}')) AS term FROM part),
   q AS (SELECT DISTINCT unnest(regexp_extract_all(lower(p_name), '[a-z0-9]{3,}')) AS term FROM part WHERE p_partkey <= 3),
-  e AS (SELECT DISTINCT l_partkey AS src, l_partkey % 100 + 1 AS dst FROM lineitem WHERE l_linenumber = 1),
+  e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem),
   w AS (SELECT src, dst FROM e UNION SELECT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src),
   own AS (SELECT node, count(DISTINCT term) AS own FROM n JOIN q USING (term) GROUP BY 1),
   ar AS (SELECT src AS node, count(DISTINCT term) AS around FROM w JOIN n ON n.node = w.dst JOIN q USING (term) WHERE src <> dst GROUP BY 1),
@@ -99,7 +101,7 @@ def graph_flow_dfs(t: Tables) -> DataFrame:
 def seed_scoring(t: Tables) -> DataFrame:
     nodes = t.part.select(F.col("p_partkey").alias("node"), F.explode(terms(F.col("p_name"), stop=("",))).alias("term"))
     asked = nodes.where("node <= 3").select("term")
-    edges = t.lineitem.where("l_linenumber = 1").select(F.col("l_partkey").alias("src"), (F.col("l_partkey") % 100 + 1).alias("dst"))
+    edges = t.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
     return graph.seed_scores(nodes, asked, edges)
 
 
@@ -133,27 +135,33 @@ def middleware_matchers(t: Tables) -> DataFrame:
     return t.pages.select("page_id", hit("/en/:rest*").alias("english"), hit("/:lang/:id").alias("two_parts"))
 
 
-@query("""WITH b AS (SELECT item_id, array_to_string(regexp_extract_all(lower(text), '[a-z]+')[1:6], ' ') AS phrase FROM benchmark),
+@query("""WITH b AS (SELECT item_id, array_to_string(regexp_extract_all(lower(text), '[a-z]+'), ' ') AS phrase FROM benchmark),
   d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z]+'), ' ') || ' ' AS t FROM documents)
   SELECT item_id, count(doc_id) AS n_docs FROM b LEFT JOIN d ON contains(t, ' ' || phrase || ' ') GROUP BY 1""")
 def theta_phrase_contains(t: Tables) -> DataFrame:
-    # Phrases meet the documents' windows of as many words in an equi-join, not by trying all pairs. An item of fewer than
-    # six words is a shorter phrase; one without words is found, as in SQL, in documents without words.
+    # The hash of a phrase's first words, up to six, meets the hashes of the documents' windows of as many words in an equi-join;
+    # what meets is compared whole. An item without words is found, as in SQL, in documents without words.
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    part = lambda w, i, n: F.array_join(F.slice(w, i, n), " ")
     listed = t.benchmark.select("item_id", words.alias("w"))
     lengths = [r[0] for r in listed.where("w is not null").select(F.least(F.size("w"), F.lit(6))).distinct().collect()]  # 0 to 6
-    items = listed.select("item_id", part(F.col("w"), F.lit(1), F.lit(6)).alias("phrase"))
-    docs = t.documents.select("doc_id", words.alias("w"))
-    windows = None
-    for n in lengths:
-        starts, size = F.sequence(F.lit(1), F.size("w") - (n - 1)), F.lit(n)
-        phrases = F.array_distinct(F.transform(starts, lambda i: part(F.col("w"), i, size))) if n else F.array(F.lit(""))  # noqa: B023
-        these = docs.where(F.size("w") >= n if n else F.size("w") == 0).select("doc_id", F.explode(phrases).alias("phrase"))
-        windows = these if windows is None else windows.unionByName(these)
-    if windows is None:
-        return items.groupBy("item_id").agg(F.lit(0).cast("long").alias("n_docs"))
-    found = windows.join(items.select("phrase").distinct(), "phrase").groupBy("phrase").agg(F.count("doc_id").alias("n"))
+    first = F.coalesce(*[F.when(F.least(F.size("w"), F.lit(6)) == n, F.xxhash64(F.lit(n), *[F.get("w", F.lit(k)) for k in range(n)])) for n in lengths], F.lit(None).cast("long"))
+    items = listed.select("item_id", F.array_join("w", " ").alias("phrase"), first.alias("start"))
+    phrases = small(items.where("start is not null").select("phrase", "start").distinct())
+
+    def windows(n: int):
+        if not n:
+            return F.when(F.size("w") == 0, F.array(F.xxhash64(F.lit(0))))
+        start = lambda i: F.xxhash64(F.lit(n), *[F.get("w", i + k) for k in range(n)])
+        return F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), start))
+
+    starts = [windows(n) for n in lengths]
+    docs = t.documents.select("doc_id", words.alias("w")).where("w is not null")
+    none = F.array().cast("array<bigint>")
+    all_starts = F.array_distinct(F.flatten(F.array(*[F.coalesce(x, none) for x in starts]))) if starts else none
+    docs = docs.select("doc_id", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("text"), all_starts.alias("starts"))
+    # Starts that no phrase has are dropped by a join of numbers alone, before texts are repeated.
+    met = docs.select("doc_id", "text", F.explode("starts").alias("start")).join(phrases, "start")
+    found = met.where(F.contains("text", F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))).groupBy("phrase").agg(F.count("doc_id").alias("n"))
     return items.join(found, "phrase", "left").groupBy("item_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_docs"))
 
 
@@ -166,7 +174,7 @@ def leak_substring_scan(t: Tables) -> DataFrame:
     known = t.documents.select(F.explode(F.regexp_extract_all("text", F.lit(secret), F.lit(1))).alias("value")).distinct()
     runs = F.regexp_extract_all("text", F.lit("[A-Za-z0-9]{16,}"), F.lit(0))
     windows = lambda run: F.transform(F.sequence(F.lit(1), F.length(run) - 15), lambda i: run.substr(i, F.lit(16)))
-    rows = t.documents.select("doc_id", "text", F.xxhash64("text").alias("row"))
+    rows = t.documents.where(F.col("text").rlike("[A-Za-z0-9]{16}")).select("doc_id", "text", F.xxhash64("text").alias("row"))
     starts = rows.select("doc_id", "row", F.explode(F.array_distinct(F.flatten(F.transform(runs, windows)))).alias("start"))
     hits = starts.join(known.withColumn("start", F.substring("value", 1, 16)), "start").select(F.col("doc_id").alias("id"), F.col("row").alias("at"), "value").distinct()
     found = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("at"))).where(F.contains("text", F.col("value")))
@@ -189,11 +197,11 @@ def evidence_gate(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", verdict.alias("verdict"))
 
 
-@query("""WITH x AS (SELECT item_id % 8 AS case_id, regexp_extract(lower(text), '[a-z]{4,}', 0) AS needle FROM benchmark),
-  p AS (SELECT doc_id AS case_id, lower(text) AS payload FROM documents WHERE doc_id < 8)
-  SELECT case_id, count(*) AS n_expected, count(*) FILTER (contains(payload, needle)) AS n_found, round(count(*) FILTER (contains(payload, needle)) / count(*), 4) AS recall
-  FROM x LEFT JOIN p USING (case_id) GROUP BY 1""")
+@query("""WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS needle FROM benchmark),
+  f AS (SELECT DISTINCT source, needle FROM (SELECT source, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}'))) AS needle FROM documents) JOIN n USING (needle))
+  SELECT s.source, (SELECT count(*) FROM n) AS n_expected, count(f.needle) AS n_found, round(count(f.needle) / (SELECT count(*) FROM n), 4) AS recall
+  FROM (SELECT DISTINCT source FROM documents) s LEFT JOIN f ON f.source IS NOT DISTINCT FROM s.source GROUP BY 1""")
 def eval_recall(t: Tables) -> DataFrame:
-    expected = t.benchmark.select((F.col("item_id") % 8).alias("case_id"), F.regexp_extract(F.lower("text"), "[a-z]{4,}", 0).alias("needle"))
-    payloads = t.documents.where("doc_id < 8").select(F.col("doc_id").alias("case_id"), F.lower("text").alias("payload"))
-    return health.recall(expected, payloads, "payload")
+    # Each source is a case that should hold the words of all benchmark items.
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))
+    return health.token_recall(t.benchmark.select(F.explode(words).alias("needle")), t.documents.select("source", words.alias("w")), "source", "w")

@@ -262,11 +262,12 @@ def except_files(t: Tables) -> DataFrame:
     return t.supplier.select(F.col("s_nationkey").alias("nation")).subtract(rich)
 
 
-@query("""SELECT o_custkey AS key, 'added' AS change FROM orders WHERE year(o_orderdate) = 1997 EXCEPT SELECT o_custkey, 'added' FROM orders WHERE year(o_orderdate) = 1996
-  UNION ALL (SELECT o_custkey, 'removed' FROM orders WHERE year(o_orderdate) = 1996 EXCEPT SELECT o_custkey, 'removed' FROM orders WHERE year(o_orderdate) = 1997)""")
+@query("""SELECT o_custkey AS key, 'added' AS change FROM orders WHERE year(o_orderdate) > 1995 EXCEPT SELECT o_custkey, 'added' FROM orders WHERE year(o_orderdate) <= 1995
+  UNION ALL (SELECT o_custkey, 'removed' FROM orders WHERE year(o_orderdate) <= 1995 EXCEPT SELECT o_custkey, 'removed' FROM orders WHERE year(o_orderdate) > 1995)""")
 def except_added_removed(t: Tables) -> DataFrame:
-    of = lambda y: t.orders.where(F.year("o_orderdate") == y).select(F.col("o_custkey").alias("key")).distinct()
-    before, after = of(1996), of(1997)
+    late = F.year("o_orderdate") > 1995
+    of = lambda rows: t.orders.where(rows).select(F.col("o_custkey").alias("key")).distinct()
+    before, after = of(~late), of(late)
     added = after.join(before, "key", "left_anti").withColumn("change", F.lit("added"))
     return added.unionByName(before.join(after, "key", "left_anti").withColumn("change", F.lit("removed")))
 
@@ -283,15 +284,16 @@ def scd_reconcile(t: Tables) -> DataFrame:
     return history.reconcile(old, seen, ["o_custkey"], "new").drop("removed_sha")
 
 
-_DIFF = """WITH b AS (SELECT {k}, count(*) AS n, max(o_orderpriority) AS p FROM orders WHERE year(o_orderdate) = 1995 GROUP BY 1),
-  a AS (SELECT {k}, count(*) AS n, max(o_orderpriority) AS p FROM orders WHERE year(o_orderdate) = 1996 GROUP BY 1)
+_DIFF = """WITH b AS (SELECT {k}, count(*) AS n, max(o_orderpriority) AS p FROM orders WHERE year(o_orderdate) <= 1995 GROUP BY 1),
+  a AS (SELECT {k}, count(*) AS n, max(o_orderpriority) AS p FROM orders WHERE year(o_orderdate) > 1995 GROUP BY 1)
   SELECT coalesce(b.{k}, a.{k}) AS {k}, CASE WHEN b.{k} IS NULL THEN 'added' WHEN a.{k} IS NULL THEN 'removed' ELSE 'changed' END AS change
   FROM b FULL JOIN a ON b.{k} = a.{k} WHERE b.n IS DISTINCT FROM a.n OR b.p IS DISTINCT FROM a.p"""
 
 
 def _diff(t: Tables, key: str) -> DataFrame:
-    of = lambda y: t.orders.where(F.year("o_orderdate") == y).groupBy(key).agg(F.count("*").alias("n"), F.max("o_orderpriority").alias("p"))
-    return history.diff(of(1995), of(1996), [key], ["n", "p"])
+    late = F.year("o_orderdate") > 1995
+    of = lambda rows: t.orders.where(rows).groupBy(key).agg(F.count("*").alias("n"), F.max("o_orderpriority").alias("p"))
+    return history.diff(of(~late), of(late), [key], ["n", "p"])
 
 
 @query(_DIFF.format(k="o_custkey"))

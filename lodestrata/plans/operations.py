@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.functions import rules
 from lodestrata.operators import health
 from lodestrata.plans import query
 from lodestrata.sources.tables import Tables
@@ -55,20 +56,28 @@ def freshness_slo(t: Tables) -> DataFrame:
     return g.withColumn("overall", health.worst(health.level(F.col("stale"), 5, 40), health.level(F.col("drift"), 10, 30)))
 
 
-@query("""SELECT event_id, CASE WHEN value < 5 THEN 'no-results' WHEN user_id % 11 = 0 THEN 'stale' WHEN event_id % 4 > 0 THEN 'partial' END AS miss
-  FROM events WHERE value IS NOT NULL""")
+#: An event as an answer: its error, gaps, number of results and fallback.
+_MISS = """CASE WHEN user_id % 13 = 0 THEN 'engine-error' WHEN user_id % 7 = 0 THEN 'wrong-intent' WHEN user_id % 11 = 0 THEN 'engine-error'
+  WHEN value IS NULL OR value < 5 THEN 'missing-fact' WHEN event_type = 'error' OR event_id % 4 = 0 THEN 'missing-evidence' END"""
+
+
+def _answers(t: Tables) -> DataFrame:
+    user = F.col("user_id")
+    gaps = F.when(user % 7 == 0, "Seed could not be resolved.").when(user % 11 == 0, "one; Semantic graph unavailable")
+    fallback = F.when((F.col("event_type") == "error") | (F.col("event_id") % 4 == 0), "targeted-source").otherwise("none")
+    miss = rules.miss_class(F.when(user % 13 == 0, "timeout"), gaps, F.when(F.col("value") < 5, 0).otherwise(F.col("value").cast("long")), fallback)
+    return t.events.select("event_id", "event_type", miss.alias("miss"))
+
+
+@query(f"SELECT event_id, {_MISS} AS miss FROM events")
 def derive_miss_class(t: Tables) -> DataFrame:
-    miss = health.miss_class(F.when(F.col("value") < 5, 0).otherwise(1), F.col("event_id") % 4, F.col("user_id") % 11 == 0)
-    return t.events.where("value is not null").select("event_id", miss.alias("miss"))
+    return _answers(t).select("event_id", "miss")
 
 
-@query("""WITH m AS (SELECT event_type, CASE WHEN value < 5 THEN 'no-results' WHEN user_id % 11 = 0 THEN 'stale' WHEN event_id % 4 > 0 THEN 'partial' END AS miss FROM events WHERE value IS NOT NULL),
-  c AS (SELECT event_type, coalesce(miss, 'none') AS miss, count(*) AS n FROM m GROUP BY 1, 2)
+@query(f"""WITH c AS (SELECT event_type, coalesce({_MISS}, 'none') AS miss, count(*) AS n FROM events GROUP BY 1, 2)
   SELECT *, round(n / sum(n) OVER (PARTITION BY event_type), 4) AS rate FROM c""")
 def classify_miss(t: Tables) -> DataFrame:
-    miss = health.miss_class(F.when(F.col("value") < 5, 0).otherwise(1), F.col("event_id") % 4, F.col("user_id") % 11 == 0)
-    rows = t.events.where("value is not null").select("event_type", F.coalesce(miss, F.lit("none")).alias("miss"))
-    counted = rows.groupBy("event_type", "miss").agg(F.count("*").alias("n"))
+    counted = _answers(t).groupBy("event_type", F.coalesce("miss", F.lit("none")).alias("miss")).agg(F.count("*").alias("n"))
     return counted.withColumn("rate", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("event_type")), 4))
 
 
@@ -112,8 +121,11 @@ def economy_ledger(t: Tables) -> DataFrame:
   f AS (SELECT source, min(rank) FILTER (lang = 'de') AS first FROM r GROUP BY 1)
   SELECT round(count(*) FILTER (first <= 5) / count(*), 4) AS recall_at_5, round(count(*) FILTER (first <= 10) / count(*), 4) AS recall_at_10 FROM f""")
 def recall_at_k(t: Tables) -> DataFrame:
-    ranked = t.documents.select("source", "lang", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).alias("rank"))
-    first = ranked.groupBy("source").agg(F.min(F.when(F.col("lang") == "de", F.col("rank"))).alias("first"))
+    # The rank of a source's first hit is one more than the number of its rows that come before, so nothing is sorted.
+    rows = t.documents.select("source", "lang", F.struct("n_chars", (-F.col("doc_id")).alias("neg")).alias("at"))
+    best = rows.groupBy("source").agg(F.max(F.when(F.col("lang") == "de", F.col("at"))).alias("hit"))
+    ahead = rows.join(best, "source").groupBy("source").agg(F.count_if(F.col("at") > F.col("hit")).alias("n"), F.first("hit").alias("hit"))
+    first = ahead.select("source", F.when(F.col("hit").isNotNull(), F.col("n") + 1).alias("first"))
     within = lambda k: F.round(F.avg(F.coalesce((F.col("first") <= k).cast("int"), F.lit(0))), 4).alias(f"recall_at_{k}")
     return first.agg(within(5), within(10))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.functions import text
+from lodestrata.functions import rules, text
 from lodestrata.operators import budget, relational, search
 from lodestrata.plans import query
 from lodestrata.sources.tables import Tables
@@ -13,7 +13,7 @@ from lodestrata.sources.tables import Tables
 QUERY = ("the", "license", "thing", "worthless", "released")
 _TERMS = ", ".join(f"('{x}')" for x in QUERY)
 
-_BM25 = f"""tok AS (SELECT doc_id, source, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents),
+_BM25 = f"""tok AS (SELECT doc_id, source, regexp_extract_all(lower(strip_accents(text)), '[\\p{{L}}\\p{{N}}]+') AS t FROM documents),
   stat AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
   q(term) AS (VALUES {_TERMS}),
   post AS (SELECT doc_id, term, len(t) AS dl, len(list_filter(t, lambda x: x = term)) AS tf FROM tok, q),
@@ -28,7 +28,7 @@ def bm25_topk(t: Tables) -> DataFrame:
     return scored.orderBy(F.desc("score"), "doc_id").limit(20)
 
 
-@query("SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z0-9])mit[^a-z0-9]+license([^a-z0-9]|$)')")
+@query("SELECT doc_id FROM documents WHERE regexp_matches(lower(strip_accents(text)), '(^|[^\\p{L}\\p{N}])mit[^\\p{L}\\p{N}]+license([^\\p{L}\\p{N}]|$)')")
 def fts_phrase(t: Tables) -> DataFrame:
     return search.phrase_match(t.documents, "doc_id", "text", ["mit", "license"])
 
@@ -138,7 +138,7 @@ def rank_dedupe(t: Tables) -> DataFrame:
 @query(f"""WITH f AS (SELECT source, doc_id, round(CAST(0.12 * fr + 0.15 * eq + 0.05 * es AS DOUBLE), 6) AS score FROM ({_FEATURES}))
   SELECT source, doc_id, score FROM f QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) = 1""")
 def rank_best_per_entity(t: Tables) -> DataFrame:
-    return relational.first_per(_ranked(t), ["source"], F.desc("score"), "doc_id").select("source", "doc_id", "score")
+    return relational.best_per(_ranked(t), ["source"], "score", "doc_id").select("source", "doc_id", "score")
 
 
 @query(f"""WITH {_BM25}, f AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm QUALIFY rank <= 100),
@@ -162,13 +162,13 @@ def tokenize_camel(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.array_join(found, " ").alias("terms"))
 
 
-@query("""WITH w AS (SELECT unnest(['license', 'released', 'thing', 'ering']) AS w), d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(substr(text, 1, 600)), '[a-z0-9]+')) AS g FROM documents WHERE lang = 'en')
+@query("""WITH w AS (SELECT unnest(['license', 'released', 'thing', 'ering']) AS w), d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(strip_accents(substr(text, 1, 600))), '[\\p{L}\\p{N}]+')) AS g FROM documents)
   SELECT doc_id, round(sum(CASE WHEN len(list_filter(g, lambda x: x = w OR (length(x) >= 4 AND (starts_with(x, w) OR starts_with(w, x))))) > 0 THEN 1 ELSE 0 END) / 4.0, 4) AS relevance
   FROM d, w GROUP BY 1""")
 def relevance_score(t: Tables) -> DataFrame:
     given = F.array_distinct(text.tokens(F.substring("text", 1, 600)))
     wanted = F.array(*map(F.lit, ("license", "released", "thing", "ering")))
-    docs = t.documents.where("lang = 'en'").select("doc_id", given.alias("g"))
+    docs = t.documents.select("doc_id", given.alias("g"))
     return docs.select("doc_id", F.round(text.hit_ratio(wanted, F.col("g")), 4).alias("relevance"))
 
 
@@ -193,7 +193,7 @@ def normalize_remote(t: Tables) -> DataFrame:
     return t.pages.select("page_id", text.normal_remote(F.col("url")).alias("remote"))
 
 
-@query("SELECT conv_id, turn, substr(sha256(lower(trim(text))), 1, 16) AS hash FROM conversations WHERE role = 'user' AND text IS NOT NULL")
+@query("SELECT conv_id, turn, substr(sha256(lower(trim(text))), 1, 32) AS hash FROM conversations WHERE role = 'user' AND text IS NOT NULL")
 def query_hash(t: Tables) -> DataFrame:
     return t.conversations.where("role = 'user' and text is not null").select("conv_id", "turn", text.question_hash(F.col("text")).alias("hash"))
 
@@ -203,10 +203,10 @@ def token_estimate(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.token_estimate(F.col("n_chars")).alias("tokens"))
 
 
-@query("""SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(text, '\\b[A-Z][A-Z0-9_]{2,}\\b'), lambda x: x NOT IN ('API', 'CSS', 'GET', 'HTML', 'HTTP', 'HTTPS', 'ISR', 'JSON', 'POST', 'SEO', 'SQL', 'SSG', 'SSR', 'TODO', 'URL', 'XML')))) AS n
-  FROM documents WHERE lang = 'en'""")
+@query("""SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(coalesce(text, ''), '\\b[A-Z][A-Z0-9_]{2,}\\b'), lambda x: x NOT IN ('API', 'CDN', 'CI', 'CSR', 'DFS', 'HTML', 'HTTP', 'ISR', 'JS', 'JSON', 'RCE', 'RSC', 'SHA', 'SQL', 'SSR', 'TS', 'TSX', 'UI', 'URL')))) AS n
+  FROM documents""")
 def anchors_extract(t: Tables) -> DataFrame:
-    return t.documents.where("lang = 'en'").select("doc_id", F.size(text.config_anchors(F.col("text"))).cast("long").alias("n"))
+    return t.documents.select("doc_id", F.size(text.config_anchors(F.coalesce("text", F.lit("")))).cast("long").alias("n"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_type LIKE '%A%' THEN 'config:' || p_name WHEN p_size > 25 THEN 'route:/' || p_brand ELSE 'fact:' || p_name END AS entity FROM part""")
@@ -227,28 +227,67 @@ def alias_expand(t: Tables) -> DataFrame:
     return rows.groupBy("doc_id", "canonical").agg(F.count("*").alias("n_aliases"), F.max(F.length("alias")).alias("strength"))
 
 
-@query("""WITH r(intent, pattern, weight) AS (VALUES ('lookup', '\\b(what|where|which)\\b', 5), ('debug', '\\b(error|fail|why)\\b', 7), ('impact', '\\b(if|change|the)\\b', 6), ('flow', '\\b(from|to)\\b', 6)),
-  s AS (SELECT conv_id, turn, intent, sum(weight) AS score FROM conversations JOIN r ON regexp_matches(lower(text), pattern) WHERE role = 'user' GROUP BY ALL),
-  k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, intent) AS n, lead(score) OVER (PARTITION BY conv_id, turn ORDER BY score DESC, intent) AS next FROM s)
-  SELECT conv_id, turn, CASE WHEN score < 4 OR score = next THEN 'unknown' ELSE intent END AS intent, score, CAST(score - coalesce(next, 0) AS BIGINT) AS margin FROM k WHERE n = 1""")
+def _values(rows) -> str:
+    quoted = lambda x: str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({', '.join(map(quoted, r))})" for r in rows)
+
+
+@query(f"""WITH r(intent, weight, pattern) AS (VALUES {_values((i, w, p) for i, rules_ in rules.INTENT_RULES.items() for w, p in rules_)}),
+  c AS (SELECT conv_id, turn, lower(strip_accents(replace(text, 'ı', 'i'))) AS said FROM conversations WHERE role = 'user'),
+  n AS (SELECT DISTINCT intent FROM r),
+  s AS (SELECT conv_id, turn, n.intent, coalesce(sum(weight) FILTER (regexp_matches(said, pattern)), 0) AS score FROM c, n JOIN r ON r.intent = n.intent GROUP BY ALL),
+  k AS (SELECT *, row_number() OVER o AS n, score - lead(score) OVER o AS margin FROM s WINDOW o AS (PARTITION BY conv_id, turn ORDER BY score DESC, intent DESC))
+  SELECT conv_id, turn, CASE WHEN score >= 4 AND margin > 0 THEN intent ELSE 'unknown' END AS intent,
+    CASE WHEN score < 4 OR margin = 0 THEN 'low' WHEN score >= 7 AND margin >= 3 THEN 'high' WHEN margin >= 2 THEN 'medium' ELSE 'low' END AS confidence,
+    CAST(score AS INTEGER) AS score, CAST(margin AS INTEGER) AS margin FROM k WHERE n = 1""")
 def intent_score_rules(t: Tables) -> DataFrame:
-    rules = [("lookup", r"\b(what|where|which)\b", 5), ("debug", r"\b(error|fail|why)\b", 7), ("impact", r"\b(if|change|the)\b", 6), ("flow", r"\b(from|to)\b", 6)]
-    fired = [F.struct(F.when(F.lower("text").rlike(p), w).otherwise(0).cast("long").alias("score"), F.lit(i).alias("intent")) for i, p, w in rules]
-    scores = F.filter(F.array(*fired), lambda x: x["score"] > 0)
-    order = lambda a, b: F.when(a["score"] != b["score"], b["score"] - a["score"]).when(a["intent"] < b["intent"], -1).otherwise(1).cast("int")
-    rows = t.conversations.where("role = 'user'").select("conv_id", "turn", F.array_sort(scores, order).alias("s")).where(F.size("s") > 0)
-    best, second = F.get("s", F.lit(0)), F.coalesce(F.get("s", F.lit(1))["score"], F.lit(0))
-    intent = F.when((best["score"] < 4) | (best["score"] == second), "unknown").otherwise(best["intent"])
-    return rows.select("conv_id", "turn", intent.alias("intent"), best["score"].alias("score"), (best["score"] - second).cast("long").alias("margin"))
-
-
-@query("""SELECT conv_id, turn, CASE WHEN length(text) < 40 THEN 'xs' WHEN length(text) < 120 THEN 's' WHEN length(text) < 400 THEN 'm' ELSE 'l' END AS bucket,
-  len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) AS words FROM conversations WHERE text IS NOT NULL""")
+    return t.conversations.where("role = 'user'").select("conv_id", "turn", rules.intent(F.col("text")).alias("i")).select("conv_id", "turn", "i.*")
+
+
+@query(f"""WITH r(place, kind, pattern) AS (VALUES {_values((i, k, p) for i, (k, p) in enumerate(rules.TYPE_TERMS.items()))}),
+  f AS (SELECT doc_id, text, list(kind ORDER BY place) FILTER (regexp_matches(text, '(?i)' || pattern)) AS kinds FROM documents, r GROUP BY ALL)
+  SELECT doc_id, coalesce(array_to_string(CASE WHEN list_contains(kinds, 'analytics_event') AND NOT regexp_matches(text, '(?i)\\b(schema|validation|zod|yup|valibot|formdata|form payload|json payload)\\b')
+    THEN list_filter(kinds, lambda x: x <> 'schema_contract') ELSE kinds END, ','), '') AS kinds FROM f""")
+def memory_type_inference(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.array_join(rules.memory_types(F.coalesce("text", F.lit(""))), ",").alias("kinds"))
+
+
+#: Parts of paths, dealt to pages by their number.
+_FOLDERS = ("", "src/", "app/", "src/app/shop/", "pages/", "services/", "src/providers/", "lib/api/", "docs/")
+_FILES = ("package.json", "yarn.lock", "next.config.mjs", "middleware.ts", "Dockerfile", ".env.local", "robots.txt", "page.tsx", "client.js", "README.md", "queries\\list.ts")
+_FILE = f"replace({list(_FOLDERS)!r}[page_id % {len(_FOLDERS)} + 1] || {list(_FILES)!r}[page_id // {len(_FOLDERS)} % {len(_FILES)} + 1], '\\\\', '/')"
+
+
+@query(f"""WITH p AS (SELECT page_id, {_FILE} AS file FROM pages),
+  k AS (SELECT *, CASE {' '.join(f"WHEN regexp_matches(file, '{p}') THEN {i}" for i, (p, _) in enumerate(rules.PATH_KINDS))} ELSE -1 END AS rule FROM p)
+  SELECT page_id, file, CASE rule {' '.join(f"WHEN {i} THEN '{','.join(k.split())}'" for i, (_, k) in enumerate(rules.PATH_KINDS))} ELSE '' END
+    || CASE WHEN rule = {len(rules.PATH_KINDS) - 1} AND regexp_matches(file, '(^|/)(?:app|pages)/') THEN ',route' ELSE '' END AS kinds FROM k""")
+def change_classifier(t: Tables) -> DataFrame:
+    # Kinds that the second list adds beside `route` are among a source's kinds already.
+    at = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i + 1).cast("int"))
+    folder = at(_FOLDERS, F.col("page_id") % len(_FOLDERS))
+    path = F.concat(folder, at(_FILES, F.floor(F.col("page_id") / len(_FOLDERS)) % len(_FILES)))
+    file = F.replace(path, F.lit("\\"), F.lit("/"))
+    return t.pages.select("page_id", file.alias("file"), F.array_join(rules.path_kinds(path), ",").alias("kinds"))
+
+
+@query(r"""WITH n AS (SELECT p_partkey, ['react', '@team/ui', 'axios', 'zustand', 'sass', 'next-auth', 'vitest', 'segment', 'left-pad', 'react-query'][p_size % 10 + 1] AS name, ['^', '', 'next@', '~', 'v'][p_partkey % 5 + 1] || p_size || '.1.0' AS version FROM part)
+  SELECT p_partkey, CASE WHEN starts_with(name, '@team/') THEN 'internal-package' WHEN name = 'react' THEN 'framework/runtime' WHEN name IN ('axios', 'react-query') THEN 'data-fetching'
+    WHEN name = 'zustand' THEN 'state-management' WHEN name = 'sass' THEN 'styling' WHEN name = 'next-auth' THEN 'authentication' WHEN name = 'vitest' THEN 'testing' WHEN name = 'segment' THEN 'analytics' END AS category,
+    TRY_CAST(coalesce(nullif(regexp_extract(version, '(?i)(?:^|\bnext[-@/])v?(\d{1,2})\.', 1), ''), nullif(regexp_extract(version, '^[~^<>=\s]*v?(\d{1,2})\.', 1), '')) AS INTEGER) AS major FROM n""")
+def package_profile(t: Tables) -> DataFrame:
+    names = ("react", "@team/ui", "axios", "zustand", "sass", "next-auth", "vitest", "segment", "left-pad", "react-query")
+    at = lambda of, i: F.element_at(F.array(*map(F.lit, of)), (i + 1).cast("int"))
+    version = F.concat(at(("^", "", "next@", "~", "v"), F.col("p_partkey") % 5), F.col("p_size").cast("string"), F.lit(".1.0"))
+    return t.part.select("p_partkey", rules.package_category(at(names, F.col("p_size") % 10), "@team/").alias("category"), rules.next_major(version).alias("major"))
+
+
+@query(r"""SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '\S+')) AS INTEGER) AS words,
+  CASE WHEN length(text) < 40 THEN 'xs' WHEN length(text) < 120 THEN 's' WHEN length(text) < 400 THEN 'm' ELSE 'l' END AS bucket, regexp_matches(text, '[çğıöşüÇĞİÖŞÜ]') AS turkish,
+  regexp_matches(text, '(^|\s)/[\w\[\]/-]*') AS route, regexp_matches(text, '[\w/-]+\.(?:tsx?|jsx?|json|mjs|cjs)\b') AS file, regexp_matches(text, '\b[A-Z][A-Z0-9_]{3,}\b') AS config
+  FROM conversations WHERE text IS NOT NULL""".replace("\\\\", "\\"))
 def query_shape_buckets(t: Tables) -> DataFrame:
-    from lodestrata.operators.health import length_bucket
-
-    words = F.size(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r]+"), F.lit(0))).cast("long")
-    return t.conversations.where("text is not null").select("conv_id", "turn", length_bucket(F.length("text")).alias("bucket"), words.alias("words"))
+    return t.conversations.where("text is not null").select("conv_id", "turn", rules.question_shape(F.col("text")).alias("s")).select("conv_id", "turn", "s.*")
 
 
 @query("""SELECT doc_id, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')), ['the', 'license', 'thing', 'released'])) AS overlap

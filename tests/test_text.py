@@ -8,6 +8,7 @@ def one(spark, value, f):
     return spark.createDataFrame([(value,)], "x string").select(f(F.col("x")).alias("y")).first().y
 
 
+# How a framework's page files name routes.
 @pytest.mark.parametrize(
     ("path", "route"),
     [
@@ -25,14 +26,18 @@ def test_path_to_route(spark, path, route):
     assert one(spark, path, text.path_to_route) == route
 
 
-@pytest.mark.parametrize(("given", "key"), [("/İletişim/", "/iletisim"), ("/sa%C4%9Fl%C4%B1k", "/saglik"), ("/a%ZZ", "/a%zz"), ("/", "/"), ("IĞDIR", "igdir")])
+@pytest.mark.parametrize(("given", "key"), [("/İletişim/", "/iletisim"), ("/sa%C4%9Fl%C4%B1k", "/saglik"), ("/a%ZZ", "/a%zz"), ("/", "/"), ("IĞDIR", "igdir"), ("/c+d", "/c+d"), (" /Ŝtona ", "/stona")])
 def test_route_key(spark, given, key):
     assert one(spark, given, text.route_key) == key
 
 
+def test_tokens_of_any_script(spark):
+    assert one(spark, "Özgür café, naïve Straße 漢字 ñandú_9", text.tokens) == ["ozgur", "cafe", "naive", "straße", "漢字", "nandu", "9"]
+
+
 def test_terms_and_anchors(spark):
-    assert one(spark, "How does getUserName use the Şifre field?", text.terms) == ["does", "get", "user", "name", "use", "sifre", "field"]
-    assert one(spark, "Where is API_URL read, GET or POST_KEY?", text.config_anchors) == ["API_URL", "POST_KEY"]
+    assert one(spark, "How does getUserName use the Şifre field?", text.terms) == ["get", "user", "name", "use", "sifre", "field"]
+    assert one(spark, "Where is API_URL read, GET or POST_KEY?", text.config_anchors) == ["API_URL", "GET", "POST_KEY"]
     assert one(spark, "See https://x.y/z and src/app.ts then /account/[id].", text.route_anchor) == "/account/[id]."
     assert one(spark, "nothing here", text.route_anchor) is None
 
