@@ -37,6 +37,11 @@ def fold(c: Column) -> Column:
     return F.lower(F.regexp_replace(F.translate(c, _FOLD_FROM, _FOLD_TO), r"[\x{300}-\x{36F}]", ""))
 
 
+def plain(said: str) -> str:
+    """fold for a string that the driver holds."""
+    return re.sub("[\u0300-\u036f]", "", said.translate(str.maketrans(_FOLD_FROM, _FOLD_TO))).lower()
+
+
 def ascii_words(pattern: str) -> str:
     r"""pattern with \b as a border of ASCII words, as \w has it; by itself it would also count letters beyond."""
     return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.functions.text import tokens
+from lodestrata.functions import rules
+from lodestrata.functions.arrays import bound
+from lodestrata.functions.text import camel_split, config_anchors, hit_ratio, plain, qualified_anchors, route_anchor, route_key, terms, tokens
+from lodestrata.sources.storage import small, stored
 
 # BM25's parameters and floor, and the weights of the ranking features (their sum is 1).
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -22,22 +27,61 @@ WEIGHTS = {
 }
 
 
-def postings(docs: DataFrame, doc_id: str, text: str, only: Sequence[str] | None = None) -> DataFrame:
-    """doc_id, term, tf, dl of the tokens of text. `only` keeps some terms before anything is exchanged."""
-    listed = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("_t")).withColumn("dl", F.size("_t"))
-    if only is not None:
-        listed = listed.withColumn("_t", F.filter("_t", lambda t: t.isin(*only)))
-    return listed.select("doc_id", "dl", F.explode("_t").alias("term")).groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
+# Kinds of facts that answer a question of an intent best.
+PREFERRED = {
+    "lookup": "repository_profile rendering configuration next_config special_file dependency api_dependency build seo",
+    "explain-flow": "server_function api_dependency data_fetching schema_contract module_contract cache cache_invalidation authorization analytics_event rendering configuration",
+    "impact": "server_function module_contract schema_contract next_config configuration dependency api_dependency rendering shared_package design_system",
+    "debug": "error_handling server_function module_contract schema_contract api_dependency configuration authorization security cache cache_invalidation rendering",
+    "implementation-plan": "server_function module_contract schema_contract business_rule api_dependency authorization rendering cache cache_invalidation next_config build design_system",
+    "change-review": "technical_debt server_function schema_contract analytics_event rendering api_dependency next_config configuration build",
+    "verify": "build error_handling technical_debt",
+}
+#: Folders that the postings of a stored index are dealt to, by term.
+BUCKETS = 64
+
+
+def phrases(question: str, aliases: Sequence[str] = (), most: int = 12) -> list[tuple[str, ...]]:
+    """A question's search phrases: its words of two characters or more, and aliases, each as the tokens it holds.
+
+    A word with marks inside (`/cart/[id]`, `next-auth`) is a phrase: its tokens count only one after another.
+    """
+    said = [w for w in re.findall(r"[\w@./:-]+", question) if len(w) >= 2][:most] + list(aliases)[:most]
+    found = (tuple(re.findall(r"[^\W_]+", plain(w))) for w in said)
+    return sorted({p for p in found if p})
+
+
+def _hits(tokens_: Column, wanted: Sequence[tuple[str, ...]]) -> Column:
+    """The wanted phrases as often as a list of tokens holds them."""
+    single = [p[0] for p in wanted if len(p) == 1]
+
+    def places(listed: Column, phrase: tuple[str, ...]) -> Column:
+        begins = lambda i: reduce(lambda x, k: x & F.get(listed, i + k).eqNullSafe(F.lit(phrase[k])), range(1, len(phrase)), F.get(listed, i) == phrase[0])
+        return F.filter(F.sequence(F.lit(0), F.greatest(F.size(listed) - len(phrase), F.lit(0))), begins)
+
+    def of(listed: Column) -> Column:
+        found = [F.filter(listed, lambda t: t.isin(*single))] if single else []
+        found += [F.array_repeat(F.lit(" ".join(p)), F.size(places(listed, p))) for p in wanted if len(p) > 1]
+        return F.concat(*found) if found else F.array().cast("array<string>")
+
+    return bound(tokens_, of)
 
 
-def bm25(docs: DataFrame, doc_id: str, text: str, query: Sequence[str]) -> DataFrame:
-    """doc_id, score: BM25 of the distinct query terms; larger is better.
+def bm25(docs: DataFrame, doc_id: str, text: str, query: Sequence[str | tuple[str, ...]]) -> DataFrame:
+    """doc_id, score: BM25 of the distinct query terms or phrases (tuples of tokens); larger is better.
 
-    One scan makes (doc, term) rows of query terms only; document counts and mean length come from a second, narrow one.
+    One scan reads the texts; what it keeps, each document's length and its hits, is written and read for counts and scores.
     """
-    query = sorted(set(query))
-    found = postings(docs, doc_id, text, query)
-    stats = docs.select(F.size(tokens(F.coalesce(F.col(text), F.lit("")))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    wanted = sorted({(q,) if isinstance(q, str) else q for q in query})
+    listed = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    narrow = stored(listed.select("doc_id", F.size("_t").alias("dl"), _hits(F.col("_t"), wanted).alias("hits")), "hits")
+    found = narrow.select("doc_id", "dl", F.explode("hits").alias("term")).groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
+    return _scored(found, narrow)
+
+
+def _scored(found: DataFrame, lengths: DataFrame) -> DataFrame:
+    """doc_id, score of postings (doc_id, term, dl, tf) of query terms, given all documents' lengths (dl)."""
+    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = found.groupBy("term").agg(F.count("*").alias("df"))  # one row a query term
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
     weights = df.join(F.broadcast(stats)).select("term", idf.alias("idf"), "avgdl")
@@ -45,12 +89,52 @@ def bm25(docs: DataFrame, doc_id: str, text: str, query: Sequence[str]) -> DataF
     return found.join(F.broadcast(weights), "term").groupBy("doc_id").agg(F.sum(F.col("idf") * tf).alias("score"))
 
 
+def _postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    listed = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t")).withColumn("dl", F.size("_t"))
+    return listed.select("doc_id", "dl", F.explode("_t").alias("term")).groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
+
+
+def _bucket(term: Column | str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def _write_index(postings: DataFrame, lengths: DataFrame, path: str) -> None:
+    dealt = postings.withColumn("bucket", _bucket("term"))
+    dealt.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    lengths.write.parquet(f"{path}/lengths")
+
+
+def build_index(docs: DataFrame, doc_id: str, text: str, path: str) -> str:
+    """Writes an inverted index of docs: postings in folders by term, and each document's length. Gives its path."""
+    lengths = docs.select(F.col(doc_id).alias("doc_id"), F.size(tokens(F.coalesce(F.col(text), F.lit("")))).alias("dl"))
+    _write_index(_postings(docs, doc_id, text), lengths, path)
+    return path
+
+
+def update_index(old: str, changed: DataFrame, removed: DataFrame, doc_id: str, text: str, path: str) -> str:
+    """Writes the index that follows from `old` when documents changed or came (changed) and went (removed: doc_id).
+
+    Only changed texts are read. The old index stays as it is, so readers of it go on, and a failed update leaves nothing.
+    """
+    spark = changed.sparkSession
+    gone = stored(changed.select(F.col(doc_id).alias("doc_id")).unionByName(removed.select(F.col(doc_id).alias("doc_id"))).distinct(), "gone")
+    keep = lambda part: spark.read.parquet(f"{old}/{part}").join(gone, "doc_id", "left_anti")
+    lengths = changed.select(F.col(doc_id).alias("doc_id"), F.size(tokens(F.coalesce(F.col(text), F.lit("")))).alias("dl"))
+    _write_index(keep("postings").drop("bucket").unionByName(_postings(changed, doc_id, text)), keep("lengths").unionByName(lengths), path)
+    return path
+
+
+def index_bm25(spark: SparkSession, path: str, query: Sequence[str]) -> DataFrame:
+    """doc_id, score of query terms from a stored index: only the folders of these terms are read, and in them their rows."""
+    terms_ = sorted(set(query))
+    found = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(*[_bucket(F.lit(t)) for t in terms_]) & F.col("term").isin(*terms_))
+    return _scored(found.select("doc_id", "term", "dl", "tf"), spark.read.parquet(f"{path}/lengths"))
+
+
 def phrase_match(docs: DataFrame, doc_id: str, text: str, phrase: Sequence[str]) -> DataFrame:
     """doc_id of the documents that hold the tokens of phrase one after another."""
-    listed = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("t"))
-    at = F.sequence(F.lit(1), F.greatest(F.size("t") - len(phrase) + 1, F.lit(1)))
-    same = lambda i: F.slice("t", i, len(phrase)) == F.array(*map(F.lit, phrase))
-    return listed.where(F.exists(at, same)).select("doc_id")
+    listed = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    return listed.where(F.size(_hits(F.col("t"), [tuple(phrase)])) > 0).select("doc_id")
 
 
 def l2(a: Column, b: Column) -> Column:
@@ -88,10 +172,23 @@ def clamp(c: Column) -> Column:
 
 
 def evidence_quality(confidence: Column, quality: Column, has_evidence: Column, located: Column, is_env: Column) -> Column:
-    """A fact's own quality, or one by its confidence; more with evidence and with a place, less from an env file."""
+    """A fact's own quality as it is given; else one by its confidence, more with evidence and with a place, less from an env file."""
     base = F.when(confidence.isin("verified", "observed"), 0.55).when(confidence == "derived", 0.45).when(confidence == "inferred", 0.25).otherwise(0.35)
     extra = F.when(has_evidence, 0.2).otherwise(0.0) + F.when(located, 0.2).otherwise(0.0) - F.when(is_env, 0.35).otherwise(0.0)
-    return clamp(F.coalesce(quality, base) + extra)
+    return clamp(F.coalesce(quality, base + extra))
+
+
+def task_fit(kind: Column, intent: Column, exact: Column, boosted: Column) -> Column:
+    """How well a kind of fact fits a question's intent: 1 for an exact anchor; kinds that the question names weigh more."""
+    fits = F.coalesce(*[F.when((intent == i) & kind.isin(*kinds.split()), F.lit(True)) for i, kinds in PREFERRED.items()], F.lit(False))
+    base = F.when(fits, 0.8).when(intent == "unknown", 0.25).when(kind.isin("business_capability", "performance_observation"), 0.3).otherwise(0.55)
+    return F.when(exact, 1.0).otherwise(clamp(base + F.when(boosted, 0.2).otherwise(0.0)))
+
+
+def entity_specificity(entity: Column, subject: Column) -> Column:
+    """1 for routes, configuration keys and symbols, less for files, least for other names."""
+    named = F.contains(entity, F.lit(":route:")) | F.contains(entity, F.lit(":config:")) | F.contains(subject, F.lit("#"))
+    return F.when(named, 1.0).when(subject.rlike(r"\.[cm]?[jt]sx?(?::\d+)?$"), 0.8).otherwise(0.6)
 
 
 def freshness(sha: Column, current: Column) -> Column:
@@ -99,18 +196,22 @@ def freshness(sha: Column, current: Column) -> Column:
 
 
 def score(features: dict[str, Column]) -> Column:
-    """The weighted sum of features; one that is missing counts 0."""
-    return sum((F.lit(w) * features[name] for name, w in WEIGHTS.items() if name in features), F.lit(0.0))
-
-
-def entity_key(kind: Column, subject: Column) -> Column:
-    """What one entity is called whatever fact names it: configuration keys, routes, or the fact's kind and subject."""
-    plain = F.regexp_replace(subject, r":\d+$", "")
-    key = F.regexp_replace(plain, "^config:", "")
-    is_config = (kind == "configuration") | plain.startswith("config:")
-    return F.when(is_config, F.concat(F.lit("config:"), key)).when(plain.startswith("/"), F.concat(F.lit("route:"), plain)).otherwise(
-        F.concat(kind, F.lit(":"), plain)
+    """The weighted sum of all features."""
+    if missing := WEIGHTS.keys() - features.keys():
+        raise ValueError(f"no value for {', '.join(sorted(missing))}")
+    return sum((F.lit(w) * features[name] for name, w in WEIGHTS.items()), F.lit(0.0))
+
+
+def entity_key(repository: Column, kind: Column, subject: Column) -> Column:
+    """What one entity of a repository is called whatever fact names it: configuration keys, routes, or the fact's kind and subject."""
+    name = F.regexp_replace(F.trim(F.regexp_replace(F.trim(subject), r":\d+$", " ")), r"\s+", " ")
+    is_config = (kind == "configuration") | ((kind == "dependency") & name.rlike("(?i)^config:"))
+    own = (
+        F.when(is_config, F.concat(F.lit("config:"), F.regexp_replace(name, "(?i)^config:", "")))
+        .when(name.rlike("(?i)^route:"), F.concat(F.lit("route:"), F.substring(name, 7, 1_000_000)))
+        .otherwise(F.concat(kind, F.lit(":"), name))
     )
+    return F.concat(repository, F.lit(":"), own)
 
 
 def rank_dedupe(hits: DataFrame, key: str, score: str, id: str, limit: int) -> DataFrame:
@@ -120,5 +221,50 @@ def rank_dedupe(hits: DataFrame, key: str, score: str, id: str, limit: int) -> D
     return grouped.select(key, (-F.col("best.neg")).alias(id), F.col("best.s").alias(score), "n_duplicates").orderBy(F.desc(score), key).limit(limit)
 
 
+def relevance(wanted: Column, subject: Column, source_file: Column, content: Column) -> Column:
+    """Three parts the share of wanted terms in subject and file, one part that in the first 600 letters of the content."""
+    split = lambda c: tokens(camel_split(F.coalesce(c, F.lit(""))))
+    own = F.concat(split(subject), split(source_file))
+    return F.when(F.size(wanted) == 0, 0.5).otherwise(clamp(0.75 * hit_ratio(wanted, own) + 0.25 * hit_ratio(wanted, split(F.substring(content, 1, 600)))))
+
+
+def hybrid(facts: DataFrame, hits: DataFrame, question: str, limit: int = 10, types: Sequence[str] = ()) -> DataFrame:
+    """entity, id, score, n_duplicates, channels: the best facts for a question among the hits of all channels.
+
+    facts: id, repository, kind, subject, content, source_file, commit_sha, repository_sha, confidence, quality, n_evidence,
+    n_located; hits: as union_channels gives them, few rows, which is checked before they are broadcast to the facts. Given
+    types filter; kinds that the question names only weigh more. A fact that the question names exactly fits fully. The best
+    rank that any channel gave any fact of an entity counts for all of its facts.
+    """
+    asked = F.lit(question)
+    intent, named = rules.intent(asked)["intent"], rules.memory_types(asked)
+    wanted, route = terms(asked), route_anchor(asked)
+    files, symbols = qualified_anchors(asked)
+    chosen = facts.where(F.col("kind").isin(*types)) if types else facts
+    rows = chosen.join(small(hits), "id").withColumn("entity", entity_key(F.col("repository"), F.col("kind"), F.col("subject")))
+    best = rows.groupBy("entity").agg(F.min("best_rank").alias("entity_rank"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("channels")))).alias("entity_channels"))
+    rows = rows.join(best, "entity")
+    subject, is_route = F.col("subject"), F.col("subject").startswith("route:")
+    exact = (
+        F.coalesce(is_route & (route_key(F.substring("subject", 7, 1_000_000)) == route_key(route)), F.lit(False))
+        | F.exists(config_anchors(asked), lambda a: F.endswith(F.col("entity"), F.concat(F.lit(":config:"), a)))
+        | F.exists(files, lambda a: F.coalesce((F.col("source_file") == a) | subject.startswith(a), F.lit(False)))
+        | F.array_contains(symbols, subject)
+    )
+    is_env = F.coalesce(F.col("source_file").rlike(r"(?:^|/)\.env(?:\.|$)"), F.lit(False))
+    features = {
+        "task_fit": task_fit(F.col("kind"), intent, exact, F.lit(False) if types else F.array_contains(named, F.col("kind"))),
+        "query_relevance": relevance(wanted, subject, F.col("source_file"), F.col("content")),
+        "relation_coverage": F.coalesce(F.col("relation_coverage"), F.lit(0.2)) if "relation_coverage" in facts.columns else F.lit(0.2),
+        "freshness": freshness(F.col("commit_sha"), F.col("repository_sha")),
+        "evidence_quality": evidence_quality(F.coalesce("confidence", F.lit("")), F.col("quality"), (F.col("n_evidence") > 0) | F.col("source_file").isNotNull(), F.col("n_located") > 0, is_env),
+        "entity_specificity": entity_specificity(F.col("entity"), subject),
+        "channel_relevance": 1 / F.col("entity_rank"),
+    }
+    scored = rows.withColumn("score", F.round(score(features), 6))
+    top = rank_dedupe(scored, "entity", "score", "id", max(1, min(50, limit)))
+    return top.join(best.select("entity", F.array_join("entity_channels", ",").alias("channels")), "entity")
+
+
 def channel_ranks(hits: DataFrame, channel: str, *order: Column | str) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy(channel).orderBy(*order)))

@@ -5,7 +5,7 @@ All inputs are DataFrames, and so are the answers; only the question itself, one
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text
@@ -51,36 +51,21 @@ def route(routes: DataFrame, wanted: str | None = None, detail: str = "summary",
     return found.select(*columns).orderBy("route", "source_file").limit(limit)
 
 
-def _relevance(wanted: Column, subject: Column, content: Column) -> Column:
-    """Three parts the share of wanted terms in the subject, one part that in the first 600 letters of the content."""
-    own = text.hit_ratio(wanted, text.tokens(text.fold(text.camel_split(subject))))
-    told = text.hit_ratio(wanted, text.tokens(text.fold(text.camel_split(F.substring(content, 1, 600)))))
-    return F.when(F.size(wanted) == 0, 0.5).otherwise(0.75 * own + 0.25 * told)
-
-
 def context(facts: DataFrame, question: str, repository: str | None = None, max_chars: int = 6000, limit: int = 10) -> DataFrame:
-    """Evidence for a question: facts (id, repository, kind, subject, content, confidence, source_file) ranked and cut to a budget.
+    """Evidence for a question: facts (as search.hybrid has them) ranked and cut to a budget.
 
-    The candidates are the BM25 hits of the question's terms in the filtered facts; features score them, the best fact of
-    each entity stays, and the longest prefix within max_chars is returned: rank, id, kind, subject, content,
-    source_file, score, used. No fact that matches: no row, so the question can't be answered from the facts.
+    The candidates are the BM25 hits of the question's phrases in the chosen facts; the best fact of each entity stays, and
+    the longest prefix within max_chars is returned: rank, id, kind, subject, content, source_file, score, used. No fact
+    that matches: no row, so the question can't be answered from the facts.
     """
+    limit = max(1, min(50, limit))
     chosen = facts if repository is None else facts.where(F.col("repository") == repository)
-    spark = facts.sparkSession
-    wanted = spark.createDataFrame([(question,)], "q string").select(text.terms(F.col("q")).alias("t")).first()["t"][:12]
-    if not wanted:
-        wanted = [""]
-    hits = search.bm25(chosen.withColumn("all", F.concat_ws(" ", "kind", "subject", "content")), "id", "all", wanted)
-    pool = search.channel_ranks(hits.orderBy(F.desc("score"), "doc_id").limit(min(200, max(50, 6 * limit))).withColumn("c", F.lit("fts")), "c", F.desc("score"), "doc_id")
-    terms = F.array(*map(F.lit, wanted))
-    rows = chosen.join(pool.select(F.col("doc_id").alias("id"), "rank"), "id")
-    features = {
-        "query_relevance": _relevance(terms, F.col("subject"), F.col("content")),
-        "evidence_quality": search.evidence_quality(F.col("confidence"), F.lit(None).cast("double"), F.lit(True), F.lit(False), F.coalesce(F.col("source_file").startswith(".env"), F.lit(False))),
-        "channel_relevance": 1 / F.col("rank"),
-    }
-    scored = rows.withColumn("score", F.round(search.score(features), 6)).withColumn("entity", search.entity_key(F.col("kind"), F.col("subject")))
-    best = search.rank_dedupe(scored, "entity", "score", "id", limit).select("id", "score")
-    packed = scored.drop("score", "rank", "entity").join(best, "id").withColumn("pack", F.lit(1)).withColumn("size", F.length("subject") + F.length("content"))
+    asked = search.phrases(question) or [("",)]
+    hits = search.bm25(chosen.withColumn("all", F.concat_ws(" ", "kind", "subject", "content")), "id", "all", asked)
+    pool = hits.orderBy(F.desc("score"), "doc_id").limit(min(200, max(50, 6 * limit))).select(F.col("doc_id").alias("id"), "score", F.lit("fts").alias("c"))
+    channels = search.union_channels(("fts", search.channel_ranks(pool, "c", F.desc("score"), "id")))
+    best = search.hybrid(chosen, channels, question, limit).select("id", "score")
+    packed = chosen.select("id", "kind", "subject", "content", "source_file").join(best, "id")
+    packed = packed.withColumn("pack", F.lit(1)).withColumn("size", F.length("subject") + F.length("content"))
     ranked = search.channel_ranks(packed, "pack", F.desc("score"), "id")
     return budget.prefix_within(ranked, "pack", "rank", "size", max_chars).select("rank", "id", "kind", "subject", "content", "source_file", "score", "used")

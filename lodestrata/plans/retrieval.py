@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import rules, text
 from lodestrata.operators import budget, relational, search
 from lodestrata.plans import query
+from lodestrata.sources.storage import shared_dir
 from lodestrata.sources.tables import Tables
 
 QUERY = ("the", "license", "thing", "worthless", "released")
@@ -28,6 +29,17 @@ def bm25_topk(t: Tables) -> DataFrame:
     return scored.orderBy(F.desc("score"), "doc_id").limit(20)
 
 
+@query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY round(score, 6) DESC, doc_id LIMIT 20")
+def fts_index_topk(t: Tables) -> DataFrame:
+    # Every other document is in the first index; the rest comes by an update, for which only those texts are read.
+    docs = t.documents.select("doc_id", "text")
+    spark = docs.sparkSession
+    first = search.build_index(docs.where("doc_id % 2 = 0"), "doc_id", "text", shared_dir(spark, "index"))
+    rest = docs.where("doc_id % 2 <> 0 or doc_id is null")
+    whole = search.update_index(first, rest, rest.where("false"), "doc_id", "text", shared_dir(spark, "index"))
+    return search.index_bm25(spark, whole, QUERY).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc_id").limit(20)
+
+
 @query("SELECT doc_id FROM documents WHERE regexp_matches(lower(strip_accents(text)), '(^|[^\\p{L}\\p{N}])mit[^\\p{L}\\p{N}]+license([^\\p{L}\\p{N}]|$)')")
 def fts_phrase(t: Tables) -> DataFrame:
     return search.phrase_match(t.documents, "doc_id", "text", ["mit", "license"])
@@ -102,56 +114,87 @@ def _channels(t: Tables) -> DataFrame:
     )
 
 
-_FEATURES = """SELECT d.doc_id, lang, source, greatest(0, least(1, coalesce(CASE WHEN quality = 1 THEN 0.55 WHEN quality = 0 THEN 0.25 END, 0.35)
-    + CASE WHEN l.doc_id IS NOT NULL THEN 0.2 ELSE 0 END + CASE WHEN n_chars > 2000 THEN 0.2 ELSE 0 END - CASE WHEN source = 'src3' THEN 0.35 ELSE 0 END)) AS eq,
-  CASE WHEN source = 'src1' THEN 1.0 WHEN lang = 'en' THEN 0.2 ELSE 0.5 END AS fr,
-  CASE WHEN strpos(text, '/') > 0 THEN 1.0 WHEN n_chars > 1000 THEN 0.8 ELSE 0.6 END AS es
-  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
+#: Documents as facts: their kind, subject, file and commit follow from their number, their confidence from their label.
+_KINDS = ("configuration", "rendering", "dependency", "cache", "module_contract", "technical_debt")
+QUESTION = "Why is /p/7 missing a license for things released? KEY_3 and cache rules"
+_FACTS = f"""facts AS (SELECT d.doc_id AS id, coalesce(source, 'none') AS repository, {list(_KINDS)!r}[d.doc_id % 6 + 1] AS kind,
+    CASE d.doc_id % 6 WHEN 0 THEN 'config:KEY_' || d.doc_id % 40 WHEN 1 THEN 'route:/p/' || d.doc_id % 50 ELSE 'src/m' || d.doc_id % 30 || '.ts' END AS subject,
+    'src/m' || d.doc_id % 30 || '.ts' AS source_file, text AS content, n_chars > 2000 AS located, l.doc_id IS NOT NULL AS labelled,
+    CASE WHEN l.quality = 1 THEN 0.55 WHEN l.quality = 0 THEN 0.25 ELSE 0.35 END AS confidence, CASE WHEN d.doc_id % 3 = 1 THEN 1.0 ELSE 0.2 END AS fresh
+    FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+  words AS (SELECT unnest(['missing', 'license', 'things', 'released', 'key', 'cache', 'rules']) AS w),
+  rel AS (SELECT id, list_distinct(regexp_extract_all(lower(regexp_replace(subject || ' ' || source_file, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[\\p{{L}}\\p{{N}}]+')) AS own,
+    list_distinct(regexp_extract_all(lower(strip_accents(regexp_replace(coalesce(substr(content, 1, 600), ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'))), '[\\p{{L}}\\p{{N}}]+')) AS told FROM facts),
+  near AS (SELECT id, avg(CASE WHEN len(list_filter(own, lambda x: x = w OR (length(x) >= 4 AND length(w) >= 4 AND (starts_with(x, w) OR starts_with(w, x))))) > 0 THEN 0.75 ELSE 0 END
+      + CASE WHEN len(list_filter(told, lambda x: x = w OR (length(x) >= 4 AND length(w) >= 4 AND (starts_with(x, w) OR starts_with(w, x))))) > 0 THEN 0.25 ELSE 0 END) AS relevance FROM rel, words GROUP BY 1),
+  base AS (SELECT id, repository || ':' || CASE kind WHEN 'configuration' THEN subject WHEN 'rendering' THEN subject ELSE kind || ':' || subject END AS entity,
+    0.2 * CASE WHEN subject = 'route:/p/7' OR subject = 'config:KEY_3' THEN 1 WHEN kind = 'cache' THEN 1 WHEN kind IN ('configuration', 'module_contract', 'rendering') THEN 0.8 ELSE 0.55 END
+    + 0.25 * relevance + 0.18 * 0.2 + 0.12 * fresh + 0.15 * least(1, confidence + 0.2 + CASE WHEN located THEN 0.2 ELSE 0 END)
+    + 0.05 * CASE WHEN kind IN ('configuration', 'rendering') THEN 1 ELSE 0.8 END AS score FROM facts JOIN near USING (id))"""
+
+
+def _facts(t: Tables) -> DataFrame:
+    labels = t.labels.select("doc_id", "quality", F.lit(1).alias("n_evidence"))
+    n, number = F.col("doc_id") % 6, lambda k: (F.col("doc_id") % k).cast("string")
+    file = F.concat(F.lit("src/m"), number(30), F.lit(".ts"))
+    subject = F.when(n == 0, F.concat(F.lit("config:KEY_"), number(40))).when(n == 1, F.concat(F.lit("route:/p/"), number(50))).otherwise(file)
+    return t.documents.join(labels, "doc_id", "left").select(
+        F.col("doc_id").alias("id"),
+        F.coalesce("source", F.lit("none")).alias("repository"),
+        F.element_at(F.array(*map(F.lit, _KINDS)), (n + 1).cast("int")).alias("kind"),
+        subject.alias("subject"),
+        F.col("text").alias("content"),
+        file.alias("source_file"),
+        F.concat(F.lit("s"), number(3)).alias("commit_sha"),
+        F.lit("s1").alias("repository_sha"),
+        F.when(F.col("quality") == 1, "observed").when(F.col("quality") == 0, "inferred").alias("confidence"),
+        F.lit(None).cast("double").alias("quality"),
+        F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"),
+        (F.col("n_chars") > 2000).cast("int").alias("n_located"),
+    )
 
 
-def _ranked(t: Tables) -> DataFrame:
-    labels = t.labels.select("doc_id", "quality", F.lit(True).alias("labelled"))
-    rows = t.documents.join(labels, "doc_id", "left")
-    confidence = F.when(F.col("quality") == 1, "observed").when(F.col("quality") == 0, "inferred")
-    labelled, long = F.coalesce("labelled", F.lit(False)), F.col("n_chars") > 2000
-    eq = search.evidence_quality(F.coalesce(confidence, F.lit("none")), F.lit(None).cast("double"), labelled, long, F.col("source") == "src3")
-    current = F.when(F.col("source") == "src1", "en").when(F.col("lang") == "en", "other")
-    fr = search.freshness(F.when(F.col("source") == "src1", F.lit("en")).otherwise(F.col("lang")), current)
-    es = F.when(F.contains("text", F.lit("/")), 1.0).when(F.col("n_chars") > 1000, 0.8).otherwise(0.6)
-    total = search.score({"evidence_quality": eq, "freshness": fr, "entity_specificity": es})
-    return rows.select("doc_id", "lang", "source", F.round(total, 6).alias("score"))
+def _all_hits(t: Tables) -> DataFrame:
+    """Every fact as the first hit of one channel: ranking without a search."""
+    return t.documents.select(F.col("doc_id").alias("id"), F.array(F.lit("sql")).alias("channels"), F.lit(1).alias("best_rank"))
 
 
-@query(f"SELECT doc_id, round(CAST(0.12 * fr + 0.15 * eq + 0.05 * es AS DOUBLE), 6) AS score FROM ({_FEATURES})")
-def ranking_features(t: Tables) -> DataFrame:
-    return _ranked(t).select("doc_id", "score")
+@query(f"WITH {_FACTS} SELECT entity, max(round(CAST(score + 0.05 AS DOUBLE), 6)) AS score, count(*) - 1 AS n_duplicates FROM base GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
+def rank_dedupe(t: Tables) -> DataFrame:
+    return search.hybrid(_facts(t), _all_hits(t), QUESTION, 50).select("entity", "score", "n_duplicates")
 
 
-@query(f"""WITH f AS (SELECT lang || ':' || source AS entity, doc_id, round(CAST(0.12 * fr + 0.15 * eq + 0.05 * es AS DOUBLE), 6) AS score FROM ({_FEATURES})),
-  r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY score DESC, doc_id) AS k, count(*) OVER (PARTITION BY entity) - 1 AS n_duplicates FROM f)
-  SELECT entity, doc_id, score, n_duplicates FROM r WHERE k = 1 ORDER BY score DESC, entity LIMIT 15""")
-def rank_dedupe(t: Tables) -> DataFrame:
-    hits = _ranked(t).withColumn("entity", F.concat_ws(":", "lang", "source"))
-    return search.rank_dedupe(hits, "entity", "score", "doc_id", 15)
+def _scores(t: Tables) -> DataFrame:
+    """doc_id, source, score of each document by how fresh and how well founded it is."""
+    facts = _facts(t)
+    quality = search.evidence_quality(F.coalesce("confidence", F.lit("")), F.col("quality"), F.lit(True), F.col("n_located") > 0, F.lit(False))
+    total = search.WEIGHTS["freshness"] * search.freshness(F.col("commit_sha"), F.col("repository_sha")) + search.WEIGHTS["evidence_quality"] * quality
+    return facts.select(F.col("id").alias("doc_id"), F.col("repository").alias("source"), F.round(total, 6).alias("score"))
+
+
+_SCORES = f"WITH {_FACTS}, s AS (SELECT id AS doc_id, repository AS source, round(CAST(0.12 * fresh + 0.15 * least(1, confidence + 0.2 + CASE WHEN located THEN 0.2 ELSE 0 END) AS DOUBLE), 6) AS score FROM facts)"
+
+
+@query(f"{_SCORES} SELECT doc_id, score FROM s")
+def ranking_features(t: Tables) -> DataFrame:
+    return _scores(t).select("doc_id", "score")
 
 
-@query(f"""WITH f AS (SELECT source, doc_id, round(CAST(0.12 * fr + 0.15 * eq + 0.05 * es AS DOUBLE), 6) AS score FROM ({_FEATURES}))
-  SELECT source, doc_id, score FROM f QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) = 1""")
+@query(f"{_SCORES} SELECT source, doc_id, score FROM s QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) = 1")
 def rank_best_per_entity(t: Tables) -> DataFrame:
-    return relational.best_per(_ranked(t), ["source"], "score", "doc_id").select("source", "doc_id", "score")
+    return relational.best_per(_scores(t), ["source"], "score", "doc_id").select("source", "doc_id", "score")
 
 
-@query(f"""WITH {_BM25}, f AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm QUALIFY rank <= 100),
+@query(f"""WITH {_BM25}, {_FACTS}, f AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm QUALIFY rank <= 100),
   v AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY {_L2}, vec_id) AS rank FROM embeddings e, {_Q} QUALIFY rank <= 100),
   s AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 100),
-  u AS (SELECT doc_id, min(rank) AS best FROM (FROM f UNION ALL FROM v UNION ALL FROM s) GROUP BY 1),
-  h AS (SELECT x.doc_id, lang || ':' || source AS entity, round(CAST(0.12 * fr + 0.15 * eq + 0.05 * es + 0.05 / best AS DOUBLE), 6) AS score FROM ({_FEATURES}) x JOIN u USING (doc_id)),
-  r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY score DESC, doc_id) AS k, count(*) OVER (PARTITION BY entity) - 1 AS n_duplicates FROM h)
-  SELECT entity, doc_id, score, n_duplicates FROM r WHERE k = 1 ORDER BY score DESC, entity LIMIT 10""")
+  u AS (SELECT 'fts' AS channel, * FROM f UNION ALL SELECT 'vector', * FROM v UNION ALL SELECT 'sql', * FROM s),
+  h AS (SELECT entity, channel, rank, id, score FROM base JOIN u ON u.doc_id = id),
+  e AS (SELECT entity, min(rank) AS best, string_agg(DISTINCT channel, ',' ORDER BY channel) AS channels, count(DISTINCT id) - 1 AS n_duplicates FROM h GROUP BY 1),
+  k AS (SELECT entity, id, max(round(CAST(score + 0.05 / best AS DOUBLE), 6)) AS score FROM h JOIN e USING (entity) GROUP BY ALL)
+  SELECT entity, id, score, n_duplicates, channels FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY score DESC, id) AS n FROM k) JOIN e USING (entity) WHERE n = 1 ORDER BY score DESC, entity LIMIT 10""")
 def hybrid_search(t: Tables) -> DataFrame:
-    hits = _ranked(t).join(_channels(t).select(F.col("id").alias("doc_id"), "best_rank"), "doc_id")
-    scored = hits.withColumn("score", F.round(F.col("score") + search.WEIGHTS["channel_relevance"] / F.col("best_rank"), 6))
-    return search.rank_dedupe(scored.withColumn("entity", F.concat_ws(":", "lang", "source")), "entity", "score", "doc_id", 10)
+    return search.hybrid(_facts(t), _channels(t), QUESTION, 10)
 
 
 @query("""SELECT p_partkey, array_to_string(regexp_extract_all(lower(regexp_replace(p_name || p_brand || 'FooBar', '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[a-z0-9]{3,}'), ' ') AS terms
@@ -209,11 +252,11 @@ def anchors_extract(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(text.config_anchors(F.coalesce("text", F.lit("")))).cast("long").alias("n"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_type LIKE '%A%' THEN 'config:' || p_name WHEN p_size > 25 THEN 'route:/' || p_brand ELSE 'fact:' || p_name END AS entity FROM part""")
+@query("""SELECT p_partkey, p_brand || ':' || CASE WHEN p_type LIKE '%A%' THEN 'config:' || p_name WHEN p_size > 25 THEN 'route:/' || p_brand ELSE 'fact:' || p_name END AS entity FROM part""")
 def canonical_entity_key(t: Tables) -> DataFrame:
     kind = F.when(F.col("p_type").like("%A%"), "configuration").otherwise("fact")
-    subject = F.when(kind == "configuration", F.concat(F.lit("config:"), F.col("p_name"))).when(F.col("p_size") > 25, F.concat(F.lit("/"), F.col("p_brand"), F.lit(":12"))).otherwise(F.col("p_name"))
-    return t.part.select("p_partkey", search.entity_key(kind, subject).alias("entity"))
+    subject = F.when(kind == "configuration", F.concat(F.lit("config:"), F.col("p_name"))).when(F.col("p_size") > 25, F.concat(F.lit("route:/"), F.col("p_brand"), F.lit(":12"))).otherwise(F.col("p_name"))
+    return t.part.select("p_partkey", search.entity_key(F.col("p_brand"), kind, subject).alias("entity"))
 
 
 @query("""WITH a(canonical, alias) AS (VALUES ('license', 'license'), ('license', 'mit'), ('license', 'released under'), ('insult', 'worthless'), ('insult', 'trash'))

@@ -1,16 +1,27 @@
+import pytest
+from pyspark.sql import functions as F
+
+from lodestrata.operators import search
 from lodestrata.plans import answers
 
 FACTS = [
-    (1, "shop", "configuration", "GATEWAY_URL", "Gateway address is read in src/lib/gateway.ts", "observed", "src/lib/gateway.ts"),
-    (2, "shop", "dependency", "config:GATEWAY_URL", "gateway declared", "inferred", ".env"),
-    (3, "shop", "rendering", "/home", "Static page", "derived", "src/app/home/page.tsx"),
-    (4, "other", "configuration", "GATEWAY_URL", "Gateway of another repository", "observed", "src/x.ts"),
+    (1, "shop", "configuration", "GATEWAY_URL", "Gateway address is read in src/lib/gateway.ts", "observed", "src/lib/gateway.ts", "s1", None, 1, 1),
+    (2, "shop", "dependency", "config:GATEWAY_URL", "gateway declared", "inferred", ".env", "s1", None, 1, 0),
+    (3, "shop", "rendering", "route:/home", "Static page", "derived", "src/app/home/page.tsx", "s0", 0.3, 1, 1),
+    (4, "other", "configuration", "GATEWAY_URL", "Gateway of another repository", "observed", "src/x.ts", None, None, 1, 0),
 ]
-SCHEMA = "id long, repository string, kind string, subject string, content string, confidence string, source_file string"
+SCHEMA = (
+    "id long, repository string, kind string, subject string, content string, confidence string, source_file string, commit_sha string, "
+    "quality double, n_evidence int, n_located int"
+)
+
+
+def facts_of(spark):
+    return spark.createDataFrame(FACTS, SCHEMA).selectExpr("*", "'s1' as repository_sha")
 
 
 def test_context_ranks_dedupes_and_fits(spark):
-    facts = spark.createDataFrame(FACTS, SCHEMA)
+    facts = facts_of(spark)
     got = answers.context(facts, "Where is the gateway url read?", "shop").collect()
     assert [r.id for r in got] == [1]
     assert all(0 <= r.score <= 1 for r in got)
@@ -18,6 +29,45 @@ def test_context_ranks_dedupes_and_fits(spark):
     assert len(both) == 1 and both[0].used <= 60
     assert answers.context(facts, "completely unrelated words", "shop").collect() == []
     assert answers.context(facts, "", "shop").collect() == []
+    assert [r.id for r in answers.context(facts, "gateway url").collect()] == [1, 4]  # facts of two repositories are two
+
+
+def test_hybrid_features(spark):
+    facts = facts_of(spark)
+    every = facts.selectExpr("id", "array('sql') as channels", "1 as best_rank")
+    rank = lambda question, types=(): [(r.entity, r.id, r.n_duplicates) for r in search.hybrid(facts, every, question, 10, types).collect()]
+    assert rank("How is /home rendered?")[0] == ("shop:route:/home", 3, 0)
+    named = rank("Where is GATEWAY_URL read?")
+    assert named[0] == ("shop:config:GATEWAY_URL", 1, 1) and named[1][0] == "other:config:GATEWAY_URL"
+    assert rank("GATEWAY_URL", ["rendering"]) == [("shop:route:/home", 3, 0)]
+    with pytest.raises(ValueError, match="freshness"):
+        search.score({n: F.lit(0.0) for n in search.WEIGHTS if n != "freshness"})
+    quality = facts.select(search.evidence_quality(F.col("confidence"), F.col("quality"), F.lit(True), F.col("n_located") > 0, F.col("source_file").startswith(".env")).alias("q"))
+    assert [round(r.q, 2) for r in quality.collect()] == [0.95, 0.1, 0.3, 0.75]
+
+
+def test_phrases_of_a_question():
+    assert search.phrases('Is "/cart/[id]" or API_URL in next-auth? Özgür', ["car loan"]) == [
+        ("api", "url"), ("car", "loan"), ("cart",), ("id",), ("in",), ("is",), ("next", "auth"), ("or",), ("ozgur",),
+    ]
+
+
+def test_stored_index_follows_updates(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "cache rules"), (2, "cache cache"), (3, "other café"), (4, None)], "id long, t string")
+    first = search.build_index(docs, "id", "t", f"file://{tmp_path}/one")
+    scores = lambda df: {r.doc_id: round(r.score, 9) for r in df.collect()}
+    assert scores(search.index_bm25(spark, first, ["cache", "cafe"])) == scores(search.bm25(docs, "id", "t", ["cache", "cafe"]))
+    changed = spark.createDataFrame([(2, "plain"), (5, "cache of cafes")], "id long, t string")
+    second = search.update_index(first, changed, docs.where("id = 1"), "id", "t", f"file://{tmp_path}/two")
+    now = docs.where("id > 2").unionByName(changed)
+    assert scores(search.index_bm25(spark, second, ["cache", "plain"])) == scores(search.bm25(now, "id", "t", ["cache", "plain"]))
+    assert set(scores(search.index_bm25(spark, first, ["cache"]))) == {1, 2}  # readers of the old one go on
+
+
+def test_bm25_counts_phrases(spark):
+    docs = spark.createDataFrame([(1, "a b a b"), (2, "a c b"), (3, "b a")], "id long, t string")
+    assert {r.doc_id for r in search.bm25(docs, "id", "t", [("a", "b")]).collect()} == {1}
+    assert {r.doc_id for r in search.bm25(docs, "id", "t", [("a", "b"), "c"]).collect()} == {1, 2}
 
 
 def test_links(spark):

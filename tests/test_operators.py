@@ -120,10 +120,11 @@ def test_prefiltered_knn_stays_inside(spark):
 
 
 def test_entities_and_dedupe(spark):
-    rows = [(1, "configuration", "GATEWAY:12", 0.5), (2, "dependency", "config:GATEWAY", 0.7), (3, "rendering", "/home", 0.6), (4, "cache", "s", 0.7)]
-    df = spark.createDataFrame(rows, "id long, kind string, subject string, score double").withColumn("entity", search.entity_key(F.col("kind"), F.col("subject")))
+    rows = [(1, "r", "configuration", "GATEWAY:12", 0.5), (2, "r", "dependency", "config:GATEWAY", 0.7), (3, "r", "rendering", "route:/home", 0.6), (4, "r", "cache", "s", 0.7), (5, "q", "configuration", "GATEWAY", 0.1)]
+    df = spark.createDataFrame(rows, "id long, repository string, kind string, subject string, score double")
+    df = df.withColumn("entity", search.entity_key(F.col("repository"), F.col("kind"), F.col("subject")))
     got = [tuple(r) for r in search.rank_dedupe(df, "entity", "score", "id", 10).collect()]
-    assert got == [("cache:s", 4, 0.7, 0), ("config:GATEWAY", 2, 0.7, 1), ("route:/home", 3, 0.6, 0)]
+    assert got == [("r:cache:s", 4, 0.7, 0), ("r:config:GATEWAY", 2, 0.7, 1), ("r:route:/home", 3, 0.6, 0), ("q:config:GATEWAY", 5, 0.1, 0)]
 
 
 def test_union_keeps_best_rank(spark):
