@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import count
 
 import pandas as pd
@@ -54,52 +56,182 @@ def resolve_aliases(names: DataFrame, aliases: DataFrame, hops: int = 6) -> Data
     return now
 
 
-# The order in which a node's outgoing edges of one line are followed, and edges that end a path.
+# Edges that a flow follows and their order on one line; edges that end a path; edges that matter for data.
 EDGE_RANK = {"calls": 0, "submits-to": 1, "fetches": 2, "renders": 3, "reads": 4, "tags": 5, "invalidates": 6, "references": 7}
 LEAVES = frozenset({"reads", "tags", "invalidates"})
+OUTSIDE = frozenset({"submits-to", "fetches", "reads", "tags", "invalidates"})
+DATA = frozenset({"fetches", "submits-to", "tags", "invalidates"})
+DATA_TARGET = re.compile(r"framework:react-query#(?:fetchQuery|prefetchQuery|dehydrate)|hydrate-provider", re.IGNORECASE)
+# Edges whose source depends on their target.
+IMPACT_EDGES = ("calls", "renders", "reads", "fetches", "inherits", "submits-to", "references", "delegates-to", "tags", "invalidates")
+METHODS = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS")
 
 
-def flows(edges: DataFrame, seeds: DataFrame, max_steps: int = 40, max_depth: int = 6) -> DataFrame:
-    """Pre-order steps (seed, step, depth, type, src, dst) of the depth-first walk from each seed (repository, seed).
+def _module(key: str) -> str:
+    return key.split("#", 1)[0]
 
-    edges: repository, src, dst, type, line. Each seed's reachable edges are first cut out by frontier joins, so one
-    task holds a seed's neighbourhood up to max_depth, not a repository. A node is entered once; an edge to a node
-    that was entered already is a step without a continuation.
+
+def _matters(kind: str, src: str, dst: str, focus: str) -> bool:
+    """Whether a step leaves its module or touches the outside; with the focus on data, only what carries data."""
+    if focus == "data":
+        return kind in DATA or bool(DATA_TARGET.search(dst))
+    return kind in OUTSIDE or (kind != "references" and _module(src) != _module(dst))
+
+
+def route_entries(exports: DataFrame, routes: DataFrame) -> DataFrame:
+    """repository, route, entry: what a route's handler exports (repository, file, entry): its HTTP methods, else all."""
+    both = routes.select("repository", "route", F.col("source_file").alias("file")).join(exports, ["repository", "file"])
+    method = F.substring_index("entry", "#", -1).isin(*METHODS) & F.contains("entry", F.lit("#"))
+    has = both.groupBy("repository", "route").agg(F.bool_or(method).alias("has"))
+    return both.withColumn("method", method).join(has, ["repository", "route"]).where("method or not has").select("repository", "route", "entry").distinct()
+
+
+def flows(edges: DataFrame, seeds: DataFrame, max_steps: int = 40, max_depth: int = 6, max_explore: int = 600, focus: str = "all", entries: DataFrame | None = None) -> DataFrame:
+    """Pre-order steps of the depth-first walk from each seed (repository, seed), without branches that lead to nothing.
+
+    edges: repository, src, dst, type, line; entries: repository, route, entry, where a submits-to edge goes on. Gives
+    repository, seed, step, depth, type, src, dst, boundary (the step leaves the client), pruned (steps left out),
+    truncated (the walk met a bound). A node is entered once, also by depth: nodes at max_depth are entered, none below.
+
+    Each seed's reachable edges are first cut out by frontier joins, which leave out nodes that the seed met before, so
+    one task holds a seed's neighbourhood up to max_depth, not a repository.
     """
-    near = seeds.select("repository", "seed", F.col("seed").alias("node")).distinct()
-    found = None
-    for _ in range(max_depth):
-        out = near.join(edges.withColumnRenamed("src", "node"), ["repository", "node"])
-        level = out.select("repository", "seed", F.col("node").alias("src"), "dst", "type", "line")
+    max_steps, max_depth = max(1, min(200, max_steps)), max(1, min(12, max_depth))
+    max_explore = max(max_steps, min(2000, max_explore))
+    edges = stored(edges.where(F.col("type").isin(*EDGE_RANK)).select("repository", "src", "dst", "type", "line"), "edges")
+    if entries is not None:
+        # The edge itself, and where it goes on, are told apart by `next`: one row for each entry.
+        on = entries.select("repository", F.col("route").alias("dst"), "entry")
+        submits = edges.where("type = 'submits-to'").join(on, ["repository", "dst"], "left").withColumn("next", F.col("entry")).drop("entry")
+    else:
+        submits = edges.where("type = 'submits-to'").withColumn("next", F.lit(None).cast("string"))
+    leaf = F.col("type").isin(*LEAVES)
+    goes = edges.where("type <> 'submits-to'").withColumn("next", F.when(~leaf, F.col("dst"))).unionByName(submits)
+    goes = stored(goes, "goes")
+    near = stored(seeds.select("repository", "seed", F.col("seed").alias("node")).distinct(), "near")
+    met, found = near, None
+    for _ in range(max_depth + 1):
+        level = stored(near.join(goes.withColumnRenamed("src", "node"), ["repository", "node"]), "level")
         found = level if found is None else found.unionByName(level)
-        near = level.select("repository", "seed", F.col("dst").alias("node")).distinct()
-    found = found.distinct()
-    schema = "repository string, seed string, step int, depth int, type string, src string, dst string"
+        step = level.where("next is not null").select("repository", "seed", F.col("next").alias("node")).distinct()
+        near = stored(step.join(met, ["repository", "seed", "node"], "left_anti"), "near")
+        met = met.unionByName(near)
+    schema = "repository string, seed string, step int, depth int, type string, src string, dst string, boundary boolean, pruned int, truncated boolean"
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         repository, seed = pdf["repository"].iat[0], pdf["seed"].iat[0]
-        outgoing: dict[str, list[tuple[str, str]]] = {}
-        rows = zip(pdf["line"], pdf["type"], pdf["dst"], pdf["src"], strict=True)
-        for _, _, dst, src, kind in sorted((line, EDGE_RANK.get(kind, 9), dst, src, kind) for line, kind, dst, src in rows):
-            outgoing.setdefault(src, []).append((kind, dst))
-        steps, entered = [], {seed}
-        stack: list[tuple[str, int, Iterator]] = [(seed, 1, iter(outgoing.get(seed, ())))]
-        while stack and len(steps) < max_steps:
-            node, depth, rest = stack[-1]
+        going: dict[tuple, list[str]] = {}
+        for line, kind, src, dst, to in zip(pdf["line"], pdf["type"], pdf["node"], pdf["dst"], pdf["next"], strict=True):
+            going.setdefault((src, line, EDGE_RANK[kind], dst, kind), []).extend([to] if isinstance(to, str) else [])
+        outgoing: dict[str, list[tuple[str, str, list[str]]]] = {}
+        for (src, _, _, dst, kind), to in sorted(going.items()):
+            outgoing.setdefault(src, []).append((kind, dst, sorted(to)))
+        steps, parents, explored, truncated = [], [], 0, False  # steps: depth, kind, src, dst; parents: the step above, or -1
+        entered = {seed}
+        stack: list[tuple[str, int, int, Iterator]] = [(seed, 0, -1, iter(outgoing.get(seed, ())))]
+        queue: list[list[tuple[str, int, int]]] = [[]]  # per open node, where its last step goes on
+        while stack:
+            if queue[-1]:
+                node, depth, above = queue[-1].pop(0)
+                if depth > max_depth or node in entered:
+                    continue
+                if explored >= max_explore:
+                    truncated = True
+                    continue
+                entered.add(node)
+                stack.append((node, depth, above, iter(outgoing.get(node, ()))))
+                queue.append([])
+                continue
+            node, depth, above, rest = stack[-1]
             nxt = next(rest, None)
-            if nxt is None:
+            if nxt is None or explored >= max_explore:
+                truncated = truncated or nxt is not None
                 stack.pop()
+                queue.pop()
                 continue
-            kind, target = nxt
-            steps.append((repository, seed, len(steps) + 1, depth, kind, node, target))
-            if kind not in LEAVES and target not in entered and depth < max_depth:
-                entered.add(target)
-                stack.append((target, depth + 1, iter(outgoing.get(target, ()))))
-        return pd.DataFrame(steps, columns=["repository", "seed", "step", "depth", "type", "src", "dst"])
+            kind, dst, to = nxt
+            explored += 1
+            steps.append((depth, kind, node, dst))
+            parents.append(above)
+            queue[-1] = [(x, depth + 1, len(steps) - 1) for x in to]
+        keep = [_matters(kind, src, dst, focus) for _, kind, src, dst in steps]
+        for i in range(len(steps) - 1, -1, -1):  # a step stays if one below it stays
+            if keep[i] and parents[i] >= 0:
+                keep[parents[i]] = True
+        kept = [s for s, k in zip(steps, keep, strict=True) if k]
+        truncated = truncated or len(kept) > max_steps
+        rows = [
+            (repository, seed, i, depth, kind, src, dst, kind == "submits-to", len(steps) - len(kept), truncated)
+            for i, (depth, kind, src, dst) in enumerate(kept[:max_steps], 1)
+        ]
+        return pd.DataFrame(rows, columns=["repository", "seed", "step", "depth", "type", "src", "dst", "boundary", "pruned", "truncated"])
 
     return found.groupBy("repository", "seed").applyInPandas(walk, schema)
 
 
+def impact(edges: DataFrame, seeds: DataFrame, max_depth: int = 8, follow: Sequence[str] = IMPACT_EDGES) -> DataFrame:
+    """seed, affected, kind, depth, via, dependency, file, line: what depends on each seed (seed), by which edge it was found.
+
+    edges: src, dst, type, line, file, src_kind, dst_kind. The seed itself has depth 0 and no edge; a file stands for all
+    entities in it. Of the edges that find an entity at its smallest depth, that with the smallest (line, dependency,
+    type) is the evidence. Breadth first for all seeds at once; edges are written once.
+    """
+    back = stored(edges.where(F.col("type").isin(*follow)).select(F.col("dst").alias("at"), F.col("src").alias("affected"), F.col("src_kind").alias("kind"), "type", "file", "line"), "back")
+    names = edges.select(F.col("src").alias("key"), F.col("src_kind").alias("kind")).unionByName(edges.select(F.col("dst").alias("key"), F.col("dst_kind").alias("kind")))
+    names = stored(names.groupBy("key").agg(F.min("kind").alias("kind")), "names")
+    in_file = names.where(F.contains("key", F.lit("#"))).select(F.substring_index("key", "#", 1).alias("seed"), F.col("key").alias("affected"))
+    is_file = seeds.select("seed").distinct().where(~F.contains("seed", F.lit("#")) & F.col("seed").rlike(FILE)).join(in_file, "seed")
+    start = seeds.select("seed", F.col("seed").alias("affected")).unionByName(is_file).distinct()
+    no = lambda kind: F.lit(None).cast(kind)
+    start = start.join(names.withColumnRenamed("key", "affected"), "affected", "left")
+    start = start.select("seed", "affected", "kind", F.lit(0).alias("depth"), no("string").alias("via"), no("string").alias("dependency"), no("string").alias("file"), no("int").alias("line"))
+    frontier = stored(start, "impact")
+    visited = frontier
+    for depth in range(1, max(1, min(20, max_depth)) + 1):
+        step = frontier.select("seed", F.col("affected").alias("at")).join(back, "at")
+        first = F.min(F.struct("line", F.col("at").alias("dependency"), F.col("type").alias("via"), "file", "kind")).alias("e")
+        new = step.join(visited.select("seed", "affected"), ["seed", "affected"], "left_anti").groupBy("seed", "affected").agg(first)
+        frontier = stored(new.select("seed", "affected", "e.kind", F.lit(depth).alias("depth"), "e.via", "e.dependency", "e.file", "e.line"), "impact")
+        if frontier.isEmpty():
+            break
+        visited = visited.unionByName(frontier)
+    return visited
+
+
+#: Keys that are files.
+FILE = r"(?:^|/)[^/]+\.(?:[cm]?[jt]sx?|json|ya?ml|css|scss|md)$"
+
+
+def impact_classes(affected: DataFrame, edges: DataFrame, routes: DataFrame | None = None) -> DataFrame:
+    """seed, class, name of impact's rows: the files, symbols, components, config keys, endpoints, tests, routes and API routes concerned.
+
+    Endpoints, config and tests that affected entities reach are named too, though these don't depend on the seed; not
+    other config keys if the seed is one itself. routes: route, source_file, route_type.
+    """
+    affected = stored(affected.select("seed", "affected", "kind"), "affected")
+    named = lambda name, column, rows: rows.select("seed", F.lit(name).alias("class"), F.col(column).alias("name"))
+    files = affected.select("seed", F.substring_index("affected", "#", 1).alias("file")).where(F.col("file").rlike(FILE)).distinct()
+    seed_kind = affected.where("seed = affected").select("seed", F.col("kind").alias("seed_kind"))
+    beyond = affected.join(edges.select(F.col("src").alias("affected"), "dst", "type"), "affected").join(seed_kind, "seed", "left")
+    not_config = ~F.col("seed_kind").eqNullSafe(F.lit("config"))
+    out = [
+        named("file", "file", files),
+        named("symbol", "affected", affected.where(F.contains("affected", F.lit("#")))),
+        named("component", "affected", affected.where("kind = 'component'")),
+        named("config", "affected", affected.where("kind = 'config'")),
+        named("config", "dst", beyond.where((F.col("type") == "reads") & not_config)),
+        named("endpoint", "affected", affected.where("kind = 'backend-endpoint'")),
+        named("endpoint", "dst", beyond.where(F.col("type").isin("fetches", "delegates-to"))),
+        named("test", "dst", beyond.where("type = 'validated-by'")),
+    ]
+    if routes is not None:
+        by_file = files.join(routes.select(F.col("source_file").alias("file"), "route", "route_type"), "file").select("seed", "route", "route_type")
+        by_name = affected.join(routes.select(F.col("route").alias("affected"), "route_type"), "affected").select("seed", F.col("affected").alias("route"), "route_type")
+        hit = by_file.unionByName(by_name)
+        out += [named("route", "route", hit), named("api-route", "route", hit.where(F.col("route_type").isin("route-handler", "api")))]
+    return reduce(DataFrame.unionByName, out).distinct()
+
+
 def seed_scores(nodes: DataFrame, terms: DataFrame, edges: DataFrame) -> DataFrame:
     """node, score, n_reach for nodes (node, term rows): 4 a term shared with the question, 2 a term within two hops.
 

@@ -34,20 +34,94 @@ def test_closure_of_a_long_chain(spark):
     assert graph.closure(chain, spark.createDataFrame([(0,)], "node long")).count() == 67
 
 
+FLOW = [
+    ("r", "page", "log", "calls", 1),
+    ("r", "log", "meta", "calls", 2),
+    ("r", "page", "svc", "calls", 3),
+    ("r", "svc", "fetch", "calls", 4),
+    ("r", "svc", "meta", "calls", 5),
+    ("r", "fetch", "GET /x", "fetches", 5),
+    ("r", "fetch", "URL", "reads", 5),
+]
+
+
+def flow(spark, rows, seed="page", **options):
+    seeds = spark.createDataFrame([("r", seed)], "repository string, seed string")
+    return graph.flows(edges(spark, rows), seeds, **options).orderBy("step").collect()
+
+
 def test_flow_order_and_revisits(spark):
+    got = flow(spark, FLOW)
+    assert [(r.depth, r.dst) for r in got] == [(0, "log"), (1, "meta"), (0, "svc"), (1, "fetch"), (2, "GET /x"), (2, "URL"), (1, "meta")]
+    short = flow(spark, FLOW, max_steps=2)
+    assert [r.dst for r in short] == ["log", "meta"] and short[0].truncated and not got[0].truncated
+
+
+def test_flow_leaves_out_what_leads_to_nothing(spark):
     rows = [
-        ("r", "page", "log", "calls", 1),
-        ("r", "log", "meta", "calls", 2),
-        ("r", "page", "svc", "calls", 3),
-        ("r", "svc", "fetch", "calls", 4),
-        ("r", "svc", "meta", "calls", 5),
-        ("r", "fetch", "GET /x", "fetches", 5),
-        ("r", "fetch", "URL", "reads", 5),
+        ("r", "a.ts#page", "a.ts#help", "calls", 1),
+        ("r", "a.ts#help", "a.ts#inner", "calls", 2),
+        ("r", "a.ts#page", "a.ts#load", "calls", 3),
+        ("r", "a.ts#load", "GET /x", "fetches", 4),
+        ("r", "a.ts#page", "KEY", "reads", 5),
+        ("r", "a.ts#page", "b.ts#T", "references", 6),
     ]
-    seeds = spark.createDataFrame([("r", "page")], "repository string, seed string")
-    got = graph.flows(edges(spark, rows), seeds).orderBy("step").collect()
-    assert [r.dst for r in got] == ["log", "meta", "svc", "fetch", "GET /x", "URL", "meta"]
-    assert [r.dst for r in graph.flows(edges(spark, rows), seeds, max_steps=2).orderBy("step").collect()] == ["log", "meta"]
+    got = flow(spark, rows, "a.ts#page")
+    assert [r.dst for r in got] == ["a.ts#load", "GET /x", "KEY"] and got[0].pruned == 3
+    data = flow(spark, rows, "a.ts#page", focus="data")
+    assert [r.dst for r in data] == ["a.ts#load", "GET /x"] and data[0].pruned == 4
+
+
+def test_flow_goes_on_in_route_handlers(spark):
+    rows = [("r", "form", "/api/save", "submits-to", 1), ("r", "api.ts#POST", "upstream", "fetches", 2), ("r", "api.ts#helper", "other", "fetches", 2)]
+    exports = spark.createDataFrame([("r", "api.ts", "api.ts#POST"), ("r", "api.ts", "api.ts#helper")], "repository string, file string, entry string")
+    routes = spark.createDataFrame([("r", "/api/save", "api.ts")], "repository string, route string, source_file string")
+    entries = graph.route_entries(exports, routes)
+    assert [r.entry for r in entries.collect()] == ["api.ts#POST"]
+    got = flow(spark, rows, "form", entries=entries)
+    assert [(r.dst, r.depth, r.boundary) for r in got] == [("/api/save", 0, True), ("upstream", 1, False)]
+    assert [r.dst for r in flow(spark, rows, "form")] == ["/api/save"]
+
+
+def test_flow_bounds(spark):
+    chain = [("r", f"n{i}", f"n{i + 1}", "calls", 1) for i in range(20)]
+    assert len(flow(spark, chain, "n0", max_depth=3)) == 4
+    wide = [("r", "hub", f"leaf{i:03}", "calls", i) for i in range(100)]
+    got = flow(spark, wide, "hub", max_steps=10, max_explore=30)
+    assert len(got) == 10 and got[0].truncated
+
+
+IMPACT = [
+    ("use.ts#derive", "base.ts#value", "references", 4, "use.ts", "function", "function"),
+    ("View.tsx#View", "use.ts#derive", "calls", 8, "View.tsx", "component", "function"),
+    ("View.tsx#View", "base.ts#value", "renders", 9, "View.tsx", "component", "function"),
+    ("page.tsx#Page", "View.tsx#View", "renders", 6, "page.tsx", "component", "component"),
+    ("use.ts#derive", "GET /items", "fetches", 12, "use.ts", "function", "backend-endpoint"),
+    ("use.ts#derive", "API_URL", "reads", 13, "use.ts", "function", "config"),
+    ("use.ts#derive", "use.test.ts", "validated-by", 1, "use.ts", "function", "test"),
+    ("base.ts#value", "BASE", "reads", 1, "base.ts", "function", "config"),
+]
+
+
+def test_impact_with_evidence_and_classes(spark):
+    e = spark.createDataFrame(IMPACT, "src string, dst string, type string, line int, file string, src_kind string, dst_kind string")
+    seeds = spark.createDataFrame([("base.ts#value",), ("use.ts",), ("BASE",)], "seed string")
+    found = graph.impact(e, seeds)
+    got = {(r.seed, r.affected): (r.depth, r.via, r.dependency, r.line) for r in found.collect()}
+    assert got["base.ts#value", "use.ts#derive"] == (1, "references", "base.ts#value", 4)
+    assert got["base.ts#value", "View.tsx#View"] == (1, "renders", "base.ts#value", 9)
+    assert got["base.ts#value", "page.tsx#Page"] == (2, "renders", "View.tsx#View", 6)
+    assert got["use.ts", "use.ts#derive"][0] == 0 and got["use.ts", "View.tsx#View"] == (1, "calls", "use.ts#derive", 8)
+    routes = spark.createDataFrame([("/shop", "page.tsx", "page"), ("/api", "use.ts", "route-handler")], "route string, source_file string, route_type string")
+    classes = {}
+    for r in graph.impact_classes(found, e, routes).collect():
+        classes.setdefault((r.seed, r["class"]), set()).add(r.name)
+    assert classes["use.ts", "file"] == {"use.ts", "View.tsx", "page.tsx"} and classes["use.ts", "test"] == {"use.test.ts"}
+    assert classes["use.ts", "endpoint"] == {"GET /items"} and classes["use.ts", "config"] == {"API_URL"}
+    assert classes["use.ts", "route"] == {"/shop", "/api"} and classes["use.ts", "api-route"] == {"/api"}
+    assert classes["BASE", "config"] == {"BASE"}  # not the keys that the same modules read besides
+    assert classes["base.ts#value", "component"] == {"View.tsx#View", "page.tsx#Page"}
+    assert {r.affected for r in graph.impact(e, seeds, max_depth=1).where("seed = 'BASE'").collect()} == {"BASE", "base.ts#value"}
 
 
 def test_aliases_follow_hops(spark):
