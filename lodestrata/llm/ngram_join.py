@@ -9,7 +9,9 @@ segments, those with most bits set first: under one order for all, two lists tha
 among their first d + 1, and segments with many bits rarely agree by chance. Segments that agree make buckets.
 
 Pairs. A bucket never yields all its pairs. First each member is compared with the bucket's smallest member; what proves
-linked is joined into components. Only buckets that still hold several components are looked at again: there the sketches
+linked is joined into components. Buckets that still hold several components are looked at again: for some rounds, each
+member is compared with one member of another component, and components grow together. What is then left apart is looked at
+in full, so the rounds decide nothing but how little that is: there the sketches
 of members of different components are compared inside the join's condition, so no link between components is lost and
 only pairs within the Hamming bound become rows. Candidates pass that bound of folded sketches before their sets are
 read and compared exactly.
@@ -39,6 +41,8 @@ from lodestrata.llm.components import components
 from lodestrata.llm.shared import SPACE, stored
 
 SEGMENT_BITS = 1024
+#: Rounds in which members are compared with one member of another component, before components are compared in full.
+ROUNDS = 5
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -210,8 +214,27 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: in
     links = _verified(stars, sketches, firsts, n, num, den)
     labels = components(links)
 
-    # Buckets in which several components are left: members of different components that were not compared yet. The
-    # Hamming bound is part of the join's condition, so a bucket of many unlike members makes no rows for them.
+    # Buckets in which several components are left: first, for some rounds, each member is compared with one member of another
+    # component, by which groups of near copies grow together without their pairs being listed.
+    compared = stars
+    for _ in range(ROUNDS):
+        labelled = buckets.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        at = F.struct("comp", "id")
+        ends = labelled.groupBy("key").agg(F.min(at).alias("x"), F.max(at).alias("y")).where("x.comp < y.comp")
+        other = F.when(F.col("comp") == F.col("x.comp"), F.col("y.id")).otherwise(F.col("x.id"))
+        pairs = labelled.join(ends, "key").select(F.least("id", other).alias("a"), F.greatest("id", other).alias("b")).distinct()
+        pairs = stored(pairs.join(compared, ["a", "b"], "left_anti"), "round")
+        if pairs.isEmpty():
+            break
+        compared = compared.unionByName(pairs)
+        found = _verified(pairs, sketches, firsts, n, num, den)
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        labels = components(links)
+
+    # Then the members of components that are still apart and were not compared yet. The Hamming bound is part of the join's
+    # condition, so a bucket of many unlike members makes no rows for them.
     labelled = buckets.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     open_keys = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).where("x < y and c > 2")
     left = labelled.join(open_keys.select("key"), "key", "left_semi").select("key", "id", "comp")
@@ -219,7 +242,7 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: in
     a, b = _side(left, "a", "key", "comp"), _side(left, "b", "key", "comp")
     apart = (F.col("key_a") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b"))
     more = a.join(b, apart & _close(num, den)).select("a", "b").distinct()
-    more = stored(more.join(stars, ["a", "b"], "left_anti"), "more")
+    more = stored(more.join(compared, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
         links = links.unionByName(_verified(more, sketches, firsts, n, num, den))
         labels = components(links)
