@@ -71,6 +71,19 @@ def supersede(decisions: DataFrame, key: Sequence[str], order: str) -> DataFrame
     return decisions.join(accepted, list(key), "left").withColumn("status", F.when(late, "superseded").otherwise(F.col("status"))).drop("_newest")
 
 
+def supersede_named(decisions: DataFrame, key: str, names: str, id: str) -> DataFrame:
+    """decisions with supersedes_id: the newest accepted or proposed earlier row of the key that a row names; it becomes superseded if the row is accepted.
+
+    A row that names a key without such a row supersedes nothing.
+    """
+    older = decisions.where("status in ('accepted', 'proposed')").select(F.col(key).alias("_key"), F.col(id).alias("_old"))
+    naming = decisions.where(F.col(names).isNotNull()).select(F.col(id).alias("_id"), F.col(names).alias("_key"), (F.col("status") == "accepted").alias("_counts"))
+    links = naming.join(older, "_key").where("_old < _id").groupBy("_id", "_counts").agg(F.max("_old").alias("supersedes_id"))
+    hit = links.where("_counts").select(F.col("supersedes_id").alias("_gone")).distinct()
+    out = decisions.join(links.select("_id", "supersedes_id"), F.col(id) == F.col("_id"), "left").join(hit, F.col(id) == F.col("_gone"), "left")
+    return out.withColumn("status", F.when(F.col("_gone").isNotNull(), "superseded").otherwise(F.col("status"))).select(*decisions.columns, "supersedes_id")
+
+
 def purge(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     """Children whose parent is still there: what a cascading delete leaves."""
     return children.join(parents.select(key).distinct(), key, "left_semi")

@@ -40,6 +40,28 @@ def graph_impact_bfs(t: Tables) -> DataFrame:
     return graph.reach(back, seeds, 8)
 
 
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst, 'calls' AS type, CAST(o_orderkey % 97 AS INTEGER) AS line FROM orders
+    UNION SELECT DISTINCT 's' || l_suppkey, 'o' || l_orderkey, CASE WHEN l_returnflag = 'R' THEN 'reads' ELSE 'fetches' END, CAST(l_linenumber AS INTEGER) FROM lineitem),
+  seed AS (SELECT 'c' || c_custkey AS seed FROM customer),
+  d1 AS (SELECT seed, src AS affected, min((line, dst, type)) AS ev FROM seed JOIN e ON dst = seed GROUP BY ALL),
+  d2 AS (SELECT seed, src AS affected, min((line, dst, e.type)) AS ev FROM d1 JOIN e ON dst = affected GROUP BY ALL),
+  a AS (SELECT seed, affected, 1 AS depth, ev FROM d1 UNION ALL SELECT seed, affected, 2, ev FROM d2)
+  SELECT seed, affected, depth, ev[2] AS dependency, ev[3] AS via, ev[1] AS line FROM a""")
+def impact_evidence(t: Tables) -> DataFrame:
+    # Orders depend on their customers, suppliers on the orders whose lines they serve; what does each customer's change reach?
+    kind = lambda c: F.lit(c)
+    calls = t.orders.select(F.concat(F.lit("o"), "o_orderkey").alias("src"), F.concat(F.lit("c"), "o_custkey").alias("dst"), F.lit("calls").alias("type"), (F.col("o_orderkey") % 97).cast("int").alias("line"))
+    uses = t.lineitem.select(
+        F.concat(F.lit("s"), "l_suppkey").alias("src"),
+        F.concat(F.lit("o"), "l_orderkey").alias("dst"),
+        F.when(F.col("l_returnflag") == "R", "reads").otherwise("fetches").alias("type"),
+        F.col("l_linenumber").cast("int").alias("line"),
+    )
+    edges = calls.unionByName(uses).withColumns({"file": kind("f"), "src_kind": kind("function"), "dst_kind": kind("function")})
+    seeds = t.customer.select(F.concat(F.lit("c"), "c_custkey").alias("seed"))
+    return graph.impact(edges, seeds, 2).where("depth > 0").select("seed", "affected", "depth", "dependency", "via", "line")
+
+
 @query(f"""WITH {_EDGES}, two AS (SELECT src, dst FROM edges UNION SELECT a.src, b.dst FROM edges a JOIN edges b ON a.dst = b.src)
   SELECT src, count(*) AS n_reach FROM two WHERE src <> dst GROUP BY 1""")
 def graph_two_hop_reach(t: Tables) -> DataFrame:

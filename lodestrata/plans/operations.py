@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import rules
-from lodestrata.operators import health
+from lodestrata.operators import audit, health, sync
 from lodestrata.plans import query
 from lodestrata.sources.tables import Tables
 
@@ -93,20 +91,53 @@ def gate_decision(t: Tables) -> DataFrame:
     return health.gate(both.select(F.explode(checks).alias("c")).select("c.*"))
 
 
-@query("""SELECT 'orphan-labels' AS invariant, count(*) AS n FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
-  UNION ALL SELECT 'empty-texts', count(*) FROM documents WHERE text IS NULL OR trim(text) = ''
-  UNION ALL SELECT 'length-differs', count(*) FROM documents WHERE n_chars <> length(text)
-  UNION ALL SELECT 'dimension', count(*) FROM embeddings WHERE len(embedding) <> 64
-  UNION ALL SELECT 'telemetry-text', count(*) FROM events WHERE length(props) > 400""")
+#: Documents as facts, labelled ones as made by a model; benchmark items as values of env files; conversations as telemetry.
+_AUDIT = """f AS (SELECT d.doc_id AS id, coalesce(source, 'none') AS repository, text AS content, d.doc_id % 7 <> 0 AS active, CASE WHEN l.doc_id IS NULL THEN 'deterministic' ELSE 'ai' END AS producer,
+    CAST(l.quality AS DOUBLE) AS quality, CASE WHEN toxic = 1 THEN 'observed' ELSE 'inferred' END AS confidence, TIMESTAMP '2026-01-01' + to_days(CAST(d.doc_id % 60 AS INTEGER)) AS updated_at
+    FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+  e AS (SELECT doc_id AS fact_id, CASE doc_id % 97 WHEN 1 THEN '/etc/x' WHEN 2 THEN '../y' ELSE 'src/a.ts' END AS file FROM documents WHERE doc_id % 5 <> 0),
+  env AS (SELECT CASE item_id % 3 WHEN 0 THEN 'MODE_' ELSE 'API_KEY_' END || item_id AS key, substr(text, 1, 30) AS value FROM benchmark),
+  n AS (
+    SELECT 'I1-no-env-values' AS invariant, count(*) AS n FROM (SELECT DISTINCT key, t FROM env JOIN (SELECT 'facts' AS t, content FROM f UNION ALL SELECT 'telemetry', text FROM conversations) c
+        ON (contains(key, 'API_KEY') AND contains(content, value)) OR content = value)
+    UNION ALL SELECT 'I2-paths-inside-registry', (SELECT count(DISTINCT file) FROM e JOIN f ON id = fact_id WHERE active AND file <> 'src/a.ts') + (SELECT count(DISTINCT repository) FROM f WHERE repository IN ('src1', 'src2'))
+    UNION ALL SELECT 'I3-made-facts-labelled', count(*) FROM f WHERE active AND producer = 'ai' AND (quality IS NULL OR confidence <> 'inferred' OR id NOT IN (SELECT fact_id FROM e))
+    UNION ALL SELECT 'I4-telemetry-without-content', count(DISTINCT content) FROM f JOIN conversations ON text = content WHERE active AND length(content) >= 40
+    UNION ALL SELECT 'I5-retention', (SELECT CAST(count(*) > 100 AS BIGINT) FROM conversations) + (SELECT CAST(count(*) > 0 AS BIGINT) FROM f WHERE NOT active AND updated_at < TIMESTAMP '2026-05-01' - to_days(90)))"""
+
+
+@query(f"WITH {_AUDIT} SELECT invariant, CASE WHEN n > 0 THEN 'fail' ELSE 'pass' END AS status, n AS n_findings FROM n")
 def audit_invariants(t: Tables) -> DataFrame:
-    checks = [
-        ("orphan-labels", t.labels.join(t.documents, "doc_id", "left_anti")),
-        ("empty-texts", t.documents.where("text is null or trim(text) = ''")),
-        ("length-differs", t.documents.where("n_chars <> length(text)")),
-        ("dimension", t.embeddings.where("size(embedding) <> 64")),
-        ("telemetry-text", t.events.where("length(props) > 400")),
-    ]
-    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("invariant"), "n") for name, df in checks])
+    n, days = F.col("doc_id"), F.make_dt_interval((F.col("doc_id") % 60).cast("int"))
+    facts = t.documents.join(t.labels, "doc_id", "left").select(
+        n.alias("id"),
+        F.coalesce("source", F.lit("none")).alias("repository"),
+        F.col("text").alias("content"),
+        (n % 7 != 0).alias("active"),
+        F.when(F.col("quality").isNull() & F.col("toxic").isNull(), "deterministic").otherwise("ai").alias("producer"),
+        F.col("quality").cast("double").alias("quality"),
+        F.when(F.col("toxic") == 1, "observed").otherwise("inferred").alias("confidence"),
+        (F.lit("2026-01-01").cast("timestamp") + days).alias("updated_at"),
+    )
+    evidence = t.documents.where("doc_id % 5 <> 0").select(n.alias("fact_id"), F.when(n % 97 == 1, "/etc/x").when(n % 97 == 2, "../y").otherwise("src/a.ts").alias("file"))
+    names = facts.select(F.col("repository").alias("name")).distinct()
+    env = t.benchmark.select(F.concat(F.when(F.col("item_id") % 3 == 0, "MODE_").otherwise("API_KEY_"), F.col("item_id").cast("string")).alias("key"), F.substring("text", 1, 30).alias("value"))
+    told = t.conversations.where("text is not null").select("text")
+    return audit.invariants(facts, evidence, names, names.where("name not in ('src1', 'src2')"), told, env, 100, 90, F.lit("2026-05-01").cast("timestamp"))
+
+
+@query("""WITH c AS (SELECT o_orderkey AS file FROM orders WHERE o_orderstatus <> 'F'), gone AS (SELECT o_orderkey AS file FROM orders WHERE o_orderstatus = 'P'),
+  o AS (SELECT l_orderkey AS file, l_returnflag || l_linestatus AS hash, row_number() OVER (PARTITION BY l_orderkey, l_returnflag || l_linestatus) AS n FROM lineitem JOIN c ON file = l_orderkey WHERE l_linenumber <= 4),
+  f AS (SELECT l_orderkey AS file, l_returnflag || l_linestatus AS hash, row_number() OVER (PARTITION BY l_orderkey, l_returnflag || l_linestatus) AS n FROM lineitem JOIN c ON file = l_orderkey WHERE l_linenumber >= 3 AND l_orderkey NOT IN (SELECT file FROM gone)),
+  p AS (SELECT coalesce(o.file, f.file) AS file, CASE WHEN o.n IS NULL THEN 'create' WHEN f.n IS NULL THEN 'deactivate' ELSE 'reuse' END AS action FROM o FULL JOIN f ON o.file = f.file AND o.hash = f.hash AND o.n = f.n)
+  SELECT file, action, count(*) AS n FROM p GROUP BY 1, 2""")
+def incremental_sync(t: Tables) -> DataFrame:
+    # Orders are files and their first four lines the facts so far; in a changed order the lines from the third on are read anew.
+    lines = t.lineitem.select(F.col("l_orderkey").alias("file"), F.concat("l_returnflag", "l_linestatus").alias("hash"), "l_linenumber")
+    facts = lines.where("l_linenumber <= 4").select((F.col("file") * 10 + F.col("l_linenumber")).alias("id"), "file", "hash", F.lit(True).alias("active"))
+    changed = t.orders.where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("file"), "o_orderstatus")
+    fresh = lines.where("l_linenumber >= 3").join(changed.where("o_orderstatus <> 'P'"), "file", "left_semi")
+    return sync.partition(facts, fresh, changed).groupBy("file", "action").agg(F.count("*").alias("n"))
 
 
 @query("""WITH c AS (SELECT o_custkey, sum(o_totalprice) AS baseline, sum(o_totalprice) * 0.4 AS engine, bool_and(o_orderstatus <> 'P') AS clean FROM orders GROUP BY 1)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from lodestrata.operators import graph
 
 # Folders that hold no sources, and the largest file that is read as text.
 IGNORED = ("node_modules", ".next", "dist", "build", "coverage", ".git")
@@ -12,16 +17,51 @@ MAX_TEXT = 512_000
 KINDS = {"dependencies": "runtime", "devDependencies": "development", "optionalDependencies": "optional", "peerDependencies": "peer"}
 
 
-def walk(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("ts", "tsx", "js", "jsx", "mjs", "cjs")) -> DataFrame:
-    """path (relative), length, text (null for large files) of the files below root that are not in ignored folders."""
+# Files of a project that are no sources but tell of it.
+PROJECT_FILES = (r"(^|/)Dockerfile[^/]*$", r"(^|/)docker-compose[^/]*$", r"(^|/)tsconfig\.json$", r"(^|/)package\.json$", r"(^|/)next\.config\.(js|mjs|cjs|ts)$")
+SOURCE_FILES = (r"\.(ts|tsx|js|jsx|mjs|cjs)$",)
+DECLARATIONS = r"\.d\.ts$"
+
+
+def walk(spark: SparkSession, root: str, include: Sequence[str] = SOURCE_FILES, ignored_paths: Sequence[str] = (), exclude: str | None = DECLARATIONS) -> DataFrame:
+    """path (relative), length, text (null for large files) of the files below root whose path matches include, but exclude.
+
+    Ignored folders are left out at any depth, ignored_paths (relative to root) with all that is in them. Names that begin
+    with a dot or an underscore are hidden from Spark's readers; such files (.env) need a copy under another name.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").split("://")[-1]
     path = F.regexp_replace(F.element_at(F.split("path", base + "/", 2), -1), "^/+", "")
     ignored = "(^|/)(" + "|".join(x.replace(".", r"\.") for x in IGNORED) + ")/"
-    rows = files.select(path.alias("path"), "length", "content").where(F.col("path").rlike(r"\.(" + "|".join(extensions) + ")$") & ~F.col("path").rlike(ignored))
+    wanted = F.col("path").rlike("|".join(f"(?:{p})" for p in include)) & ~F.col("path").rlike(ignored)
+    wanted = wanted & ~F.col("path").rlike(exclude) if exclude else wanted
+    for p in ignored_paths:
+        wanted = wanted & ~F.startswith("path", F.lit(p.rstrip("/") + "/"))
+    rows = files.select(path.alias("path"), "length", "content").where(wanted)
     return rows.withColumn("text", F.when(F.col("length") <= MAX_TEXT, F.decode("content", "UTF-8"))).drop("content")
 
 
+def read_json(spark: SparkSession, path: str, schema: StructType | str, strict: bool = False) -> DataFrame:
+    """JSON documents, one a file or one a line, as rows of schema; what is no JSON is a row of nulls, or with strict left out."""
+    mode = "DROPMALFORMED" if strict else "PERMISSIVE"
+    return spark.read.schema(schema).option("mode", mode).option("multiLine", "true").json(path)
+
+
+def registry(spark: SparkSession, path: str) -> DataFrame:
+    """name, url, main_branch, aliases of the repositories that a registry file lists, the first of a name."""
+    repository = "name string, url string, mainBranch string, queryAliases map<string,array<string>>"
+    listed = read_json(spark, path, f"repositories array<struct<{repository.replace(' ', ':').replace(',:', ',')}>>")
+    rows = listed.select(F.posexplode("repositories").alias("at", "r")).where("r.name is not null")
+    first = rows.groupBy("r.name").agg(F.min_by("r", "at").alias("b"))
+    return first.select("name", F.col("b.url").alias("url"), F.coalesce("b.mainBranch", F.lit("main")).alias("main_branch"), F.col("b.queryAliases").alias("aliases"))
+
+
+def commits_above(commits: DataFrame, tip: str) -> DataFrame:
+    """sha of a commit and all its ancestors, from commits (sha, parents array<string>)."""
+    edges = commits.select(F.col("sha").alias("src"), F.explode("parents").alias("dst"))
+    return graph.closure(edges, commits.where(F.col("sha") == tip).select(F.col("sha").alias("node"))).select(F.col("node").alias("sha"))
+
+
 def package_dependencies(manifests: DataFrame) -> DataFrame:
     """repository, name, version, kind from manifests (repository, text of package.json); a name's strongest kind counts."""
     rows = None

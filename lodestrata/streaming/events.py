@@ -5,14 +5,14 @@ Each transformation takes and returns a DataFrame and gives the same rows on a b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from lodestrata.functions.text import normal_remote
+from lodestrata.sources.storage import small
+
 
 def read_stream(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
     """Parquet files of a folder as a stream."""
@@ -47,17 +47,57 @@ def once(events: DataFrame, *key: str, delay: str = "1 day") -> DataFrame:
 
 
 def running_miss_rate(events: DataFrame) -> DataFrame:
-    """user_id, n, misses after each micro-batch: state that a window can't express, kept per user."""
+    """user_id, n, misses so far; in update mode the users of each micro-batch."""
+    return events.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("value") < 5).alias("misses"))
+
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, misses = state.get if state.exists else (0, 0)
-        for pdf in batches:
-            n, misses = n + len(pdf), misses + int((pdf["value"] < 5).sum())
-        state.update((n, misses))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "misses": [misses]})
+#: What is read of a push: the fields of the usual hosts, and those of plain senders.
+PUSH = (
+    "seq long, ref string, commit string, after string, checkout_sha string, object_kind string, repository_name string, "
+    "head_commit struct<id:string>, pusher struct<name:string>, "
+    "repository struct<git_ssh_url:string,git_http_url:string,url:string,ssh_url:string,clone_url:string,html_url:string>, "
+    "project struct<git_ssh_url:string,git_http_url:string,web_url:string>"
+)
 
-    out, kept = "user_id long, n long, misses long", "n long, misses long"
-    return events.groupBy("user_id").applyInPandasWithState(update, out, kept, "update", "NoTimeout")
+
+def pushes(payloads: DataFrame, registry: DataFrame) -> DataFrame:
+    """seq, repository, sha, source, status of push payloads (body, JSON text), as a batch or a stream.
+
+    status: ok, malformed, no-commit (none of 40 hexadecimal digits), deletion (all zeros), unknown (of no repository in the
+    registry: name, url, main_branch), ignored (another branch). A repository is known by its name, else by a clone address
+    in any of its forms. The registry is small, which is checked before it is broadcast.
+    """
+    p = payloads.select(F.from_json("body", PUSH).alias("p"), F.get_json_object("body", "$.repository").alias("given"))
+    sha = F.coalesce("p.commit", "p.after", "p.checkout_sha", "p.head_commit.id")
+    fields = [f"p.repository.{x}" for x in ("git_ssh_url", "git_http_url", "url", "ssh_url", "clone_url", "html_url")] + [f"p.project.{x}" for x in ("git_ssh_url", "git_http_url", "web_url")]
+    remotes = F.array_distinct(F.array_compact(F.array(*[normal_remote(F.col(f)) for f in fields])))
+    source = F.when((F.col("p.object_kind") == "push") | F.col("p.project").isNotNull(), "gitlab").when(F.col("p.head_commit").isNotNull() | F.col("p.pusher").isNotNull(), "github").otherwise("generic")
+    rows = p.select(
+        F.col("p.seq").alias("seq"),
+        F.lower(sha).alias("sha"),
+        F.regexp_replace("p.ref", "^refs/heads/", "").alias("branch"),
+        source.alias("source"),
+        F.coalesce("p.repository_name", F.when(~F.startswith("given", F.lit("{")), F.col("given"))).alias("named"),
+        remotes.alias("remotes"),
+        F.coalesce(F.to_json("p"), F.lit("{}")).alias("read"),
+    )
+    known = small(registry.select(F.col("name").alias("repository"), normal_remote(F.col("url")).alias("remote"), "main_branch"))
+    # One row a push: a repository that is named wins over one that an address points to.
+    listed = known.agg(F.collect_list(F.struct("repository", "remote", "main_branch")).alias("known"))
+    rows = rows.join(F.broadcast(listed))
+    by_name = F.filter("known", lambda k: k["repository"] == F.col("named"))
+    by_remote = F.filter("known", lambda k: F.array_contains("remotes", k["remote"]))
+    rows = rows.withColumn("hit", F.coalesce(F.get(by_name, F.lit(0)), F.get(by_remote, F.lit(0))))
+    full = F.coalesce(F.col("sha").rlike("^[0-9a-f]{40}$"), F.lit(False))
+    status = (
+        F.when(F.col("read") == "{}", "malformed")
+        .when(~full, "no-commit")
+        .when(F.col("sha").rlike("^0{40}$"), "deletion")
+        .when(F.col("hit").isNull(), "unknown")
+        .when(F.col("branch").isNotNull() & (F.col("branch") != F.col("hit.main_branch")), "ignored")
+        .otherwise("ok")
+    )
+    return rows.select("seq", F.col("hit.repository").alias("repository"), "sha", "source", status.alias("status"))
 
 
 def apply_commits(commits: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
