@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+
+from lodestrata.functions.arrays import bound
+from lodestrata.sources import storage
+from lodestrata.sources.storage import shared_dir, stored
+
+__all__ = ["bound", "shared_dir", "small", "stored"]
 
 #: Bytes of text that the numpy helpers work on at a time; one longer text is worked on whole.
 CHUNK_BYTES = 400_000
@@ -17,36 +20,9 @@ CHUNK_BYTES = 400_000
 BROADCAST_IDS = 2_000_000
 
 
-def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Without the setting, a temporary folder takes its place on one machine; a cluster must name one.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/lodestrata/{tag}-{uuid.uuid4().hex[:12]}"
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(ids: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
     """ids with a broadcast hint if it is counted to have at most `bound` rows, else as it is."""
-    return F.broadcast(ids) if ids.limit(bound + 1).count() <= bound else ids
-
-
-def bound(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value) with value computed once, also where it is used for each element of an array."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+    return storage.small(ids, bound)
 
 
 # --- numpy over Arrow strings -------------------------------------------------------------------------------------
