@@ -29,9 +29,11 @@ def leaked_values(cells: DataFrame, values: DataFrame) -> DataFrame:
     known = values.where(F.length("value") >= 6).select("key", "value", is_secret(F.col("key"), F.col("value")).alias("secret")).distinct()
     whole = cells.where(F.col("column").rlike(PAYLOAD)).join(known, F.col("text") == F.col("value")).select("key", "table")
     secret = known.where("secret").select("key", "value", F.substring("value", 1, 6).alias("start"))
-    pieces = F.transform(F.sequence(F.lit(1), F.length("text") - 5), lambda i: F.substring(F.col("text"), i, F.lit(6)))
-    said = cells.where(F.length("text") >= 6).select("table", "text", F.explode(F.array_distinct(pieces)).alias("start"))
-    inside = said.join(small(secret), "start").where(F.contains("text", F.col("value"))).select("key", "table")
+    pieces = F.regexp_extract_all("text", F.lit("(?s)(?=(.{6}))"), F.lit(1))  # of every place, in one pass
+    rows = cells.where(F.length("text") >= 6).select("table", "text", F.xxhash64("text").alias("row"))
+    said = rows.select("row", F.explode_outer(F.array_distinct(pieces)).alias("start"))
+    met = said.join(small(secret), "start").select("row", "key", "value").distinct()
+    inside = rows.join(met, "row").where(F.contains("text", F.col("value"))).select("key", "table")
     return whole.unionByName(inside).distinct()
 
 

@@ -180,10 +180,12 @@ def theta_phrase_contains(t: Tables) -> DataFrame:
     docs = t.documents.select("doc_id", words.alias("w")).where("w is not null")
     none = F.array().cast("array<bigint>")
     all_starts = F.array_distinct(F.flatten(F.array(*[F.coalesce(x, none) for x in starts]))) if starts else none
-    docs = docs.select("doc_id", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("text"), all_starts.alias("starts"))
-    # Starts that no phrase has are dropped by a join of numbers alone, before texts are repeated.
-    met = docs.select("doc_id", "text", F.explode("starts").alias("start")).join(phrases, "start")
-    found = met.where(F.contains("text", F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))).groupBy("phrase").agg(F.count("doc_id").alias("n"))
+    # Numbers alone are repeated; texts are fetched for the documents that meet a phrase. An outer explode, as a plain one would
+    # also be planned as a filter of non-empty arrays, by which they are computed twice.
+    texts = docs.select("doc_id", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("text")).withColumn("row", F.xxhash64("text"))
+    begun = docs.select(F.xxhash64(F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))).alias("row"), all_starts.alias("starts"))
+    met = begun.select("row", F.explode_outer("starts").alias("start")).join(phrases, "start").select("row", "phrase").distinct()
+    found = texts.join(met, "row").where(F.contains("text", F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))).groupBy("phrase").agg(F.count("doc_id").alias("n"))
     return items.join(found, "phrase", "left").groupBy("item_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_docs"))
 
 
@@ -197,7 +199,7 @@ def leak_substring_scan(t: Tables) -> DataFrame:
     runs = F.regexp_extract_all("text", F.lit("[A-Za-z0-9]{16,}"), F.lit(0))
     windows = lambda run: F.transform(F.sequence(F.lit(1), F.length(run) - 15), lambda i: run.substr(i, F.lit(16)))
     rows = t.documents.where(F.col("text").rlike("[A-Za-z0-9]{16}")).select("doc_id", "text", F.xxhash64("text").alias("row"))
-    starts = rows.select("doc_id", "row", F.explode(F.array_distinct(F.flatten(F.transform(runs, windows)))).alias("start"))
+    starts = rows.select("doc_id", "row", F.explode_outer(F.array_distinct(F.flatten(F.transform(runs, windows)))).alias("start"))
     hits = starts.join(known.withColumn("start", F.substring("value", 1, 16)), "start").select(F.col("doc_id").alias("id"), F.col("row").alias("at"), "value").distinct()
     found = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("at"))).where(F.contains("text", F.col("value")))
     again = F.length("text") - F.length(F.replace("text", F.col("value"), F.lit(""))) >= 2 * F.length("value")
