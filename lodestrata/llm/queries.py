@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import chat, decontamination, html_text, language, mixing, ngram_join, quality, secrets, sharding, sql, sstable
+from lodestrata.llm import chat, decontamination, html_text, language, merkle, mixing, ngram_join, quality, secrets, sharding, sql, sstable
 
 SHARDS = 8
 
@@ -92,6 +92,12 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.document_manifest(_docs(spark, sf_dir))
+    proof = F.sha2(merkle.siblings(F.col("steps")), 256).alias("proof_sha256")
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof, "folded_root", "verified")
+
+
 OP9_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -160,4 +166,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_linked_secrets": sql.OP3,
         "op7_byte_shards": sql.OP7,
         "op9_chat_format": OP9_SQL,
+        "op11_merkle_manifest": sql.OP11,
     }

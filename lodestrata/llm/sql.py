@@ -78,3 +78,42 @@ WITH RECURSIVE crc_table AS (
 ), s AS (SELECT *, CAST(least(7, floor((upto - size / 2) * 8 / total)) AS INTEGER) AS shard FROM o)
 SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard, place - min(place) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
 """
+
+
+def _said(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(map(_said, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
+def _nodes(name: str, rows: str) -> str:
+    """Recursive nodes (g, level, pos, n, h) over rows (g, pos, n, h), and what stands beside each node as `before|after`."""
+    return f"""{name} AS (SELECT g, 0 AS level, pos, n, h FROM ({rows})
+  UNION ALL SELECT g, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY g, level, n, pos // 2
+), {name}_beside AS MATERIALIZED (SELECT a.g, a.level, a.pos, CASE WHEN a.pos % 2 = 1 THEN b.h || '|' ELSE '|' || coalesce(b.h, '') END AS s
+  FROM {name} a LEFT JOIN {name} b ON a.g IS NOT DISTINCT FROM b.g AND a.level = b.level AND b.pos = xor(a.pos, 1) WHERE a.n > 1
+)"""
+
+
+OP11 = f"""
+WITH RECURSIVE crc_table AS (
+  SELECT i AS byte, i AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT byte, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc_table WHERE k < 8
+), crc_steps AS MATERIALIZED (SELECT list(c ORDER BY byte) AS x FROM crc_table WHERE k = 8
+), d AS MATERIALIZED (SELECT doc_id, lang AS g, {_leaf("n_chars")} AS leaf, {_leaf("(n_chars + 1)")} AS changed,
+    coalesce(xor(4294967295, list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda k: CAST(ascii(k) AS BIGINT)),
+      lambda c, b: xor(c >> 8, x[1 + xor(c & 255, b)]))) % 7 = 0, false) AS picked FROM documents, crc_steps
+), placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM d
+), {_nodes("low", "SELECT g, pos, n, leaf AS h FROM placed")
+}, subroots AS MATERIALIZED (SELECT g AS name, h AS subroot, '' AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1
+), {_nodes("high", "SELECT g, pos, n, subroot AS h FROM subroots")
+}, ways AS (
+  SELECT doc_id, leaf, CASE WHEN picked THEN changed ELSE leaf END AS seen, subroot, (SELECT h FROM high WHERE n = 1) AS root,
+    coalesce((SELECT list(s ORDER BY b.level) FROM low_beside b WHERE b.g IS NOT DISTINCT FROM p.g AND b.pos = p.pos >> b.level), [])
+      || coalesce((SELECT list(s ORDER BY b.level) FROM high_beside b WHERE b.pos = r.pos >> b.level), []) AS steps
+  FROM placed p JOIN subroots r ON r.name IS NOT DISTINCT FROM p.g
+), f AS (SELECT *, list_reduce([seen] || steps, lambda h, s: sha256(split_part(s, '|', 1) || h || split_part(s, '|', 2))) AS folded_root FROM ways)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(steps, ''), '|', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM f
+"""
