@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import chat, decontamination, html_text, language, merkle, mixing, ngram_join, quality, secrets, sharding, sql, sstable
+from lodestrata.llm import chat, decontamination, html_text, language, merkle, mixing, ngram_join, quality, secrets, sentencepieces, sharding, sql, sstable
 
 SHARDS = 8
 
@@ -98,6 +98,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof, "folded_root", "verified")
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    back = sentencepieces.decode_pieces(sentencepieces.encode_pieces(_docs(spark, sf_dir), path, "doc_id"), path)
+    said = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return back.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(said, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")
+    )
+
+
 OP9_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
