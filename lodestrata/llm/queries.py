@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import chat, decontamination, html_text, language, merkle, mixing, ngram_join, quality, secrets, sentencepieces, sharding, sql, sstable
+from lodestrata.llm import chat, decontamination, html_text, language, merkle, mixing, ngram_join, prefix_trie, quality, secrets, sentencepieces, sharding, sql, sstable
 
 SHARDS = 8
 
@@ -107,6 +107,11 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt_sequences(conversations))
+
+
 OP9_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -176,4 +181,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_byte_shards": sql.OP7,
         "op9_chat_format": OP9_SQL,
         "op11_merkle_manifest": sql.OP11,
+        "op13_prefix_trie": sql.OP13,
     }

@@ -117,3 +117,28 @@ WITH RECURSIVE crc_table AS (
 ), f AS (SELECT *, list_reduce([seen] || steps, lambda h, s: sha256(split_part(s, '|', 1) || h || split_part(s, '|', 2))) AS folded_root FROM ways)
 SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(steps, ''), '|', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM f
 """
+
+OP13 = """
+WITH RECURSIVE crc_table AS (
+  SELECT i AS byte, i AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT byte, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc_table WHERE k < 8
+), crc_steps AS MATERIALIZED (SELECT list(c ORDER BY byte) AS x FROM crc_table WHERE k = 8
+), t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k FROM conversations WHERE conv_id IS NOT NULL
+), c AS (SELECT conv_id, conv_id - (conv_id % 5 + 5) % 5 AS base, xor(4294967295, list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+      lambda k: CAST(ascii(k) AS BIGINT)), lambda c, b: xor(c >> 8, x[1 + xor(c & 255, b)]))) % 9 AS h FROM (SELECT DISTINCT conv_id FROM t), crc_steps
+), r AS (SELECT c.conv_id, 0 AS part, k, role, text FROM c JOIN t ON t.conv_id = base AND k <= h
+  UNION ALL SELECT c.conv_id, 1, k, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND k > h
+), p AS (SELECT conv_id, strlen(text) AS size, row_number() OVER w AS depth, string_agg(strlen(role) || ':' || role || strlen(text) || ':' || text, '') OVER w AS path
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, k ROWS UNBOUNDED PRECEDING)
+), m AS MATERIALIZED (SELECT conv_id, depth, path, size FROM p UNION ALL SELECT conv_id, 0, '', 0 FROM c
+), e AS (SELECT conv_id, max(depth) AS last FROM m GROUP BY 1
+), n AS MATERIALIZED (SELECT depth, path, min(size) AS size, min(conv_id) AS owner, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = last), '')) AS ends_sha256 FROM m JOIN e USING (conv_id) GROUP BY 1, 2
+), up AS (SELECT n.depth, n.path, a.path AS above FROM n JOIN m a ON a.conv_id = n.owner AND a.depth = n.depth - 1
+), kids AS (SELECT above AS path, count(*) AS n_children FROM up GROUP BY 1
+), sub AS (SELECT a.path, sum((n_convs - 1) * n.size) AS saved, count(*) FILTER (n_children IS NULL) AS n_leaves
+  FROM n JOIN m a ON a.conv_id = n.owner AND a.depth <= n.depth LEFT JOIN kids ON kids.path = n.path GROUP BY 1)
+SELECT n.owner AS conv_id, n.depth, v.owner AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n LEFT JOIN kids ON kids.path = n.path JOIN sub ON sub.path = n.path LEFT JOIN up ON up.path = n.path AND n.depth > 0 LEFT JOIN n v ON v.path = up.above AND v.depth = n.depth - 1
+"""
