@@ -3,23 +3,28 @@ r"""Benchmark decontamination with suffix arrays over the training documents.
 Each scan partition is cut into shards of whole documents, and each shard gets a suffix array over its words: suffixes are
 ordered by as many words as the longest window has, through prefix doubling of word hashes (suffixes that agree beyond
 stay together).
-Every suffix of every benchmark item is looked up by binary search, all at once; where its first words occur, the
-range of the array lists every place, and each place is extended word by word to its longest verbatim match. An item's
-window is 13 consecutive words (a shorter item is one window), so a place counts if it matches a whole window.
+The suffixes of all benchmark items are looked up in it by binary search, all at once, equal first words as one: such a window
+is 13 consecutive words of an item (a shorter item is one window), and the range of the array that begins with it lists its
+places. A place has one window of 13 words at most, and one of each smaller length, so the places are no more than the shard's
+words times 13, however often words repeat. Each place's longest match is found among its neighbours in the benchmark's own
+suffix array, whose lengths in common come from hashes of prefixes, not word by word. Spans are the maximal ones of these
+matches, each with one place in the benchmark where it is found; items come from the windows that occur.
 
 Scale. Documents are never exchanged: a document lies in one shard, so its hits are complete there. The benchmark is
 sent to the executors in blocks of about BLOCK_BYTES of text; a larger benchmark takes more passes over the documents,
-whose spans are then merged per document. There, long items are cut into pieces that overlap by all but one word of a window,
-so every window lies in one piece, and matches that go on from piece to piece are put together again.
+whose hits are then merged per document. There, long items are cut into pieces that overlap by all but one word of a window,
+so every window lies in one piece, and spans that go on in the same item from piece to piece are put together again.
 
 Defined results: null or empty texts, or texts without words, have no words and no hits; benchmark items without words
 match nothing; a null item_id is ignored; repeated rows of documents are judged alike and each keeps a row; a very long text
-is one shard of its own; empty tables give no rows or no hits; other columns are ignored. Words are compared by 64-bit hashes.
+is one shard of its own, also if it repeats a few words; empty tables give no rows or no hits; other columns are ignored. Words
+are compared by 64-bit hashes; the lengths of matches beyond a window by 62-bit hashes of prefixes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +39,50 @@ BLOCK_BYTES = 16_000_000
 #: Text of a shard of documents, about; larger shards cost fewer searches and more memory.
 SHARD_BYTES = 1_000_000
 
-SPANS = "doc_id long, row long, n_words long, spans array<struct<start:long,length:long,item:string,item_start:long,item_row:long>>"
+SPANS = "doc_id long, row long, n_words long, hits array<struct<start:long,length:long>>, items array<string>, spans array<struct<start:long,length:long,item:string,item_start:long,item_row:long>>"
 PIECES = "item_id string, item_row long, skipped long, text string"
 
 
+#: Moduli and base of the hashes of prefixes.
+_MODULI, _BASE = (2147483647, 2147483629), 1000003
+
+
+class Prefixes:
+    """Hashes of all prefixes of a sequence of word hashes, to compare stretches of two sequences."""
+
+    powers = [np.ones(1, np.int64)] * 2
+
+    def __init__(self, h: np.ndarray):
+        self.sums = []
+        for k, p in enumerate(_MODULI):
+            power = Prefixes.powers[k]
+            while len(power) <= len(h):  # doubles: base ** (i + n) = base ** i * base ** n
+                power = np.r_[power, power * (int(power[-1]) * _BASE % p) % p]
+            Prefixes.powers[k] = power
+            terms = (h % np.uint64(p)).astype(np.int64) * power[: len(h)] % p
+            self.sums.append(np.r_[0, np.cumsum(terms) % p])
+
+    def same(self, i: np.ndarray, other: Prefixes, j: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether n words from i on are those of other from j on."""
+        out = np.ones(len(i), bool)
+        for k, p in enumerate(_MODULI):
+            a, b = (self.sums[k][i + n] - self.sums[k][i]) % p, (other.sums[k][j + n] - other.sums[k][j]) % p
+            low = np.minimum(i, j)
+            out &= a * Prefixes.powers[k][j - low] % p == b * Prefixes.powers[k][i - low] % p
+        return out
+
+    def common(self, i: np.ndarray, other: Prefixes, j: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """How many words from i and j on are the same, known to be between least and most."""
+        low, high = least.copy(), most.copy()
+        while (busy := low < high).any():
+            x = np.flatnonzero(busy)
+            n = (low[x] + high[x] + 1) // 2
+            yes = self.same(i[x], other, j[x], n)
+            low[x] = np.where(yes, n, low[x])
+            high[x] = np.where(yes, high[x], n - 1)
+        return low
+
+
 class Benchmark:
     """The words of a block of items or pieces, end to end, and the first word of each.
 
@@ -53,10 +98,29 @@ class Benchmark:
         self.hashes, self.ids = shared.hashed(raw, starts, ends), ids
         size = np.diff(self.first)
         self.item = np.repeat(np.arange(len(ids)), size)
-        at = np.arange(len(self.hashes)) - self.first[self.item]
-        self.need = np.minimum(window, size[self.item])  # words that a match must have
-        self.queries = np.flatnonzero(at + self.need <= size[self.item])  # suffixes that hold a whole window
-        self.left = size[self.item] - at  # words of the suffix
+        self.left = self.first[1:][self.item] - np.arange(len(self.hashes))  # words of the suffix
+        need = np.minimum(window, size[self.item])  # words that a match must have
+        order, _ = suffix_array(self.hashes, self.left, int(size.max(initial=0)))
+        self.queries = order[self.left[order] >= need[order]]  # suffixes that hold a whole window, in order
+        # Suffixes that begin with the same window are neighbours: they are looked up as one.
+        q, n = self.queries, need[self.queries]
+        new = np.ones(len(q), bool)
+        if len(q):
+            new[1:] = n[1:] != n[:-1]
+            for k in range(int(n.max())):
+                open_ = np.flatnonzero(~new[1:] & (n[1:] > k)) + 1
+                new[open_] = self.hashes[q[open_] + k] != self.hashes[q[open_ - 1] + k]
+        self.begin = np.r_[np.flatnonzero(new), len(q)]  # of the windows' ranges of queries
+        self.window, self.need = q[self.begin[:-1]], n[self.begin[:-1]]
+        # The ids, in order of their strings, of the items of each window.
+        self.names, number = np.unique(np.array(ids, object), return_inverse=True) if ids else (np.zeros(0, object), np.zeros(0, int))
+        pair = np.unique((np.cumsum(new) - 1) * max(1, len(self.names)) + number[self.item[q]])
+        self.window_names = pair % max(1, len(self.names))
+        self.names_begin = np.searchsorted(pair // max(1, len(self.names)), np.arange(len(self.begin)))
+
+    @cached_property
+    def prefixes(self) -> Prefixes:
+        return Prefixes(self.hashes)
 
 
 def suffix_array(h: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,47 +164,74 @@ def _compare(h, left, order, at, bench, q, need) -> np.ndarray:
     return out
 
 
-def matches(h: np.ndarray, left: np.ndarray, bench: Benchmark) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, benchmark suffix, length): every place where a benchmark suffix matches a window or more, extended."""
+def places(h: np.ndarray, left: np.ndarray, bench: Benchmark) -> tuple[np.ndarray, np.ndarray]:
+    """(word, window): every place where a window of the benchmark occurs."""
     order, values = suffix_array(h, left, int(bench.need.max(initial=1)))
-    q = bench.queries
-    known = values[np.minimum(np.searchsorted(values, bench.hashes[q]), len(values) - 1)] == bench.hashes[q] if len(values) else np.zeros(len(q), bool)
-    q = q[known]
-    need = bench.need[q]
+    if not len(values):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = bench.hashes[bench.window]
+    w = np.flatnonzero(values[np.minimum(np.searchsorted(values, first), len(values) - 1)] == first)
     edge = []
     for upper in (False, True):  # the range of suffixes that begin with the window
-        low, high = np.zeros(len(q), np.int64), np.full(len(q), len(order))
+        low, high = np.zeros(len(w), np.int64), np.full(len(w), len(order))
         while (busy := low < high).any():
             i = np.flatnonzero(busy)
             middle = (low[i] + high[i]) // 2
-            c = _compare(h, left, order, middle, bench, q[i], need[i])
+            c = _compare(h, left, order, middle, bench, bench.window[w[i]], bench.need[w[i]])
             right = c <= 0 if upper else c < 0
             low[i] = np.where(right, middle + 1, low[i])
             high[i] = np.where(right, high[i], middle)
         edge.append(low)
     times = edge[1] - edge[0]
-    suffix = np.repeat(q, times)
-    at = order[np.repeat(edge[0] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())] if times.sum() else np.zeros(0, np.int64)
-    length = np.repeat(need, times)
-    grow = np.arange(len(at))
-    while len(grow):
-        n = length[grow]
-        grow = grow[(left[at[grow]] > n) & (bench.left[suffix[grow]] > n)]
-        n = length[grow]
-        grow = grow[h[at[grow] + n] == bench.hashes[suffix[grow] + n]]
-        length[grow] += 1
-    return at, suffix, length
-
-
-def _maximal(at: np.ndarray, suffix: np.ndarray, doc: np.ndarray, item: np.ndarray) -> np.ndarray:
-    """Leaves out a match that is the tail of one that starts a word earlier in the same two texts: its words are covered."""
+    end = np.cumsum(times)
+    at = order[np.arange(end[-1] if len(end) else 0) + np.repeat(edge[0] - (end - times), times)]
+    return at, np.repeat(w, times)
+
+
+def longest(h: np.ndarray, left: np.ndarray, at: np.ndarray, window: np.ndarray, bench: Benchmark) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, length, benchmark suffix) of the longest match of each place, where it isn't the end of the one a word before.
+
+    A place's longest match is with a neighbour of its own suffix in the order of the benchmark's suffixes, within its window's.
+    """
     if not len(at):
-        return np.zeros(0, bool)
-    seen = np.sort(at.astype(np.int64) << 32 | suffix)
-    before = (at.astype(np.int64) - 1) << 32 | (suffix - 1)
-    found = seen[np.minimum(np.searchsorted(seen, before), len(seen) - 1)] == before
-    same = (doc[np.maximum(at, 1) - 1] == doc[at]) & (item[np.maximum(suffix, 1) - 1] == item[suffix])
-    return ~(found & same & (suffix > 0) & (at > 0))
+        return at, at, at
+    prefixes = Prefixes(h)
+    low, high = bench.begin[window].copy(), bench.begin[window + 1].copy()  # where the place's suffix would stand
+    need, most = bench.need[window], left[at]
+
+    def common(x: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        q = bench.queries[rank]
+        return prefixes.common(at[x], bench.prefixes, q, need[x], np.minimum(most[x], bench.left[q]))
+
+    while (busy := low < high).any():
+        x = np.flatnonzero(busy)
+        middle = (low[x] + high[x]) // 2
+        q, n = bench.queries[middle], common(x, middle)
+        ours, theirs = n < most[x], n < bench.left[q]
+        mine = h[np.minimum(at[x] + n, len(h) - 1)]
+        other = bench.hashes[np.minimum(q + n, len(bench.hashes) - 1)]
+        before = np.where(ours & theirs, other < mine, ours)  # whether the benchmark's suffix comes before; one that ends does
+        low[x] = np.where(before, middle + 1, low[x])
+        high[x] = np.where(before, high[x], middle)
+    length, suffix = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    for rank in (low - 1, low):
+        x = np.flatnonzero((rank >= bench.begin[window]) & (rank < bench.begin[window + 1]))
+        n = common(x, rank[x])
+        better = n > length[x]
+        length[x[better]], suffix[x[better]] = n[better], bench.queries[rank[x[better]]]
+    # Of the windows of a place the longest match counts.
+    order = np.lexsort((-length, at))
+    at, length, suffix = at[order], length[order], suffix[order]
+    keep = np.r_[True, at[1:] != at[:-1]]
+    at, length, suffix = at[keep], length[keep], suffix[keep]
+    tail = np.zeros(len(at), bool)
+    tail[1:] = (at[1:] == at[:-1] + 1) & (length[:-1] == length[1:] + 1)
+    return at[~tail], length[~tail], suffix[~tail]
+
+
+def _lists(of: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
+    """values, sorted by their list `of`, in n lists."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32)), values)
 
 
 def _spans(shared_benchmark):
@@ -151,24 +242,40 @@ def _spans(shared_benchmark):
             starts, ends, first = shared.words(low, offsets, NOT_ALNUM)
             h, size = shared.hashed(low, starts, ends), np.diff(first)
             doc = np.repeat(np.arange(len(size)), size)
-            at, suffix, length = matches(h, first[1:][doc] - np.arange(len(h)), bench)
-            keep = _maximal(at, suffix, doc, bench.item)
-            at, suffix, length = at[keep], suffix[keep], length[keep]
-            by_doc = np.argsort(at, kind="stable")
-            at, suffix, length = at[by_doc], suffix[by_doc], length[by_doc]
-            counts = np.bincount(doc[at], minlength=len(size)) if len(at) else np.zeros(len(size), np.int64)
+            left = first[1:][doc] - np.arange(len(h))
+            at, window = places(h, left, bench)
+            # Words of windows, in runs that end with the document.
+            open_ = np.zeros(len(h) + 1, np.int64)
+            np.add.at(open_, at, 1)
+            np.add.at(open_, at + bench.need[window], -1)
+            hit = np.cumsum(open_)[:-1] > 0
+            border = np.zeros(len(h) + 1, bool)
+            border[first] = True
+            run = np.flatnonzero(hit & (border[:-1] | ~np.r_[False, hit[:-1]])) if len(h) else np.zeros(0, np.int64)
+            stop = np.flatnonzero(hit & (border[1:] | ~np.r_[hit[1:], False])) + 1 if len(h) else run
+            hits = pa.StructArray.from_arrays([pa.array(run - first[doc[run]], pa.int64()), pa.array(stop - run, pa.int64())], ["start", "length"])
+            seen = np.unique(doc[at] * len(bench.need) + window)  # a document's windows, once each
+            of_doc, w = seen // max(1, len(bench.need)), seen % max(1, len(bench.need))
+            times = bench.names_begin[w + 1] - bench.names_begin[w]
+            end = np.cumsum(times)
+            name = bench.window_names[np.arange(end[-1] if len(end) else 0) + np.repeat(bench.names_begin[w] - (end - times), times)]
+            known = np.unique(np.repeat(of_doc, times) * max(1, len(bench.names)) + name)
+            names = pa.array(bench.names[known % max(1, len(bench.names))], pa.string())
+            at, length, suffix = longest(h, left, at, window, bench)
+            item = bench.item[suffix]
             spans = pa.StructArray.from_arrays(
                 [
-                    pa.array(at - first[doc[at]] if len(at) else at, pa.int64()),
+                    pa.array(at - first[doc[at]], pa.int64()),
                     pa.array(length, pa.int64()),
-                    pa.array([bench.ids[i] for i in bench.item[suffix]], pa.string()),
-                    pa.array((suffix - bench.first[bench.item[suffix]] + bench.skipped[bench.item[suffix]]) if len(at) else suffix, pa.int64()),
-                    pa.array(bench.rows[bench.item[suffix]] if len(at) else suffix, pa.int64()),
+                    pa.array([bench.ids[i] for i in item], pa.string()),
+                    pa.array(suffix - bench.first[item] + bench.skipped[item], pa.int64()),
+                    pa.array(bench.rows[item], pa.int64()),
                 ],
                 ["start", "length", "item", "item_start", "item_row"],
             )
-            lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(counts)].astype(np.int32), spans)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size, pa.int64()), lists], ["doc_id", "row", "n_words", "spans"])
+            n = len(size)
+            lists = [_lists(doc[run], n, hits), _lists(known // max(1, len(bench.names)), n, names), _lists(doc[at], n, spans)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size, pa.int64()), *lists], ["doc_id", "row", "n_words", "hits", "items", "spans"])
 
     return of
 
@@ -217,11 +324,16 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     kept.append(s)
             out.append(kept)
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row", "n_words")), pa.array(out, kind)], ["doc_id", "row", "n_words", "spans"])
+        names = ["doc_id", "row", "n_words", "hits", "items"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(out, kind)], [*names, "spans"])
 
 
 def verbatim_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, row, n_words, spans of every row of docs (row is xxhash64 of its text): the longest verbatim matches (word start, length, item, its word, hash of its text)."""
+    """doc_id, row, n_words, hits, items, spans of every row of docs (row is xxhash64 of its text).
+
+    hits: stretches of words in windows (those of several blocks may overlap); items: those whose windows occur; spans: the
+    longest verbatim matches (word start, length, item, its word, hash of its text), none the end of another.
+    """
     spark = docs.sparkSession
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), F.xxhash64("text").alias("item_row"), "text")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -242,9 +354,10 @@ def verbatim_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, bl
     for k, p in enumerate(passes[1:], 1):
         union = union.unionByName(p.withColumn("pass", F.lit(k)))
     # Equal rows have equal spans in a pass: they count as one with a number of times, and are that many rows at the end.
-    once = union.groupBy("doc_id", "row", "n_words", "pass").agg(F.first("spans").alias("spans"), F.count("*").alias("times"))
-    merged = once.groupBy("doc_id", "row", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.min("times").alias("times"))
-    each = merged.select("doc_id", "row", "n_words", "spans", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("time")).drop("time")
+    lists = ("hits", "items", "spans")
+    once = union.groupBy("doc_id", "row", "n_words", "pass").agg(*[F.first(c).alias(c) for c in lists], F.count("*").alias("times"))
+    merged = once.groupBy("doc_id", "row", "n_words").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in lists], F.min("times").alias("times"))
+    each = merged.select("doc_id", "row", "n_words", *lists, F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("time")).drop("time")
     return each.mapInArrow(_joined, SPANS)
 
 
@@ -254,21 +367,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
-    """doc_id, row, n_words, n_hit, items (sorted), contaminated, spans: n_hit words lie in matches; share * n_hit >= n_words contaminates."""
+    """doc_id, row, n_words, n_hit, items (sorted), contaminated, spans: n_hit words lie in windows; share * n_hit >= n_words contaminates."""
     found = verbatim_matches(docs, benchmark, window)
-    # Spans sorted by start: a word counts once, from the farthest end so far.
+    # Stretches sorted by start: a word counts once, from the farthest end so far.
     step = lambda s, x: F.struct(
         (s["n"] + F.greatest(F.lit(0).cast("long"), x["start"] + x["length"] - F.greatest(s["end"], x["start"]))).alias("n"),
         F.greatest(s["end"], x["start"] + x["length"]).alias("end"),
     )
     zero = F.lit(0).cast("long")
-    covered = F.aggregate(F.sort_array("spans"), F.struct(zero.alias("n"), zero.alias("end")), step, lambda s: s["n"])
+    covered = F.aggregate(F.sort_array("hits"), F.struct(zero.alias("n"), zero.alias("end")), step, lambda s: s["n"])
     return found.select(
         "doc_id",
         "row",
         "n_words",
         covered.alias("n_hit"),
-        F.sort_array(F.array_distinct(F.transform("spans", lambda s: s["item"]))).alias("items"),
+        F.sort_array(F.array_distinct("items")).alias("items"),
         "spans",
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 

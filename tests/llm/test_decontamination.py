@@ -1,7 +1,9 @@
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestrata.llm import decontamination as dc
@@ -88,3 +90,40 @@ def test_removal_and_odd_rows(spark, odd):
     none = spark.createDataFrame([], "item_id long, text string")
     assert dc.decontaminate(odd, none).count() == 11
     assert dc.contamination(odd.limit(0), bench).collect() == []
+
+
+def found(texts, items, window=13):
+    """Rows of one shard, as dictionaries."""
+    bench = dc.Benchmark([str(i) for i, _ in items], [t for _, t in items], window)
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts), pa.array([0] * len(texts), pa.int64())], ["d", "t", "r"])
+    return [r for b in dc._spans(type("Sent", (), {"value": bench}))(iter([rows])) for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_longest_matches_of_repeated_words(seed):
+    rng = random.Random(seed)
+    some = lambda n: " ".join(rng.choice("ab" if seed % 2 else "aaaaaab") for _ in range(n))
+    items = [(i, some(rng.choice([1, 3, 8, 20, 60]))) for i in range(5)]
+    texts = [some(rng.randrange(80)) for _ in range(6)] + [""]
+    for text, row in zip(texts, found(texts, items, 6), strict=True):
+        w, best = words(text), {}
+        for _, t in items:
+            x = words(t)
+            for i in range(len(w)):
+                for k in range(len(x)):
+                    n = next((n for n in range(min(len(w) - i, len(x) - k)) if w[i + n] != x[k + n]), min(len(w) - i, len(x) - k))
+                    if n >= min(6, len(x)):
+                        best[i] = max(best.get(i, 0), n)
+        assert [(s["start"], s["length"]) for s in row["spans"]] == [(i, n) for i, n in sorted(best.items()) if best.get(i - 1) != n + 1]
+        for s in row["spans"]:
+            assert words(items[int(s["item"])][1])[s["item_start"] :][: s["length"]] == w[s["start"] :][: s["length"]]
+        hit = {k for h in row["hits"] for k in range(h["start"], h["start"] + h["length"])}
+        assert (len(w), len(hit), sorted(set(row["items"]))) == brute(text, items, 6)
+
+
+def test_long_repetition_takes_no_pairs():
+    began = time.perf_counter()
+    (row,) = found(["Word " * 20_000], [(1, "word " * 4000), (2, "word " * 3000 + "end")])
+    assert row["hits"] == [{"start": 0, "length": 20_000}] and row["items"] == ["1", "2"]
+    assert max(s["length"] for s in row["spans"]) == 4000
+    assert time.perf_counter() - began < 20
