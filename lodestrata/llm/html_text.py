@@ -10,7 +10,8 @@ blocks, in page order.
 Pages are independent rows, read in the scan's partitions and not exchanged.
 
 Defined results: null or empty html, or a page without an article, gives an empty text; a tag that the page's end cuts off
-is dropped, elements that are left open end with the page; repeated rows each keep a row; a very long page is
+is dropped; a quote in a tag is a character unless it follows `=` and is closed again, so it takes nothing else with it; elements
+that are left open end with the page; repeated rows each keep a row; a very long page is
 read whole, nesting is not limited; an empty table gives no rows; other columns are dropped.
 """
 
@@ -57,8 +58,11 @@ HEAD_WORDS = frozenset("header headers heading masthead banner".split())
 NEGATIONS = frozenset("no not without with has have hide is".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.DOTALL)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+#: A name and, behind `=`, a value; only there a quote opens a string, and only if it is closed again. Elsewhere it is a character.
+_NAME, _VALUE = r"=[^\s/>=]*+|[^\s/>=]++", r"\"[^\"]*+\"|'[^']*+'|[^\s>]*+"
+_COMMENT = r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)"
+_TOKEN = re.compile(rf"{_COMMENT}|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|(?:{_NAME})(?:\s*+=\s*+(?:{_VALUE}))?+)*+)(>|\Z)", re.DOTALL)
+_ATTRIBUTE = re.compile(rf"({_NAME})(?:\s*+=\s*+({_VALUE}))?+")
 _WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -79,40 +83,64 @@ class Node:
         self.chars = self.link_chars = self.commas = 0
 
 
-def _names_aside(name: str, strict: bool) -> bool:
+def _names_aside(name: str, strict: bool, last: bool) -> bool:
     """Whether one class or id names a part beside the article: by any of its words, whatever the others say if strict.
 
-    A header of the article (`post-header`) is none, nor is what a negation or `with`, `has` speaks of (`no-sidebar`).
+    A header of the article (`post-header`) is none, nor is what a negation or `with`, `has` speaks of (`no-sidebar`). If
+    last is set, only the last word counts (`cookie-notice`, not `notice-period`).
     """
     words = _WORD.findall(name)
     if not strict and ARTICLE_WORDS.intersection(words):
         return False
     for i, word in enumerate(words):
         if word in ASIDE_WORDS and not (word in HEAD_WORDS and ARTICLE_WORDS.intersection(words[:i])):
-            return not NEGATIONS.intersection(words[:i])
+            return not NEGATIONS.intersection(words[:i]) and (not last or words[-1] in ASIDE_WORDS)
     return False
 
 
-def _is_aside(name: str, attributes: str, within_article: bool, strict: bool) -> bool:
-    """Whether an element is none of the article by its name, role, class or id, or because it is hidden."""
+def _aside(name: str, attributes: str, within_article: bool, strict: bool) -> str:
+    """`yes` if an element is none of the article by its name, role, class or id, or because it is hidden; else `no`.
+
+    `links` for a paragraph or heading inside an article that a word names so, but not the last one: it is, if mostly links.
+    """
     if name in CUT:
-        return True
+        return "yes"
     if name == "header" and not within_article:
-        return True
+        return "yes"
     if not attributes or name in ("html", "body", "article", "main"):
-        return False
-    given = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)}
+        return "no"
+    given: dict[str, str] = {}
+    for key, value in _ATTRIBUTE.findall(attributes):
+        given.setdefault(key.lower(), (value[1:-1] if value[:1] in ("'", '"') and value[:1] == value[-1:] and len(value) > 1 else value).lower())
     if "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", ""):
-        return True
+        return "yes"
     if given.get("role") in ASIDE_ROLES:
-        return True
-    return any(_names_aside(x, strict) for x in [*given.get("class", "").split(), given.get("id", "")])
+        return "yes"
+    names = [*given.get("class", "").split(), given.get("id", "")]
+    prose = within_article and (name == "p" or name in HEADINGS)
+    if any(_names_aside(x, strict, prose) for x in names):
+        return "yes"
+    return "links" if prose and any(_names_aside(x, strict, False) for x in names) else "no"
+
+
+def _mostly_links(node: Node) -> bool:
+    chars = links = 0
+    stack: list[tuple[Node | str, bool]] = [(node, False)]
+    while stack:
+        x, linked = stack.pop()
+        if isinstance(x, str):
+            n = len("".join(x.split()))
+            chars, links = chars + n, links + n * linked
+        else:
+            stack += [(c, linked or x.name == "a") for c in x.children]
+    return 2 * links >= chars
 
 
 def parse(page: str, strict: bool = True) -> Node:
     """The tree of a page; text in cut parts is left out."""
     root = here = Node("#root", None)
     opened: Counter[str] = Counter()  # names of the elements from the root to here
+    doubtful: list[Node] = []
     at = 0
     find = _TOKEN.search
     while at < len(page):
@@ -136,9 +164,12 @@ def parse(page: str, strict: bool = True) -> Node:
             if not here.cut:
                 here.children.append(Node(name, here))
             continue
-        node = Node(name, here, here.cut or _is_aside(name, attributes, here.within, strict))
+        aside = "yes" if here.cut else _aside(name, attributes, here.within, strict)
+        node = Node(name, here, aside == "yes")
         if not node.cut:
             here.children.append(node)
+        if aside == "links":
+            doubtful.append(node)
         if name in RAW:
             stop = re.compile(f"</{re.escape(name)}[\\s/>]", re.IGNORECASE).search(page, at)
             if not stop:
@@ -146,6 +177,9 @@ def parse(page: str, strict: bool = True) -> Node:
             at = stop.start()
         here = node
         opened[name] += 1
+    for node in doubtful:
+        if _mostly_links(node):
+            node.parent.children = [c for c in node.parent.children if c is not node]
     return root
 
 

@@ -74,11 +74,17 @@ def test_deep_and_wide_pages_take_linear_time():
     assert time.perf_counter() - began < 40
 
 
+#: Attributes and comments that are not as they should be.
+ODD = [" title=Bob's", ' title="x""', " '", ' "', " =x", " = 'x'", ' a="1"b', " a='>'", ' a=">"', " a=x=y'z", " /", " a= ", ' title = "a > b"', " data='it is \"so\"'"]
+COMMENTS = ["<!-- no -->", "<!-->", "<!--->", "<!-- a --!>", "<!---->", "<!doctype x>", "<?x y?>"]
+
+
 def page_with_article(rng):
     """A random page and the text of its article, made side by side."""
     word = lambda: rng.choice(["river", "stone", "light,", "garden", "été", "walk.", "slow", "bread,", "north", "glass"])
     marks = {"&": "&amp;", "<": "&lt;", ">": "&#62;", "é": rng.choice(["é", "&eacute;", "&#xe9;"])}
     page, blocks = [], []
+    odd = lambda: rng.choice(["", "", "", *ODD])
 
     def words(n):
         return [rng.choice([word(), word(), word(), "a&b", "<x>"]) for _ in range(n)]
@@ -87,7 +93,7 @@ def page_with_article(rng):
         out, text = [], " ".join(ws)
         for w in ws:
             w = "".join(marks.get(c, c) for c in w)
-            out.append(rng.choice([w, w, w, f"<b>{w}</b>", f'<span class="x">{w}</span>', f"<a href='/y'>{w}</a>" if rng.random() < 0.1 else w, f"<!-- no -->{w}"]))
+            out.append(rng.choice([w, w, w, f"<b{odd()}>{w}</b>", f'<span class="x"{odd()}>{w}</span>', f"<a href='/y'{odd()}>{w}</a>" if rng.random() < 0.1 else w, f"{rng.choice(COMMENTS)}{w}"]))
         blocks.append(text)
         return rng.choice([" ", "\n  ", "\t"]).join(out)
 
@@ -108,7 +114,7 @@ def page_with_article(rng):
             return "<table>" + "".join(f"<tr><td>{inline(words(2))}<td>{inline(words(2))}" for _ in range(2)) + "</table>"
         if kind in ("div", "section"):
             return f"<{kind}>{part()}{part()}</{kind}>"
-        return f"<{kind}>{inline(words(rng.randint(3, 50)))}" + (f"</{kind}>" if kind == "h2" else rng.choice(["</p>", ""]))
+        return f"<{kind}{rng.choice(['', ' class=notice-period', ' id=menu-title'])}{odd()}>{inline(words(rng.randint(3, 50)))}" + (f"</{kind}>" if kind == "h2" else rng.choice(["</p>", ""]))
 
     page.append("<html><head><title>no</title></head><body><header><p>Site, name</p></header>" + aside() + aside())
     page.append(rng.choice(["<main>", "<main><div>", ""]) + "<article>")
@@ -143,3 +149,53 @@ def test_table(spark):
     got = html_text.extract_main_text(df.withColumn("text", df.url)).collect()
     assert [(r.page_id, r.text, r.n_chars) for r in got] == [(1, "", 0), (2, "", 0), (None, "x y", 3), (3, "same", 4), (3, "same", 4)]
     assert html_text.extract_main_text(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("odd", ["<p title=Bob's>", '<p title="x"">', '<p class="a" b"c>', "<p '>", '<p a = "1">', '<p title="never closed>', "<p title='never>", "<p =>", "<p class=notice-period>", "<!--><p>", "<p/ x>"])
+def test_nothing_is_lost_behind_an_odd_tag(odd):
+    page = f"<body><nav>a, b</nav><article><p>One, two, three.</p>{odd}Four, five, six.</p><p>Seven, eight, nine.</p></article><footer>no</footer></body>"
+    assert html_text.main_text(page) == "One, two, three.\nFour, five, six.\nSeven, eight, nine."
+
+
+def test_quotes_behind_an_equals_sign_hold_anything():
+    assert html_text.main_text("<article><p title=\"a > b 'c\">So, it, goes.</p></article>") == "So, it, goes."
+
+
+@pytest.mark.parametrize(("tag", "stays"), [("p class=cookie-notice", False), ("p class=notice-period", True), ("h2 id=menu-title", True), ("div class=notice-period", False), ("h3 class='share'", False)])
+def test_words_of_paragraphs_in_an_article(tag, stays):
+    name = tag.split()[0]
+    page = f"<article>{PROSE}<{tag}>The, last, words.</{name}></article>"
+    assert html_text.main_text(page) == STORY + "\nThe, last, words." * stays
+    linked = f"<article>{PROSE}<{tag}><a href=x>The, last, words.</a></{name}></article>"
+    assert html_text.main_text(linked) == STORY
+
+
+def plain_points(root):
+    """Points of every node by their definition, each from a look at all that is below it."""
+    text = lambda n: "".join(c if isinstance(c, str) else text(c) for c in n.children)
+    linked = lambda n: text(n) if n.name == "a" else "".join(linked(c) for c in n.children if not isinstance(c, str))
+    size = lambda s: len("".join(s.split()))
+    density = lambda n: size(linked(n)) / size(text(n)) if size(text(n)) else 0
+    below = lambda n, d=0: [(c, d + 1) for c in n.children if not isinstance(c, str)] + [x for c in n.children if not isinstance(c, str) for x in below(c, d + 1)]
+    out = {}
+    for node in [root, *(n for n, _ in below(root))]:
+        points = 0
+        for p, d in below(node):
+            share = 1.0 if d == 1 else 0.5 / 3 ** (d - 2)
+            if p.name in html_text.PARAGRAPH and size(text(p)) and share >= 0.1:
+                value = 1 + text(p).count(",") + min(size(text(p)) / 100, 3)
+                points += value * share * (0.2 if p.name[0] == "h" or p.name == "li" else 1) * (1 - density(p))
+        own = sum(size(c) for c in node.children if isinstance(c, str))
+        points += 1 + own / 100 if node.name in ("div", "section", "article", "main") and own >= 25 else 0
+        points += 5 if node.name in ("article", "main") and size(text(node)) else 0
+        out[id(node)] = points * (1 - density(node))
+    return out
+
+
+def test_points_by_definition():
+    rng = random.Random(3)
+    for _ in range(60):
+        root = html_text.parse(page_with_article(rng)[0])
+        plain = plain_points(root)
+        for node in html_text._score(root):
+            assert node.points == pytest.approx(plain[id(node)]), node.name
