@@ -20,6 +20,9 @@ from lodestrata.llm.shared import bound, stored
 SEPARATORS = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 
+#: EM ends when no posterior changes by more than this.
+TOLERANCE = 1e-6
+
 #: name: (feature, side that is bad, bad from here on, good on this side of here or never); a rule abstains otherwise.
 #: Every kind of junk is seen by two rules or more, as EM learns a rule's accuracy from its agreement with others.
 RULES: dict[str, tuple[str, str, float, float | None]] = {
@@ -111,12 +114,12 @@ def votes() -> Column:
     return F.array(*out)
 
 
-def learn(patterns: list[tuple[int, ...]], counts: list[int], rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+def learn(patterns: list[tuple[int, ...]], counts: list[int], tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
     """EM over counted vote patterns: each pattern's posterior of being good, and each rule's accuracy.
 
     Documents are good, or bad in one of as many ways as there are rules: the classes start with good documents that few
     rules call bad, and for each rule a rare class that it finds and others often miss. EM then learns from co-occurring
-    votes how each rule votes on each class. A rule's accuracy is the share of its bad votes that fall on bad classes.
+    votes how each rule votes on each class, until the posteriors stay within `tolerance`. A rule's accuracy is the share of its bad votes that fall on bad classes.
     All probabilities have small pseudo-counts, so an empty or one-sided corpus keeps finite odds.
     """
     k = len(RULES)
@@ -128,10 +131,13 @@ def learn(patterns: list[tuple[int, ...]], counts: list[int], rounds: int = 50)
     table[np.arange(1, k + 1), np.arange(k)] = [0.1, 0.8, 0.1]
     prior = np.r_[0.8, np.full(k, 0.2 / k)]
     belongs = np.zeros((len(n), k + 1))
-    for _ in range(rounds):
+    changed = np.inf if len(n) else 0.0
+    while changed > tolerance:
+        before = belongs
         odds = np.log(prior) + np.einsum("prv,crv->pc", seen, np.log(table))
         belongs = np.exp(odds - odds.max(1, keepdims=True, initial=-1e9))
         belongs /= belongs.sum(1, keepdims=True)
+        changed = np.abs(belongs - before).max()
         mass = belongs * n[:, None]
         size = mass.sum(0)
         prior = (size + 0.1) / (size.sum() + 0.1 * (k + 1))

@@ -2,7 +2,7 @@
 
 File: data blocks, block index, Bloom filter, footer.
 - A key is 13 bytes: 0 for a null doc_id or else 1, the doc_id as a big-endian number with its sign bit flipped, and the
-  occurrence (0, 1, ...) among rows of one doc_id; byte order is therefore key order, null first.
+  occurrence (0, 1, ...) among the file's rows of one doc_id; byte order is therefore key order, null first.
 - A block holds entries up to BLOCK_BYTES: varint of the bytes shared with the key before, varint of the rest's length,
   varint of the value's length, the rest of the key, the value (ids as little-endian unsigned numbers of `width` bytes).
   Blocks are compressed with zstd.
@@ -10,11 +10,13 @@ File: data blocks, block index, Bloom filter, footer.
 - The Bloom filter has 10 bits a key and 7 probes.
 - The footer has fixed size and names the places of index and filter, the counts and the width.
 
-Writing. Documents are range-partitioned and sorted by doc_id; each task tokenizes its rows in order and streams one
+Writing. Documents are range-partitioned and sorted by doc_id, and where an id (or null) is repeated by the text's beginning, its hash
+and the scan's partition, so that rows of one id may fill any number of files, which the list has in order; each task tokenizes its rows in order and streams one
 file, under a name that no other attempt uses, to the shared folder. The list of files is the tasks' own result, written
 by Spark's committer, so files of lost or repeated attempts are never listed.
 
-Defined results: null and empty text give the end id alone; rows of one doc_id are kept in text order as occurrences;
+Defined results: null and empty text give the end id alone; rows of one doc_id are kept as occurrences, in order of the first
+32 characters and then of a hash of their texts;
 an empty table gives no file and no rows; a text of any length is one value, read and written whole; other columns are
 dropped. The string of an added token inside a text is that token, as the tokenizers library has it by default.
 """
@@ -51,7 +53,7 @@ LONG_CACHE, LONG = 50_000, 200
 MAGIC = b"LDSST001"
 FOOTER = struct.Struct("<QQQQQQI8s")  # index at, length, filter at, length, documents, ids, width, magic
 ENTRY = struct.Struct("<13sQIQ")  # first key, block at, length, ids before
-MANIFEST = "path string, first_id long, last_id long, first_key binary, docs long, ids long"
+MANIFEST = "path string, first_id long, last_id long, first_key binary, docs long, ids long, first_head string, first_hash long, first_part int"
 
 #: Kinds of bytes: white space, letters, digits, other printable ones, and those that only the whole tokenizer judges. The
 #: letters beyond ASCII are U+00C0 to U+00FF, whose first byte in UTF-8 is C3 (but for the signs C3 97 and C3 B7).
@@ -391,17 +393,21 @@ class Reader:
 
 def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, width: int = 2) -> DataFrame:
     """Writes docs (doc_id, text) into `folder`; returns the list of files, one row each (see MANIFEST)."""
-    ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("*", F.substring("text", 1, 32).alias("head"), F.xxhash64("text").alias("hash"), F.spark_partition_id().alias("part"))
+    order = ("doc_id", "head", "hash", "part")
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer_path, width).encode, end_id.to_bytes(width, "little")
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
-        name, out = f"{uuid.uuid4().hex}.sst", None
+        name, out, begin = f"{uuid.uuid4().hex}.sst", None, []
         last, first_id, n = None, None, 0
         for batch, raw, offsets in chunks(batches, most=PIECE_BYTES):
             for doc_id, value in zip(batch.column("doc_id").to_pylist(), encode(raw, offsets), strict=True):
                 if out is None:
+                    begin = [batch.column(c)[0].as_py() for c in ("head", "hash", "part")]
                     out, first_id = Writer(store.open_output_stream(f"{base}/{name}"), width), doc_id
                     n = -1
                     last = doc_id
@@ -410,16 +416,17 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
                 out.add(key_of(doc_id, n), value + end)
         if out is not None:
             out.close()
-            row = [[f"{folder}/{name}"], [first_id], [last], [key_of(first_id)], [out.docs], [out.ids]]
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], ["path", "first_id", "last_id", "first_key", "docs", "ids"])
+            row = [f"{folder}/{name}", first_id, last, key_of(first_id), out.docs, out.ids, *begin]
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32()]
+            names = ["path", "first_id", "last_id", "first_key", "docs", "ids", "first_head", "first_hash", "first_part"]
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names)
 
     return stored(ordered.mapInArrow(write, MANIFEST), "manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (of ids as little-endian 32-bit numbers) of every document in the files."""
-    before = Window.orderBy("first_key").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    before = Window.orderBy("first_key", "first_head", "first_hash", "first_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     placed = manifest.withColumn("ids_before", F.coalesce(F.sum("ids").over(before), F.lit(0)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

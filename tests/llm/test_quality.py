@@ -29,18 +29,20 @@ def test_measures_equal_brute_force(odd, documents):
     assert rows_of(q.quality(docs)) == expected
 
 
-def plain_em(rows, rounds=50):
-    """EM over single documents by plain loops: the posterior of being good for each row of votes."""
+def plain_em(rows, tolerance=q.TOLERANCE):
+    """EM over single documents by plain loops until nothing changes: the posterior of being good for each row of votes."""
     k = len(q.RULES)
     start = [[0.8, 0.02, 0.18]] * k
     table = [start] + [[[0.1, 0.8, 0.1] if r == c else [0.6, 0.15, 0.25] for r in range(k)] for c in range(k)]
     prior = [0.8] + [0.2 / k] * k
     place = {1: 0, 0: 1, -1: 2}
-    for _ in range(rounds):
-        belongs = []
+    belongs, changed = [[0.0] * (k + 1)] * len(rows), 1.0
+    while changed > tolerance:
+        before, belongs = belongs, []
         for votes in rows:
             odds = [prior[c] * math.prod(table[c][r][place[v]] for r, v in enumerate(votes)) for c in range(k + 1)]
             belongs.append([x / sum(odds) for x in odds])
+        changed = max(abs(x - y) for b, a in zip(belongs, before, strict=True) for x, y in zip(b, a, strict=True))
         size = [sum(b[c] for b in belongs) for c in range(k + 1)]
         prior = [(size[c] + 0.1) / (len(rows) + 0.1 * (k + 1)) for c in range(k + 1)]
         table = [
@@ -54,10 +56,10 @@ def test_em_equals_plain_loops_over_documents():
     rng = random.Random(3)
     patterns = [tuple(rng.choice((1, 1, 0, -1)) for _ in q.RULES) for _ in range(6)]
     counts = [rng.randint(1, 9) for _ in patterns]
-    p_good, accuracy = q.learn(patterns, counts, rounds=12)
+    p_good, accuracy = q.learn(patterns, counts, 1e-4)
     rows = [p for p, n in zip(patterns, counts, strict=True) for _ in range(n)]
-    plain = plain_em(rows, rounds=12)
-    assert [x for x, n in zip(p_good, counts, strict=True) for _ in range(n)] == pytest.approx(plain)
+    plain = plain_em(rows, 1e-4)
+    assert [x for x, n in zip(p_good, counts, strict=True) for _ in range(n)] == pytest.approx(plain, abs=1e-6)
     assert len(accuracy) == len(q.RULES) and all(0 <= a <= 1 for a in accuracy)
 
 

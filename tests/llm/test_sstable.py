@@ -96,3 +96,23 @@ def test_several_blocks(tmp_path, monkeypatch):
 
 def test_empty_table(documents):
     assert sstable.token_shards(documents([]), PATH).collect() == []
+
+
+def test_a_hot_id_fills_several_files(spark, documents):
+    """Rows of one id are no single task's: they lie in several files, in one order."""
+    rows = [(None if i % 3 else 7, f"text {i % 40} of a hot id") for i in range(900)] + [(7, "the same")] * 300
+    docs = documents(rows).repartition(6).cache()
+    folder = shared_dir(spark, "hot")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be put together
+    try:
+        manifest = sstable.write_shards(docs, PATH, folder)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = manifest.collect()
+    assert sum(f.docs for f in files) == 1200 and sum(f.first_id is None for f in files) > 1 and sum(f.last_id == 7 for f in files) > 1
+    tok = Tokenizer.from_file(PATH)
+    got = sstable.read_shards(manifest).orderBy("start").collect()
+    crc = lambda t: zlib.crc32(np.array([*tok.encode(t).ids, 0], "<u4").tobytes())
+    assert sorted((str(r.doc_id), r.ids_crc32) for r in got) == sorted((str(i), crc(t)) for i, t in rows)
+    assert [r.doc_id is not None for r in got] == sorted(r.doc_id is not None for r in got)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False))
