@@ -28,7 +28,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm import shared
@@ -39,7 +39,7 @@ BLOCK_BYTES = 16_000_000
 #: Text of a shard of documents, about; larger shards cost fewer searches and more memory.
 SHARD_BYTES = 1_000_000
 
-SPANS = "doc_id long, row long, n_words long, hits array<struct<start:long,length:long>>, items array<string>, spans array<struct<start:long,length:long,item:string,item_start:long,item_row:long>>"
+SPANS = "doc_id long, row binary, n_words long, hits array<struct<start:long,length:long>>, items array<string>, spans array<struct<start:long,length:long,item:string,item_start:long,item_row:long>>"
 PIECES = "item_id string, item_row long, skipped long, text string"
 
 
@@ -328,8 +328,13 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(out, kind)], [*names, "spans"])
 
 
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text."""
+    return F.unhex(F.md5(text))
+
+
 def verbatim_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, row, n_words, hits, items, spans of every row of docs (row is xxhash64 of its text).
+    """doc_id, row, n_words, hits, items, spans of every row of docs (row is the MD5 of its text).
 
     hits: stretches of words in windows (those of several blocks may overlap); items: those whose windows occur; spans: the
     longest verbatim matches (word start, length, item, its word, hash of its text), none the end of another.
@@ -342,7 +347,7 @@ def verbatim_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, bl
         items = items.withColumn("skipped", F.lit(0))
     else:
         items = shared.stored(items.mapInArrow(_cut(window, max(1, block_bytes // 16)), PIECES), "items")
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))  # rows are told apart by their content
+    texts = docs.select("doc_id", "text", text_key(F.col("text")).alias("row"))  # rows are told apart by their content
     passes = []
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "item_row", "skipped"), F.lit(blocks)) == k).orderBy("item_id", "item_row", "skipped").collect()
@@ -390,5 +395,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated rows, which are few; rows are told by id and text, so others of the same or no id stay."""
     bad = judged(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("row").alias("bad_row")).distinct()
     bad = shared.small(shared.stored(bad, "contaminated"))
-    same = docs["doc_id"].eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs["text"]) == bad["bad_row"])
+    same = docs["doc_id"].eqNullSafe(bad["bad_id"]) & text_key(docs["text"]).eqNullSafe(bad["bad_row"])
     return docs.join(bad, same, "left_anti")
