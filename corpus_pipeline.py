@@ -6,7 +6,7 @@ is written as Parquet and read again before the next stage.
 1. language ID: a model is trained on the labelled documents themselves (text and non-null lang); documents in which no
    language is found (`und`) go, mixed ones stay; lang becomes the language with the largest share.
 2. n-gram Jaccard join (five words, 0.8): of each group of near duplicates one row stays, that with the smallest id
-   (one without an id only if the whole group has none; of rows with equal id and text any one).
+   (one without an id only if the whole group has none; of rows with equal id and text any one). Texts that only share a 64-bit hash are told apart by 128 bits.
 3. decontamination: documents of which a twentieth or more lies in verbatim benchmark passages of 13 words go.
 4. mixing: a document appears as often as the mix takes it (a part taken counts as a whole), so not at all if its source
    is full; documents without words go.
@@ -43,29 +43,53 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Rows are told by id and text. First one row of each text stays, so that texts have keys of their own without regard to
     # ids; then near copies are joined under these keys. Rows without words are no copies of each other.
-    key = F.xxhash64("text")
     has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rows = docs.where(has_words).groupBy(F.col("doc_id").alias("id"), key.alias("key")).agg(F.count("*").alias("n"))
+    texts = docs.where(has_words).select(F.col("doc_id").alias("id"), "text")
+    shared_keys = _shared_keys(texts)
+    key = _key(F.col("text"), shared_keys)
+    rows = texts.groupBy("id", key.alias("key")).agg(F.count("*").alias("n"))
     rows = shared.stored(rows, "rows")
     first = shared.stored(rows.groupBy("key").agg(F.min(F.struct(F.col("id").isNull(), "id")).getField("id").alias("first")), "first")
     copies = rows.join(first, "key").where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "key")
-    left = docs.join(*_these(docs, copies, "copies"), "left_anti")
+    left = docs.join(*_these(docs, copies, "copies", shared_keys), "left_anti")
     twice = rows.where("n > 1").select("id", "key")  # repeated with their id and text
     if not twice.isEmpty():
-        these = _these(left, twice, "twice")
+        these = _these(left, twice, "twice", shared_keys)
         left = left.join(*these, "left_anti").unionByName(left.join(*these, "left_semi").dropDuplicates(["doc_id", "text"]))
     found = ngram_join.ngram_jaccard_components(left.where(has_words).select(key.alias("doc_id"), "text"), n=5, num=80, den=100)
     members = found.select(F.col("doc_id").alias("key"), F.col("component_id").alias("group"))
     members = shared.stored(members.join(first.withColumnRenamed("first", "id"), "key"), "members")
     groups = members.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("least"), F.count("*").alias("of")).where("of > 1")
     gone = members.join(groups, "group").where(F.col("key") != F.col("least.key")).select("id", "key")
-    return left.join(*_these(left, gone, "gone"), "left_anti")
+    return left.join(*_these(left, gone, "gone", shared_keys), "left_anti")
 
 
-def _these(docs: DataFrame, rows: DataFrame, name: str) -> tuple[DataFrame, Column]:
+def _key(text: Column, shared_keys: list[list[int]]) -> Column:
+    """A 64-bit key of a text: its hash, or a further one where an earlier one is shared by unlike texts."""
+    key = _hash(text)
+    for seed, keys in enumerate(shared_keys):
+        key = F.when(key.isin(keys), _hash(F.lit(seed), text)).otherwise(key)
+    return key
+
+
+def _hash(*values: Column) -> Column:
+    return F.xxhash64(*values)
+
+
+def _shared_keys(texts: DataFrame) -> list[list[int]]:
+    """Keys that unlike texts, told apart by 128 bits, share: of n texts n ** 2 / 2 ** 65 are expected (three of 10 ** 10)."""
+    out: list[list[int]] = []
+    told = shared.stored(texts.select(_key(F.col("text"), out).alias("key"), F.md5("text").alias("md5")).distinct(), "told")
+    while twice := [r["key"] for r in told.groupBy("key").count().where("count > 1").select("key").collect()]:
+        out.append(twice)
+        told = texts.select(_key(F.col("text"), out).alias("key"), F.md5("text").alias("md5")).distinct()
+    return out
+
+
+def _these(docs: DataFrame, rows: DataFrame, name: str, shared_keys: list[list[int]]) -> tuple[DataFrame, Column]:
     """rows (id, key), written, and the condition that joins them with docs; columns of docs may have any names."""
     rows = shared.small(shared.stored(rows, name))
-    return rows, docs["doc_id"].eqNullSafe(rows["id"]) & (F.xxhash64(docs["text"]) == rows["key"])
+    return rows, docs["doc_id"].eqNullSafe(rows["id"]) & (_key(docs["text"], shared_keys) == rows["key"])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
