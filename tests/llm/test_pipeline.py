@@ -132,3 +132,10 @@ def test_every_operator_is_registered():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
     assert set(queries.oracle_sql()) <= set(names)
+
+
+def test_unlike_texts_of_one_hash_all_stay(spark, sf_dir, documents, monkeypatch):
+    monkeypatch.setattr(cp, "_hash", lambda *values: F.length(values[-1]).cast("long") if len(values) == 1 else F.xxhash64(*values))
+    rows = [(1, "one text of some words here"), (2, "two more words of that kind"), (3, "one text of some words here"), (4, "a longer text that stands alone"), (None, "six new words: of that kind")]
+    assert len({len(t) for _, t in rows}) == 2
+    assert sorted(str(r.doc_id) for r in cp.near_duplicates(spark, documents(rows), sf_dir).collect()) == ["1", "2", "4", "None"]
