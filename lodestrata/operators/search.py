@@ -6,7 +6,7 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import rules
@@ -37,9 +37,6 @@ PREFERRED = {
     "change-review": "technical_debt server_function schema_contract analytics_event rendering api_dependency next_config configuration build",
     "verify": "build error_handling technical_debt",
 }
-#: Folders that the postings of a stored index are dealt to, by term.
-BUCKETS = 64
-
 
 def phrases(question: str, aliases: Sequence[str] = (), most: int = 12) -> list[tuple[str, ...]]:
     """A question's search phrases: its words of two characters or more, and aliases, each as the tokens it holds.
@@ -76,12 +73,11 @@ def bm25(docs: DataFrame, doc_id: str, text: str, query: Sequence[str | tuple[st
     listed = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
     narrow = stored(listed.select("doc_id", F.size("_t").alias("dl"), _hits(F.col("_t"), wanted).alias("hits")), "hits")
     found = narrow.select("doc_id", "dl", F.explode("hits").alias("term")).groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
-    return _scored(found, narrow)
+    return scored(found, narrow.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
 
 
-def _scored(found: DataFrame, lengths: DataFrame) -> DataFrame:
-    """doc_id, score of postings (doc_id, term, dl, tf) of query terms, given all documents' lengths (dl)."""
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+def scored(found: DataFrame, stats: DataFrame) -> DataFrame:
+    """doc_id, score of postings (doc_id, term, dl, tf) of query terms; stats: one row, documents (n) and their mean length (avgdl)."""
     df = found.groupBy("term").agg(F.count("*").alias("df"))  # one row a query term
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
     weights = df.join(F.broadcast(stats)).select("term", idf.alias("idf"), "avgdl")
@@ -89,48 +85,6 @@ def _scored(found: DataFrame, lengths: DataFrame) -> DataFrame:
     return found.join(F.broadcast(weights), "term").groupBy("doc_id").agg(F.sum(F.col("idf") * tf).alias("score"))
 
 
-def _postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    listed = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t")).withColumn("dl", F.size("_t"))
-    return listed.select("doc_id", "dl", F.explode("_t").alias("term")).groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
-
-
-def _bucket(term: Column | str) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
-
-
-def _write_index(postings: DataFrame, lengths: DataFrame, path: str) -> None:
-    dealt = postings.withColumn("bucket", _bucket("term"))
-    dealt.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
-    lengths.write.parquet(f"{path}/lengths")
-
-
-def build_index(docs: DataFrame, doc_id: str, text: str, path: str) -> str:
-    """Writes an inverted index of docs: postings in folders by term, and each document's length. Gives its path."""
-    lengths = docs.select(F.col(doc_id).alias("doc_id"), F.size(tokens(F.coalesce(F.col(text), F.lit("")))).alias("dl"))
-    _write_index(_postings(docs, doc_id, text), lengths, path)
-    return path
-
-
-def update_index(old: str, changed: DataFrame, removed: DataFrame, doc_id: str, text: str, path: str) -> str:
-    """Writes the index that follows from `old` when documents changed or came (changed) and went (removed: doc_id).
-
-    Only changed texts are read. The old index stays as it is, so readers of it go on, and a failed update leaves nothing.
-    """
-    spark = changed.sparkSession
-    gone = stored(changed.select(F.col(doc_id).alias("doc_id")).unionByName(removed.select(F.col(doc_id).alias("doc_id"))).distinct(), "gone")
-    keep = lambda part: spark.read.parquet(f"{old}/{part}").join(gone, "doc_id", "left_anti")
-    lengths = changed.select(F.col(doc_id).alias("doc_id"), F.size(tokens(F.coalesce(F.col(text), F.lit("")))).alias("dl"))
-    _write_index(keep("postings").drop("bucket").unionByName(_postings(changed, doc_id, text)), keep("lengths").unionByName(lengths), path)
-    return path
-
-
-def index_bm25(spark: SparkSession, path: str, query: Sequence[str]) -> DataFrame:
-    """doc_id, score of query terms from a stored index: only the folders of these terms are read, and in them their rows."""
-    terms_ = sorted(set(query))
-    found = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(*[_bucket(F.lit(t)) for t in terms_]) & F.col("term").isin(*terms_))
-    return _scored(found.select("doc_id", "term", "dl", "tf"), spark.read.parquet(f"{path}/lengths"))
-
-
 def phrase_match(docs: DataFrame, doc_id: str, text: str, phrase: Sequence[str]) -> DataFrame:
     """doc_id of the documents that hold the tokens of phrase one after another."""
     listed = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
@@ -203,7 +157,11 @@ def score(features: dict[str, Column]) -> Column:
 
 
 def entity_key(repository: Column, kind: Column, subject: Column) -> Column:
-    """What one entity of a repository is called whatever fact names it: configuration keys, routes, or the fact's kind and subject."""
+    """What one entity of a repository is called whatever fact names it: configuration keys, routes, or the fact's kind and subject.
+
+    Parts that are null are empty.
+    """
+    kind, subject = F.coalesce(kind, F.lit("")), F.coalesce(subject, F.lit(""))
     name = F.regexp_replace(F.trim(F.regexp_replace(F.trim(subject), r":\d+$", " ")), r"\s+", " ")
     is_config = (kind == "configuration") | ((kind == "dependency") & name.rlike("(?i)^config:"))
     own = (
@@ -211,7 +169,7 @@ def entity_key(repository: Column, kind: Column, subject: Column) -> Column:
         .when(name.rlike("(?i)^route:"), F.concat(F.lit("route:"), F.substring(name, 7, 1_000_000)))
         .otherwise(F.concat(kind, F.lit(":"), name))
     )
-    return F.concat(repository, F.lit(":"), own)
+    return F.concat(F.coalesce(repository, F.lit("")), F.lit(":"), own)
 
 
 def rank_dedupe(hits: DataFrame, key: str, score: str, id: str, limit: int) -> DataFrame:
@@ -224,8 +182,10 @@ def rank_dedupe(hits: DataFrame, key: str, score: str, id: str, limit: int) -> D
 def relevance(wanted: Column, subject: Column, source_file: Column, content: Column) -> Column:
     """Three parts the share of wanted terms in subject and file, one part that in the first 600 letters of the content."""
     split = lambda c: tokens(camel_split(F.coalesce(c, F.lit(""))))
-    own = F.concat(split(subject), split(source_file))
-    return F.when(F.size(wanted) == 0, 0.5).otherwise(clamp(0.75 * hit_ratio(wanted, own) + 0.25 * hit_ratio(wanted, split(F.substring(content, 1, 600)))))
+    # Both lists are computed once and not anew for each wanted term.
+    share = lambda listed: bound(listed, lambda given: hit_ratio(wanted, given))
+    own, told = F.concat(split(subject), split(source_file)), split(F.substring(content, 1, 600))
+    return F.when(F.size(wanted) == 0, 0.5).otherwise(clamp(0.75 * share(own) + 0.25 * share(told)))
 
 
 def hybrid(facts: DataFrame, hits: DataFrame, question: str, limit: int = 10, types: Sequence[str] = ()) -> DataFrame:
@@ -241,9 +201,7 @@ def hybrid(facts: DataFrame, hits: DataFrame, question: str, limit: int = 10, ty
     wanted, route = terms(asked), route_anchor(asked)
     files, symbols = qualified_anchors(asked)
     chosen = facts.where(F.col("kind").isin(*types)) if types else facts
-    rows = chosen.join(small(hits), "id").withColumn("entity", entity_key(F.col("repository"), F.col("kind"), F.col("subject")))
-    best = rows.groupBy("entity").agg(F.min("best_rank").alias("entity_rank"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("channels")))).alias("entity_channels"))
-    rows = rows.join(best, "entity")
+    rows = chosen.join(small(stored(hits, "hits")), "id").withColumn("entity", entity_key(F.col("repository"), F.col("kind"), F.col("subject")))
     subject, is_route = F.col("subject"), F.col("subject").startswith("route:")
     exact = (
         F.coalesce(is_route & (route_key(F.substring("subject", 7, 1_000_000)) == route_key(route)), F.lit(False))
@@ -259,11 +217,15 @@ def hybrid(facts: DataFrame, hits: DataFrame, question: str, limit: int = 10, ty
         "freshness": freshness(F.col("commit_sha"), F.col("repository_sha")),
         "evidence_quality": evidence_quality(F.coalesce("confidence", F.lit("")), F.col("quality"), (F.col("n_evidence") > 0) | F.col("source_file").isNotNull(), F.col("n_located") > 0, is_env),
         "entity_specificity": entity_specificity(F.col("entity"), subject),
-        "channel_relevance": 1 / F.col("entity_rank"),
+        "channel_relevance": F.lit(0.0),
     }
-    scored = rows.withColumn("score", F.round(score(features), 6))
-    top = rank_dedupe(scored, "entity", "score", "id", max(1, min(50, limit)))
-    return top.join(best.select("entity", F.array_join("entity_channels", ",").alias("channels")), "entity")
+    # Texts are read once: what is known of a fact but for its entity's rank is written, a few values a hit.
+    known = stored(rows.select("entity", "id", "channels", "best_rank", score(features).alias("own")), "ranked")
+    best = known.groupBy("entity").agg(F.min("best_rank").alias("rank"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("channels")))).alias("all"))
+    full = F.round(F.col("own") + WEIGHTS["channel_relevance"] / F.col("rank"), 6)
+    top = rank_dedupe(known.join(best, "entity").withColumn("score", full), "entity", "score", "id", max(1, min(50, limit)))
+    named = top.join(best.select("entity", F.array_join("all", ",").alias("channels")), "entity")
+    return named.orderBy(F.desc("score"), "entity")  # a join keeps no order
 
 
 def channel_ranks(hits: DataFrame, channel: str, *order: Column | str) -> DataFrame:

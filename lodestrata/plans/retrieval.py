@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions import rules, text
-from lodestrata.operators import budget, relational, search
+from lodestrata.operators import budget, relational, search, textindex
 from lodestrata.plans import query
 from lodestrata.sources.storage import shared_dir
 from lodestrata.sources.tables import Tables
@@ -31,18 +31,18 @@ def bm25_topk(t: Tables) -> DataFrame:
 
 @query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY round(score, 6) DESC, doc_id LIMIT 20")
 def fts_index_topk(t: Tables) -> DataFrame:
-    # Every other document is in the first index; the rest comes by an update, for which only those texts are read.
+    # Every other document is in the first segment, some with another text; what changed and what is new comes by an update.
     docs = t.documents.select("doc_id", "text")
-    spark = docs.sparkSession
-    first = search.build_index(docs.where("doc_id % 2 = 0"), "doc_id", "text", shared_dir(spark, "index"))
-    rest = docs.where("doc_id % 2 <> 0 or doc_id is null")
-    whole = search.update_index(first, rest, rest.where("false"), "doc_id", "text", shared_dir(spark, "index"))
-    return search.index_bm25(spark, whole, QUERY).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc_id").limit(20)
+    spark, path = docs.sparkSession, shared_dir(docs.sparkSession, "index")
+    early = docs.where("doc_id % 2 = 0").withColumn("text", F.when(F.col("doc_id") % 6 == 0, F.lit("the license of another thing")).otherwise(F.col("text")))
+    textindex.update(spark, path, early, None, "doc_id", "text")
+    textindex.update(spark, path, docs.where("doc_id % 2 <> 0 or doc_id % 6 = 0"), None, "doc_id", "text")
+    return textindex.bm25(spark, path, QUERY).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
 @query("SELECT doc_id FROM documents WHERE regexp_matches(lower(strip_accents(text)), '(^|[^\\p{L}\\p{N}])mit[^\\p{L}\\p{N}]+license([^\\p{L}\\p{N}]|$)')")
 def fts_phrase(t: Tables) -> DataFrame:
-    return search.phrase_match(t.documents, "doc_id", "text", ["mit", "license"])
+    return textindex.phrase(t.documents.sparkSession, textindex.index_of(t.documents, "doc_id", "text"), ["mit", "license"])
 
 
 def _first_vector(t: Tables) -> list[float]:
@@ -103,7 +103,8 @@ def union_channels(t: Tables) -> DataFrame:
 
 def _channels(t: Tables) -> DataFrame:
     """Hits of the three channels, up to 100 each: BM25, vectors and a relational order."""
-    scored = search.bm25(t.documents, "doc_id", "text", QUERY).withColumn("score", F.round("score", 6))
+    index = textindex.index_of(t.documents, "doc_id", "text")
+    scored = textindex.bm25(t.documents.sparkSession, index, QUERY).withColumn("score", F.round("score", 6))
     fts = scored.orderBy(F.desc("score"), "doc_id").limit(100).select(F.col("doc_id").alias("id"), "score", F.lit("fts").alias("c"))
     vec = search.knn(t.embeddings, _first_vector(t), 100).select(F.col("vec_id").alias("id"), "distance", F.lit("vector").alias("c"))
     sql = t.documents.select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(100).select(F.col("doc_id").alias("id"), "n_chars", F.lit("sql").alias("c"))

@@ -46,24 +46,28 @@ def test_hybrid_features(spark):
     assert [round(r.q, 2) for r in quality.collect()] == [0.95, 0.1, 0.3, 0.75]
 
 
+def test_hybrid_keeps_its_order_and_facts_without_names(spark):
+    facts, every = facts_of(spark), None
+    more = facts.where("id = 1").withColumns({"id": F.lit(90).cast("long"), "repository": F.lit(None).cast("string")})
+    more = more.unionByName(facts.where("id = 1").withColumns({"id": F.lit(91).cast("long"), "subject": F.lit(None).cast("string")}))
+    both = facts.unionByName(more)
+    every = both.select("id", F.array(F.lit("sql")).alias("channels"), F.lit(1).alias("best_rank"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = search.hybrid(both, every, "cache rules", 50).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert [r.score for r in rows] == sorted((r.score for r in rows), reverse=True)
+    assert {90, 91} <= {r.id for r in rows}
+
+
 def test_phrases_of_a_question():
     assert search.phrases('Is "/cart/[id]" or API_URL in next-auth? Özgür', ["car loan"]) == [
         ("api", "url"), ("car", "loan"), ("cart",), ("id",), ("in",), ("is",), ("next", "auth"), ("or",), ("ozgur",),
     ]
 
 
-def test_stored_index_follows_updates(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "cache rules"), (2, "cache cache"), (3, "other café"), (4, None)], "id long, t string")
-    first = search.build_index(docs, "id", "t", f"file://{tmp_path}/one")
-    scores = lambda df: {r.doc_id: round(r.score, 9) for r in df.collect()}
-    assert scores(search.index_bm25(spark, first, ["cache", "cafe"])) == scores(search.bm25(docs, "id", "t", ["cache", "cafe"]))
-    changed = spark.createDataFrame([(2, "plain"), (5, "cache of cafes")], "id long, t string")
-    second = search.update_index(first, changed, docs.where("id = 1"), "id", "t", f"file://{tmp_path}/two")
-    now = docs.where("id > 2").unionByName(changed)
-    assert scores(search.index_bm25(spark, second, ["cache", "plain"])) == scores(search.bm25(now, "id", "t", ["cache", "plain"]))
-    assert set(scores(search.index_bm25(spark, first, ["cache"]))) == {1, 2}  # readers of the old one go on
-
-
 def test_bm25_counts_phrases(spark):
     docs = spark.createDataFrame([(1, "a b a b"), (2, "a c b"), (3, "b a")], "id long, t string")
     assert {r.doc_id for r in search.bm25(docs, "id", "t", [("a", "b")]).collect()} == {1}
