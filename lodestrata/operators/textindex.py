@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions.text import tokens
 from lodestrata.operators.search import scored
 from lodestrata.sources import versions
-from lodestrata.sources.storage import shared_dir, small, stored
+from lodestrata.sources.storage import small, stored
 
 BUCKETS, FANOUT = 64, 4
 #: Tokens of the documents that a block is made of, about.
@@ -278,14 +278,7 @@ def phrase(spark: SparkSession, path: str, phrase: Sequence[str], version: int |
 
 def index_of(docs: DataFrame, doc_id: str, text: str) -> str:
     """The path of an index of docs, a table read from files; built if the shared folder has none of these files as they are."""
-    spark = docs.sparkSession
-    state = []
-    for file in sorted(docs.inputFiles()):
-        fs, p = versions._fs(spark, file)
-        status = fs.getFileStatus(p)
-        state.append(f"{file} {status.getLen()} {status.getModificationTime()}")
-    name = uuid.uuid5(uuid.NAMESPACE_URL, "\n".join([doc_id, text, *state])).hex
-    path = f"{shared_dir(spark, 'x').rsplit('/', 1)[0]}/text-index-{name}"
+    spark, path = docs.sparkSession, versions.beside(docs, "text-index", doc_id, text)
     if not versions.newest(spark, path)[0]:
         try:
             update(spark, path, docs, None, doc_id, text)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions import rules, text
-from lodestrata.operators import budget, relational, search, textindex
+from lodestrata.operators import budget, relational, search, textindex, vectorcells
 from lodestrata.plans import query
 from lodestrata.sources.storage import shared_dir
 from lodestrata.sources.tables import Tables
@@ -59,6 +59,18 @@ def knn_l2_topk(t: Tables) -> DataFrame:
     return search.knn(t.embeddings, _first_vector(t), 10).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
+@query(f"SELECT vec_id, round({_L2}, 6) AS distance FROM embeddings e, {_Q} ORDER BY {_L2}, vec_id LIMIT 10")
+def knn_cells_topk(t: Tables) -> DataFrame:
+    near, _ = vectorcells.knn(t.embeddings.sparkSession, vectorcells.cells_of(t.embeddings), _first_vector(t), 10)
+    return near.select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query(f"SELECT vec_id, label, round({_L2}, 6) AS distance FROM embeddings e, {_Q} WHERE label IN (1, 2) ORDER BY {_L2}, vec_id LIMIT 10")
+def knn_cells_prefilter(t: Tables) -> DataFrame:
+    near, _ = vectorcells.knn(t.embeddings.sparkSession, vectorcells.cells_of(t.embeddings), _first_vector(t), 10, F.col("label").isin(1, 2))
+    return near.select("vec_id", "label", F.round("distance", 6).alias("distance"))
+
+
 @query(f"SELECT vec_id, label, round({_L2}, 6) AS distance FROM embeddings e, {_Q} WHERE label IN (1, 2) ORDER BY {_L2}, vec_id LIMIT 10")
 def knn_prefilter(t: Tables) -> DataFrame:
     near = search.knn(t.embeddings, _first_vector(t), 10, F.col("label").isin(1, 2))

@@ -8,10 +8,13 @@ one version one fails, and a version only names what it adds: the rest is named
 from __future__ import annotations
 
 import json
+import uuid
 from typing import Any
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+from lodestrata.sources.storage import shared_dir
 
 
 class Conflict(RuntimeError):
@@ -77,3 +80,14 @@ def commit(spark: SparkSession, path: str, after: int, said: dict[str, Any]) ->
     finally:
         out.close()
     return number
+
+
+def beside(table: DataFrame, kind: str, *words: str) -> str:
+    """A path in the shared folder for what is derived from a table's files as they are now: other files, another path."""
+    spark, state = table.sparkSession, [kind, *words]
+    for file in sorted(table.inputFiles()):
+        fs, p = _fs(spark, file)
+        status = fs.getFileStatus(p)
+        state.append(f"{file} {status.getLen()} {status.getModificationTime()}")
+    name = uuid.uuid5(uuid.NAMESPACE_URL, "\n".join(state)).hex
+    return f"{shared_dir(spark, kind).rsplit('/', 1)[0]}/{kind}-of-{name}"
