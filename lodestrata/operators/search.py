@@ -27,6 +27,9 @@ WEIGHTS = {
 }
 
 
+# Fixed value: how long a mentioned alias has to be for its route to count as named.
+ALIAS_STRENGTH = 6
+
 # Kinds of facts that answer a question of an intent best.
 PREFERRED = {
     "lookup": "repository_profile rendering configuration next_config special_file dependency api_dependency build seo",
@@ -188,17 +191,20 @@ def relevance(wanted: Column, subject: Column, source_file: Column, content: Col
     return F.when(F.size(wanted) == 0, 0.5).otherwise(clamp(0.75 * share(own) + 0.25 * share(told)))
 
 
-def hybrid(facts: DataFrame, hits: DataFrame, question: str, limit: int = 10, types: Sequence[str] = ()) -> DataFrame:
+def hybrid(facts: DataFrame, hits: DataFrame, question: str, limit: int = 10, types: Sequence[str] = (), aliased: tuple[str, int] | None = None) -> DataFrame:
     """entity, id, score, n_duplicates, channels: the best facts for a question among the hits of all channels.
 
     facts: id, repository, kind, subject, content, source_file, commit_sha, repository_sha, confidence, quality, n_evidence,
     n_located; hits: as union_channels gives them, few rows, which is checked before they are broadcast to the facts. Given
     types filter; kinds that the question names only weigh more. A fact that the question names exactly fits fully. The best
-    rank that any channel gave any fact of an entity counts for all of its facts.
+    rank that any channel gave any fact of an entity counts for all of its facts. aliased: the route that the question's aliases
+    stand for and their strength (see aliases.route_matches), which is as exact as a route in the question if it is strong.
     """
     asked = F.lit(question)
     intent, named = rules.intent(asked)["intent"], rules.memory_types(asked)
     wanted, route = terms(asked), route_anchor(asked)
+    if aliased is not None and aliased[1] >= ALIAS_STRENGTH:
+        route = F.coalesce(route, F.lit(aliased[0]))
     files, symbols = qualified_anchors(asked)
     chosen = facts.where(F.col("kind").isin(*types)) if types else facts
     rows = chosen.join(small(stored(hits, "hits")), "id").withColumn("entity", entity_key(F.col("repository"), F.col("kind"), F.col("subject")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions import rules, text
-from lodestrata.operators import budget, relational, search, textindex, vectorcells
+from lodestrata.operators import aliases, budget, relational, search, textindex, vectorcells
 from lodestrata.plans import query
 from lodestrata.sources.storage import shared_dir
 from lodestrata.sources.tables import Tables
@@ -283,6 +283,39 @@ def alias_expand(t: Tables) -> DataFrame:
     return rows.groupBy("doc_id", "canonical").agg(F.count("*").alias("n_aliases"), F.max(F.length("alias")).alias("strength"))
 
 
+#: The first question of a conversation names a group of its scope (20 conversations): its first two words, aliases behind them.
+_FOLDED = "trim(regexp_replace(lower(strip_accents(replace({}, 'ı', 'i'))), '[^a-z0-9_@./\\[\\]-]+', ' ', 'g'))"
+
+
+@query(f"""WITH u AS (SELECT conv_id, turn, conv_id // 20 AS scope, {_FOLDED.format("text")} AS q FROM conversations WHERE role = 'user' AND text IS NOT NULL),
+  w AS (SELECT scope, string_split(q, ' ') AS w FROM u WHERE turn = 0 AND len(string_split(q, ' ')) >= 6),
+  g AS (SELECT DISTINCT scope, w[1] || ' ' || w[2] AS canonical, unnest([w[1] || ' ' || w[2], w[3] || ' ' || w[4], w[5], w[4] || ' ' || w[5] || ' ' || w[6]]) AS term FROM w),
+  r AS (SELECT DISTINCT scope, '/' || w[1] || '/' || w[2] AS route FROM w WHERE NOT contains(w[1] || w[2], '[')
+    UNION SELECT scope, '/shop/' || w[5] FROM w WHERE NOT contains(w[5], '[')),
+  keys AS (SELECT scope, route, regexp_replace(route, '^/', '') AS key, 0 AS rank FROM r
+    UNION ALL SELECT scope, route, trim(regexp_replace(regexp_replace(route, '^/', ''), '[-_/]+', ' ', 'g')), 1 FROM r
+    UNION ALL SELECT scope, route, unnest(list_filter(string_split(route, '/'), lambda s: s <> '')), 2 FROM r),
+  m AS (SELECT DISTINCT conv_id, turn, u.scope, q, canonical, term FROM u JOIN g ON g.scope = u.scope AND contains(' ' || q || ' ', ' ' || term || ' ')),
+  c AS (SELECT conv_id, turn, scope, q, canonical, list(term) AS ts, max(length(term)) AS strength, bool_or(term = canonical) AS own, bool_or(term = q) AS whole FROM m GROUP BY ALL),
+  s AS (SELECT *, CASE WHEN own THEN 10000 ELSE 0 END + CASE WHEN whole THEN 5000 ELSE 0 END
+    + list_sum(list_transform(list_filter(ts, lambda t: len(list_filter(ts, lambda v: v <> t AND contains(v, t))) = 0), lambda t: length(t))) AS score FROM c),
+  n AS (SELECT scope, key, arg_min(route, (greatest(rank, 1), route)) AS route FROM keys GROUP BY 1, 2),
+  d AS (SELECT conv_id, turn, route, strength, own, score, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, route, strength DESC) AS k FROM s JOIN n ON n.scope = s.scope AND n.key = s.canonical),
+  l AS (SELECT conv_id, turn, arg_min(route, (rank, route)) AS route FROM (SELECT DISTINCT conv_id, turn, s.scope, g.term FROM s JOIN g ON g.scope = s.scope AND g.canonical = s.canonical
+      WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.conv_id = s.conv_id AND d.turn = s.turn)) x JOIN keys ON keys.scope = x.scope AND keys.key = x.term AND rank <> 1 GROUP BY 1, 2)
+  SELECT conv_id, turn, route, CAST(strength AS INTEGER) AS strength, own AS canonical_mentioned, CAST(score AS BIGINT) AS score FROM d WHERE k = 1
+  UNION ALL SELECT conv_id, turn, route, (SELECT CAST(max(strength) AS INTEGER) FROM s WHERE s.conv_id = l.conv_id AND s.turn = l.turn), false, NULL FROM l""")
+def alias_routes(t: Tables) -> DataFrame:
+    asked = t.conversations.where("role = 'user'").select(F.struct("conv_id", "turn").alias("qid"), F.expr("conv_id div 20").alias("scope"), "text", "turn")
+    w = F.split(aliases.folded(F.col("text")), " ")
+    first = asked.where("turn = 0").select("scope", w.alias("w")).where(F.size("w") >= 6)
+    said = lambda *at: F.concat_ws(" ", *[F.get("w", i) for i in at])
+    words = first.select("scope", said(0, 1).alias("canonical"), F.explode(F.array(said(2, 3), said(4), said(3, 4, 5))).alias("alias"))
+    paths = F.array(F.concat(F.lit("/"), F.get("w", F.lit(0)), F.lit("/"), F.get("w", F.lit(1))), F.concat(F.lit("/shop/"), F.get("w", F.lit(4))))
+    found = aliases.route_matches(asked.select("qid", "scope", "text"), words, first.select("scope", F.explode(paths).alias("route")))
+    return found.select("qid.conv_id", "qid.turn", "route", "strength", "canonical_mentioned", "score")
+
+
 def _values(rows) -> str:
     quoted = lambda x: str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
     return ", ".join(f"({', '.join(map(quoted, r))})" for r in rows)
