@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.operators import modules
+from lodestrata.operators import modules, renames
 from lodestrata.plans import query
 from lodestrata.sources.tables import Tables
 
@@ -69,3 +69,18 @@ def reexport_follow(t: Tables) -> DataFrame:
     exports = t.part.where("p_partkey % 11 = 0").select(repository, file, F.explode(F.array(F.lit("n0"), F.lit("n1"))).alias("name"))
     links = t.part.sparkSession.sql(_LINKS.format(part="{part}"), part=t.part)
     return modules.follow(names, exports, links.select("repository", "file", "name", F.expr(_FILE.format("q")).alias("target"), "imported"))
+
+
+@query()
+def file_changes(t: Tables) -> DataFrame:
+    """Orders as files, their items as lines: kept, added to, moved, moved with a line less, moved with every other line changed."""
+    kind, number = F.col("l_orderkey") % 5, F.col("l_linenumber")
+    line = lambda *more: F.concat_ws(" ", number, "l_partkey", "l_suppkey", *more)
+    text = lambda lines, path: lines.groupBy(path.alias("path")).agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("text"))
+    path = lambda folder: F.concat(folder, F.col("l_orderkey"))
+    before = text(t.lineitem.withColumn("line", line()), path(F.lit("src/")))
+    kept = t.lineitem.where((kind != 2) | (number != 1))
+    changed = F.when((kind == 4) & (number % 2 == 0), line(F.lit("changed"))).otherwise(line())
+    more = kept.withColumn("line", changed).select("l_orderkey", "line")
+    more = more.unionByName(t.lineitem.where((kind == 1) & (number == 1)).select("l_orderkey", F.lit("9 one more").alias("line")))
+    return renames.changes(before, text(more, path(F.when(kind < 2, "src/").otherwise("lib/"))))
