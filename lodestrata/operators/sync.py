@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.operators.relational import numbered
+from lodestrata.sources import versions
 from lodestrata.sources.storage import stored
 
 
@@ -76,39 +79,33 @@ def replace_partition(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
 
 
-def _path(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
 def version(spark: SparkSession, path: str) -> int | None:
     """The newest complete version of a table of versions, None if there is none."""
-    fs, folder = _path(spark, path)
-    if not fs.exists(folder):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    found = [int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit() and fs.exists(_path(spark, f"{path}/{n}/_done")[1])]
-    return max(found, default=None)
+    return versions.newest(spark, path)[0] or None
 
 
-def commit(path: str, **tables: DataFrame) -> int:
-    """Writes tables as the next version of path: all of them or, to readers, none, as the version counts once all are written."""
+def commit(path: str, after: int | None = None, **tables: DataFrame) -> int:
+    """Writes tables as the version of path that follows `after`, else the newest one: all of them or, to readers, none.
+
+    They lie in a folder of this attempt; of two commits that begin from one version one raises versions.Conflict.
+    """
     spark = next(iter(tables.values())).sparkSession
-    number = (version(spark, path) or 0) + 1
+    number = versions.newest(spark, path)[0] if after is None else after
+    folder = f"{path}/v={number + 1}-{uuid.uuid4().hex[:12]}"
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/v={number}/{name}")
-    fs, done = _path(spark, f"{path}/v={number}/_done")
-    fs.create(done, True).close()
-    return number
+        df.write.parquet(f"{folder}/{name}")
+    return versions.commit(spark, path, number, {"folder": folder})
 
 
-def read(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A table of the newest complete version."""
-    return spark.read.parquet(f"{path}/v={version(spark, path)}/{name}")
+def read(spark: SparkSession, path: str, name: str, number: int | None = None) -> DataFrame:
+    """A table of a version, else of the newest complete one."""
+    said = versions.newest(spark, path)[1] if number is None else versions.content(spark, path, number)
+    return spark.read.parquet(f"{said['folder']}/{name}")
 
 
 def sync(spark: SparkSession, path: str, fresh: DataFrame, files: DataFrame, sha: str) -> int:
     """One sync of the table at path (`facts`, `audit`) to commit sha: what was read of changed files becomes its facts."""
-    facts = read(spark, path, "facts")
+    after = version(spark, path)
+    facts = read(spark, path, "facts", after)
     done = stored(partition(facts, fresh, files), "partition")
-    return commit(path, facts=apply(facts, done, sha), audit=read(spark, path, "audit").unionByName(audit(done, sha)))
+    return commit(path, after, facts=apply(facts, done, sha), audit=read(spark, path, "audit", after).unionByName(audit(done, sha)))

@@ -36,7 +36,7 @@ from lodestrata.sources.storage import small, stored
 
 BUCKETS, FANOUT = 64, 4
 #: Tokens of the documents that a block is made of, about.
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 4_000_000
 
 BLOCKS = "bucket int, part int, term string, first long, n int, docs binary, lengths binary, counts binary, gaps binary"
 POSTINGS = "doc_id long, term string, dl int, tf int, places array<int>"

@@ -11,6 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from lodestrata.functions.text import normal_remote
+from lodestrata.operators import sync
+from lodestrata.sources import versions
 from lodestrata.sources.storage import small
 
 
@@ -65,7 +67,8 @@ def pushes(payloads: DataFrame, registry: DataFrame) -> DataFrame:
 
     status: ok, malformed, no-commit (none of 40 hexadecimal digits), deletion (all zeros), unknown (of no repository in the
     registry: name, url, main_branch), ignored (another branch). A repository is known by its name, else by a clone address
-    in any of its forms. The registry is small, which is checked before it is broadcast.
+    in any of its forms; of several addresses the first known one counts, of entries of one address the smallest name. Both are
+    equi-joins with the registry, which is broadcast if it is counted to be small.
     """
     p = payloads.select(F.from_json("body", PUSH).alias("p"), F.get_json_object("body", "$.repository").alias("given"))
     sha = F.coalesce("p.commit", "p.after", "p.checkout_sha", "p.head_commit.id")
@@ -81,13 +84,14 @@ def pushes(payloads: DataFrame, registry: DataFrame) -> DataFrame:
         remotes.alias("remotes"),
         F.coalesce(F.to_json("p"), F.lit("{}")).alias("read"),
     )
-    known = small(registry.select(F.col("name").alias("repository"), normal_remote(F.col("url")).alias("remote"), "main_branch"))
-    # One row a push: a repository that is named wins over one that an address points to.
-    listed = known.agg(F.collect_list(F.struct("repository", "remote", "main_branch")).alias("known"))
-    rows = rows.join(F.broadcast(listed))
-    by_name = F.filter("known", lambda k: k["repository"] == F.col("named"))
-    by_remote = F.filter("known", lambda k: F.array_contains("remotes", k["remote"]))
-    rows = rows.withColumn("hit", F.coalesce(F.get(by_name, F.lit(0)), F.get(by_remote, F.lit(0))))
+    entry = F.struct(F.col("name").alias("repository"), "main_branch")
+    names = small(registry.groupBy(F.col("name").alias("known")).agg(F.min(entry).alias("by_name")))
+    places = small(registry.groupBy(normal_remote(F.col("url")).alias("known")).agg(F.min(entry).alias("found")))
+    rows = rows.join(names, F.col("named") == F.col("known"), "left").drop("known")
+    # A push has few address fields: each is looked up by a join of its own, so a stream keeps no state.
+    for i in range(len(fields)):
+        rows = rows.join(places, F.get("remotes", F.lit(i)) == F.col("known"), "left").drop("known").withColumnRenamed("found", f"by_remote{i}")
+    rows = rows.withColumn("hit", F.coalesce("by_name", *[f"by_remote{i}" for i in range(len(fields))]))
     full = F.coalesce(F.col("sha").rlike("^[0-9a-f]{40}$"), F.lit(False))
     status = (
         F.when(F.col("read") == "{}", "malformed")
@@ -103,17 +107,22 @@ def pushes(payloads: DataFrame, registry: DataFrame) -> DataFrame:
 def apply_commits(commits: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """Applies commit events (repository, seq, sha) to a Parquet table of the newest commit per repository.
 
-    Each batch reads the version that the one before wrote and writes a new one (`v=<batch>`), so a batch that is run
-    again after a failure overwrites only its own version. A commit with an older seq than the stored one changes
-    nothing, and neither does one that was applied before.
+    Each batch reads the newest complete version of the table, whoever wrote it, and commits the next one; if another commit came
+    first it begins anew. A commit with an older seq than the stored one changes nothing, and neither does one that was applied
+    before, so a batch may run again and a stream may start with a new checkpoint.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        newest = batch.groupBy("repository").agg(F.max(F.struct("seq", "sha")).alias("c")).select("repository", "c.*")
-        if number:
-            newest = newest.unionByName(spark.read.parquet(f"{table}/v={number - 1}"))
-            newest = newest.groupBy("repository").agg(F.max(F.struct("seq", "sha")).alias("c")).select("repository", "c.*")
-        newest.write.mode("overwrite").parquet(f"{table}/v={number}")
+        new = batch.groupBy("repository").agg(F.max(F.struct("seq", "sha")).alias("c")).select("repository", "c.*")
+        while True:
+            after, _ = versions.newest(spark, table)
+            both = new.unionByName(sync.read(spark, table, "commits", after)) if after else new
+            newest = both.groupBy("repository").agg(F.max(F.struct("seq", "sha")).alias("c")).select("repository", "c.*")
+            try:
+                sync.commit(table, after, commits=newest)
+                return
+            except versions.Conflict:
+                continue
 
     return commits.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
