@@ -98,7 +98,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mixing.mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("mixed_id"), F.ceil(F.col("taken") / F.col("size")).alias("times"))
-    taken = taken.groupBy("mixed_id").agg(F.max("times").alias("times"))  # repeated rows of one id share their copies
+    # Repeated rows of one id share their copies. What is taken is written: a few bytes a row, broadcast while it is small, so
+    # that texts are only exchanged beyond.
+    taken = shared.small(shared.stored(taken.groupBy("mixed_id").agg(F.max("times").alias("times")), "taken"))
     copies = docs.join(taken, docs["doc_id"].eqNullSafe(taken["mixed_id"]))
     number = "copy_" + "_".join(docs.columns)  # a name that no column has
     each = F.explode(F.sequence(F.lit(1), taken["times"].cast("int"))).alias(number)
