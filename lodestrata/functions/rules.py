@@ -169,6 +169,11 @@ def next_major(version: Column) -> Column:
     return F.coalesce(F.nullif(named, F.lit("")), F.nullif(ranged, F.lit(""))).cast("int")
 
 
+def asked_major(question: Column) -> Column:
+    """The major number of the framework that a question names (`Next 16`, `next.js version 15`); null if there is none."""
+    return F.nullif(F.regexp_extract(question, r"(?i)Next(?:\.js)?\s*(?:version\s*)?(\d{1,2})", 1), F.lit("")).cast("int")
+
+
 def decision_fault(key: Column, title: Column, rationale: Column, source_kind: Column, source_ref: Column, source_sha: Column, approved_by: Column, approved_at: Column) -> Column:
     """The first reason why a decision can't be stored; null if it can."""
     given = lambda c: F.coalesce(F.trim(c), F.lit(""))
@@ -207,3 +212,32 @@ def question_shape(question: Column) -> Column:
         question.rlike(ascii_words(r"[\w/-]+\.(?:tsx?|jsx?|json|mjs|cjs)\b")).alias("file"),
         question.rlike(ascii_words(r"\b[A-Z][A-Z0-9_]{3,}\b")).alias("config"),
     )
+
+
+# What questions about decisions, a repository's ways, links between repositories, and flows of data say. Of the first
+# kind one of DECISION, or both of DECISION_TOGETHER; of the second both; of the others one.
+DECISION = (
+    r"\b(?:hangi karar|decision record|rationale|gerekçe|adr)\b",
+    r"\bwhy\s+(?:did|do|does|was|were|is|are|has|have)\b[\s\S]{0,40}?(?:choose|chosen|choosing|use|using|adopt|adopted|pick|picked|prefer|switch)",
+)
+DECISION_TOGETHER = (r"\b(?:neden|niçin|nicin|niye)\b", r"(?:se[çc](?:ti|tik|tiler|ildi|ilmiş|ilmis|im|iyoruz)|tercih|karar\s*ver|ge[çc](?:tik|ildi|ti))")
+STRATEGY_TOGETHER = (r"\b(project|proje(?:nin|de|yi)?|repository|repo)\b", r"\b(strategy|strateji(?:si)?|testing|test|error[- ]handling|hata yönetimi)\b")
+LINKS = (
+    r"\b(cross[- ]repo|inter[- ]repo|repository dependenc|repo dependenc|depends on (?:which )?repo|which repo(?:s)? (?:uses?|consumes?))\b",
+    r"(?:repo|repository).{0,30}(?:bağımlı|bağımlılık|kullanıyor|tüketiyor)|(?:bağımlı|bağımlılık).{0,30}(?:repo|repository)",
+)
+FLOW = (
+    r"\b(data|fetch|endpoint|service chain)\b",
+    r"(?:ürün|sayfa).{0,30}(?:veri(?:si|sini)?|servis zinciri)|(?:veri|servis zinciri).{0,30}(?:nereden|akış|alır|getirir)",
+)
+
+
+def question_subjects(question: Column) -> Column:
+    """struct(decision, strategy, links, flow): what a question is about; null text is about nothing."""
+    says = lambda p: F.coalesce(question.rlike("(?i)" + ascii_words(p)), F.lit(False))
+    return F.struct(
+        (says(DECISION[0]) | says(DECISION[1]) | (says(DECISION_TOGETHER[0]) & says(DECISION_TOGETHER[1]))).alias("decision"),
+        (says(STRATEGY_TOGETHER[0]) & says(STRATEGY_TOGETHER[1])).alias("strategy"),
+        (says(LINKS[0]) | says(LINKS[1])).alias("links"),
+        (says(FLOW[0]) | says(FLOW[1])).alias("flow"),
+    )

@@ -58,10 +58,12 @@ def terms(c: Column, least: int = 3, stop: tuple[str, ...] = STOP_WORDS) -> Colu
 
 
 def qualified_anchors(c: Column) -> tuple[Column, Column]:
-    """Files that a question names by a path, and symbols that it names by file#symbol."""
+    """Files that a question names by a path, and symbols that it names by file#symbol or, in camel case, by themselves."""
     file = r"(?i)(?:[\w@.()\[\]-]+/)+[\w@.()\[\]-]+\.(?:[cm]?[jt]sx?|json|html|css|scss|md)"
     symbol = r"[\w@.()\[\]/-]+\.[cm]?[jt]sx?#[A-Za-z_$][\w$]*"
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(file), F.lit(0))), F.array_distinct(F.regexp_extract_all(c, F.lit(symbol), F.lit(0)))
+    bare = ascii_words(r"\b[a-z][A-Za-z0-9_$]*[A-Z][A-Za-z0-9_$]*\b")
+    all_ = lambda pattern: F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    return F.array_distinct(all_(file)), F.array_distinct(F.concat(all_(symbol), all_(bare)))
 
 
 #: A token: letters and digits of any script, after folding.

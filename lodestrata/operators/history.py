@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.operators.relational import as_of
+
 
 def reconcile(old: DataFrame, seen: DataFrame, key: Sequence[str], sha: str) -> DataFrame:
     """Mark and sweep: rows seen now are active, rows not seen any more are closed at sha; created_sha stays.
@@ -76,9 +78,9 @@ def supersede_named(decisions: DataFrame, key: str, names: str, id: str) -> Data
 
     A row that names a key without such a row supersedes nothing.
     """
-    older = decisions.where("status in ('accepted', 'proposed')").select(F.col(key).alias("_key"), F.col(id).alias("_old"))
-    naming = decisions.where(F.col(names).isNotNull()).select(F.col(id).alias("_id"), F.col(names).alias("_key"), (F.col("status") == "accepted").alias("_counts"))
-    links = naming.join(older, "_key").where("_old < _id").groupBy("_id", "_counts").agg(F.max("_old").alias("supersedes_id"))
+    older = decisions.where("status in ('accepted', 'proposed')").select(F.col(key).alias("_key"), F.col(id).alias("_at"), F.col(id).alias("_old"))
+    naming = decisions.where(F.col(names).isNotNull()).select(F.col(id).alias("_id"), F.col(names).alias("_key"), (F.col(id) - 1).alias("_at"), (F.col("status") == "accepted").alias("_counts"))
+    links = as_of(naming, older, "_key", "_at", "_old").where("as_of is not null").select("_id", "_counts", F.col("as_of").alias("supersedes_id"))
     hit = links.where("_counts").select(F.col("supersedes_id").alias("_gone")).distinct()
     out = decisions.join(links.select("_id", "supersedes_id"), F.col(id) == F.col("_id"), "left").join(hit, F.col(id) == F.col("_gone"), "left")
     return out.withColumn("status", F.when(F.col("_gone").isNotNull(), "superseded").otherwise(F.col("status"))).select(*decisions.columns, "supersedes_id")

@@ -109,3 +109,22 @@ def sync(spark: SparkSession, path: str, fresh: DataFrame, files: DataFrame, sha
     facts = read(spark, path, "facts", after)
     done = stored(partition(facts, fresh, files), "partition")
     return commit(path, after, facts=apply(facts, done, sha), audit=read(spark, path, "audit", after).unionByName(audit(done, sha)))
+
+
+def reconcile_registry(registry: DataFrame, known: DataFrame, check_commits: bool = True, retire_missing: bool = True) -> DataFrame:
+    """repository, action, last_sha: what a pass over the registry (name, head) does with the known repositories (name, last_sha, retired).
+
+    What was never indexed is indexed, what was retired comes back, others are synced, or unchanged if their head is the commit
+    that was indexed last; known ones that are not in the registry any more are retired. Without check_commits others are left alone,
+    without retire_missing missing ones. Rows without a name are left out; of rows of one name the smallest counts.
+    """
+    one = lambda df, *columns: df.where("name is not null").groupBy("name").agg(F.min(F.struct(*columns)).alias("r")).select("name", "r.*")
+    both = one(registry, "head").withColumn("listed", F.lit(True)).join(one(known, "last_sha", "retired").withColumn("is_known", F.lit(True)), "name", "full")
+    listed, retired = F.coalesce("listed", F.lit(False)), F.coalesce("retired", F.lit(False))
+    action = (
+        F.when(listed & F.col("last_sha").isNull(), "indexed")
+        .when(listed & retired, "restored")
+        .when(listed & F.lit(check_commits), F.when(F.col("head").eqNullSafe(F.col("last_sha")), "unchanged").otherwise("synced"))
+        .when(~listed & ~retired & F.lit(retire_missing), "retired")
+    )
+    return both.select(F.col("name").alias("repository"), action.alias("action"), "last_sha").where("action is not null")

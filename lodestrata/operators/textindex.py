@@ -36,7 +36,7 @@ from lodestrata.sources.storage import small, stored
 
 BUCKETS, FANOUT = 64, 4
 #: Tokens of the documents that a block is made of, about.
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_000_000
 
 BLOCKS = "bucket int, part int, term string, first long, n int, docs binary, lengths binary, counts binary, gaps binary"
 POSTINGS = "doc_id long, term string, dl int, tf int, places array<int>"
@@ -44,17 +44,20 @@ POSTINGS = "doc_id long, term string, dl int, tf int, places array<int>"
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers from 0 on as bytes, seven bits each, the last byte of a number below 128; and where each begins (and the end)."""
-    values = values.astype(np.uint64)
-    size = np.ones(len(values), np.int64)
-    for k in range(1, 10):
-        size += values >= np.uint64(1) << np.uint64(7 * k)
-    at = np.r_[0, np.cumsum(size)]
-    out = np.zeros(at[-1], np.uint8)
-    for k in range(int(size.max(initial=0))):
-        x = np.flatnonzero(size > k)
-        more = (size[x] > k + 1).astype(np.uint8) << 7
-        out[at[x] + k] = (values[x] >> np.uint64(7 * k)).astype(np.uint8) & 127 | more
-    return out, at
+    parts, sizes = [np.zeros(0, np.uint8)], np.ones(len(values), np.uint8)
+    for i in range(0, len(values), 1 << 18):  # some at a time, which takes less memory
+        some = values[i : i + (1 << 18)].astype(np.uint64)
+        size = sizes[i : i + (1 << 18)]
+        for k in range(1, 10):
+            size += some >= np.uint64(1) << np.uint64(7 * k)
+        at = np.cumsum(size, dtype=np.int64) - size
+        out = np.zeros(at[-1] + size[-1], np.uint8)
+        for k in range(int(size.max())):
+            x = np.flatnonzero(size > k)
+            more = (size[x] > k + 1).astype(np.uint8) << 7
+            out[at[x] + k] = (some[x] >> np.uint64(7 * k)).astype(np.uint8) & 127 | more
+        parts.append(out)
+    return np.concatenate(parts), np.r_[0, np.cumsum(sizes, dtype=np.int64)]
 
 
 def unpack(data: np.ndarray) -> np.ndarray:
@@ -107,8 +110,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lengths = np.array(part.column("t").value_lengths().to_pylist(), np.int64)
             found = part.column("t").flatten().dictionary_encode()
             code = found.indices.to_numpy()
-            doc = np.repeat(np.arange(len(part)), lengths)
-            place = np.arange(len(code)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            doc = np.repeat(np.arange(len(part), dtype=np.int32), lengths)
+            place = np.arange(len(code), dtype=np.int32) - np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)
             order = np.argsort(code, kind="stable")
             yield _encoded(part.column("doc_id").to_numpy(), lengths, found.dictionary, doc[order], code[order], place[order])
 

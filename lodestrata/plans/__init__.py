@@ -26,4 +26,4 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Imports all modules of queries."""
-    from lodestrata.plans import code, graphs, inventory, operations, retrieval, temporal  # noqa: F401
+    from lodestrata.plans import code, graphs, inventory, operations, retrieval, temporal, upkeep  # noqa: F401

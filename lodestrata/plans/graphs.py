@@ -189,7 +189,7 @@ def theta_phrase_contains(t: Tables) -> DataFrame:
     return items.join(found, "phrase", "left").groupBy("item_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_docs"))
 
 
-@query("""WITH s AS (SELECT DISTINCT regexp_extract(text, '(?:password|token|secret)\\s*=\\s*"?([A-Za-z0-9]{16,})', 1) AS value FROM documents WHERE regexp_matches(text, '(?:password|token|secret)\\s*=\\s*"?[A-Za-z0-9]{16,}'))
+@query("""WITH s AS (SELECT DISTINCT unnest(regexp_extract_all(text, '(?:password|token|secret)\\s*=\\s*"?([A-Za-z0-9]{16,})', 1)) AS value FROM documents)
   SELECT doc_id, value, length(text) - length(replace(text, value, '')) >= 2 * length(value) AS again FROM documents JOIN s ON contains(text, value)""")
 def leak_substring_scan(t: Tables) -> DataFrame:
     # Known secrets are alphanumeric, so they lie in alphanumeric runs: their first 16 characters meet the windows of 16 of all

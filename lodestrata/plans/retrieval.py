@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions import rules, text
-from lodestrata.operators import aliases, budget, relational, search, textindex, vectorcells
+from lodestrata.operators import aliases, budget, projection, relational, search, textindex, vectorcells
 from lodestrata.plans import query
 from lodestrata.sources.storage import shared_dir
 from lodestrata.sources.tables import Tables
@@ -407,9 +407,19 @@ def budget_skip_fold(t: Tables) -> DataFrame:
 
 @query()
 def pca_explained(t: Tables) -> DataFrame:
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    rows, explained = projection.project(t.embeddings)
+    return rows.select("vec_id", "axes", F.array(*[F.lit(x) for x in explained]).alias("explained"))
 
-    rows = t.embeddings.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    model = PCA(k=3, inputCol="v", outputCol="p").fit(rows)
-    return model.transform(rows).select("vec_id", vector_to_array("p").alias("axes"), F.array(*[F.lit(float(x)) for x in model.explainedVariance]).alias("explained"))
+
+@query()
+def vector_picture(t: Tables) -> DataFrame:
+    return projection.picture(t.embeddings)[0]
+
+
+@query("""WITH v AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings), m AS (SELECT i, avg(CAST(x AS DOUBLE)) AS mean FROM v GROUP BY 1)
+  SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(avg(CAST(a.x AS DOUBLE) * b.x) - any_value(ma.mean * mb.mean), 6) + 0.0 AS covariance
+  FROM v a JOIN v b USING (vec_id) JOIN m ma ON ma.i = a.i JOIN m mb ON mb.i = b.i GROUP BY a.i, b.i""")
+def vector_covariance(t: Tables) -> DataFrame:
+    _, _, covariance = projection.moments(t.embeddings)
+    rows = [(i, j, round(float(x), 6) + 0.0) for i, row in enumerate(covariance) for j, x in enumerate(row)]
+    return t.embeddings.sparkSession.createDataFrame(rows, "i int, j int, covariance double")

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.functions import rules
+from lodestrata.functions import rules, text
 
 
 def one(spark, value, f):
@@ -90,3 +90,12 @@ def test_miss_class_and_shape(spark):
     assert got == ["engine-error", "wrong-intent", "engine-error", "missing-fact", "missing-evidence", None]
     shape = one(spark, "Where is API_URL read in src/app.ts for /home?", rules.question_shape)
     assert (shape.words, shape.bucket, shape.turkish, shape.route, shape.file, shape.config) == (8, "s", False, True, True, True)
+
+
+def test_bare_symbols_and_asked_versions(spark):
+    said = ["Where is getInterestOppList called from src/a/b.ts#Page?", "Next 16 or later", "next.js version 15", "nothing here", "aB x1 fooBar_$"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, q string")
+    files, symbols = text.qualified_anchors(F.col("q"))
+    got = {r.i: (r.f, r.s, r.m) for r in df.select("i", files.alias("f"), symbols.alias("s"), rules.asked_major(F.col("q")).alias("m")).collect()}
+    assert got[0] == (["src/a/b.ts"], ["src/a/b.ts#Page", "getInterestOppList"], None)
+    assert [got[i][2] for i in range(4)] == [None, 16, 15, None] and got[4][1] == ["aB", "fooBar_"]

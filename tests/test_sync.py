@@ -97,3 +97,11 @@ def test_audit(spark):
     env = [("DB", "https://db.example.org/x"), ("MODE", "development"), ("APP_SECRET", "s3cr3t!value"), ("OTHER", "prose"), ("WORD", "content that")]
     got = run_audit(spark, bad, [(1, "/etc/passwd"), (4, "../x")], [f"x\t{body}", "two", "three"], env, registry=())
     assert got == {"I1": ("fail", 3), "I2": ("fail", 3), "I3": ("fail", 1), "I4": ("fail", 1), "I5": ("fail", 2)}
+
+
+def test_registry_pass(spark):
+    registry = spark.createDataFrame([("new", "h"), ("same", "h"), ("moved", "h2"), ("back", "h"), ("never", None), (None, "h")], "name string, head string")
+    known = spark.createDataFrame([("same", "h", False), ("moved", "h", False), ("back", "h", True), ("never", None, False), ("gone", "h", False), ("long gone", "h", True)], "name string, last_sha string, retired boolean")
+    done = lambda **options: {r.repository: r.action for r in sync.reconcile_registry(registry, known, **options).collect()}
+    assert done() == {"new": "indexed", "never": "indexed", "same": "unchanged", "moved": "synced", "back": "restored", "gone": "retired"}
+    assert done(check_commits=False, retire_missing=False) == {"new": "indexed", "never": "indexed", "back": "restored"}
