@@ -7,10 +7,12 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import count
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.operators.relational import numbered
 from lodestrata.sources.storage import stored
 
 
@@ -39,12 +41,59 @@ def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return reach(edges, seeds, None).select("node")
 
 
-def two_hop(edges: DataFrame) -> DataFrame:
-    """src, n_reach: distinct other nodes within two hops of each source."""
-    one = edges.select("src", "dst").distinct()
-    two = one.join(one.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst"))
-    both = one.unionByName(two).where("src <> dst").distinct()
-    return both.groupBy("src").agg(F.count("*").alias("n_reach"))
+#: Edges of the sources that one task counts the reach of, about; and steps of two hops that it looks at together.
+BLOCK_EDGES, BLOCK_STEPS = 250_000, 500_000
+
+
+def _reached(own: pd.DataFrame, onward: pd.DataFrame, most: int) -> pd.DataFrame:
+    """src, n_reach of one block: own (src, dst), all edges of its sources, and onward (mid, far), all edges of their targets."""
+    n, m = len(own), len(onward)
+    code, names = pd.factorize(np.concatenate([own["src"].to_numpy(), own["dst"].to_numpy(), onward["mid"].to_numpy(), onward["far"].to_numpy()]))
+    src, dst, mid, far = code[:n], code[n : 2 * n], code[2 * n : 2 * n + m], code[2 * n + m :]
+    order = np.argsort(src, kind="stable")
+    src, dst = src[order], dst[order]
+    far = far[np.argsort(mid, kind="stable")]
+    begin = np.r_[0, np.cumsum(np.bincount(mid, minlength=len(names)))]
+    steps = np.diff(begin)[dst]
+    first = np.flatnonzero(np.r_[True, src[1:] != src[:-1]])
+    # Whole sources at a time, as many as have `most` steps.
+    until = np.cumsum(np.add.reduceat(steps + 1, first))
+    reach, a = np.zeros(len(first), np.int64), 0
+    while a < len(first):
+        b = max(a + 1, int(np.searchsorted(until, (until[a - 1] if a else 0) + most, side="right")))
+        e, f = first[a], first[b] if b < len(first) else n
+        row = np.repeat(np.arange(b - a), np.diff(np.r_[first[a:b], f]))
+        some = steps[e:f]
+        place = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some) + np.repeat(begin[dst[e:f]], some)
+        rows, nodes = np.r_[row, np.repeat(row, some)], np.r_[dst[e:f], far[place]]
+        if (b - a) * len(names) <= 8 * len(rows) + (1 << 20):
+            met = np.zeros((b - a, len(names)), bool)
+            met.ravel()[rows * len(names) + nodes] = True
+            met[np.arange(b - a), src[first[a:b]]] = False
+            reach[a:b] = met.sum(axis=1)
+        else:
+            pair = np.unique((rows * len(names) + nodes)[nodes != src[first[a:b]][rows]])
+            reach[a:b] = np.bincount(pair // len(names), minlength=b - a)
+        a = b
+    return pd.DataFrame({"src": names[src[first]], "n_reach": reach})[reach > 0]
+
+
+def two_hop(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """src, n_reach: distinct other nodes within two hops of each source, of all or of given ones (node).
+
+    Sources are dealt by ranges to blocks of about BLOCK_EDGES edges, and what their targets lead to is sent to a block once,
+    however many of its sources have this target. So neither pairs of two hops nor their distinct ones are exchanged; a block
+    counts them some sources at a time.
+    """
+    one = stored(edges.select("src", "dst").dropna().distinct(), "edges")
+    mine = one if sources is None else one.join(sources.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
+    n = one.count() // BLOCK_EDGES + 1
+    dealt = stored(mine.repartitionByRange(n, "src").withColumn("block", F.spark_partition_id()), "dealt")
+    wanted = dealt.select(F.col("block").alias("to"), F.col("dst").alias("mid")).distinct()
+    onward = wanted.join(one.select(F.col("src").alias("mid"), F.col("dst").alias("far")), "mid")
+    schema = f"src {edges.schema['src'].dataType.simpleString()}, n_reach long"
+    most = BLOCK_STEPS
+    return dealt.repartition(n, "block").groupBy("block").cogroup(onward.repartition(n, "to").groupBy("to")).applyInPandas(lambda a, b: _reached(a, b, most), schema)
 
 
 def resolve_aliases(names: DataFrame, aliases: DataFrame, hops: int = 6) -> DataFrame:
@@ -235,15 +284,26 @@ def impact_classes(affected: DataFrame, edges: DataFrame, routes: DataFrame | No
 def seed_scores(nodes: DataFrame, terms: DataFrame, edges: DataFrame) -> DataFrame:
     """node, score, n_reach for nodes (node, term rows): 4 a term shared with the question, 2 a term within two hops.
 
-    Best first: score descending, smaller reach first, then the name.
+    Terms within two hops are joined as bits, 60 terms a number, and no pair of two hops is made for them. The best is the one
+    with the largest score, then the smallest reach, then the name; rows have no order.
     """
-    wanted = terms.select("term").distinct()
-    own = nodes.join(wanted, "term").groupBy("node").agg(F.countDistinct("term").alias("own"))
-    near = edges.select("src", "dst").distinct()
-    far = near.join(near.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst"))
-    within = near.unionByName(far).where("src <> dst").distinct()
-    around = within.join(nodes.select(F.col("node").alias("dst"), "term"), "dst").join(wanted, "term")
-    around = around.groupBy(F.col("src").alias("node")).agg(F.countDistinct("term").alias("around"))
-    size = within.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_reach"))
-    scored = own.join(around, "node", "full").join(size, "node", "left").na.fill(0)
-    return scored.select("node", (4 * F.col("own") + 2 * F.col("around")).alias("score"), "n_reach").where("score > 0")
+    wanted = numbered(terms.select("term").dropna().distinct(), [], "term")
+    wanted = wanted.select("term", F.floor((F.col("at") - 1) / 60).alias("word"), F.expr("shiftleft(1L, cast((at - 1) % 60 as int))").alias("bit"))
+    hold = stored(nodes.select("node", "term").distinct().join(wanted, "term"), "hold")
+    own = hold.groupBy("node").agg(F.count("*").alias("own"))
+    one = stored(edges.select("src", "dst").dropna().distinct(), "edges")
+    held = one.join(hold.withColumnRenamed("node", "dst"), "dst")
+    direct = held.where("src <> dst").groupBy("src", "word").agg(F.bit_or("bit").alias("bits"))
+    # What each node's targets hold, as bits. A term that only one of them holds is none of two hops for that one itself.
+    counted = stored(held.groupBy("src", "word", "bit").agg(F.count("*").alias("n"), F.min("dst").alias("only")), "counted")
+    bits = F.bit_or("bit").alias("bits")
+    onward = counted.groupBy(F.col("src").alias("dst"), "word").agg(bits)
+    back = counted.where("n = 1").groupBy(F.col("only").alias("src"), F.col("src").alias("dst"), "word").agg(bits.alias("less"))
+    two = one.join(onward, "dst").join(back, ["src", "dst", "word"], "left")
+    two = two.select("src", "word", F.expr("bits & ~coalesce(less, 0L)").alias("bits"))
+    around = direct.unionByName(two).groupBy(F.col("src").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
+    around = around.groupBy("node").agg(F.sum(F.bit_count("bits")).alias("around"))
+    scored = own.join(around, "node", "full").na.fill(0, ["own", "around"])
+    scored = stored(scored.select("node", (4 * F.col("own") + 2 * F.col("around")).alias("score")).where("score > 0"), "scored")
+    size = two_hop(one, scored.select("node")).withColumnRenamed("src", "node")
+    return scored.join(size, "node", "left").select("node", "score", F.coalesce("n_reach", F.lit(0).cast("long")).alias("n_reach"))

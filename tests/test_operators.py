@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,3 +221,35 @@ def test_gate(spark):
     assert tuple(health.gate(spark.createDataFrame(rows, schema)).first()) == ("blocked", "b")
     assert health.gate(spark.createDataFrame(rows[:1], schema)).first().decision == "open"
     assert health.gate(spark.createDataFrame([("a", None, 0.8, True)], schema)).first().decision == "insufficient-evidence"
+
+
+def test_reach_and_terms_within_two_hops_against_loops(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = sorted({(rng.randrange(40), rng.randrange(60)) for _ in range(300)} | {(1, 2), (2, 1), (50, 50), (51, 52), (52, 51)}) + [(None, 1), (1, None)]
+    names = [f"t{i}" for i in range(130)]
+    held = [(n, t) for n in [*range(60), 70] for t in rng.sample(names, 2)]
+    asked = names[:125]
+    df = spark.createDataFrame(rows, "src long, dst long")
+    out = {}
+    for a, b in rows:
+        if a is not None and b is not None:
+            out.setdefault(a, set()).add(b)
+    within = {a: {y for x in b for y in {x} | out.get(x, set())} - {a} for a, b in out.items()}
+    expect = {a: len(b) for a, b in within.items() if b}
+    terms = {}
+    for n, t in held:
+        if t in asked:
+            terms.setdefault(n, set()).add(t)
+    score = {n: 4 * len(terms.get(n, ())) + 2 * len(set().union(*[terms.get(x, set()) for x in within.get(n, ())])) for n in {*terms, *within}}
+    for steps, edges_ in ((4_000_000, 1_000_000), (20, 40)):
+        monkeypatch.setattr(graph, "BLOCK_STEPS", steps)
+        monkeypatch.setattr(graph, "BLOCK_EDGES", edges_)
+        assert {r.src: r.n_reach for r in graph.two_hop(df).collect()} == expect
+        got = graph.seed_scores(spark.createDataFrame(held, "node long, term string"), spark.createDataFrame([(t,) for t in asked], "term string"), df).collect()
+        assert {r.node: (r.score, r.n_reach) for r in got} == {n: (s, expect.get(n, 0)) for n, s in score.items() if s}
+
+
+def test_reach_exchanges_no_pairs_of_two_hops(spark):
+    edges_ = spark.range(40).crossJoin(spark.range(40).withColumnRenamed("id", "dst")).select(F.col("id").alias("src"), "dst")
+    plan = graph.two_hop(edges_)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[src" not in plan and "FlatMapCoGroups" in plan
