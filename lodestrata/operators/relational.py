@@ -97,6 +97,30 @@ def ratio(part: Column, whole: Column, digits: int = 4) -> Column:
     return F.when(whole == 0, F.lit(1.0)).otherwise(F.round(part / whole, digits))
 
 
+#: Pairs that one task makes, about; and rows of a key that are held against one part of the key's rows.
+TASK_PAIRS, PART_ROWS = 10_000_000, 1_000
+
+
+def pairs_within(df: DataFrame, key: str, value: str, left: str, right: str) -> DataFrame:
+    """key, left, right: all ordered pairs of values of rows with the same key, a value with itself too.
+
+    There are as many pairs as the squares of the keys' rows add up to, so a key's rows are dealt to parts of about PART_ROWS on
+    both sides; each pair of parts meets in one place, and the places are dealt to as many tasks as the pairs need. A task
+    holds parts, not a key.
+    """
+    rows = df.select(F.col(key).alias("_key"), F.col(value).alias("_value")).where("_key is not null")
+    sizes = stored(rows.groupBy("_key").agg(F.count("*").alias("_size")), "sizes")
+    n = int(sizes.agg(F.coalesce(F.sum(F.col("_size").cast("double") * F.col("_size")), F.lit(0.0))).first()[0] // TASK_PAIRS) + 1
+    parts = (F.floor((F.col("_size") - 1) / PART_ROWS) + 1).alias("_parts")
+    dealt = rows.join(small(sizes.select("_key", parts)), "_key").withColumn("_part", F.pmod(F.xxhash64("_value"), F.col("_parts")))
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))
+    mine = dealt.select("_key", F.col("_value").alias(left), F.col("_part").alias("_a"), others.alias("_b"))
+    theirs = dealt.select("_key", F.col("_value").alias(right), others.alias("_a"), F.col("_part").alias("_b"))
+    place = ["_key", "_a", "_b"]
+    met = mine.repartition(n, *place).join(theirs.repartition(n, *place).hint("shuffle_hash"), place)
+    return met.select(F.col("_key").alias(key), left, right)
+
+
 def merge_groups(df: DataFrame, key: Sequence[str], anchor_last: Column, file: str, order: str) -> DataFrame:
     """One row a key: the anchor file (first by order, files flagged anchor_last after all others) and the other files."""
     first = F.min(F.struct(anchor_last.cast("int").alias("late"), F.col(order).alias("o"), F.col(file).alias("f")))

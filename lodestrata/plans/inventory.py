@@ -65,10 +65,9 @@ def join_exact_else_any(t: Tables) -> DataFrame:
 @query("""SELECT a.s_suppkey AS consumer, b.s_suppkey AS provider, CASE WHEN a.s_suppkey < b.s_suppkey THEN 'outgoing' ELSE 'incoming' END AS direction
   FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey""")
 def join_self_links(t: Tables) -> DataFrame:
-    a, b = t.supplier.alias("a"), t.supplier.alias("b")
-    linked = (F.col("a.s_nationkey") == F.col("b.s_nationkey")) & (F.col("a.s_suppkey") != F.col("b.s_suppkey"))
-    direction = F.when(F.col("a.s_suppkey") < F.col("b.s_suppkey"), "outgoing").otherwise("incoming")
-    return a.join(b, linked).select(F.col("a.s_suppkey").alias("consumer"), F.col("b.s_suppkey").alias("provider"), direction.alias("direction"))
+    rows = t.supplier.select("s_suppkey", "s_nationkey")
+    both = relational.pairs_within(rows, "s_nationkey", "s_suppkey", "consumer", "provider").where("consumer <> provider")
+    return both.select("consumer", "provider", F.when(F.col("consumer") < F.col("provider"), "outgoing").otherwise("incoming").alias("direction"))
 
 
 @query("SELECT doc_id, source FROM documents WHERE EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id AND quality = 1)")

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lodestrata.operators import budget, graph, health, history, relational, search
@@ -253,3 +254,13 @@ def test_reach_exchanges_no_pairs_of_two_hops(spark):
     edges_ = spark.range(40).crossJoin(spark.range(40).withColumnRenamed("id", "dst")).select(F.col("id").alias("src"), "dst")
     plan = graph.two_hop(edges_)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate(keys=[src" not in plan and "FlatMapCoGroups" in plan
+
+
+def test_pairs_of_one_key_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(relational, "PART_ROWS", 7)
+    monkeypatch.setattr(relational, "TASK_PAIRS", 500)
+    rows = [("k", i) for i in range(100)] + [("l", 3), ("l", 3), ("m", None), (None, 1)]
+    df = relational.pairs_within(spark.createDataFrame(rows, "k string, v long"), "k", "v", "a", "b")
+    assert sorted(map(str, df.collect())) == sorted(str(Row(k=k, a=a, b=b)) for k, a in rows for j, b in rows if k is not None and k == j)
+    tasks = [r.n for r in df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(tasks) > 8 and max(tasks) < 3_000
