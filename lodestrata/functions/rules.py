@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestrata.functions.text import ascii_words, fold
+from lodestrata.functions.arrays import bound
+from lodestrata.functions.text import ascii_words, fold, found_in
 
 # Intents of questions with their rules (weight, pattern), on folded text, Turkish and English.
 INTENT_RULES: dict[str, list[tuple[int, str]]] = {
@@ -133,9 +134,14 @@ def intent(question: Column) -> Column:
 
 def memory_types(question: Column) -> Column:
     """The kinds of facts that a question names, in the order of TYPE_TERMS."""
-    found = F.array_compact(F.array(*[F.when(question.rlike("(?i)" + ascii_words(p)), F.lit(k)) for k, p in TYPE_TERMS.items()]))
-    no_schema = F.array_contains(found, "analytics_event") & ~question.rlike("(?i)" + ascii_words(SCHEMA_WORDS))
-    return F.when(no_schema, F.array_remove(found, "schema_contract")).otherwise(found)
+    kinds = lambda low: F.array_compact(F.array(*[F.when(found_in(question, p, low), F.lit(k)) for k, p in TYPE_TERMS.items()]))
+
+    def settled(found: Column) -> Column:
+        no_schema = F.array_contains(found, "analytics_event") & ~found_in(question, SCHEMA_WORDS)
+        return F.when(no_schema, F.array_remove(found, "schema_contract")).otherwise(found)
+
+    # The lower case and the kinds are computed once and not anew where they are used.
+    return bound(bound(F.lower(question), kinds), settled)
 
 
 def path_kinds(path: Column) -> Column:

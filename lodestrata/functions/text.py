@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,11 +43,45 @@ def plain(said: str) -> str:
     return re.sub("[\u0300-\u036f]", "", said.translate(str.maketrans(_FOLD_FROM, _FOLD_TO))).lower()
 
 
+def _alternatives(pattern: str) -> list[str]:
+    r"""The alternatives of a pattern `\b(...|...)\b` if each surely begins and ends with a letter or digit; none for other patterns."""
+    outer = re.fullmatch(r"\\b\((?:\?:)?(.*)\)\\b", pattern)
+    found, depth = [""], 0
+    for c in outer[1] if outer else "":
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            found.append("")
+        else:
+            found[-1] += c
+        if depth < 0:
+            return []
+    sure = r"[A-Za-z0-9](?:\w\?|\w|[ -]|\\\.|\\d|\\s\+)*?(?:\\d|\w\\w\*|(?<![\\\\])\w\??|\(\?:\w+(?:\|\w+)*\))|[A-Za-z0-9]"
+    return found if all(re.fullmatch(sure, a, re.ASCII) for a in found) else []
+
+
 def ascii_words(pattern: str) -> str:
     r"""pattern with \b as a border of ASCII words, as \w has it; by itself it would also count letters beyond."""
+    if _alternatives(pattern):  # what is found begins and ends inside a word, so one look at each end does
+        return rf"(?<!\w){pattern[2:-2]}(?!\w)"
     return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
 
 
+def word_stems(pattern: str) -> list[str]:
+    r"""Lower-case strings of which any text that a pattern `\b(...|...)\b` is found in, in any case of ASCII letters, holds one; none if unknown."""
+    begun = [re.match(r"(?:[A-Za-z0-9-](?!\?)|\\\.| (?=\w))*", a)[0].replace("\\.", ".").strip().lower() for a in _alternatives(pattern)]
+    return sorted({a for a in begun if not any(b != a and b in a for b in begun)}) if all(begun) else []
+
+
+def found_in(c: Column, pattern: str, lower: Column | None = None) -> Column:
+    """Whether a pattern of words is found in c, in any case: few texts hold a stem of a word, and only these are matched.
+
+    lower: c in lower case, for callers that ask for many patterns.
+    """
+    exact, stems = c.rlike("(?i)" + ascii_words(pattern)), word_stems(pattern)
+    low = F.lower(c) if lower is None else lower
+    return reduce(Column.__or__, [F.contains(low, F.lit(s)) for s in stems]) & exact if stems else exact
+
+
 def camel_split(c: Column) -> Column:
     return F.regexp_replace(c, "([a-z0-9])([A-Z])", "$1 $2")
 

@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +102,18 @@ def test_bare_symbols_and_asked_versions(spark):
     got = {r.i: (r.f, r.s, r.m) for r in df.select("i", files.alias("f"), symbols.alias("s"), rules.asked_major(F.col("q")).alias("m")).collect()}
     assert got[0] == (["src/a/b.ts"], ["src/a/b.ts#Page", "getInterestOppList"], None)
     assert [got[i][2] for i in range(4)] == [None, 16, 15, None] and got[4][1] == ["aB", "fooBar_"]
+
+
+def test_words_are_found_by_stem_and_pattern_as_by_borders(spark):
+    patterns = [*rules.TYPE_TERMS.values(), rules.SCHEMA_WORDS]
+    assert all(text.word_stems(p) for p in patterns) and "\\b" not in "".join(map(text.ascii_words, patterns))
+    assert text.word_stems(r"\b(role|rol|event\s+x|redirects?|authoriz(?:e|ation)|next\.config)\b") == ["authoriz", "event", "next.config", "redirect", "rol"]
+    assert not text.word_stems(r"\b(a?b|c)\b") and not text.word_stems(r"\b(a|)\b") and not text.word_stems(r"x\b(a)\b") and not text.word_stems(r"\b(a)\b|(c)\b")
+    rng = random.Random(5)
+    words = sorted({w for p in patterns for w in re.findall(r"[A-Za-z]+(?:[-. ][a-z]+)*", p)}) + ["404", "5xx", "redirect", "authorize", "authorization", "analytics  events", "event\npayload", "next.config", "nextxconfig"]
+    sides = ["", " ", "-", "_", "x", "1", "\u00e9", "\u0131", "\u212a", "\n", "."]
+    cased = [str.upper, str.lower, str.title, str]
+    said = ["".join(rng.choice(sides) + rng.choice(cased)(rng.choice(words)) + rng.choice(sides) for _ in range(2)) for _ in range(1500)]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, q string")
+    for r in df.select("q", F.array(*[text.found_in(F.col("q"), p) for p in patterns]).alias("f")).collect():
+        assert r.f == [bool(re.search(p, r.q, re.ASCII | re.IGNORECASE)) for p in patterns], r.q
