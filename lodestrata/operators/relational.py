@@ -41,16 +41,18 @@ def best_per(df: DataFrame, key: Sequence[str], score: str, id: str) -> DataFram
     return best.select(*key, (-F.col("b.neg")).alias(id), F.col("b.s").alias(score))
 
 
-def numbered(df: DataFrame, key: Sequence[str], *order: str | Column) -> DataFrame:
+def numbered(df: DataFrame, key: Sequence[str], *order: str | Column, few: bool = False) -> DataFrame:
     """Adds `at`, the place (from 1) of each row of a key in the given order of columns, without a key in one task.
 
     Rows are dealt by ranges of (key, order) and numbered in their partition; the partitions' counts add up to what
-    lies before.
+    lies before. With few keys the counts are broadcast, which are some rows a partition; else Spark may choose the rows for it,
+    as sorted numbers are small files.
     """
     parts = stored(df.repartitionByRange(*key, *order).withColumn("_part", F.spark_partition_id()), "numbered")
     sizes = parts.groupBy(*key, "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     sizes = sizes.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    sizes = small(sizes) if few else sizes
     same = F.col("_part") == F.col("_p")
     for k in key:
         same = same & parts[k].eqNullSafe(F.col(f"_{k}"))
@@ -81,7 +83,7 @@ def nearest_rank(values: Column, share: float) -> Column:
 
 def nearest_rank_by(df: DataFrame, key: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Nearest-rank percentiles per key, exact, with neither a key's values in one array nor in one task."""
-    ranked = numbered(df.where(F.col(value).isNotNull()).select(*key, value), key, value)
+    ranked = numbered(df.where(F.col(value).isNotNull()).select(*key, value), key, value, few=True)
     sizes = ranked.groupBy(*key).agg(F.max("at").alias("_size"))
     places = [F.struct(F.lit(name).alias("name"), F.least(F.col("_size"), F.floor(F.col("_size") * F.lit(s)) + 1).alias("at")) for name, s in shares.items()]
     wanted = sizes.select(*[F.col(k).alias(f"_{k}") for k in key], F.explode(F.array(*places)).alias("_w"))

@@ -264,3 +264,10 @@ def test_pairs_of_one_key_are_dealt_to_many_tasks(spark, monkeypatch):
     assert sorted(map(str, df.collect())) == sorted(str(Row(k=k, a=a, b=b)) for k, a in rows for j, b in rows if k is not None and k == j)
     tasks = [r.n for r in df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert len(tasks) > 8 and max(tasks) < 3_000
+
+
+def test_percentiles_broadcast_counts_and_not_rows(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
+    got = relational.nearest_rank_by(df, ["k"], "id", {"p": 0.5})
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 3
+    assert {r.k: r.p for r in got.collect()} == {0: 501, 1: 499, 2: 500}
