@@ -26,6 +26,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ from lodestrata.sources.storage import small, stored
 BUCKETS, FANOUT = 64, 4
 #: Tokens of the documents that a block is made of, about.
 BLOCK_TOKENS = 2_000_000
+#: Postings or bytes of places that are decoded together, about.
+DECODED = 250_000
 
 BLOCKS = "bucket int, part int, term string, first long, n int, docs binary, lengths binary, counts binary, gaps binary"
 POSTINGS = "doc_id long, term string, dl int, tf int, places array<int>"
@@ -116,9 +119,20 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _encoded(part.column("doc_id").to_numpy(), lengths, found.dictionary, doc[order], code[order], place[order])
 
 
+def _parts(batch: pa.RecordBatch, with_places: bool) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, whole blocks of about DECODED numbers at a time: there may be thousands of blocks of one term."""
+    size = batch.column("n").to_numpy().astype(np.int64)
+    if with_places:
+        size = size + pc.binary_length(batch.column("gaps")).to_numpy(zero_copy_only=False)
+    group = (np.cumsum(size) - size) // DECODED
+    border = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else []
+    for a, b in zip(border, [*border[1:], len(batch)], strict=False):
+        yield batch.slice(a, b - a)
+
+
 def _decoded(with_places: bool):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole, with_places)):
             flat = lambda c: unpack(np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8))
             n = batch.column("n").to_numpy().astype(np.int64)
             begin = np.cumsum(n) - n

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestrata.operators import search, textindex
@@ -93,3 +94,15 @@ def test_empty_and_kept_indexes(spark, tmp_path):
     assert textindex.index_of(docs, "id", "t") == first and versions.newest(spark, first)[0] == 1
     spark.createDataFrame([(1, "other")], "id long, t string").write.mode("overwrite").parquet(f"file://{tmp_path}/docs")
     assert textindex.index_of(spark.read.parquet(f"file://{tmp_path}/docs"), "id", "t") != first
+
+
+def test_blocks_are_decoded_some_at_a_time(monkeypatch):
+    texts = pa.table({"doc_id": range(200), "t": [["a", "b", "a"]] * 200}).to_batches(max_chunksize=10)
+    blocks = pa.Table.from_batches(textindex._blocks(iter(texts))).combine_chunks().to_batches()
+    assert len(blocks) == 1
+    whole = {p: pa.Table.from_batches(textindex._decoded(p)(iter(blocks))) for p in (False, True)}
+    monkeypatch.setattr(textindex, "DECODED", 30)
+    for places, expected in whole.items():
+        parts = list(textindex._decoded(places)(iter(blocks)))
+        assert pa.Table.from_batches(parts).to_pylist() == expected.to_pylist()
+        assert len(parts) > 8 and max(map(len, parts)) <= 40
