@@ -29,7 +29,7 @@ _OUT = ("status", "path", "previous_path", "score")
 
 def _files(files: DataFrame) -> DataFrame:
     rows = files.where("path is not null").groupBy("path").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    return stored(rows.withColumn("hash", F.sha2("text", 256)), "files")
+    return stored(rows.withColumn("hash", F.unhex(F.sha2("text", 256))), "files")
 
 
 def _lines(contents: DataFrame) -> DataFrame:

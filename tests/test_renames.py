@@ -76,3 +76,8 @@ def test_hot_lines_make_no_pairs(spark):
     order = left.select("line", "hash").union(right.select("line", "hash")).groupBy("line").count().withColumnRenamed("count", "spread")
     met = renames._first_lines(left, order).withColumnRenamed("hash", "a").join(renames._first_lines(right, order).withColumnRenamed("hash", "b"), "line")
     assert met.select("a", "b").distinct().count() == 60 == renames.alike(pair(1), pair(2)).count()
+
+
+def test_contents_are_told_by_32_bytes(spark):
+    rows = renames._files(spark.createDataFrame([("a", "x"), ("b", None)], "path string, text string")).collect()
+    assert all(len(r.hash) == 32 for r in rows)
