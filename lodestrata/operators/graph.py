@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
-from itertools import count
+from itertools import count, groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -142,80 +144,104 @@ def flows(edges: DataFrame, seeds: DataFrame, max_steps: int = 40, max_depth: in
     repository, seed, step, depth, type, src, dst, boundary (the step leaves the client), pruned (steps left out),
     truncated (the walk met a bound). A node is entered once, also by depth: nodes at max_depth are entered, none below.
 
-    Each seed's reachable edges are first cut out by frontier joins, which leave out nodes that the seed met before, so
-    one task holds a seed's neighbourhood up to max_depth, not a repository.
+    First the nodes near each seed are found by frontier joins over the edges that lead to nodes with edges of their own, then
+    one join cuts out all edges of these nodes. So one task holds a seed's neighbourhood up to max_depth, not a repository;
+    a task goes through its sorted seeds one after the other. A line that is null counts as 0.
     """
     max_steps, max_depth = max(1, min(200, max_steps)), max(1, min(12, max_depth))
     max_explore = max(max_steps, min(2000, max_explore))
-    edges = stored(edges.where(F.col("type").isin(*EDGE_RANK)).select("repository", "src", "dst", "type", "line"), "edges")
+    edges = edges.where(F.col("type").isin(*EDGE_RANK)).select("repository", F.col("src").alias("node"), "dst", "type", "line")
+    follows = ~F.col("type").isin(*LEAVES, "submits-to")
     if entries is not None:
+        edges = stored(edges, "edges")
         # The edge itself, and where it goes on, are told apart by `next`: one row for each entry.
-        on = entries.select("repository", F.col("route").alias("dst"), "entry")
-        submits = edges.where("type = 'submits-to'").join(on, ["repository", "dst"], "left").withColumn("next", F.col("entry")).drop("entry")
+        on = entries.select("repository", F.col("route").alias("dst"), F.col("entry").alias("next"))
+        submits = edges.where("type = 'submits-to'").join(on, ["repository", "dst"], "left").select(*edges.columns, "next")
+        goes = edges.where("type <> 'submits-to'").withColumn("next", F.when(follows, F.col("dst"))).unionByName(submits)
     else:
-        submits = edges.where("type = 'submits-to'").withColumn("next", F.lit(None).cast("string"))
-    leaf = F.col("type").isin(*LEAVES)
-    goes = edges.where("type <> 'submits-to'").withColumn("next", F.when(~leaf, F.col("dst"))).unionByName(submits)
+        goes = edges.withColumn("next", F.when(follows, F.col("dst")))
     goes = stored(goes, "goes")
+    # A node without edges has nothing to cut out, so no way to it is followed here; the walk enters it all the same.
+    inner = goes.select("repository", F.col("node").alias("next")).distinct()
+    ways = goes.where("next is not null").select("repository", "node", "next").join(inner, ["repository", "next"], "left_semi")
+    ways = stored(ways.distinct(), "ways")
     near = stored(seeds.select("repository", "seed", F.col("seed").alias("node")).distinct(), "near")
-    met, found = near, None
-    for _ in range(max_depth + 1):
-        level = stored(near.join(goes.withColumnRenamed("src", "node"), ["repository", "node"]), "level")
-        found = level if found is None else found.unionByName(level)
-        step = level.where("next is not null").select("repository", "seed", F.col("next").alias("node")).distinct()
+    met = near
+    for _ in range(max_depth):
+        step = near.join(ways, ["repository", "node"]).select("repository", "seed", F.col("next").alias("node")).distinct()
         near = stored(step.join(met, ["repository", "seed", "node"], "left_anti"), "near")
+        if near.isEmpty():
+            break
         met = met.unionByName(near)
-    schema = "repository string, seed string, step int, depth int, type string, src string, dst string, boundary boolean, pruned int, truncated boolean"
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        repository, seed = pdf["repository"].iat[0], pdf["seed"].iat[0]
-        going: dict[tuple, list[str]] = {}
-        for line, kind, src, dst, to in zip(pdf["line"], pdf["type"], pdf["node"], pdf["dst"], pdf["next"], strict=True):
-            going.setdefault((src, line, EDGE_RANK[kind], dst, kind), []).extend([to] if isinstance(to, str) else [])
-        outgoing: dict[str, list[tuple[str, str, list[str]]]] = {}
-        for (src, _, _, dst, kind), to in sorted(going.items()):
-            outgoing.setdefault(src, []).append((kind, dst, sorted(to)))
-        steps, parents, explored, truncated = [], [], 0, False  # steps: depth, kind, src, dst; parents: the step above, or -1
-        entered = {seed}
-        stack: list[tuple[str, int, int, Iterator]] = [(seed, 0, -1, iter(outgoing.get(seed, ())))]
-        queue: list[list[tuple[str, int, int]]] = [[]]  # per open node, where its last step goes on
-        while stack:
-            if queue[-1]:
-                node, depth, above = queue[-1].pop(0)
-                if depth > max_depth or node in entered:
-                    continue
-                if explored >= max_explore:
-                    truncated = True
-                    continue
-                entered.add(node)
-                stack.append((node, depth, above, iter(outgoing.get(node, ()))))
-                queue.append([])
+    found = met.join(goes, ["repository", "node"]).withColumn("line", F.coalesce("line", F.lit(0))).select(*_CUT)
+    found = found.repartition("repository", "seed").sortWithinPartitions("repository", "seed")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for b in batches for row in zip(*(b.column(c).to_numpy(zero_copy_only=False).tolist() for c in _CUT), strict=True))
+        out = []
+        for (repository, seed), own in groupby(rows, key=itemgetter(0, 1)):
+            out += [(repository, seed, *step) for step in _walk(seed, own, max_steps, max_depth, max_explore, focus)]
+            if len(out) >= STEPS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _STEP.types, strict=True)], schema=_STEP)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _STEP.types, strict=True)], schema=_STEP)
+
+    return found.mapInArrow(walk, "repository string, seed string, step int, depth int, type string, src string, dst string, boundary boolean, pruned int, truncated boolean")
+
+
+#: Steps that a task gives at a time, about; the columns of a seed's edges, and of steps.
+STEPS = 10_000
+_CUT = ("repository", "seed", "node", "dst", "type", "line", "next")
+_STEP = pa.schema(
+    [("repository", pa.string()), ("seed", pa.string()), ("step", pa.int32()), ("depth", pa.int32()), ("type", pa.string()), ("src", pa.string()), ("dst", pa.string())]
+    + [("boundary", pa.bool_()), ("pruned", pa.int32()), ("truncated", pa.bool_())]
+)
+
+
+def _walk(seed: str, rows: Iterable[tuple], max_steps: int, max_depth: int, max_explore: int, focus: str) -> list[tuple]:
+    """step, depth, type, src, dst, boundary, pruned, truncated of one seed's walk over rows of _CUT."""
+    going: dict[tuple, list[str]] = {}
+    for _, _, src, dst, kind, line, to in rows:
+        going.setdefault((src, line, EDGE_RANK[kind], dst, kind), []).extend([] if to is None else [to])
+    outgoing: dict[str, list[tuple[str, str, list[str]]]] = {}
+    for (src, _, _, dst, kind), to in sorted(going.items()):
+        outgoing.setdefault(src, []).append((kind, dst, sorted(to)))
+    steps, parents, explored, truncated = [], [], 0, False  # steps: depth, kind, src, dst; parents: the step above, or -1
+    entered = {seed}
+    stack: list[tuple[str, int, int, Iterator]] = [(seed, 0, -1, iter(outgoing.get(seed, ())))]
+    queue: list[list[tuple[str, int, int]]] = [[]]  # per open node, where its last step goes on
+    while stack:
+        if queue[-1]:
+            node, depth, above = queue[-1].pop(0)
+            if depth > max_depth or node in entered:
                 continue
-            node, depth, above, rest = stack[-1]
-            nxt = next(rest, None)
-            if nxt is None or explored >= max_explore:
-                truncated = truncated or nxt is not None
-                stack.pop()
-                queue.pop()
+            if explored >= max_explore:
+                truncated = True
                 continue
-            kind, dst, to = nxt
-            explored += 1
-            steps.append((depth, kind, node, dst))
-            parents.append(above)
-            queue[-1] = [(x, depth + 1, len(steps) - 1) for x in to]
-        keep = [_matters(kind, src, dst, focus) for _, kind, src, dst in steps]
-        for i in range(len(steps) - 1, -1, -1):  # a step stays if one below it stays
-            if keep[i] and parents[i] >= 0:
-                keep[parents[i]] = True
-        kept = [s for s, k in zip(steps, keep, strict=True) if k]
-        truncated = truncated or len(kept) > max_steps
-        rows = [
-            (repository, seed, i, depth, kind, src, dst, kind == "submits-to", len(steps) - len(kept), truncated)
-            for i, (depth, kind, src, dst) in enumerate(kept[:max_steps], 1)
-        ]
-        return pd.DataFrame(rows, columns=["repository", "seed", "step", "depth", "type", "src", "dst", "boundary", "pruned", "truncated"])
-
-    return found.groupBy("repository", "seed").applyInPandas(walk, schema)
+            entered.add(node)
+            stack.append((node, depth, above, iter(outgoing.get(node, ()))))
+            queue.append([])
+            continue
+        node, depth, above, rest = stack[-1]
+        nxt = next(rest, None)
+        if nxt is None or explored >= max_explore:
+            truncated = truncated or nxt is not None
+            stack.pop()
+            queue.pop()
+            continue
+        kind, dst, to = nxt
+        explored += 1
+        steps.append((depth, kind, node, dst))
+        parents.append(above)
+        queue[-1] = [(x, depth + 1, len(steps) - 1) for x in to]
+    keep = [_matters(kind, src, dst, focus) for _, kind, src, dst in steps]
+    for i in range(len(steps) - 1, -1, -1):  # a step stays if one below it stays
+        if keep[i] and parents[i] >= 0:
+            keep[parents[i]] = True
+    kept = [s for s, k in zip(steps, keep, strict=True) if k]
+    truncated = truncated or len(kept) > max_steps
+    return [(i, depth, kind, src, dst, kind == "submits-to", len(steps) - len(kept), truncated) for i, (depth, kind, src, dst) in enumerate(kept[:max_steps], 1)]
 
 
 def impact(edges: DataFrame, seeds: DataFrame, max_depth: int = 8, follow: Sequence[str] = IMPACT_EDGES) -> DataFrame:

@@ -94,6 +94,23 @@ def test_flow_bounds(spark):
     assert len(got) == 10 and got[0].truncated
 
 
+def test_flows_of_many_seeds_in_one_task(spark, monkeypatch):
+    # Each seed is walked by itself wherever batches and outputs are cut, missing lines come first, and a task is no group of pandas rows.
+    monkeypatch.setattr(graph, "STEPS", 7)
+    chains = [("r", f"p{i}", f"q{i}", "calls", 2) for i in range(30)] + [("r", f"q{i}", "GET /x", "fetches", 1) for i in range(30)]
+    rows = [*chains, ("r", "p3", "GET /y", "fetches", None), ("s", "p3", "URL", "reads", 1), ("r", "q5", "p5", "calls", 9)]
+    seeds = spark.createDataFrame([("r", f"p{i}") for i in range(30)] + [("s", "p3"), ("r", "none"), ("r", "p4")], "repository string, seed string")
+    found = graph.flows(edges(spark, rows), seeds)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+    got = {}
+    for r in found.orderBy("step").collect():
+        got.setdefault((r.repository, r.seed), []).append((r.depth, r.dst))
+    want = {("r", f"p{i}"): [(0, f"q{i}"), (1, "GET /x")] for i in range(30)} | {("s", "p3"): [(0, "URL")]}
+    want["r", "p3"] = [(0, "GET /y"), *want["r", "p3"]]
+    want["r", "p5"] = [*want["r", "p5"], (1, "p5")]
+    assert got == want
+
+
 IMPACT = [
     ("use.ts#derive", "base.ts#value", "references", 4, "use.ts", "function", "function"),
     ("View.tsx#View", "use.ts#derive", "calls", 8, "View.tsx", "component", "function"),
