@@ -3,8 +3,9 @@
 A relative specifier is taken from the importing file's folder; another one by the longest path alias of the repository that it
 begins with (`@/*` stands for a folder, one without a star for the whole specifier); what is neither leaves the repository. The
 path that results has ranked candidates: for a script's name its typed twin and itself, then the path with each ending, then the
-folder's index. The first candidate that is a file of the repository is the module. So a specifier is an equi-join on
-(repository, prefix) and one on (repository, candidate); no specifier is compared with all files or aliases.
+folder's index. The first candidate that is a file of the repository is the module. Each file names the paths that have it among
+their candidates, so a specifier is an equi-join on (repository, prefix) and a path one on (repository, path); a path that many
+imports lead to is looked up once, and no specifier is compared with all files or aliases.
 
 An imported name is followed through re-exports: a module that declares the name ends the way; one that re-exports it by name leads
 to the module and the name there; else stars lead on with the same name (`default` passes no star). The frontier of all names
@@ -26,6 +27,10 @@ from lodestrata.sources.storage import small, stored
 # Endings of source files in the order in which they are tried, and hops through re-exports.
 ENDINGS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
 HOPS = 6
+# Endings of scripts that may mean a typed twin; names that are source files themselves; specifiers that start from their file's folder.
+SCRIPTS = (".js", ".jsx", ".mjs", ".mjsx", ".cjs", ".cjsx")
+ITSELF = r"(?<!\.d)\.[cm]?[jt]sx?\z"
+RELATIVE = r"^\.{1,2}(/|$)"
 
 
 def normal_path(c: Column) -> Column:
@@ -38,41 +43,77 @@ def normal_path(c: Column) -> Column:
     return F.array_join(F.aggregate(F.split(c, "/"), F.array().cast("array<string>"), step), "/")
 
 
-def candidates(path: Column) -> Column:
-    """Files that a path may mean, best first."""
-    twin = [F.when(path.rlike(r"\.[cm]?jsx?$"), F.concat(F.regexp_replace(path, r"\.[cm]?jsx?$", ""), F.lit(e))) for e in ENDINGS[:2]]
-    itself = F.when(path.rlike(r"(?<!\.d)\.[cm]?[jt]sx?$"), path)
+def candidates(path: Column) -> list[Column]:
+    """Files that a path may mean, best first; null where it means none by that rank."""
+    twin = [F.when(path.rlike(r"\.[cm]?jsx?\z"), F.concat(F.regexp_replace(path, r"\.[cm]?jsx?\z", ""), F.lit(e))) for e in ENDINGS[:2]]
+    itself = F.when(path.rlike(ITSELF), path)
     folder = F.when(path == "", F.lit("index")).otherwise(F.concat(path, F.lit("/index")))
-    more = [F.concat(p, F.lit(e)) for p in (path, folder) for e in ENDINGS]
-    return F.array_compact(F.array(*twin, itself, *more))
+    return [*twin, itself, *[F.concat(p, F.lit(e)) for p in (path, folder) for e in ENDINGS]]
 
 
-def resolve(imports: DataFrame, files: DataFrame, paths: DataFrame) -> DataFrame:
-    """repository, file, specifier, module of the different imports (repository, file, specifier).
+def meant_by(file: Column) -> Column:
+    """The reverse of candidates: path and rank of all paths that have a file among theirs."""
+    as_path = lambda when, path, rank: F.when(when, F.struct(path.alias("path"), F.lit(rank).alias("rank")))
+    without = lambda ending: F.substring(file, F.lit(1), F.length(file) - len(ending))
+    out = [as_path(file.endswith(e), F.concat(without(e), F.lit(script)), rank) for rank, e in enumerate(ENDINGS[:2]) for script in SCRIPTS]
+    out.append(as_path(file.rlike(ITSELF), file, 2))
+    out += [as_path(file.endswith(e), without(e), 3 + i) for i, e in enumerate(ENDINGS)]
+    for i, e in enumerate(ENDINGS):
+        index = F.when(file == f"index{e}", F.lit("")).otherwise(without(f"/index{e}"))
+        out.append(as_path((file == f"index{e}") | file.endswith(f"/index{e}") & (index != ""), index, 9 + i))
+    return F.array_compact(F.array(*out))
 
-    files: repository, file; paths: repository, pattern (`@/*`), target (`src/*`).
-    """
-    rows = imports.select("repository", "file", "specifier").dropna().distinct()
-    known = files.select("repository", "file").dropna().distinct().where(r"file not rlike '\\.d\\.[cm]?ts$'")
+
+def _asked(imports: DataFrame) -> DataFrame:
+    """Adds `origin` to imports: the folder that a relative specifier starts from, else nothing."""
+    folder = F.regexp_replace("file", "(^|/)[^/]*$", "")
+    rows = imports.select("repository", "file", "specifier").dropna()
+    return rows.withColumn("origin", F.when(F.col("specifier").rlike(RELATIVE), folder).otherwise(F.lit("")))
+
+
+def _paths(asked: DataFrame, paths: DataFrame) -> DataFrame:
+    """repository, origin, specifier, path of the different ones asked for, those that stay in their repository."""
+    rows = asked.select("repository", "origin", "specifier").distinct()
+    relative = F.col("specifier").rlike(RELATIVE)
     aliases = paths.select("repository", "pattern", "target").dropna().distinct()
     star = F.endswith("pattern", F.lit("*"))
     prefix = F.when(star, F.regexp_replace("pattern", r"\*$", "")).otherwise(F.col("pattern"))
     aliases = aliases.select("repository", prefix.alias("prefix"), star.alias("open"), F.regexp_replace("target", r"\*$", "").alias("to"))
     aliases = stored(aliases.groupBy("repository", "prefix", "open").agg(F.min("to").alias("to")), "aliases")
-    relative = F.col("specifier").rlike(r"^\.{1,2}(/|$)")
-    folder = F.regexp_replace("file", "(^|/)[^/]*$", "")
-    beside = rows.where(relative).withColumn("path", normal_path(F.concat(folder, F.lit("/"), F.col("specifier"))))
+    beside = rows.where(relative).withColumn("path", normal_path(F.concat("origin", F.lit("/"), "specifier")))
     lengths = aliases.groupBy(F.length("prefix").alias("length")).agg(F.lit(1).alias("one"))  # one row a length of prefixes
     others = rows.where(~relative).join(small(lengths.select("length")), F.length("specifier") >= F.col("length"))
     others = others.withColumn("prefix", F.substring("specifier", F.lit(1), F.col("length")))
     met = others.join(aliases, ["repository", "prefix"]).where(F.col("open") | (F.col("specifier") == F.col("prefix")))
-    best = met.groupBy("repository", "file", "specifier").agg(F.max(F.struct((~F.col("open")).alias("whole"), "length", "to")).alias("a"))
+    best = met.groupBy("repository", "origin", "specifier").agg(F.max(F.struct((~F.col("open")).alias("whole"), "length", "to")).alias("a"))
     rest = F.when(F.col("a.whole"), F.lit("")).otherwise(F.substring("specifier", F.col("a.length") + 1, F.length("specifier")))
     aliased = best.withColumn("path", normal_path(F.concat(F.col("a.to"), rest))).drop("a")
-    tried = beside.unionByName(aliased).where("path is not null").select("*", F.posexplode(candidates(F.col("path"))).alias("rank", "module"))
-    found = tried.join(known.withColumnRenamed("file", "module"), ["repository", "module"])
-    first = found.groupBy("repository", "file", "specifier").agg(F.min(F.struct("rank", "module")).alias("m"))
-    return rows.join(first, ["repository", "file", "specifier"], "left").select("repository", "file", "specifier", F.col("m.module").alias("module"))
+    return beside.unionByName(aliased).where("path is not null")
+
+
+def _modules(paths: DataFrame, files: DataFrame) -> DataFrame:
+    """repository, path, module of the different paths (repository, path) that mean a file of theirs."""
+    known = files.select("repository", "file").dropna().where(r"file not rlike '\\.d\\.[cm]?ts$'").distinct()
+    meant = known.select("repository", F.inline(meant_by(F.col("file"))))
+    found = paths.select("repository", "path").distinct().join(meant, ["repository", "path"])
+    first = found.groupBy("repository", "path").agg(F.min("rank").alias("rank"))  # which tells the file
+    return first.select("repository", "path", F.element_at(F.array(*candidates(F.col("path"))), F.col("rank") + 1).alias("module"))
+
+
+def resolve(imports: DataFrame, files: DataFrame, paths: DataFrame) -> DataFrame:
+    """repository, file, specifier, module of the different imports (repository, file, specifier).
+
+    files: repository, file; paths: repository, pattern (`@/*`), target (`src/*`).
+    """
+    asked = _asked(imports).distinct()
+    led = stored(_paths(asked, paths), "paths")
+    meant = led.join(_modules(led, files), ["repository", "path"]).select("repository", "origin", "specifier", "module")
+    return asked.join(meant, ["repository", "origin", "specifier"], "left").select("repository", "file", "specifier", "module")
+
+
+def imported(imports: DataFrame, files: DataFrame, paths: DataFrame) -> DataFrame:
+    """repository, module: the different modules that resolve gives, without the imports being told apart."""
+    return _modules(_paths(_asked(imports), paths), files).select("repository", "module").distinct()
 
 
 def follow(names: DataFrame, exports: DataFrame, reexports: DataFrame, hops: int = HOPS) -> DataFrame:

@@ -35,18 +35,19 @@ _RESOLVED = f"""f AS (SELECT concat('r', p_partkey % 4) AS repository, {_FILE.fo
   resolved AS (SELECT repository, file, specifier, module FROM im LEFT JOIN fi USING (repository, file, specifier))"""
 
 
-def _resolved(t: Tables) -> DataFrame:
+def _tables(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Imports, files and path aliases."""
     spark = t.part.sparkSession
     files = t.part.select(F.expr("concat('r', p_partkey % 4)").alias("repository"), F.expr(_FILE.format("p_partkey")).alias("file"))
     named = t.lineitem.select("l_partkey", "l_linenumber", F.expr("l_partkey + 4 * l_linenumber").alias("q"))
     imports = named.select(F.expr("concat('r', l_partkey % 4)").alias("repository"), F.expr(_FILE.format("l_partkey")).alias("file"), F.expr(_SPECIFIER).alias("specifier"))
     paths = spark.createDataFrame([(f"r{i}", *p) for i in range(4) for p in _PATHS], "repository string, pattern string, target string")
-    return modules.resolve(imports, files, paths)
+    return imports, files, paths
 
 
 @query(f"WITH {_RESOLVED} SELECT repository, file, specifier, module FROM resolved")
 def module_resolution(t: Tables) -> DataFrame:
-    return _resolved(t)
+    return modules.resolve(*_tables(t))
 
 
 def _name(module: str) -> Column:
@@ -64,7 +65,7 @@ def _name(module: str) -> Column:
   last AS (SELECT repository, module, name, arg_max(("at", "as", hop), hop) AS l FROM walk WHERE named GROUP BY 1, 2, 3)
   SELECT repository, module, name, coalesce(f[2], l[1]) AS declared_in, coalesce(f[3], l[2]) AS declared_name, CAST(coalesce(f[1], l[3]) AS INTEGER) AS hops FROM last LEFT JOIN found USING (repository, module, name)""")
 def reexport_follow(t: Tables) -> DataFrame:
-    names = _resolved(t).where("module is not null").select("repository", "module", _name("module").alias("name")).distinct()
+    names = modules.imported(*_tables(t)).select("repository", "module", _name("module").alias("name"))
     repository, file = F.expr("concat('r', p_partkey % 4)").alias("repository"), F.expr(_FILE.format("p_partkey")).alias("file")
     exports = t.part.where("p_partkey % 11 = 0").select(repository, file, F.explode(F.array(F.lit("n0"), F.lit("n1"))).alias("name"))
     links = t.part.sparkSession.sql(_LINKS.format(part="{part}"), part=t.part)

@@ -2,6 +2,7 @@ import posixpath
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestrata.operators import modules
 
@@ -92,3 +93,28 @@ def test_six_hops_and_empty_tables(spark):
     none = df([], "repository string, file string, name string, target string, imported string")
     assert [r.declared_in for r in modules.follow(names.limit(1), own, none).collect()] == ["m0"]
     assert modules.resolve(df([], "repository string, file string, specifier string"), own, df([], "repository string, pattern string, target string")).collect() == []
+
+
+def test_files_name_the_paths_that_mean_them(spark):
+    rng = random.Random(5)
+    names = ["a", "index", "a/index", "/index", "", "a.d", "x/a.b", "a/index/index"]
+    paths = sorted({n + e for n in names for e in ["", *ENDINGS, ".mjsx", ".cjsx", ".cts", ".d.ts", ".js.ts"]})
+    files = sorted({f for p in rng.sample(paths, 40) for f in (p, p + ".ts", p + "/index.js")} | {f"a/index{e}" for e in ENDINGS} | {p + ".tsx" for p in paths})
+    both = spark.createDataFrame([(p,) for p in paths], "path string").crossJoin(spark.createDataFrame([(f,) for f in files], "file string"))
+    forward = both.select("path", "file", F.posexplode(F.array(*modules.candidates(F.col("path")))).alias("rank", "module")).where("module = file").select("path", "file", "rank")
+    back = spark.createDataFrame([(f,) for f in files], "file string").select("file", F.inline(modules.meant_by(F.col("file")))).where(F.col("path").isin(paths))
+    want = {tuple(r) for r in forward.collect()}
+    got = [tuple(r) for r in back.select("path", "file", "rank").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {r[2] for r in want} == set(range(15))
+
+
+def test_modules_without_their_imports_equal_resolve(spark):
+    imports = spark.createDataFrame([("r", f"{d}/f{i}.ts", s) for d in ("a", "b") for i in range(20) for s in ("./x", "../a/x", "@/x", "@/none", "react")], "repository string, file string, specifier string")
+    files = spark.createDataFrame([("r", "a/x.ts"), ("r", "b/x/index.ts"), ("r", "b/x.d.ts"), ("q", "a/none.ts")], "repository string, file string")
+    paths = spark.createDataFrame([("r", "@/*", "a/*")], "repository string, pattern string, target string")
+    found = modules.resolve(imports, files, paths)
+    assert found.count() == 200 and found.where("module is null").count() == 80
+    got = [tuple(r) for r in modules.imported(imports, files, paths).collect()]
+    assert sorted(got) == sorted({(r.repository, r.module) for r in found.where("module is not null").collect()}) == [("r", "a/x.ts"), ("r", "b/x/index.ts")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and "posexplode" not in plan  # files name paths; imports are never multiplied by their candidates
