@@ -17,8 +17,8 @@ only pairs within the Hamming bound become rows. Candidates pass that bound of f
 read and compared exactly.
 
 Scale. Texts are read in the scan's partitions and never exchanged (unless more classes than a broadcast bound are
-repeated); what moves is about 0.2 (key, id) rows a shingle. Bucket minima are aggregated before the exchange, and joins
-on bucket keys can be split by AQE, so one bucket may hold any share of the rows.
+repeated); what moves is about 0.2 (key, id) rows a shingle, and the keys' counts. Counts and bucket minima are aggregated before
+the exchange, and joins on bucket keys can be split by AQE, so one bucket may hold any share of the rows.
 
 Defined results: null and empty texts, or texts without words, have an empty set, n_shingles 0, and link with nothing;
 a text of fewer than n words has its whole sequence as its one shingle; repeated rows of one doc_id count as one
@@ -187,6 +187,9 @@ def _side(rows: DataFrame, x: str, *more: str) -> DataFrame:
 
 def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Those of pairs (a, b) that are linked, by the Hamming bound and then by their sets."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    if ids.limit(shared.BROADCAST_IDS + 1).count() <= shared.BROADCAST_IDS:
+        sketches = sketches.join(F.broadcast(ids), "id", "left_semi")  # so that only sketches of these are exchanged
     p = pairs.join(_side(sketches, "a"), "a").join(_side(sketches, "b"), "b")
     close = stored(p.where(_close(num, den)).select("a", "b"), "close")
     needed = shared.small(close.select(F.col("a").alias("id")).union(close.select("b")).distinct())
@@ -208,8 +211,10 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: in
     sketches = stored(firsts.mapInArrow(_sketches(n, num, den), "id long, n long, keys array<long>, sketch array<long>"), "sketches")
 
     rows = sketches.select("id", F.explode("keys").alias("key"))
-    hubs = rows.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last")
-    buckets = stored(rows.join(hubs.select("key", "hub"), "key"), "buckets")
+    # Most keys are met once. They go by their count alone, as ids beside keys would double what is exchanged.
+    met = stored(rows.join(rows.groupBy("key").count().where("count > 1").select("key"), "key"), "met")
+    hubs = met.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last")
+    buckets = stored(met.join(hubs.select("key", "hub"), "key"), "buckets")
     stars = stored(buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     links = _verified(stars, sketches, firsts, n, num, den)
     labels = components(links)

@@ -81,3 +81,21 @@ def test_odd_rows(odd):
 
 def test_empty_table(documents):
     assert nj.ngram_jaccard_components(documents([])).collect() == []
+
+
+def test_keys_met_once_and_sketches_of_no_pair_stay_in_place(spark, monkeypatch):
+    from lodestrata.llm import ngram_join
+
+    plans, kept = {}, ngram_join.stored
+
+    def stored(df, tag):
+        plans.setdefault(tag, df._jdf.queryExecution().optimizedPlan().toString())
+        return kept(df, tag)
+
+    monkeypatch.setattr(ngram_join, "stored", stored)
+    text = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(text)), (2, " ".join([*text[:-1], "other"])), (3, " ".join(text[::-1])), (4, None)]
+    found = ngram_join.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert "min(id" not in plans["met"] and "count(1)" in plans["met"]
+    assert "LeftSemi" in plans["close"]
