@@ -6,12 +6,15 @@ that only one of two sets has changes at most one bit, so the Hamming distance o
 the symmetric difference. Jaccard >= t bounds that difference by d = (1-t)/(1+t) * (|A|+|B|). The sketch is cut into
 segments, more than d, so two linked classes agree on all but d of them (pigeonhole). Each class offers only d + 1
 segments, those with most bits set first: under one order for all, two lists that share all but d members share one
-among their first d + 1, and segments with many bits rarely agree by chance. Segments that agree make buckets.
+among their first d + 1. In this sketch each of the 2**64 hashes has a bit of its own, so segments agree by shared
+shingles and not by chance, whose agreements would grow with the square of the input. Segments that agree make buckets.
+Distances are taken between sketches folded to 2 to 4 bits a member.
 
 Pairs. A bucket never yields all its pairs. First each member is compared with the bucket's smallest member; what proves
 linked is joined into components. Buckets that still hold several components are looked at again: for some rounds, each
-member is compared with one member of another component, and components grow together. What is then left apart is looked at
-in full, so the rounds decide nothing but how little that is: there the sketches
+member is compared with one member of another component, and components grow together. A round is given only the buckets that the
+one before left with several components; those of two members are compared from the start. What is then left apart is looked at
+in full, so the rounds decide nothing but how little that is: there the sketches, folded once more,
 of members of different components are compared inside the join's condition, so no link between components is lost and
 only pairs within the Hamming bound become rows. Candidates pass that bound of folded sketches before their sets are
 read and compared exactly.
@@ -40,7 +43,6 @@ from lodestrata.llm import shared
 from lodestrata.llm.components import components
 from lodestrata.llm.shared import SPACE, stored
 
-SEGMENT_BITS = 1024
 #: Rounds in which members are compared with one member of another component, before components are compared in full.
 ROUNDS = 5
 
@@ -84,15 +86,11 @@ def offered(sets: np.ndarray, num: int, den: int) -> np.ndarray:
         if band == own and d == 0:
             continue  # equal sets only, and those are one class
         segments = -(-5 * (most_differences(2 * top, num, den) + 1) // 4)
-        at = (sets >> np.uint64(32)) * np.uint64(segments * SEGMENT_BITS) >> np.uint64(32)  # sorted, as sets are
-        if (at[1:] == at[:-1]).any():  # equal bits cancel
-            at, times = np.unique(at, return_counts=True)
-            at = at[times % 2 == 1]
-        segment = at // np.uint64(SEGMENT_BITS)
-        cut = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]]) if len(at) else np.zeros(0, np.int64)
+        segment = (sets >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)  # sorted, as sets are
+        cut = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
         salt = np.uint64(band << 56)
-        key = np.bitwise_xor.reduceat(shared.mix(at ^ salt), cut) if len(at) else np.zeros(0, np.uint64)
-        bits = np.diff(np.r_[cut, len(at)])
+        key = np.bitwise_xor.reduceat(shared.mix(sets ^ salt), cut)
+        bits = np.diff(np.r_[cut, n])
         order = np.lexsort((key, -bits))[: d + 1]
         keys.append(shared.mix(key[order] + salt + np.uint64(1)))
         if len(cut) <= d:  # too few segments have bits: empty ones count as well, by the same order
@@ -102,8 +100,8 @@ def offered(sets: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def folded_sketch(sets: np.ndarray) -> np.ndarray:
-    """A parity sketch of 64-bit words, 4 to 8 bits a member; halving it by XOR gives that of the band below."""
-    bits = max(64, 2 ** (len(sets).bit_length() + 2))
+    """A parity sketch of 64-bit words, 2 to 4 bits a member; halving it by XOR gives that of the band below."""
+    bits = max(64, 2 ** (len(sets).bit_length() + 1))
     at = sets & np.uint64(bits - 1)
     on = np.bincount(at.astype(np.int64), minlength=bits) & 1
     return np.packbits(on.astype(np.uint8), bitorder="little").view(np.uint64)
@@ -185,6 +183,11 @@ def _side(rows: DataFrame, x: str, *more: str) -> DataFrame:
     return rows.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in more])
 
 
+def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, id of buckets with comp, the component of id so far."""
+    return buckets.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+
 def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Those of pairs (a, b) that are linked, by the Hamming bound and then by their sets."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -213,21 +216,23 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: in
     rows = sketches.select("id", F.explode("keys").alias("key"))
     # Most keys are met once. They go by their count alone, as ids beside keys would double what is exchanged.
     met = stored(rows.join(rows.groupBy("key").count().where("count > 1").select("key"), "key"), "met")
-    hubs = met.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last")
-    buckets = stored(met.join(hubs.select("key", "hub"), "key"), "buckets")
+    hubs = met.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count("*").alias("of")).where("hub < last")
+    buckets = stored(met.join(hubs.select("key", "hub", "of"), "key"), "buckets")
     stars = stored(buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     links = _verified(stars, sketches, firsts, n, num, den)
     labels = components(links)
 
     # Buckets in which several components are left: first, for some rounds, each member is compared with one member of another
-    # component, by which groups of near copies grow together without their pairs being listed.
-    compared = stars
+    # component, by which groups of near copies grow together without their pairs being listed. Components only grow, so a
+    # bucket that has become one of them is done; the two members of a smaller one were compared as a star.
+    compared, apart = stars, buckets.where("of > 2").select("key", "id")
     for _ in range(ROUNDS):
-        labelled = buckets.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        labelled = _labelled(apart, labels)
         at = F.struct("comp", "id")
         ends = labelled.groupBy("key").agg(F.min(at).alias("x"), F.max(at).alias("y")).where("x.comp < y.comp")
         other = F.when(F.col("comp") == F.col("x.comp"), F.col("y.id")).otherwise(F.col("x.id"))
-        pairs = labelled.join(ends, "key").select(F.least("id", other).alias("a"), F.greatest("id", other).alias("b")).distinct()
+        apart = stored(labelled.join(ends, "key").select("key", "id", other.alias("other")), "apart")
+        pairs = apart.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
         pairs = stored(pairs.join(compared, ["a", "b"], "left_anti"), "round")
         if pairs.isEmpty():
             break
@@ -240,13 +245,15 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: in
 
     # Then the members of components that are still apart and were not compared yet. The Hamming bound is part of the join's
     # condition, so a bucket of many unlike members makes no rows for them.
-    labelled = buckets.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    open_keys = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).where("x < y and c > 2")
+    labelled = _labelled(apart.select("key", "id"), labels)
+    open_keys = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
     left = labelled.join(open_keys.select("key"), "key", "left_semi").select("key", "id", "comp")
-    left = stored(left.join(sketches.select("id", "n", "sketch"), "id"), "open")
+    # One row for each key of a member, so they carry half of the sketch.
+    half = F.when(F.size("sketch") > 1, _fold(F.col("sketch"))).otherwise(F.col("sketch")).alias("sketch")
+    left = stored(left.join(sketches.select("id", "n", half), "id"), "open")
     a, b = _side(left, "a", "key", "comp"), _side(left, "b", "key", "comp")
-    apart = (F.col("key_a") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b"))
-    more = a.join(b, apart & _close(num, den)).select("a", "b").distinct()
+    unlike = (F.col("key_a") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b"))
+    more = a.join(b, unlike & _close(num, den)).select("a", "b").distinct()
     more = stored(more.join(compared, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
         links = links.unionByName(_verified(more, sketches, firsts, n, num, den))

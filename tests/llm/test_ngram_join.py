@@ -99,3 +99,36 @@ def test_keys_met_once_and_sketches_of_no_pair_stay_in_place(spark, monkeypatch)
     assert {r.doc_id: r.component_id for r in found} == {1: 1, 2: 1, 3: 3, 4: 4}
     assert "min(id" not in plans["met"] and "count(1)" in plans["met"]
     assert "LeftSemi" in plans["close"]
+
+
+def test_unlike_sets_share_no_key_by_chance():
+    rng = np.random.default_rng(5)
+    keys = [nj.offered(np.unique(rng.integers(0, 2**64, 66, dtype=np.uint64)), 80, 100) for _ in range(6000)]
+    assert len(np.unique(np.concatenate(keys))) == sum(len(k) for k in keys)
+
+
+def test_sketches_have_two_to_four_bits_a_member():
+    rng = np.random.default_rng(6)
+    for n in (3, 40, 128, 200, 255, 5000):
+        assert 2 * n <= 64 * len(nj.folded_sketch(np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)))) <= max(64, 4 * n)
+
+
+def test_rounds_are_given_open_buckets_of_three_and_more(documents, monkeypatch):
+    given, kept = {}, nj.stored
+
+    def stored(df, tag):
+        df = kept(df, tag)
+        given.setdefault(tag, []).append(df)
+        return df
+
+    monkeypatch.setattr(nj, "stored", stored)
+    base = [f"w{i}" for i in range(300)]
+    changed = lambda k, x: " ".join(f"{x}{i}" if i < k else w for i, w in enumerate(base))
+    two = [(1, changed(0, "")), (2, changed(60, "x"))]  # some keys in common, and no link
+    assert [r.component_id for r in nj.ngram_jaccard_components(documents(two)).orderBy("doc_id").collect()] == [1, 2]
+    assert given["buckets"][0].count() > 0
+    assert given["apart"][0].count() == 0
+    given.clear()
+    rows = [*two, (3, changed(60, "y")), (4, changed(61, "y")), (5, changed(4, "x")), (6, changed(120, "z"))]
+    assert {r[0]: (r[1], r[2]) for r in nj.ngram_jaccard_components(documents(rows)).collect()} == brute(rows, 4, 85, 100)
+    assert 0 < given["apart"][0].count() < given["buckets"][0].count()
