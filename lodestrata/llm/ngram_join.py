@@ -14,10 +14,12 @@ Pairs. A bucket never yields all its pairs. First each member is compared with t
 linked is joined into components. Buckets that still hold several components are looked at again: for some rounds, each
 member is compared with one member of another component, and components grow together. A round is given only the buckets that the
 one before left with several components; those of two members are compared from the start. What is then left apart is looked at
-in full, so the rounds decide nothing but how little that is: there the sketches, folded once more,
-of members of different components are compared inside the join's condition, so no link between components is lost and
-only pairs within the Hamming bound become rows. Candidates pass that bound of folded sketches before their sets are
-read and compared exactly.
+in full, so the rounds decide nothing but how little that is, and no link between components is lost. In a bucket of
+few members, the pairs of different components are joined, with the sketches' bound in the condition, which makes some
+rows a member; their sets are then read and compared exactly. Pairs of larger buckets never become rows, as those within
+the bound may still grow with the square of a group of near copies: the members' sets are dealt to tiles of bounded
+size, in which numpy compares wide sketches and then sets, and of which only links that join two components come back,
+fewer than the tile has members. Large buckets that share most of their members are dealt as one.
 
 Scale. Texts are read in the scan's partitions and never exchanged (unless more classes than a broadcast bound are
 repeated); what moves is about 0.2 (key, id) rows a shingle, and the keys' counts. Counts and bucket minima are aggregated before
@@ -33,6 +35,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +48,10 @@ from lodestrata.llm.shared import SPACE, stored
 
 #: Rounds in which members are compared with one member of another component, before components are compared in full.
 ROUNDS = 5
+#: Members of different components up to which a bucket's pairs are joined: at most half as many rows a member.
+FEW = 16
+#: Bytes of sets, and sets, of a block; a task compares two blocks at a time.
+BLOCK_BYTES, BLOCK_SETS = 8_000_000, 8192
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -99,14 +106,41 @@ def offered(sets: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
-def folded_sketch(sets: np.ndarray) -> np.ndarray:
-    """A parity sketch of 64-bit words, 2 to 4 bits a member; halving it by XOR gives that of the band below."""
-    bits = max(64, 2 ** (len(sets).bit_length() + 1))
+def folded_sketch(sets: np.ndarray, bits: int = 0) -> np.ndarray:
+    """A parity sketch of 64-bit words, 2 to 4 bits a member if not given; halving it by XOR gives that of the band below."""
+    bits = max(64, bits or 2 ** (len(sets).bit_length() + 1))
     at = sets & np.uint64(bits - 1)
     on = np.bincount(at.astype(np.int64), minlength=bits) & 1
     return np.packbits(on.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
+def forest(ids: np.ndarray, comps: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Links (a, b) by which all linked sets of different sides (of a lone side: all linked sets) come into one component.
+
+    They start from comps, and each joins two components, so they are fewer than sets.
+    """
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    ids, sides, sets = ids[order], sides[order], [sets[k] for k in order]
+    sizes, root, links = np.array([len(s) for s in sets]), np.unique(comps[order], return_inverse=True)[1], []
+    lone = (sides == sides[0]).all()
+    for band in sorted({int(n).bit_length() for n in sizes}):
+        first, end, last = np.searchsorted(sizes, [2 ** (band - 1), 2**band, (2**band - 1) * den // num + 1])
+        sketches = np.stack([folded_sketch(s, 2 ** (band + 3)) for s in sets[first:last]])
+        for i in range(first, end):
+            j = np.arange(i + 1, np.searchsorted(sizes, sizes[i] * den // num, "right"))
+            j = j[(root[j] != root[i]) & (lone | (sides[j] != sides[i]))]
+            apart = np.bitwise_count(sketches[j - first] ^ sketches[i - first]).sum(1, dtype=np.int64)
+            j = j[apart <= (sizes[i] + sizes[j]) * (den - num) // (den + num)]
+            while len(j):
+                k, both = j[0], len(np.intersect1d(sets[i], sets[j[0]], assume_unique=True))
+                j = j[1:]
+                if den * both >= num * (sizes[i] + sizes[k] - both):
+                    links.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
+                    root[root == root[k]] = root[i]
+                    j = j[root[j] != root[i]]
+    return links
+
+
 def _classes(n: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw, offsets in shared.chunks(batches):
@@ -161,6 +195,35 @@ def _linked(num: int, den: int):
     return of
 
 
+def _forests(num: int, den: int):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in _runs(batches, ["cell", "whole", "x", "y"]):
+            ids, comps, sides = (tile.column(c).to_numpy() for c in ("id", "comp", "block"))
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in tile.column("members")]
+            links = np.array(forest(ids, comps, sides, sets, num, den), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
+
+    return of
+
+
+def _runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """The rows of equal numbers `by`, which come one after another, together."""
+    held, of = [], None
+    for batch in batches:
+        at = np.column_stack([batch.column(c).to_numpy() for c in by])
+        cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1), len(at)]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if i == j:
+                continue
+            if held and (at[i] != of).any():
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(i, j - i))
+            of = at[i]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _hamming(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
 
@@ -201,6 +264,37 @@ def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, n: int, n
     return stored(close.join(side("a"), "a").join(side("b"), "b").mapInArrow(_linked(num, den), "a long, b long"), "linked")
 
 
+def _cells(wide: DataFrame) -> DataFrame:
+    """Distinct (cell, whole, id, comp) of wide (key, id, comp): what is compared together.
+
+    Buckets that are joined by members make a group. It is one cell if it has no more pairs than its buckets have one by
+    one, as those of near copies do; else each bucket is a cell.
+    """
+    hubs = wide.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").cast("double").alias("of"))
+    groups = components(wide.join(hubs, "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+    keys = stored(hubs.join(groups.select(F.col("node").alias("hub"), F.col("comp").alias("group")), "hub"), "keys")
+    of = groups.groupBy(F.col("comp").alias("group")).agg(F.count("*").cast("double").alias("members"))
+    of = keys.groupBy("group").agg(F.sum(F.col("of") * F.col("of")).alias("pairs")).join(of, "group")
+    whole = of.select("group", (F.col("members") * F.col("members") <= F.col("pairs")).cast("long").alias("whole"))
+    cell = F.when(F.col("whole") == 1, F.col("group")).otherwise(F.col("key")).alias("cell")
+    return wide.join(keys.join(whole, "group").select("key", cell, "whole"), "key").select("cell", "whole", "id", "comp").distinct()
+
+
+def _joined(wide: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that join the components comp of linked members of the buckets wide (key, id, comp), as forests of tiles."""
+    cells = stored(_cells(wide), "cells")
+    ids = shared.small(cells.select("id").distinct())
+    sets = stored(texts.join(ids, "id", "left_semi").mapInArrow(_sets(n), "id long, members binary").distinct(), "wide_sets")
+    sizes = cells.join(sets.select("id", F.length("members").alias("bytes")), "id").groupBy("cell", "whole").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("of"))
+    blocks = F.ceil(F.greatest(F.col("bytes") / BLOCK_BYTES, F.col("of") / BLOCK_SETS)).alias("blocks")
+    rows = cells.join(sets, "id").join(sizes.select("cell", "whole", blocks), ["cell", "whole"])
+    rows = rows.withColumn("block", F.expr("pmod(xxhash64(id, members), blocks)")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    tile = [F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")]
+    tiles = rows.select("cell", "whole", *tile, "block", "id", "comp", "members")
+    tiles = tiles.repartition("cell", "whole", "x", "y").sortWithinPartitions("cell", "whole", "x", "y")
+    return stored(tiles.mapInArrow(_forests(num, den), "a long, b long"), "joined")
+
+
 def ngram_jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text): links where den * |A & B| >= num * |A | B|."""
     texts = docs.select("doc_id", "text")
@@ -243,21 +337,23 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: in
         links = links.unionByName(found)
         labels = components(links)
 
-    # Then the members of components that are still apart and were not compared yet. The Hamming bound is part of the join's
-    # condition, so a bucket of many unlike members makes no rows for them.
+    # Then the members of components that are still apart and were not compared yet.
     labelled = _labelled(apart.select("key", "id"), labels)
-    open_keys = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
-    left = labelled.join(open_keys.select("key"), "key", "left_semi").select("key", "id", "comp")
+    open_keys = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("of")).where("x < y")
+    left = stored(labelled.join(open_keys.select("key", "of"), "key").select("key", "id", "comp", "of"), "open")
     # One row for each key of a member, so they carry half of the sketch.
     half = F.when(F.size("sketch") > 1, _fold(F.col("sketch"))).otherwise(F.col("sketch")).alias("sketch")
-    left = stored(left.join(sketches.select("id", "n", half), "id"), "open")
-    a, b = _side(left, "a", "key", "comp"), _side(left, "b", "key", "comp")
+    few = stored(left.where(F.col("of") <= FEW).join(sketches.select("id", "n", half), "id"), "few")
+    a, b = _side(few, "a", "key", "comp"), _side(few, "b", "key", "comp")
     unlike = (F.col("key_a") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b"))
     more = a.join(b, unlike & _close(num, den)).select("a", "b").distinct()
     more = stored(more.join(compared, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        links = links.unionByName(_verified(more, sketches, firsts, n, num, den))
-        labels = components(links)
+    last = [] if more.isEmpty() else [_verified(more, sketches, firsts, n, num, den)]
+    wide = left.where(F.col("of") > FEW).select("key", "id", "comp")
+    if not wide.isEmpty():
+        last.append(_joined(wide, firsts, n, num, den))
+    if last:
+        labels = components(reduce(DataFrame.unionByName, last, links))
     named = labels.select(F.col("node").alias("rep"), "comp")
     return member.join(named, "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep", "doc_id").alias("component_id")

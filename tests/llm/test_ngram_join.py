@@ -132,3 +132,69 @@ def test_rounds_are_given_open_buckets_of_three_and_more(documents, monkeypatch)
     rows = [*two, (3, changed(60, "y")), (4, changed(61, "y")), (5, changed(4, "x")), (6, changed(120, "z"))]
     assert {r[0]: (r[1], r[2]) for r in nj.ngram_jaccard_components(documents(rows)).collect()} == brute(rows, 4, 85, 100)
     assert 0 < given["apart"][0].count() < given["buckets"][0].count()
+
+
+def just_apart(seed, size):
+    """Near copies of one text, most pairs of which have somewhat more differences than linked ones may."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(size):
+        text = [f"w{k}" for k in range(400)]
+        for k in rng.sample(range(3, 397, 4), 5):
+            text[k] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("block_sets", [8192, 17])
+def test_pairs_of_large_buckets_make_no_rows(documents, monkeypatch, block_sets):
+    given, kept = {}, nj.stored
+
+    def stored(df, tag):
+        df = kept(df, tag)
+        given.setdefault(tag, []).append(df)
+        return df
+
+    monkeypatch.setattr(nj, "stored", stored)
+    monkeypatch.setattr(nj, "ROUNDS", 1)
+    monkeypatch.setattr(nj, "FEW", 4, raising=False)
+    monkeypatch.setattr(nj, "BLOCK_SETS", block_sets, raising=False)
+    rows = just_apart(7, 120)
+    got = {r[0]: (r[1], r[2]) for r in nj.ngram_jaccard_components(documents(rows)).collect()}
+    assert got == brute(rows, 4, 85, 100)
+    assert 1 < len({c for _, c in got.values()}) < 60
+    assert sum(df.count() for tag in ("more", "joined") for df in given.get(tag, [])) < 240
+
+
+def test_forest_joins_what_links_join():
+    rows = near_copies(8) + [(1000 + i, t) for i, t in just_apart(9, 30)]
+    raw = [t.encode() for _, t in rows]
+    offsets = np.cumsum([0, *map(len, raw)])
+    sets = list(nj.shingle_sets(np.frombuffer(b"".join(raw), np.uint8), offsets, 4))
+    ids = np.array([i for i, _ in rows])
+    want = brute(rows, 4, 85, 100)
+    equal = {}  # equal sets are one class before
+    comps = np.array([equal.setdefault(s.tobytes(), i) for s, i in zip(sets, ids, strict=True)])
+
+    def joined(links):
+        comp = dict(zip(ids.tolist(), comps.tolist(), strict=True))
+        for a, b in links:
+            x, y = sorted((comp[a], comp[b]))
+            assert x != y
+            comp = {i: x if c == y else c for i, c in comp.items()}
+        return comp
+
+    links = nj.forest(ids, comps, np.zeros(len(ids), int), sets, 85, 100)
+    assert joined(links) == {i: c for i, (_, c) in want.items()}
+    sides = np.arange(len(ids)) % 2
+    across = nj.forest(ids, comps, sides, sets, 85, 100)
+    side = dict(zip(ids.tolist(), sides.tolist(), strict=True))
+    assert across and all(side[a] != side[b] for a, b in across)
+
+
+def test_large_buckets_of_the_same_members_are_one_cell(spark):
+    chain = [(1, i) for i in range(1, 21)] + [(2, i) for i in range(20, 40)]
+    same = [(key, i) for key in (3, 4) for i in range(50, 70)]
+    wide = spark.createDataFrame([(key, i, i) for key, i in chain + same], "key long, id long, comp long")
+    cells = nj._cells(wide).collect()
+    assert sorted((r.cell, r.whole, r.id) for r in cells) == sorted([(k, 0, i) for k, i in chain] + [(50, 1, i) for i in range(50, 70)])
