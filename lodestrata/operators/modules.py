@@ -5,7 +5,8 @@ begins with (`@/*` stands for a folder, one without a star for the whole specifi
 path that results has ranked candidates: for a script's name its typed twin and itself, then the path with each ending, then the
 folder's index. The first candidate that is a file of the repository is the module. Each file names the paths that have it among
 their candidates, so a specifier is an equi-join on (repository, prefix) and a path one on (repository, path); a path that many
-imports lead to is looked up once, and no specifier is compared with all files or aliases.
+imports lead to is looked up once, and no specifier is compared with all files or aliases. What grows with files, imports or names is
+exchanged, not broadcast: files of a table of paths are so much smaller than its rows that Spark would take it for a small one.
 
 An imported name is followed through re-exports: a module that declares the name ends the way; one that re-exports it by name leads
 to the module and the name there; else stars lead on with the same name (`default` passes no star). The frontier of all names
@@ -27,12 +28,20 @@ from lodestrata.sources.storage import small, stored
 # Endings of source files in the order in which they are tried, and hops through re-exports.
 ENDINGS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
 HOPS = 6
+#: Rows of some names up to which a side is broadcast, some 10 MB; beyond, the join shuffles.
+BROADCAST_NAMES = 50_000
 # Endings of scripts that may mean a typed twin; names that are source files themselves; specifiers that start from their file's folder.
 SCRIPTS = (".js", ".jsx", ".mjs", ".mjsx", ".cjs", ".cjsx")
 ITSELF = r"(?<!\.d)\.[cm]?[jt]sx?\z"
 RELATIVE = r"^\.{1,2}(/|$)"
 
 
+def _side(df: DataFrame) -> DataFrame:
+    """df as a side of a join by equality: broadcast if it is counted to be small, else exchanged, whatever Spark thinks of its size."""
+    counted = small(df, BROADCAST_NAMES)
+    return df.hint("merge") if counted is df else counted
+
+
 def normal_path(c: Column) -> Column:
     """A path without `.` and `..` steps; null if it leads above the root."""
 
@@ -84,7 +93,7 @@ def _paths(asked: DataFrame, paths: DataFrame) -> DataFrame:
     lengths = aliases.groupBy(F.length("prefix").alias("length")).agg(F.lit(1).alias("one"))  # one row a length of prefixes
     others = rows.where(~relative).join(small(lengths.select("length")), F.length("specifier") >= F.col("length"))
     others = others.withColumn("prefix", F.substring("specifier", F.lit(1), F.col("length")))
-    met = others.join(aliases, ["repository", "prefix"]).where(F.col("open") | (F.col("specifier") == F.col("prefix")))
+    met = others.join(_side(aliases), ["repository", "prefix"]).where(F.col("open") | (F.col("specifier") == F.col("prefix")))
     best = met.groupBy("repository", "origin", "specifier").agg(F.max(F.struct((~F.col("open")).alias("whole"), "length", "to")).alias("a"))
     rest = F.when(F.col("a.whole"), F.lit("")).otherwise(F.substring("specifier", F.col("a.length") + 1, F.length("specifier")))
     aliased = best.withColumn("path", normal_path(F.concat(F.col("a.to"), rest))).drop("a")
@@ -95,7 +104,7 @@ def _modules(paths: DataFrame, files: DataFrame) -> DataFrame:
     """repository, path, module of the different paths (repository, path) that mean a file of theirs."""
     known = files.select("repository", "file").dropna().where(r"file not rlike '\\.d\\.[cm]?ts$'").distinct()
     meant = known.select("repository", F.inline(meant_by(F.col("file"))))
-    found = paths.select("repository", "path").distinct().join(meant, ["repository", "path"])
+    found = paths.select("repository", "path").distinct().join(meant.hint("merge"), ["repository", "path"])
     first = found.groupBy("repository", "path").agg(F.min("rank").alias("rank"))  # which tells the file
     return first.select("repository", "path", F.element_at(F.array(*candidates(F.col("path"))), F.col("rank") + 1).alias("module"))
 
@@ -107,8 +116,8 @@ def resolve(imports: DataFrame, files: DataFrame, paths: DataFrame) -> DataFrame
     """
     asked = _asked(imports).distinct()
     led = stored(_paths(asked, paths), "paths")
-    meant = led.join(_modules(led, files), ["repository", "path"]).select("repository", "origin", "specifier", "module")
-    return asked.join(meant, ["repository", "origin", "specifier"], "left").select("repository", "file", "specifier", "module")
+    meant = led.join(_modules(led, files).hint("merge"), ["repository", "path"]).select("repository", "origin", "specifier", "module")
+    return asked.join(meant.hint("merge"), ["repository", "origin", "specifier"], "left").select("repository", "file", "specifier", "module")
 
 
 def imported(imports: DataFrame, files: DataFrame, paths: DataFrame) -> DataFrame:

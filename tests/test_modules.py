@@ -118,3 +118,26 @@ def test_modules_without_their_imports_equal_resolve(spark):
     assert sorted(got) == sorted({(r.repository, r.module) for r in found.where("module is not null").collect()}) == [("r", "a/x.ts"), ("r", "b/x/index.ts")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate") == 1 and "posexplode" not in plan  # files name paths; imports are never multiplied by their candidates
+
+
+def test_many_files_are_exchanged_however_small_their_table(spark, tmp_path):
+    number = spark.range(60_000).withColumn("repository", F.lit("r"))
+    number.select("repository", "id").write.parquet(f"{tmp_path}/files")
+    files = spark.read.parquet(f"{tmp_path}/files").select("repository", F.format_string("src/f%d.ts", "id").alias("file"))
+    imports = number.where("id < 50").select("repository", F.lit("src/a.ts").alias("file"), F.format_string("@/f%d", F.col("id") + 59_980).alias("specifier"))
+    found = modules.resolve(imports, files, spark.createDataFrame([("r", "@/*", "src/*")], "repository string, pattern string, target string"))
+    assert sorted(r.module for r in found.where("module is not null").collect()) == sorted(f"src/f{i}.ts" for i in range(59_980, 60_000))
+    assert found.count() == 50 and "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_aliases_are_exchanged(spark, monkeypatch):
+    plans, stored = [], modules.stored
+    monkeypatch.setattr(modules, "BROADCAST_NAMES", 3, raising=False)
+    monkeypatch.setattr(modules, "stored", lambda df, tag: plans.append((tag, df._jdf.queryExecution().executedPlan().toString())) or stored(df, tag))
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    imports = df([("r", "a.ts", f"@{i}/x") for i in range(6)], "repository string, file string, specifier string")
+    files = df([("r", f"src{i}/x.ts") for i in range(5)], "repository string, file string")
+    paths = df([("r", f"@{i}/*", f"src{i}/*") for i in range(6)], "repository string, pattern string, target string")
+    found = modules.resolve(imports, files, paths).collect()
+    assert {(r.specifier, r.module) for r in found} == {(f"@{i}/x", f"src{i}/x.ts") for i in range(5)} | {("@5/x", None)}
+    assert [plan.count("BroadcastHashJoin") for tag, plan in plans if tag == "paths"] == [0]
