@@ -131,10 +131,11 @@ def follow(names: DataFrame, exports: DataFrame, reexports: DataFrame, hops: int
     exports: repository, file, name (declared there); reexports: repository, file, name (`*` for all), target (a module), imported.
     """
     start = names.select("repository", "module", "name").dropna().distinct()
-    own = stored(exports.select("repository", F.col("file").alias("at"), F.col("name").alias("as")).dropna().distinct(), "exports")
+    own = _side(stored(exports.select("repository", F.col("file").alias("at"), F.col("name").alias("as")).dropna().distinct(), "exports"))
     links = reexports.select("repository", F.col("file").alias("at"), F.col("name").alias("as"), "target", "imported").where("target is not null").distinct()
     links = stored(links, "reexports")
-    named, stars = links.where("`as` <> '*'"), links.where("`as` = '*'").select("repository", "at", "target")
+    named, stars = _side(links.where("`as` <> '*'")), _side(links.where("`as` = '*'").select("repository", "at", "target"))
+    renamed = _side(links.where("`as` <> '*'").select("repository", "at", "as").distinct())
     key = ["repository", "module", "name"]
     here = start.select(*key, F.col("module").alias("at"), F.col("name").alias("as"), F.lit(0).alias("hop"), F.struct(F.lit(0).alias("hop"), F.col("module").alias("at"), F.col("name").alias("as")).alias("end"))
     here = stored(here, "names")
@@ -145,21 +146,21 @@ def follow(names: DataFrame, exports: DataFrame, reexports: DataFrame, hops: int
         out = done if out is None else out.unionByName(done)
         if hop == hops:
             break
-        left = here.join(done.select(*key), key, "left_anti")
+        left = here.join(_side(done.select(*key)), key, "left_anti")
         moved = F.lit(hop + 1)
         by_name = left.join(named, ["repository", "at", "as"]).select(*key, F.col("target").alias("at"), F.col("imported").alias("as"), F.col("end.hop").alias("was"), "end")
         by_name = by_name.withColumn("end", F.when(F.col("was") == hop, F.struct(moved.alias("hop"), "at", "as")).otherwise(F.col("end"))).drop("was")
-        open_ = left.join(named.select("repository", "at", "as").distinct(), ["repository", "at", "as"], "left_anti").where("`as` <> 'default'")
+        open_ = left.join(renamed, ["repository", "at", "as"], "left_anti").where("`as` <> 'default'")
         by_star = open_.join(stars, ["repository", "at"]).select(*key, F.col("target").alias("at"), "as", "end")
         step = by_name.unionByName(by_star).groupBy(*key, "at", "as").agg(F.max("end").alias("end"))
-        here = stored(step.join(seen, [*key, "at", "as"], "left_anti").withColumn("hop", moved), "hop")
+        here = stored(step.join(_side(seen), [*key, "at", "as"], "left_anti").withColumn("hop", moved), "hop")
         if here.isEmpty():
             break
         seen, ends = seen.unionByName(here.select(*key, "at", "as")), ends.unionByName(here.select(*key, "end"))
     found = out.groupBy(*key).agg(F.min("found").alias("found"))
     # Where no declaration is known: the last module on the way by names, of equally far ones the smaller.
     last = ends.groupBy(*key).agg(F.min(F.struct((-F.col("end.hop")).alias("neg"), F.col("end.at").alias("at"), F.col("end.as").alias("as"))).alias("last"))
-    both = last.join(found, key, "left")
+    both = last.join(found.hint("merge"), key, "left")
     return both.select(
         *key,
         F.coalesce("found.at", "last.at").alias("declared_in"),

@@ -141,3 +141,17 @@ def test_many_aliases_are_exchanged(spark, monkeypatch):
     found = modules.resolve(imports, files, paths).collect()
     assert {(r.specifier, r.module) for r in found} == {(f"@{i}/x", f"src{i}/x.ts") for i in range(5)} | {("@5/x", None)}
     assert [plan.count("BroadcastHashJoin") for tag, plan in plans if tag == "paths"] == [0]
+
+
+def test_names_are_followed_without_broadcasts(spark, monkeypatch):
+    plans, stored = [], modules.stored
+    monkeypatch.setattr(modules, "BROADCAST_NAMES", -1)
+    monkeypatch.setattr(modules, "stored", lambda df, tag: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df, tag))
+    own = {("m3", "x"), ("m6", "y")}
+    links = [("m0", "*", "m1", None), ("m0", "*", "m2", None), ("m0", "y", "m5", "z"), ("m1", "x", "m3", "x"), ("m2", "*", "m0", None), ("m5", "z", "m6", "y"), ("m4", "x", "m5", "w")]
+    asked = [("m0", "x"), ("m0", "y"), ("m0", "z"), ("m1", "x"), ("m4", "x"), ("m6", "y"), ("m7", "x")]
+    df = lambda rows, schema: spark.createDataFrame([("r", *x) for x in rows], "repository string, " + schema)
+    found = modules.follow(df(asked, "module string, name string"), df(own, "file string, name string"), df(links, "file string, name string, target string, imported string"))
+    rows = {(r.module, r.name): (r.declared_in, r.declared_name, r.hops) for r in found.collect()}
+    assert rows == {a: plain_follow(*a, own, links) for a in asked} and rows["m0", "x"] == ("m3", "x", 2)
+    assert not any("BroadcastHashJoin" in plan for plan in [*plans, found._jdf.queryExecution().executedPlan().toString()])
